@@ -44,6 +44,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         "id", "h1", "h2", "text_sha256", F.when(F.col("text") != F.col("rep_text"), F.col("text")).alias("odd")
     )
     checked = checked.select("id", "h1", "h2", "text_sha256", F.coalesce("odd", F.lit("")).alias("odd"), F.col("odd").isNull().alias("same"))
+    # written, so that the join above has a stage of its own, whose hot partitions are split
+    checked = materialize(checked)
     key = ["h1", "h2", "odd", "same"]
     classes = materialize(checked.groupBy(*key).agg(F.count(F.lit(1)).alias("group_size"), best("id").alias("keep_id")))
     joined = checked.join(classes, key).select("id", "keep_id", "group_size", "text_sha256")
