@@ -10,7 +10,7 @@ from pyspark.sql.types import StructType
 from ..operators.incremental import upsert
 
 
-def source(spark: SparkSession, path: str, schema: StructType, files_per_batch: int = 16, form: str = "parquet") -> DataFrame:
+def source(spark: SparkSession, path: str, schema: StructType | str, files_per_batch: int = 16, form: str = "parquet") -> DataFrame:
     """A folder as a stream; the number of files in a batch is the back-pressure."""
     return spark.readStream.schema(schema).format(form).option("maxFilesPerTrigger", files_per_batch).load(path)
 
