@@ -14,13 +14,19 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import dot
+from .quantize import ProductQuantizer
 
 
-def greedy_search(x: np.ndarray, neighbours: list[np.ndarray], start: int, query: np.ndarray, width: int, allowed: np.ndarray | None = None) -> tuple[list[int], dict[int, float]]:
-    """Best-first search with a buffer of ``width``: the buffer, best first, and all visited with scores."""
+def greedy_search(x: np.ndarray, neighbours: list[np.ndarray], start: int, query: np.ndarray, width: int, allowed: np.ndarray | None = None, approx: np.ndarray | None = None) -> tuple[list[int], dict[int, float]]:
+    """Best-first search with a buffer of ``width``: the buffer, best first, and all visited with exact scores.
+
+    With ``approx``, approximate scores of all nodes, the buffer is ordered by those and only visited
+    nodes are scored exactly, as where full vectors are costly to read.
+    """
+    near = (lambda nodes: approx[nodes]) if approx is not None else (lambda nodes: x[nodes] @ query)
     seen = np.zeros(len(x), bool)
     seen[start] = True
-    buffer = [(-float(x[start] @ query), start)]
+    buffer = [(-float(near(np.array([start]))[0]), start)]
     visited: dict[int, float] = {}
     while True:
         at = next((n for _, n in buffer if n not in visited), None)
@@ -31,7 +37,7 @@ def greedy_search(x: np.ndarray, neighbours: list[np.ndarray], start: int, query
         if allowed is not None:
             new = new[allowed[new]]
         seen[new] = True
-        buffer = heapq.nsmallest(width, [*buffer, *zip((-(x[new] @ query)).tolist(), new.tolist(), strict=True)])
+        buffer = heapq.nsmallest(width, [*buffer, *zip((-near(new)).tolist(), new.tolist(), strict=True)])
 
 
 def robust_prune(x: np.ndarray, point: int, candidates: np.ndarray, degree: int, alpha: float) -> np.ndarray:
@@ -95,18 +101,21 @@ def build_graphs(assigned: DataFrame, vectors: DataFrame, key: str = "vec_id", v
     return joined.groupBy("shard_id").applyInPandas(one, "shard_id long, id long, neighbours array<long>, is_start boolean")
 
 
-def beam_search(graph: DataFrame, vectors: DataFrame, queries: np.ndarray, k: int, width: int = 100, key: str = "vec_id", vector: str = "embedding", dead: str | None = None, scales: np.ndarray | None = None, descriptors: str | None = None) -> DataFrame:
+def beam_search(graph: DataFrame, vectors: DataFrame, queries: np.ndarray, k: int, width: int = 100, key: str = "vec_id", vector: str = "embedding", dead: str | None = None, scales: np.ndarray | None = None, descriptors: str | None = None, quantizer: ProductQuantizer | None = None) -> DataFrame:
     """``query_id, vec_id, score, rank`` by search in every shard's graph.
 
     Dead nodes are passed through but not returned.  ``scales`` weigh the descriptor codes, which
-    are added to scores.
+    are added to scores.  With a ``quantizer`` the search is steered by codes and results are scored exactly.
     """
     extra = [c for c in (dead, descriptors) if c]
 
     def one(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("id", kind="stable").reset_index(drop=True)
         x, ids = np.stack(rows[vector].to_numpy()).astype(np.float64), rows["id"].to_numpy()
-        asked = queries
+        asked, codes = queries, quantizer.encode(x) if quantizer else None
+        bias = np.zeros(len(x))
+        if scales is not None:
+            bias = np.stack(rows[descriptors].to_numpy()).astype(np.float64) @ scales
         if scales is not None:  # an extra dimension per descriptor makes the bias part of the product
             x = np.hstack([x, np.stack(rows[descriptors].to_numpy()).astype(np.float64)])
             asked = np.hstack([queries, np.tile(scales, (len(queries), 1))])
@@ -116,7 +125,8 @@ def beam_search(graph: DataFrame, vectors: DataFrame, queries: np.ndarray, k: in
         gone = rows[dead].to_numpy(bool) if dead else np.zeros(len(ids), bool)
         out = []
         for q, query in enumerate(asked):
-            _, visited = greedy_search(x, lists, start, query, width)
+            approx = quantizer.scores(quantizer.table(queries[q]), codes) + bias if quantizer else None
+            _, visited = greedy_search(x, lists, start, query, width, approx=approx)
             out += [(q, int(ids[v]), s) for v, s in visited.items() if not gone[v]]
         return pd.DataFrame(out, columns=["query_id", key, "score"])
 

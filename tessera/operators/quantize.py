@@ -221,3 +221,11 @@ def sample_matrix(vectors: DataFrame, most: int = 50_000, seed: int = 0, vector:
     part = F.pmod(F.xxhash64(F.lit(seed), vector), F.lit(1_000_003)) < min(1.0, most / total) * 1_000_003
     x = to_matrix(vectors.filter(part).select(vector).toArrow().column(0))
     return x[np.lexsort(x.T[::-1])]
+
+
+def compared(sample: np.ndarray, subspaces: int, codes: int, seed: int = 0) -> dict[str, float]:
+    """Reconstruction error of our codecs at the same budget of codes."""
+    error = lambda rebuilt: float(((sample - rebuilt) ** 2).sum(1).mean())
+    plain, turned = (train_pq(sample, subspaces, codes, seed=seed, rotate=r) for r in (False, True))
+    chain = ChainQuantizer.train(sample, subspaces, codes, 2, seed)
+    return {"pq": error(plain.decode(plain.encode(sample))), "opq": error(turned.decode(turned.encode(sample))), "chain": error(chain.decode(chain.encode(sample)))}

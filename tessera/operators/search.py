@@ -100,6 +100,13 @@ def novel(candidates: DataFrame, indexed: DataFrame, most: float = 0.99, least_s
     return out if least_score is None else out.filter(F.col("score") > least_score)
 
 
+def descriptor_scales(terms: DataFrame, names: list[str], name: str = "predefined_embedding", weight: str = "weight") -> DataFrame:
+    """One row ``scales``: per configured descriptor, the weight of the terms that name it over 512."""
+    at = F.array_position(F.array(*[F.lit(n) for n in names]), F.col(name))
+    sums = [F.coalesce(F.sum(F.when(at == k + 1, F.coalesce(weight, F.lit(1.0)))), F.lit(0.0)) / 512 for k in range(len(names))]
+    return terms.agg(F.array(*sums).alias("scales"))
+
+
 def refinements(query: DataFrame, direction: list[float], steps: int = 2) -> DataFrame:
     """The query moved along a direction: ``2 * steps + 1`` candidates."""
     d = F.array(*[F.lit(float(x)) for x in direction])

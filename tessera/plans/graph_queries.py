@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import functions as F
 
 from ..functions.vectors import dot, mean_vectors, to_matrix
-from ..operators import graph, search, shards, stats
+from ..operators import graph, quantize, search, shards, stats
 from ..sources.files import table
 from .base import query
 from .search_queries import VEC
@@ -132,3 +131,15 @@ def rank_summary(spark, sf_dir):
     ranks = v.crossJoin(F.broadcast(q)).select("vec_id", (F.row_number().over(w) - 1).cast("long").alias("rank")).filter("vec_id % 9 = 0")
     s = stats.rank_summary(ranks, "rank")
     return s.withColumns({c: F.round(c, 9) for c in ("mean", "harmonic")})
+
+
+@query()
+def coded_beam_search(spark, sf_dir):
+    """Beam search steered by product codes: recall against exact search."""
+    v, g = _graph(spark, sf_dir)
+    rows = v.filter("vec_id < 20").orderBy("vec_id")
+    q = to_matrix(rows.select("embedding").toArrow().column(0))
+    model = quantize.train_pq(quantize.sample_matrix(v), 16, 64, rounds=6)
+    found = graph.beam_search(g, v, q, 10, width=150, quantizer=model)
+    truth = _truth(v, rows.withColumnRenamed("vec_id", "query_id"), 10)
+    return stats.recall(truth, found, 10).select("queries", (F.col("recall") >= 0.9).alias("at_least_90"))

@@ -414,3 +414,18 @@ def base64_query(spark, sf_dir):
     q = query_vector(base64.urlsafe_b64encode(bytes(blob)).decode().rstrip("="))
     one = spark.createDataFrame([([float(x) for x in q],)], "query array<double>")
     return search.top_k(_vectors(spark, sf_dir), one, 5).select("vec_id", F.round("score", 6).alias("score"))
+
+
+@query("SELECT 0.75::DOUBLE / 512 AS quality, -2.0::DOUBLE / 512 AS age")
+def descriptor_terms(spark, sf_dir):
+    """Terms that name a descriptor become its scale; others do not count."""
+    terms = spark.createDataFrame([("quality", 0.5), ("quality", 0.25), ("age", -2.0), ("other", 9.0)], "predefined_embedding string, weight double")
+    scales = search.descriptor_scales(terms, ["quality", "age"])
+    return scales.select(F.col("scales")[0].alias("quality"), F.col("scales")[1].alias("age"))
+
+
+@query()
+def compared_codecs(spark, sf_dir):
+    """Reconstruction errors of the codecs on a bounded sample."""
+    errors = quantize.compared(quantize.sample_matrix(_vectors(spark, sf_dir), 1000), SUB, 16)
+    return spark.createDataFrame([(k, round(e, 6)) for k, e in errors.items()], "codec string, error double")

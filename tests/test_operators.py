@@ -233,3 +233,24 @@ def test_dot_and_matrix(spark):
     d = spark.createDataFrame([([1.0, 2.0], [3.0, 4.0])], "a array<float>, b array<float>")
     assert d.select(dot("a", "b")).first()[0] == 11.0
     assert to_matrix(d.select("a").toArrow().column(0)).tolist() == [[1.0, 2.0]]
+
+
+def test_encoder_batches_and_nulls(spark):
+    from tessera.operators.encode import encoded
+
+    def encoder(texts):
+        assert len(texts) <= 2
+        return np.array([[len(t), 0.0] for t in texts])
+
+    d = spark.createDataFrame([(k, None if k == 3 else "x" * (k + 1)) for k in range(7)], "k long, t string").coalesce(1)
+    got = {r.k: r.embedding for r in encoded(d, encoder, "k", "t", 2).collect()}
+    assert got == {k: None if k == 3 else [1.0, 0.0] for k in range(7)}
+
+
+def test_coded_search_recall(spark):
+    x, v = vectors(spark, 200, 16)
+    g = graph.build_graphs(v.select("vec_id", F.lit(0).alias("shard_id")), v, degree=16, width=40, most=80, passes=1)
+    model = quantize.train_pq(x, 8, 32, rounds=5)
+    found = graph.beam_search(g, v, x[:10], 5, 100, quantizer=model)
+    truth = search.batch_top_k(v, v.filter("vec_id < 10").withColumnRenamed("vec_id", "query_id"), 5)
+    assert stats.recall(truth, found, 5).first()["recall"] >= 0.9
