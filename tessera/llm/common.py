@@ -88,6 +88,16 @@ def small_batches(spark: SparkSession, rows: int = 500) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` in at least as many partitions as there are cores.
+
+    A table in one row group would otherwise be one task of a costly function; a table
+    that is split well enough is not moved.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def ranked(df: DataFrame, group: list[str], spread: Column, order: list[Column], rows: int, groups: int, block_rows: int = 20_000) -> DataFrame:
     """Add ``rank``: gapless from 0 within each group, without one task a group.
 

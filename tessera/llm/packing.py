@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import give_back, lift, materialize, small_batches
+from .common import give_back, lift, materialize, small_batches, spread
 
 LENGTH = 2048
 END = 0
@@ -122,7 +122,7 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH)
     """``id, piece, start, length, ids_crc32`` of all pieces of all documents, written once."""
     small_batches(docs.sparkSession)
     d = docs.select(lift("doc_id").alias("id"), F.col("text").cast("string").alias("text"))
-    return materialize(d.mapInArrow(_pieces(tokenizer or default_tokenizer(), length), "id long, piece int, start long, length long, ids_crc32 long"))
+    return materialize(spread(d).mapInArrow(_pieces(tokenizer or default_tokenizer(), length), "id long, piece int, start long, length long, ids_crc32 long"))
 
 
 def best_fit(sizes: np.ndarray, capacity: int) -> list[list[int]]:

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import give_back, lift, materialize, small_batches, whole
+from .common import give_back, lift, materialize, small_batches, spread, whole
 
 RADIUS = 3
 SEED = 42
@@ -217,7 +217,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     small_batches(docs.sparkSession)
     text = whole(text_col)
     texts = docs.select(lift(id_col).alias("id"), F.xxhash64(text).alias("version"), text.cast("binary").alias("text"))
-    own = materialize(texts.mapInArrow(_fingerprints, "id long, version long, fp long"))
+    own = materialize(spread(texts).mapInArrow(_fingerprints, "id long, version long, fp long"))
     distinct = materialize(own.groupBy("fp").agg(F.min("id").alias("first")))
     roots = components(links(distinct.select("fp")))
     rooted = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
