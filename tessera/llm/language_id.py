@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import give_back, lift, small_batches
+from .common import give_back, lift, small_batches, spread
 
 BITS = 13
 SAMPLE = 3_000
@@ -77,7 +77,7 @@ def codewords(n: int) -> np.ndarray:
     return best if best is not None else code
 
 
-def train_bits(x: np.ndarray, code: np.ndarray, weight: np.ndarray, rounds: int = 300, rate: float = 8.0, decay: float = 1e-5) -> tuple[np.ndarray, np.ndarray]:
+def train_bits(x: np.ndarray, code: np.ndarray, weight: np.ndarray, rounds: int = 100, rate: float = 8.0, decay: float = 1e-5) -> tuple[np.ndarray, np.ndarray]:
     """Logistic models (features x bits, biases) by accelerated gradient descent; ``code`` has each row's bits."""
     w, b = np.zeros((x.shape[1], code.shape[1]), np.float32), np.zeros(code.shape[1], np.float32)
     vw, vb = w.copy(), b.copy()
@@ -174,7 +174,7 @@ def language_report(docs: DataFrame) -> DataFrame:
     """``doc_id, held_out, lang_pred, score, ambiguous`` of each document."""
     model = train(docs)
     d = docs.select(lift("doc_id").alias("id"), F.col("text").cast("string").alias("text"))
-    out = d.mapInArrow(predictor(model), "id long, lang_pred string, score double, ambiguous boolean")
+    out = spread(d).mapInArrow(predictor(model), "id long, lang_pred string, score double, ambiguous boolean")
     ident = give_back(F.col("id"))
     return out.select(ident.alias("doc_id"), held_out(ident).alias("held_out"), "lang_pred", "score", "ambiguous")
 
@@ -185,6 +185,6 @@ def language_stage(docs: DataFrame) -> DataFrame:
     names = docs.columns
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("doc"), F.col("text").cast("string").alias("text"))
     found = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("ambiguous", T.BooleanType())]
-    out = rows.mapInArrow(predictor(model), T.StructType([T.StructField("doc", rows.schema["doc"].dataType), *found]))
+    out = spread(rows).mapInArrow(predictor(model), T.StructType([T.StructField("doc", rows.schema["doc"].dataType), *found]))
     kept = out.filter((F.col("lang_pred") != "und") & ~F.col("ambiguous"))
     return kept.select(*[F.col("lang_pred").alias("lang") if c == "lang" else F.col(f"doc.`{c}`").alias(c) for c in names])
