@@ -13,6 +13,7 @@ An empty table gives an empty result.
 
 from __future__ import annotations
 
+import operator
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 
@@ -22,11 +23,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import give_back, lift, small_batches, whole
+from .common import give_back, lift, small_batches, spread, whole
 
 BITS = 14
 SAMPLE = 4_000
 MEASURE = 0.4
+#: The labellers are made to call hardly any good text bad; the model is held to that.
+BAD_ON_GOOD = 0.01
 _WORDS = 200_000
 _SIGNS = bytes(b for b in range(33, 127) if not chr(b).isalnum() and chr(b) not in ".,;:'\"-()?")
 _CAPITALS, _SMALL, _DIGITS = (bytes(range(ord(a), ord(b) + 1)) for a, b in ("AZ", "az", "09"))
@@ -50,6 +53,7 @@ class Facts:
         self.digits = count(_DIGITS) / size
         often = self.words
         self.distinct = len(often) / max(1, self.n)
+        self.echo = sum(map(operator.eq, words, words[1:])) / max(1, self.n)
         self.top = max(often.values(), default=0) / max(1, self.n)
         self.lone_signs = sum(n for w, n in often.items() if len(w) == 1 and not w.isalnum()) / max(1, self.n)
         self.length = sum(len(w) * n for w, n in often.items()) / max(1, self.n)
@@ -69,6 +73,7 @@ LABELLERS: list[tuple[str, Callable[[Facts], int]]] = [
     ("lone signs", lambda f: _vote(f.lone_signs == 0, f.lone_signs > 0.08)),
     ("repeated word", lambda f: _vote(f.n >= 20 and f.top < 0.15, f.n >= 20 and f.top > 0.3)),
     ("distinct words", lambda f: _vote(f.n >= 20 and f.distinct > 0.3, f.n >= 50 and f.distinct < 0.12)),
+    ("echo", lambda f: _vote(f.n >= 20 and f.echo < 0.15, f.n >= 20 and f.echo > 0.3)),
     ("word length", lambda f: _vote(3 <= f.length <= 9, not 2 <= f.length <= 15)),
     ("short words", lambda f: _vote(f.short > 0.12, f.n >= 20 and f.short < 0.02)),
     ("sentences", lambda f: _vote(f.sentences > 0.6, f.n >= 20 and f.sentences < 0.1)),
@@ -105,6 +110,8 @@ class LabelModel:
             good = np.einsum("p,plv->lv", n * q, one_hot) + 1
             bad = np.einsum("p,plv->lv", n * (1 - q), one_hot) + 1
             good, bad = good / good.sum(1, keepdims=True), bad / bad.sum(1, keepdims=True)
+            good[:, 1] = np.minimum(good[:, 1], BAD_ON_GOOD)
+            good[:, 0] = 1 - good[:, 1]
             prior = ((n * q).sum() + 1) / (n.sum() + 2)
             odds = np.log(prior / (1 - prior)) + np.einsum("plv,lv->p", one_hot, np.log(good) - np.log(bad))
             new = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
@@ -142,7 +149,7 @@ class Hasher:
         counts = np.bincount(both >> BITS, n, 1 << BITS) + np.bincount(both & ((1 << BITS) - 1), n, 1 << BITS)
         at = np.flatnonzero(counts)
         x = np.sqrt(counts[at])
-        measures = (facts.signs, facts.capitals, facts.lone_signs, facts.top, facts.distinct, facts.short, facts.sentences, facts.digits, min(1.0, facts.n / 100))
+        measures = (facts.signs, facts.capitals, facts.lone_signs, facts.top, facts.echo, facts.distinct, facts.short, facts.sentences, facts.digits, min(1.0, facts.n / 100))
         named = [xxhash.xxh32_intdigest(b"%d:%d" % (k, round(10 * m)), 3) & ((1 << BITS) - 1) for k, m in enumerate(measures)]
         return np.append(at, named), np.append(x / max(1e-9, np.sqrt((x * x).sum())), [MEASURE] * len(named))
 
@@ -168,7 +175,7 @@ def train_scorer(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray,
 def quality_report(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """``doc_id, posterior, score, kept`` of each document; ``kept`` where the scorer finds good likelier than bad."""
     small_batches(docs.sparkSession)
-    d = docs.select(lift("doc_id").alias("id"), whole("text").cast("binary").alias("text"))
+    d = spread(docs.select(lift("doc_id").alias("id"), whole("text").cast("binary").alias("text")))
 
     def vote(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
