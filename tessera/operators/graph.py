@@ -6,8 +6,6 @@ joins over edge tables.
 
 from __future__ import annotations
 
-import heapq
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -24,20 +22,25 @@ def greedy_search(x: np.ndarray, neighbours: list[np.ndarray], start: int, query
     nodes are scored exactly, as where full vectors are costly to read.
     """
     near = (lambda nodes: approx[nodes]) if approx is not None else (lambda nodes: x[nodes] @ query)
-    seen = np.zeros(len(x), bool)
+    seen, done = np.zeros(len(x), bool), np.zeros(len(x), bool)
     seen[start] = True
-    buffer = [(-float(near(np.array([start]))[0]), start)]
+    buffer = np.array([start])
+    scores = np.asarray(near(buffer), np.float64)
     visited: dict[int, float] = {}
-    while True:
-        at = next((n for _, n in buffer if n not in visited), None)
-        if at is None:
-            return [n for _, n in buffer], visited
+    while (waiting := ~done[buffer]).any():
+        at = int(buffer[waiting.argmax()])
+        done[at] = True
         visited[at] = float(x[at] @ query)
-        new = neighbours[at][~seen[neighbours[at]]]
+        new = neighbours[at]
+        new = new[~seen[new]]
         if allowed is not None:
             new = new[allowed[new]]
-        seen[new] = True
-        buffer = heapq.nsmallest(width, [*buffer, *zip((-near(new)).tolist(), new.tolist(), strict=True)])
+        if len(new):
+            seen[new] = True
+            buffer, scores = np.concatenate([buffer, new]), np.concatenate([scores, near(new)])
+            order = np.lexsort((buffer, -scores))[:width]
+            buffer, scores = buffer[order], scores[order]
+    return buffer.tolist(), visited
 
 
 def robust_prune(x: np.ndarray, point: int, candidates: np.ndarray, degree: int, alpha: float) -> np.ndarray:
@@ -46,17 +49,17 @@ def robust_prune(x: np.ndarray, point: int, candidates: np.ndarray, degree: int,
     A candidate goes when its inner product with a chosen one, times ``alpha``, reaches that with the point.
     """
     candidates = np.unique(candidates[candidates != point])
-    own = x[candidates] @ x[point]
+    rows = x[candidates]
+    own = rows @ x[point]
     order = np.lexsort((candidates, -own))
-    candidates, own = candidates[order], own[order]
+    candidates, own, rows = candidates[order], own[order], rows[order]
     alive = np.ones(len(candidates), bool)
     chosen: list[int] = []
-    for k in range(len(candidates)):
-        if alive[k]:
-            chosen.append(int(candidates[k]))
-            if len(chosen) == degree:
-                break
-            alive &= alpha * (x[candidates] @ x[candidates[k]]) < own
+    while len(chosen) < degree and alive.any():
+        k = int(alive.argmax())
+        chosen.append(int(candidates[k]))
+        alive &= alpha * (rows @ rows[k]) < own
+        alive[: k + 1] = False
     return np.array(chosen, np.int64)
 
 
