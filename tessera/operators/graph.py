@@ -147,7 +147,7 @@ def knn_graph(vectors: DataFrame, k: int, key: str = "vec_id", vector: str = "em
     on = F.col("src") != F.col("dst")
     pairs = a.join(b, on & (F.col("_g") == F.col("_h")) if group else on).select("src", "dst", dot("_x", "_y").alias("score"))
     w = Window.partitionBy("src").orderBy(F.col("score").desc(), "dst")
-    return pairs.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= k)
+    return pairs.withColumn("place", F.row_number().over(w).cast("long")).filter(F.col("place") <= k)
 
 
 def degree_stats(edges: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ group-limited window.  ``batch_top_k`` multiplies matrices per Arrow batch and k
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -54,11 +55,19 @@ def top_k(vectors: DataFrame, query: DataFrame, k: int, key: str = "vec_id", vec
 def batch_top_k(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", query_key: str = "query_id", vector: str = "embedding", above: float | None = None) -> DataFrame:
     """``query_id, vec_id, score, rank`` of the best ``k`` vectors for every query.
 
-    Queries are sent in blocks of at most ``MAX_QUERIES``; blocks are joined to the result one by one.
+    Queries are sent to all tasks in blocks of at most ``MAX_QUERIES``, which a hash of the query's key deals.
     """
+    blocks = max(1, -(-queries.count() * 5 // (4 * MAX_QUERIES)))
+    parts = [
+        _block_top_k(vectors, queries.filter(F.pmod(F.xxhash64(query_key), F.lit(blocks)) == b), k, key, query_key, vector, above) for b in range(blocks)
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _block_top_k(vectors: DataFrame, queries: DataFrame, k: int, key: str, query_key: str, vector: str, above: float | None) -> DataFrame:
     rows = queries.select(F.col(query_key).cast("long"), vector).limit(MAX_QUERIES + 1).toArrow()
     if rows.num_rows > MAX_QUERIES:
-        raise ValueError(f"more than {MAX_QUERIES} queries: split them into blocks")
+        raise ValueError(f"more than {MAX_QUERIES} queries share a block: are their keys all the same?")
     ids, matrix = rows.column(0).to_numpy(), to_matrix(rows.column(1))
 
     def best(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -76,7 +85,7 @@ def batch_top_k(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_
 
     found = vectors.select(F.col(key).cast("long"), vector).mapInArrow(best, "q long, v long, score double")
     order = Window.partitionBy("q").orderBy(F.col("score").desc(), "v")
-    ranked = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    ranked = found.withColumn("rank", F.row_number().over(order).cast("long")).filter(F.col("rank") <= k)
     return ranked.select(F.col("q").alias(query_key), F.col("v").alias(key), "score", "rank")
 
 

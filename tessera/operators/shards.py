@@ -18,7 +18,7 @@ def nearest_shards(vectors: DataFrame, centroids: DataFrame, n: int = 2, key: st
     scored = vectors.select(key, vector).crossJoin(F.broadcast(centroids.select("shard_id", "centroid")))
     scored = scored.select(key, "shard_id", dot(vector, "centroid").alias("score"))
     w = Window.partitionBy(key).orderBy(F.col("score").desc(), "shard_id")
-    return scored.withColumn("choice", F.row_number().over(w)).filter(F.col("choice") <= n)
+    return scored.withColumn("choice", F.row_number().over(w).cast("long")).filter(F.col("choice") <= n)
 
 
 def balanced_shards(vectors: DataFrame, centroids: DataFrame, fudge: float = 0.2, batch: int = 2048, key: str = "vec_id", vector: str = "embedding", n: int = 2) -> DataFrame:
@@ -46,7 +46,7 @@ def balanced_shards(vectors: DataFrame, centroids: DataFrame, fudge: float = 0.2
                     "choice": np.tile(np.arange(1, best.shape[1] + 1), len(part)), "score": np.take_along_axis(score, best, 1).ravel(),
                 })
 
-    return vectors.select(key, vector).mapInPandas(deal, f"{key} long, shard_id long, choice int, score double")
+    return vectors.select(key, vector).mapInPandas(deal, f"{key} long, shard_id long, choice long, score double")
 
 
 def shard_sizes(assigned: DataFrame) -> DataFrame:

@@ -26,6 +26,15 @@ def test_batch_top_k_equals_declarative(spark):
         assert [found[q, k + 1] for k in range(7)] == [r.vec_id for r in search.top_k(v, one, 7).collect()]
 
 
+def test_batch_top_k_in_blocks(spark, monkeypatch):
+    x, v = vectors(spark, 60, 8)
+    asked = v.withColumnRenamed("vec_id", "query_id")
+    rank = lambda: sorted(map(tuple, search.batch_top_k(v, asked, 2).collect()))
+    whole = rank()
+    monkeypatch.setattr(search, "MAX_QUERIES", 25)
+    assert rank() == whole and len(whole) == 120
+
+
 def test_batch_top_k_keeps_ties_by_key(spark):
     v = spark.createDataFrame([(k, [1.0, 0.0]) for k in range(50)], "vec_id long, embedding array<double>").repartition(5)
     q = spark.createDataFrame([(0, [1.0, 0.0])], "query_id long, embedding array<double>")
