@@ -57,7 +57,9 @@ def batch_top_k(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_
 
     Queries are sent to all tasks in blocks of at most ``MAX_QUERIES``, which a hash of the query's key deals.
     """
-    blocks = max(1, -(-queries.count() * 5 // (4 * MAX_QUERIES)))
+    asked = queries.count()
+    # twice as many blocks as would just do, since a hash deals them unevenly
+    blocks = 1 if asked <= MAX_QUERIES else -(-2 * asked // MAX_QUERIES)
     parts = [
         _block_top_k(vectors, queries.filter(F.pmod(F.xxhash64(query_key), F.lit(blocks)) == b), k, key, query_key, vector, above) for b in range(blocks)
     ]
