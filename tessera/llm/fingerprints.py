@@ -29,7 +29,8 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.ml.feature import Bucketizer
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import give_back, lift, small_batches, whole
@@ -178,16 +179,16 @@ def _stream(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raise ValueError("a range ended without its last neighbour")
 
 
-def _bucket(key: Column, bounds: list[int]) -> Column:
-    """How many bounds are above ``key``, by bisection."""
+def _ranges(df: DataFrame, bounds: list[float]) -> DataFrame:
+    """Add ``bucket``: the range of ``id`` between bounds, found by bisection; 0 has the largest ids.
 
-    def search(low: int, high: int) -> Column:
-        if low == high:
-            return F.lit(len(bounds) - low)
-        middle = (low + high) // 2
-        return F.when(key < bounds[middle], search(low, middle)).otherwise(search(middle + 1, high))
-
-    return search(0, len(bounds))
+    Ids are compared as doubles, which keeps their order; ids that are equal so share a range.
+    """
+    if not bounds:
+        return df.withColumn("bucket", F.lit(0))
+    cut = Bucketizer(splits=[-float("inf"), *bounds, float("inf")], inputCol="_id", outputCol="_range")
+    found = cut.transform(df.withColumn("_id", F.col("id").cast("double")))
+    return found.withColumn("bucket", (F.lit(len(bounds)) - F.col("_range")).cast("int")).drop("_id", "_range")
 
 
 def fingerprint_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -197,18 +198,15 @@ def fingerprint_report(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     ids = docs.select(lift(id_col).alias("id"))
     cuts = [k / n for k in range(1, n)]
-    bounds = sorted({*(ids.agg(F.percentile_approx("id", cuts, 100 * n)).first()[0] or [])}) if cuts else []
-    bucket = _bucket(F.col("id"), bounds).cast("int")
-    # one row a range: the largest id of each, in order of descending ids
-    firsts = ids.groupBy(bucket.alias("bucket")).agg(F.max("id")).orderBy("bucket").collect()
-    homes = {first: firsts[k - 1][0] for k, (_, first) in enumerate(firsts)}
-    guest_of = F.lit(None).cast("int")
-    if homes:
-        guest_of = F.element_at(F.create_map(*[F.lit(x) for pair in homes.items() for x in pair]), F.col("id"))
-    own = F.struct(bucket.alias("bucket"), F.lit(False).alias("guest"))
-    visit = F.struct(guest_of.cast("int").alias("bucket"), F.lit(True).alias("guest"))
-    places = F.when(guest_of.isNull(), F.array(own)).otherwise(F.array(own, visit))
-    rows = docs.select(lift(id_col).alias("id"), whole(text_col).alias("text")).withColumn("place", F.explode(places))
+    bounds = sorted({float(x) for x in ids.agg(F.percentile_approx("id", cuts, 100 * n)).first()[0] or []}) if cuts else []
+    # one row a range, at most as many as partitions: the largest id of each, in order of descending ids
+    firsts = _ranges(ids, bounds).groupBy("bucket").agg(F.max("id")).orderBy("bucket").collect()
+    homes = [(first, firsts[k - 1][0]) for k, (_, first) in enumerate(firsts)]
+    rows = _ranges(docs.select(lift(id_col).alias("id"), whole(text_col).alias("text")), bounds)
+    rows = rows.join(F.broadcast(spark.createDataFrame(homes, "id long, home int")), "id", "left")
+    own = F.struct(F.col("bucket").alias("bucket"), F.lit(False).alias("guest"))
+    visit = F.struct(F.col("home").alias("bucket"), F.lit(True).alias("guest"))
+    rows = rows.withColumn("place", F.explode(F.when(F.col("home").isNull(), F.array(own)).otherwise(F.array(own, visit))))
     rows = rows.select("place.bucket", "place.guest", "id", "text").repartitionById(n, F.col("bucket"))
     rows = rows.sortWithinPartitions("bucket", "guest", F.col("id").desc(), F.xxhash64("text"))
     out = rows.mapInArrow(_stream, _OUT)
