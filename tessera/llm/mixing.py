@@ -52,7 +52,7 @@ def source_targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
     return s.select("source", "source_size", "rows", target.alias("target"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", carry: bool = False, seed: str = "mix", block_rows: int = 20_000, **targets) -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", carry: bool = False, seed: str = "mix", block_rows: int = 2_000, **targets) -> DataFrame:
     """``id, size, source_size, target, taken`` of each row; ``carry`` adds ``doc``, the row itself."""
     row = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")] if carry else []
     sized = docs.select(
@@ -92,7 +92,7 @@ def mix_stage(docs: DataFrame) -> DataFrame:
 
     A document that is taken in part ends after the word where the cut falls.
     """
-    m = mix(docs, carry=True, block_rows=4_000).filter("taken > 0")
+    m = mix(docs, carry=True).filter("taken > 0")
     m = m.withColumn("copy", F.explode(F.sequence(F.lit(1), F.ceil(F.col("taken") / F.col("size")).cast("int"))))
     words = F.col("taken") - (F.col("copy") - 1) * F.col("size")
     head = F.array_join(F.slice(F.split(F.btrim(F.col("doc.text"), F.lit(BLANKS)), "[ \\t\\n\\x0B\\f\\r]+"), F.lit(1), words.cast("int")), " ")
