@@ -23,7 +23,7 @@ fingerprinted on their own.  An empty table gives an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import accumulate, combinations
 
 import numpy as np
@@ -236,9 +236,9 @@ def simhash_report(docs: DataFrame) -> DataFrame:
     )
 
 
-def simhash_stage(docs: DataFrame) -> DataFrame:
-    """The documents whose id is the smallest of their component."""
-    drop = near_groups(docs).filter("id != component").select("id", "version").distinct()
+def simhash_stage(docs: DataFrame, groups: Callable[[DataFrame], DataFrame] = near_groups) -> DataFrame:
+    """The documents whose id is the smallest of their component in ``groups``."""
+    drop = groups(docs).filter("id != component").select("id", "version").distinct()
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")
     rows = docs.select(row, lift("doc_id").alias("id"), F.xxhash64(whole("text")).alias("version"))
     return rows.join(drop, ["id", "version"], "left_anti").select("doc.*")
