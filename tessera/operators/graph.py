@@ -104,13 +104,16 @@ def build_graphs(assigned: DataFrame, vectors: DataFrame, key: str = "vec_id", v
     return joined.groupBy("shard_id").applyInPandas(one, "shard_id long, id long, neighbours array<long>, is_start boolean")
 
 
-def beam_search(graph: DataFrame, vectors: DataFrame, queries: np.ndarray, k: int, width: int = 100, key: str = "vec_id", vector: str = "embedding", dead: str | None = None, scales: np.ndarray | None = None, descriptors: str | None = None, quantizer: ProductQuantizer | None = None) -> DataFrame:
+def beam_search(graph: DataFrame, vectors: DataFrame, queries: np.ndarray, k: int, width: int = 100, key: str = "vec_id", vector: str = "embedding", dead: str | None = None, scales: np.ndarray | None = None, descriptors: str | None = None, quantizer: ProductQuantizer | None = None, query_ids: np.ndarray | None = None) -> DataFrame:
     """``query_id, vec_id, score, rank`` by search in every shard's graph.
 
+    A query's id is its place, or that of ``query_ids``.
+
     Dead nodes are passed through but not returned.  ``scales`` weigh the descriptor codes, which
     are added to scores.  With a ``quantizer`` the search is steered by codes and results are scored exactly.
     """
     extra = [c for c in (dead, descriptors) if c]
+    named = np.arange(len(queries)) if query_ids is None else query_ids
 
     def one(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("id", kind="stable").reset_index(drop=True)
@@ -130,7 +133,7 @@ def beam_search(graph: DataFrame, vectors: DataFrame, queries: np.ndarray, k: in
         for q, query in enumerate(asked):
             approx = quantizer.scores(quantizer.table(queries[q]), codes) + bias if quantizer else None
             _, visited = greedy_search(x, lists, start, query, width, approx=approx)
-            out += [(q, int(ids[v]), s) for v, s in visited.items() if not gone[v]]
+            out += [(int(named[q]), int(ids[v]), s) for v, s in visited.items() if not gone[v]]
         return pd.DataFrame(out, columns=["query_id", key, "score"])
 
     joined = graph.join(vectors.select(F.col(key).alias("id"), vector, *extra), "id")

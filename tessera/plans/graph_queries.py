@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import dot, mean_vectors, to_matrix
 from ..operators import graph, quantize, search, shards, stats
 from ..sources.files import table
 from .base import query
-from .search_queries import VEC
+from .search_queries import VEC, asked
 
 KNN = f"""
 knn AS (
@@ -86,22 +89,32 @@ def _truth(v, queries, k):
     return search.batch_top_k(v, queries, k)
 
 
+def _beam(g, v, k, **how):
+    """Beam search for every fiftieth vector; queries are sent in blocks as in ``search.batch_top_k``."""
+    queries = asked(v)
+    n = queries.count()
+    blocks = 1 if n <= search.MAX_QUERIES else -(-2 * n // search.MAX_QUERIES)
+    g = g if blocks == 1 else g.localCheckpoint()
+    parts = []
+    for b in range(blocks):
+        rows = queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).select("query_id", "embedding").orderBy("query_id").toArrow()
+        if rows.num_rows:
+            parts.append(graph.beam_search(g, v, to_matrix(rows.column(1)), k, query_ids=rows.column(0).to_numpy(), **how))
+    return reduce(DataFrame.unionByName, parts)
+
+
 @query()
 def beam_search(spark, sf_dir):
     v, g = _graph(spark, sf_dir)
-    q = to_matrix(v.filter("vec_id < 20").orderBy("vec_id").select("embedding").toArrow().column(0))
-    return graph.beam_search(g, v, q, 10, width=100).withColumn("score", F.round("score", 9))
+    return _beam(g, v, 10, width=100).withColumn("score", F.round("score", 9))
 
 
 @query()
 def recall_at_k(spark, sf_dir):
-    """Recall of beam search in all shards against exact search."""
+    """Recall of beam search in all shards against exact search, over every fiftieth vector."""
     v, g = _graph(spark, sf_dir)
-    rows = v.filter("vec_id < 20").orderBy("vec_id")
-    q = to_matrix(rows.select("embedding").toArrow().column(0))
-    found = graph.beam_search(g, v, q, 20, width=120)
-    truth = _truth(v, rows.withColumnRenamed("vec_id", "query_id"), 20)
-    return stats.recall(truth, found, 20).select("queries", (F.col("recall") >= 0.9).alias("at_least_90"))
+    found = _beam(g, v, 20, width=120)
+    return stats.recall(_truth(v, asked(v), 20), found, 20).select("queries", (F.col("recall") >= 0.9).alias("at_least_90"))
 
 
 @query(f"""
@@ -116,6 +129,18 @@ def recall_exact(spark, sf_dir):
     return stats.recall(truth, truth.filter("vec_id % 7 != 0"), 20).withColumn("recall", F.round("recall", 9))
 
 
+@query(f"""
+    WITH t AS (SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n FROM (SELECT a.vec_id AS query_id, b.vec_id, list_dot_product(a.e, b.e) AS score FROM ({VEC}) a, ({VEC}) b WHERE a.vec_id % 50 = 0)),
+    f AS (SELECT query_id, vec_id FROM t WHERE n <= 20 AND vec_id % 7 <> 0)
+    SELECT count(f.vec_id) AS hits, count(DISTINCT t.query_id) AS queries, round(count(f.vec_id) / (count(DISTINCT t.query_id) * 20.0), 9) AS recall
+    FROM t LEFT JOIN f ON t.query_id = f.query_id AND t.vec_id = f.vec_id WHERE t.n <= 20""")
+def recall_exact_fiftieth(spark, sf_dir):
+    """As ``recall_exact``, for every fiftieth vector."""
+    v = table(spark, sf_dir, "embeddings")
+    truth = _truth(v, asked(v), 20)
+    return stats.recall(truth, truth.filter("vec_id % 7 != 0"), 20).withColumn("recall", F.round("recall", 9))
+
+
 @query(f"""
     WITH q AS (SELECT e AS qv FROM ({VEC}) WHERE vec_id = 0),
     r AS (SELECT vec_id, row_number() OVER (ORDER BY list_dot_product(e, qv) DESC, vec_id) - 1 AS r FROM ({VEC}), q),
@@ -137,9 +162,6 @@ def rank_summary(spark, sf_dir):
 def coded_beam_search(spark, sf_dir):
     """Beam search steered by product codes: recall against exact search."""
     v, g = _graph(spark, sf_dir)
-    rows = v.filter("vec_id < 20").orderBy("vec_id")
-    q = to_matrix(rows.select("embedding").toArrow().column(0))
     model = quantize.train_pq(quantize.sample_matrix(v), 16, 64, rounds=6)
-    found = graph.beam_search(g, v, q, 10, width=150, quantizer=model)
-    truth = _truth(v, rows.withColumnRenamed("vec_id", "query_id"), 10)
-    return stats.recall(truth, found, 10).select("queries", (F.col("recall") >= 0.9).alias("at_least_90"))
+    found = _beam(g, v, 10, width=150, quantizer=model)
+    return stats.recall(_truth(v, asked(v), 10), found, 10).select("queries", (F.col("recall") >= 0.9).alias("at_least_90"))

@@ -38,6 +38,11 @@ def _sql_query(terms=TERMS) -> str:
 )"""
 
 
+def asked(vectors):
+    """The query set: every fiftieth vector."""
+    return vectors.filter("vec_id % 50 = 0").withColumnRenamed("vec_id", "query_id")
+
+
 def _centroids(spark, sf_dir):
     return mean_vectors(_vectors(spark, sf_dir), "label").select(F.col("label").alias("shard_id"), "centroid")
 
@@ -93,6 +98,17 @@ def exact_knn_batch(spark, sf_dir):
     return search.batch_top_k(v, queries, 10).withColumn("score", F.round("score", 9))
 
 
+@query(f"""
+    WITH s AS (
+      SELECT a.vec_id AS query_id, b.vec_id, list_dot_product(a.e, b.e) AS score FROM ({VEC}) a, ({VEC}) b WHERE a.vec_id % 50 = 0
+    ), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+    SELECT query_id, vec_id, rank, round(score, 9) AS score FROM r WHERE rank <= 10""")
+def exact_knn_fiftieth(spark, sf_dir):
+    """As ``exact_knn_batch``, for every fiftieth vector."""
+    v = _vectors(spark, sf_dir)
+    return search.batch_top_k(v, asked(v), 10).withColumn("score", F.round("score", 9))
+
+
 @query(f"""
     WITH {_sql_query()}, s AS (SELECT vec_id, label AS container, list_dot_product(e, qv) AS score FROM ({VEC}), q)
     SELECT container, vec_id, round(score, 9) AS score FROM (SELECT *, row_number() OVER (PARTITION BY container ORDER BY score DESC, vec_id) AS n FROM s) WHERE n = 1""")
@@ -254,9 +270,9 @@ def near_dup_pairs(spark, sf_dir):
 
 @query()
 def greedy_near_dup(spark, sf_dir):
-    """Results of ten queries without rows near a better one."""
+    """Results of every fiftieth vector's query without rows near a better one."""
     v = _vectors(spark, sf_dir)
-    found = search.batch_top_k(v, v.filter("vec_id < 10").withColumnRenamed("vec_id", "query_id"), 100)
+    found = search.batch_top_k(v, asked(v), 100)
     return dedup.greedy_near_dup(found.join(v, "vec_id"), 0.3).withColumn("score", F.round("score", 9))
 
 
