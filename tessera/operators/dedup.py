@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.vectors import dot, sign_code
+from ..functions.vectors import dot, sign_code, to_matrix
+from ..llm.simhash import components
+from .search import MAX_QUERIES
 
 
 def keep_first(df: DataFrame, key: Column, *order: Column) -> DataFrame:
@@ -36,6 +39,55 @@ def near_pairs(vectors: DataFrame, threshold: float, key: str = "vec_id", vector
     return left.join(right, on).withColumn("score", dot("_x", "_y")).filter(F.col("score") > threshold).select(*groups, "a", "b", "score")
 
 
+def _block_links(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For rows and columns of a block, the first column that links reach within it; the number of columns without one."""
+    n = near.shape[1]
+    columns = np.arange(n)
+    while True:
+        rows = np.where(near, columns[None, :], n).min(1)
+        least = np.minimum(columns, np.where(near, rows[:, None], n).min(0))
+        if (least == columns).all():
+            return rows, columns
+        columns = least
+
+
+def near_classes(vectors: DataFrame, threshold: float, key: str = "vec_id", vector: str = "embedding", block: int = MAX_QUERIES) -> DataFrame:
+    """``vec_id, class, links`` of each vector: the smallest key that links reach, and how many others are above the threshold.
+
+    All vectors are compared with all, in blocks; a block hands on a spanning forest and counts, not its pairs.
+    """
+    n = vectors.count()
+    blocks = 1 if n <= block else -(-2 * n // block)
+    found = None
+    for b in range(blocks):
+        rows = vectors.filter(F.pmod(F.xxhash64(key), F.lit(blocks)) == b).select(F.col(key).cast("long"), vector).toArrow()
+        if not rows.num_rows:
+            continue
+        ids, matrix = rows.column(0).to_numpy(), to_matrix(rows.column(1))
+
+        def links(batches, ids=ids, matrix=matrix):
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                own = batch.column(0).to_numpy()
+                near = (matrix @ to_matrix(batch.column(1)).T > threshold) & (ids[:, None] != own[None, :])
+                first, columns = _block_links(near)
+                q, v = np.flatnonzero(first < len(own)), np.flatnonzero(near.any(0))
+                u = np.concatenate([ids[q], own[v]])
+                to = own[np.concatenate([first[q], columns[v]])]
+                count = np.concatenate([near[q].sum(1), np.zeros(len(v), np.int64)])
+                yield pa.RecordBatch.from_pydict({"u": u, "v": to, "n": count})
+
+        part = vectors.select(F.col(key).cast("long"), vector).mapInArrow(links, "u long, v long, n long")
+        found = part if found is None else found.unionByName(part)
+    if found is None:
+        return vectors.select(F.col(key), F.col(key).alias("class"), F.lit(0).cast("long").alias("links"))
+    counts = found.groupBy("u").agg(F.sum("n").alias("n"))
+    roots = components(found.select("u", "v"))
+    out = vectors.select(key).join(counts.withColumnRenamed("u", key), key, "left").join(roots.withColumnRenamed("node", key), key, "left")
+    return out.select(key, F.coalesce("root", key).alias("class"), F.coalesce("n", F.lit(0)).alias("links"))
+
+
 def greedy_near_dup(results: DataFrame, threshold: float = 0.95, query: str = "query_id", key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """In each query's result, by descending score, drop rows near one already kept.
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import dot, mean_vectors, to_matrix
@@ -33,6 +33,19 @@ def knn_graph(spark, sf_dir):
     return _knn(spark, sf_dir).withColumn("score", F.round("score", 9))
 
 
+@query(f"""
+    WITH s AS (SELECT a.vec_id AS src, b.vec_id AS dst, list_dot_product(a.e, b.e) AS score FROM ({VEC}) a JOIN ({VEC}) b ON a.vec_id <> b.vec_id),
+    r AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY score DESC, dst) AS place FROM s)
+    SELECT src, dst, place, round(score, 9) AS score FROM r WHERE place <= 8""")
+def knn_graph_whole(spark, sf_dir):
+    """Exact neighbours among all vectors."""
+    v = table(spark, sf_dir, "embeddings")
+    found = search.batch_top_k(v, v.withColumnRenamed("vec_id", "query_id"), 9).filter("query_id != vec_id")
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy("rank")).cast("long")
+    found = found.withColumn("place", place).filter("place <= 8")
+    return found.select(F.col("query_id").alias("src"), F.col("vec_id").alias("dst"), "place", F.round("score", 9).alias("score"))
+
+
 @query(f"""
     WITH {KNN}, d AS (SELECT dst, count(*) AS degree FROM knn GROUP BY dst), o AS (SELECT degree, row_number() OVER (ORDER BY degree) AS i, count(*) OVER () AS n FROM d)
     SELECT round(avg(degree), 9) AS mean, max(degree) FILTER (WHERE i = n // 2 + 1) AS median, min(degree) AS least, max(degree) AS greatest FROM o""")

@@ -268,6 +268,12 @@ def near_dup_pairs(spark, sf_dir):
     return dedup.near_pairs(_vectors(spark, sf_dir), 0.3, groups=["label"]).withColumn("score", F.round("score", 9))
 
 
+@query()
+def near_dup_classes(spark, sf_dir):
+    """Classes of near copies among all vectors, whatever their labels."""
+    return dedup.near_classes(_vectors(spark, sf_dir), 0.3)
+
+
 @query()
 def greedy_near_dup(spark, sf_dir):
     """Results of every fiftieth vector's query without rows near a better one."""

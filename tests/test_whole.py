@@ -1,7 +1,9 @@
 """Queries do the whole job, not a part of it."""
 
+import numpy as np
 import pytest
 
+from tessera.operators import dedup
 from tessera.plans import registry
 
 QUERIES = registry.queries()
@@ -21,3 +23,23 @@ def test_every_fiftieth_vector_is_asked(spark, sf_dir, asked, name):
 def test_recall_over_every_fiftieth_vector(spark, sf_dir, asked, name):
     got = QUERIES[name](spark, sf_dir).first()
     assert got.queries == len(asked) and got.at_least_90
+
+
+@pytest.mark.parametrize("threshold, block", [(0.3, 4_096), (0.45, 200)])
+def test_near_copies_cross_labels(spark, sf_dir, threshold, block):
+    df = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    rows = sorted(df.select("vec_id", "embedding").collect())
+    ids, x = [r.vec_id for r in rows], np.array([r.embedding for r in rows], np.float64)
+    near = x @ x.T > threshold
+    np.fill_diagonal(near, False)
+    least = np.arange(len(ids))
+    for _ in ids:
+        least = np.minimum(least, np.where(near, least[None], len(ids)).min(1))
+    want = {(k, ids[c], int(n)) for k, c, n in zip(ids, least, near.sum(1), strict=True)}
+    assert {tuple(r) for r in dedup.near_classes(df, threshold, block=block).collect()} == want
+
+
+def test_near_dup_classes_are_of_the_whole_table(spark, sf_dir):
+    got = QUERIES["near_dup_classes"](spark, sf_dir).collect()
+    within = QUERIES["near_dup_pairs"](spark, sf_dir).count()
+    assert sum(r.links for r in got) > 2 * within
