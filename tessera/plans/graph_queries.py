@@ -171,6 +171,21 @@ def rank_summary(spark, sf_dir):
     return s.withColumns({c: F.round(c, 9) for c in ("mean", "harmonic")})
 
 
+@query(f"""
+    WITH q AS (SELECT e AS qv FROM ({VEC}) WHERE vec_id = 0),
+    r AS (SELECT vec_id, row_number() OVER (ORDER BY list_dot_product(e, qv) DESC, vec_id) - 1 AS r FROM ({VEC}), q),
+    s AS (SELECT r, row_number() OVER (ORDER BY r) AS i, count(*) OVER () AS n FROM r)
+    SELECT round(avg(r) + 1, 9) AS mean, max(r) FILTER (WHERE i = n // 2 + 1) + 1 AS median, min(r) AS least, max(r) AS greatest, round(count(*) / sum(1 / (r + 1.0::DOUBLE)), 9) AS harmonic FROM s""")
+def rank_summary_whole(spark, sf_dir):
+    """Where all vectors stand in the exact order of a query."""
+    v = table(spark, sf_dir, "embeddings")
+    q = v.filter("vec_id = 0").select(F.col("embedding").alias("query"))
+    w = Window.orderBy(dot("embedding", "query").desc(), "vec_id")
+    ranks = v.crossJoin(F.broadcast(q)).select((F.row_number().over(w) - 1).cast("long").alias("rank"))
+    s = stats.rank_summary(ranks, "rank")
+    return s.withColumns({c: F.round(c, 9) for c in ("mean", "harmonic")})
+
+
 @query()
 def coded_beam_search(spark, sf_dir):
     """Beam search steered by product codes: recall against exact search."""

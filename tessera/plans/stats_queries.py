@@ -156,3 +156,23 @@ def tolerance_join(spark, sf_dir):
     b = d.filter("doc_id % 20 = 0").select(F.col("doc_id").alias("other"), (F.col("n_chars") / 1000.0 + 1e-12).alias("y"))
     b = b.withColumn("bucket", F.explode(F.transform(F.array(*[F.lit(k) for k in (-1, 0, 1)]), lambda k: F.floor(F.col("y") / eps) + k)))
     return a.join(b, "bucket").filter(F.abs(F.col("x") - F.col("y")) < eps).select("doc_id", "other")
+
+
+@query("""
+    WITH x AS (SELECT n_chars, count(*) AS n, min(doc_id) AS class FROM documents GROUP BY n_chars),
+    l AS (SELECT a.n_chars, sum(b.n) AS links FROM x a JOIN x b ON abs(a.n_chars / 1000.0::DOUBLE - (b.n_chars / 1000.0::DOUBLE + 1e-12)) < 1e-10 GROUP BY a.n_chars)
+    SELECT doc_id, class, CAST(links AS BIGINT) AS links FROM documents d JOIN x ON d.n_chars = x.n_chars JOIN l ON d.n_chars = l.n_chars""")
+def tolerance_classes(spark, sf_dir):
+    """As ``tolerance_join``, with every document as partner: class and number of links of each.
+
+    Equal values are grouped before they are joined.  Values are whole numbers of thousandths, so that
+    those within the tolerance are equal ones and a class is a value's documents.
+    """
+    d = table(spark, sf_dir, "documents").select("doc_id", "n_chars")
+    eps = 1e-10
+    x = d.groupBy("n_chars").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("class"))
+    a = x.select("n_chars", "class", (F.col("n_chars") / 1000.0).alias("x")).withColumn("bucket", F.floor(F.col("x") / eps))
+    b = x.select("n", (F.col("n_chars") / 1000.0 + 1e-12).alias("y"))
+    b = b.withColumn("bucket", F.explode(F.transform(F.array(*[F.lit(k) for k in (-1, 0, 1)]), lambda k: F.floor(F.col("y") / eps) + k)))
+    links = a.join(b, "bucket").filter(F.abs(F.col("x") - F.col("y")) < eps).groupBy("n_chars", "class").agg(F.sum("n").alias("links"))
+    return d.join(links, "n_chars").select("doc_id", "class", "links")

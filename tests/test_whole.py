@@ -43,3 +43,9 @@ def test_near_dup_classes_are_of_the_whole_table(spark, sf_dir):
     got = QUERIES["near_dup_classes"](spark, sf_dir).collect()
     within = QUERIES["near_dup_pairs"](spark, sf_dir).count()
     assert sum(r.links for r in got) > 2 * within
+
+
+def test_every_document_is_a_partner(spark, sf_dir):
+    sizes = {r.doc_id: r.n_chars for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "n_chars").collect()}
+    links = {k: sum(m == n for m in sizes.values()) for k, n in sizes.items()}
+    assert {r.doc_id: r.links for r in QUERIES["tolerance_classes"](spark, sf_dir).collect()} == links
