@@ -102,6 +102,12 @@ def covariance(spark, sf_dir):
     return ranking.covariance(v).withColumn("cov", F.round("cov", 9))
 
 
+@query()
+def covariance_whole(spark, sf_dir):
+    """Of all dimensions."""
+    return ranking.covariance(table(spark, sf_dir, "embeddings")).withColumn("cov", F.round("cov", 9))
+
+
 @query()
 def principal_components(spark, sf_dir):
     parts, share = ranking.principal_components(table(spark, sf_dir, "embeddings"), 4)

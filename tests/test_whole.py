@@ -49,3 +49,11 @@ def test_every_document_is_a_partner(spark, sf_dir):
     sizes = {r.doc_id: r.n_chars for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "n_chars").collect()}
     links = {k: sum(m == n for m in sizes.values()) for k, n in sizes.items()}
     assert {r.doc_id: r.links for r in QUERIES["tolerance_classes"](spark, sf_dir).collect()} == links
+
+
+def test_covariance_of_all_dimensions(spark, sf_dir):
+    x = np.array([r.embedding for r in spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("embedding").collect()], np.float64)
+    want = np.cov(x.T, bias=True)
+    got = {(r.i, r.j): r["cov"] for r in QUERIES["covariance_whole"](spark, sf_dir).collect()}
+    assert set(got) == {(i, j) for i in range(len(want)) for j in range(i, len(want))}
+    assert all(abs(c - want[k]) < 1e-8 for k, c in got.items())
