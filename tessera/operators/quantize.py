@@ -223,9 +223,38 @@ def sample_matrix(vectors: DataFrame, most: int = 50_000, seed: int = 0, vector:
     return x[np.lexsort(x.T[::-1])]
 
 
-def compared(sample: np.ndarray, subspaces: int, codes: int, seed: int = 0) -> dict[str, float]:
-    """Reconstruction error of our codecs at the same budget of codes."""
-    error = lambda rebuilt: float(((sample - rebuilt) ** 2).sum(1).mean())
+def decoded_error(vectors: DataFrame, models: dict[str, ProductQuantizer | ChainQuantizer], vector: str = "embedding") -> DataFrame:
+    """One row: ``n`` and, by model, the mean squared distance of all vectors to what their codes decode to."""
+
+    def error(model):
+        @F.pandas_udf("double")
+        def far(x: pd.Series) -> pd.Series:
+            if not len(x):
+                return pd.Series([], dtype="float64")
+            m = np.stack(x.to_numpy()).astype(np.float64)
+            return pd.Series(((m - model.decode(model.encode(m))) ** 2).sum(1))
+
+        return far(vector)
+
+    return vectors.select(*[error(m).alias(k) for k, m in models.items()]).agg(F.count(F.lit(1)).alias("n"), *[F.avg(k).alias(k) for k in models])
+
+
+def one_bit_scores(vectors: DataFrame, model: OneBitQuantizer, query: np.ndarray, vector: str = "embedding") -> DataFrame:
+    """``estimate, exact`` inner products of every vector with a query, the first from its bits."""
+
+    @F.pandas_udf("double")
+    def estimate(x: pd.Series) -> pd.Series:
+        return pd.Series(model.scores(query, *model.encode(np.stack(x.to_numpy()).astype(np.float64)))) if len(x) else pd.Series([], dtype="float64")
+
+    return vectors.select(estimate(vector).alias("estimate"), dot(vector, F.array(*[F.lit(float(v)) for v in query])).alias("exact"))
+
+
+def codecs(sample: np.ndarray, subspaces: int, codes: int, seed: int = 0) -> dict[str, ProductQuantizer | ChainQuantizer]:
+    """Our codecs at the same budget of codes, fitted on a bounded sample."""
     plain, turned = (train_pq(sample, subspaces, codes, seed=seed, rotate=r) for r in (False, True))
-    chain = ChainQuantizer.train(sample, subspaces, codes, 2, seed)
-    return {"pq": error(plain.decode(plain.encode(sample))), "opq": error(turned.decode(turned.encode(sample))), "chain": error(chain.decode(chain.encode(sample)))}
+    return {"pq": plain, "opq": turned, "chain": ChainQuantizer.train(sample, subspaces, codes, 2, seed)}
+
+
+def compared(sample: np.ndarray, subspaces: int, codes: int, seed: int = 0) -> dict[str, float]:
+    """Reconstruction error of our codecs on the sample itself."""
+    return {k: float(((sample - m.decode(m.encode(sample))) ** 2).sum(1).mean()) for k, m in codecs(sample, subspaces, codes, seed).items()}

@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from tessera.operators import dedup
+from tessera.operators import dedup, quantize
 from tessera.plans import registry
 
 QUERIES = registry.queries()
@@ -57,3 +57,16 @@ def test_covariance_of_all_dimensions(spark, sf_dir):
     got = {(r.i, r.j): r["cov"] for r in QUERIES["covariance_whole"](spark, sf_dir).collect()}
     assert set(got) == {(i, j) for i in range(len(want)) for j in range(i, len(want))}
     assert all(abs(c - want[k]) < 1e-8 for k, c in got.items())
+
+
+def test_all_vectors_are_judged_though_a_sample_is_fitted(spark, sf_dir, monkeypatch):
+    df = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    few = quantize.sample_matrix(df, 100)
+    monkeypatch.setattr(quantize, "sample_matrix", lambda *a, **k: few)
+    assert len(few) < df.count()
+    for name in ("chain_quantizer", "one_bit_quantizer"):
+        assert QUERIES[name](spark, sf_dir).first().n == df.count()
+    x = np.array([r.embedding for r in df.collect()], np.float64)
+    models = quantize.codecs(few, 8, 16)
+    got = {r.codec: r.error for r in QUERIES["compared_codecs"](spark, sf_dir).collect()}
+    assert got == {k: pytest.approx(((x - m.decode(m.encode(x))) ** 2).sum(1).mean(), abs=2e-6) for k, m in models.items()}
