@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import dot, sign_code, to_matrix
-from ..llm.simhash import components
+from .links import components
 from .search import MAX_QUERIES
 
 

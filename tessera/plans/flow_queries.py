@@ -2,25 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..sources.files import table
+from ..storage import fresh_path
 from ..streaming import flows
 from .base import query
 
 
-def _folder(spark) -> str:
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{shared.rstrip('/') if shared else 'file://' + tempfile.mkdtemp()}/flow-{uuid.uuid4().hex}"
-
-
-
 def _events(spark, sf_dir):
     """The events as a stream: a written copy, as a file source reads folders."""
-    at = _folder(spark)
+    at = fresh_path(spark, "flow")
     table(spark, sf_dir, "events").write.parquet(at)
     return flows.source(spark, at, table(spark, sf_dir, "events").schema)
 
@@ -34,7 +26,7 @@ def telemetry_daily(spark, sf_dir):
 @query("SELECT event_type, user_id, count(*) AS n FROM (SELECT DISTINCT event_type, user_id, value FROM events) GROUP BY 1, 2")
 def stream_dedup(spark, sf_dir):
     """Unbounded exact deduplication of a stream, appended to a table."""
-    at = _folder(spark)
+    at = fresh_path(spark, "flow")
     unique = flows.deduplicated(_events(spark, sf_dir), ["event_type", "user_id", "value"]).select("event_type", "user_id", "value")
     flows.append(unique, f"{at}/out", f"{at}/checkpoint").awaitTermination()
     return spark.read.parquet(f"{at}/out").groupBy("event_type", "user_id").agg(F.count(F.lit(1)).alias("n"))
@@ -43,7 +35,7 @@ def stream_dedup(spark, sf_dir):
 @query("SELECT user_id, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS n FROM events) WHERE n = 1")
 def stream_upsert(spark, sf_dir):
     """The newest event of each user, kept by batches."""
-    at = _folder(spark)
+    at = fresh_path(spark, "flow")
     stream = _events(spark, sf_dir).select("user_id", "event_id", "value")
     flows.upsert_into(stream, f"{at}/table", "user_id", "event_id", f"{at}/checkpoint").awaitTermination()
     return flows.current(spark, f"{at}/table").select("user_id", "event_id", "value")
@@ -52,7 +44,7 @@ def stream_upsert(spark, sf_dir):
 @query("SELECT event_id, event_type FROM events WHERE ts > TIMESTAMP '2024-01-20 00:00:00'")
 def stream_resume(spark, sf_dir):
     """A run that goes on where another ended."""
-    at = _folder(spark)
+    at = fresh_path(spark, "flow")
     later = flows.past(_events(spark, sf_dir), F.lit("2024-01-20 00:00:00").cast("timestamp_ntz")).select("event_id", "event_type")
     flows.append(later, f"{at}/out", f"{at}/checkpoint").awaitTermination()
     return spark.read.parquet(f"{at}/out")
@@ -70,7 +62,7 @@ def user_sessions(spark, sf_dir):
 @query("SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS day, event_type, count(*) AS n FROM events WHERE CAST(date_trunc('day', ts) AS TIMESTAMP) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events) GROUP BY 1, 2")
 def stream_windows(spark, sf_dir):
     """Days that the watermark has closed."""
-    at = _folder(spark)
+    at = fresh_path(spark, "flow")
     daily = flows.telemetry_daily(_events(spark, sf_dir))
     flows.append(daily, f"{at}/out", f"{at}/checkpoint").awaitTermination()
     return spark.read.parquet(f"{at}/out").withColumn("day", F.col("day").cast("timestamp_ntz"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.vectors import dot, mean_vectors, to_matrix
 from ..operators import graph, quantize, search, shards, stats
 from ..sources.files import table
+from ..storage import materialize
 from .base import query
 from .search_queries import VEC, asked
 
@@ -107,7 +108,7 @@ def _beam(g, v, k, **how):
     queries = asked(v)
     n = queries.count()
     blocks = 1 if n <= search.MAX_QUERIES else -(-2 * n // search.MAX_QUERIES)
-    g = g if blocks == 1 else g.localCheckpoint()
+    g = g if blocks == 1 else materialize(g)
     parts = []
     for b in range(blocks):
         rows = queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).select("query_id", "embedding").orderBy("query_id").toArrow()
