@@ -1,25 +1,29 @@
-"""What the operators of this package share: ids, shared storage, ranks.
+"""What the operators of this package share: ids, texts, batches, ranks.
 
 Ids.  A null id is read as the smallest possible id (``MIN_ID``), so that every
-row keeps a place in joins, groups and orders; results give it back as null.
+row keeps a place in joins, groups and orders; results give it back as null.  A genuine id
+of ``MIN_ID`` is not told from null.
+
+Texts of any length are whole values of one row.  Arrow batches are bounded in bytes by
+Spark (``spark.sql.execution.arrow.maxBytesPerBatch``), and :func:`slices` bounds the rows that a Python
+function holds as objects; no setting of the session is changed.
 """
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from collections.abc import Iterable, Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import drop, materialize
+
 MIN_ID = -(2**63)
 #: The characters of [\x20\x09-\x0D].
 BLANKS = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-_own_dirs: dict[str, str] = {}
-
-
 def lift(name: str) -> Column:
     """The id column, with null as the smallest id."""
     return F.coalesce(F.col(name).cast("long"), F.lit(MIN_ID))
@@ -54,38 +58,11 @@ def hash128(c: Column) -> tuple[Column, Column]:
     return F.xxhash64(c), F.xxhash64(F.lit("second half"), c)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Only where that is unset, as in tests in local mode, a folder of its own.
-    """
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if path:
-        return path.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _own_dirs:
-        _own_dirs[app] = "file://" + tempfile.mkdtemp(prefix="tessera-")
-    return _own_dirs[app]
-
-
-def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` as a Parquet table in the shared folder and read it again.
-
-    This cuts the lineage: a lost executor costs the tasks it ran, not the
-    stages before.  The table goes when the session ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tessera-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def small_batches(spark: SparkSession, rows: int = 500) -> None:
-    """Bound what an Arrow batch of whole texts holds in a Python worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def slices(batches: Iterable[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of at most ``rows`` rows."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -99,26 +76,35 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def ranked(df: DataFrame, group: list[str], spread: Column, order: list[Column], rows: int, groups: int, block_rows: int = 20_000) -> DataFrame:
-    """Add ``rank``: gapless from 0 within each group, without one task a group.
+    """Add ``rank``: gapless from 0 within each group of a written table, without one task a group.
 
     Rows of a group are dealt over blocks by the hash ``spread``; a rank is the
     number of rows in earlier blocks, from one count per block, plus the place
     within the block.  ``rows`` and ``groups`` set the number of blocks, so that
-    a block has about ``block_rows`` rows at any size.
+    a block has about ``block_rows`` rows at any size.  Rows that repeat share a hash; a block
+    that they fill beyond four times its share is dealt on by the rows' places in the table.
     """
     blocks = max(1, -(-rows // max(1, groups) // block_rows))
-    dealt = df.withColumn("_block", F.pmod(spread, F.lit(blocks)).cast("int"))
-    before = Window.partitionBy(*group).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    dealt = df.withColumns({"_block": F.pmod(spread, F.lit(blocks)).cast("int"), "_sub": F.lit(0)})
+    large = materialize(
+        dealt.groupBy(*group, "_block").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > 4 * block_rows)
+        .select(*group, "_block", F.ceil(F.col("_n") / block_rows).alias("_parts"))
+    )
+    if not large.isEmpty():
+        numbered = dealt.drop("_sub").withColumn("_row", F.monotonically_increasing_id()).join(large, [*group, "_block"], "left")
+        sub = F.coalesce(F.pmod(F.xxhash64("_row"), F.col("_parts")), F.lit(0)).cast("int")
+        dealt = materialize(numbered.withColumn("_sub", sub).drop("_row", "_parts"))
+    before = Window.partitionBy(*group).orderBy("_block", "_sub").rowsBetween(Window.unboundedPreceding, -1)
     counts = (
-        dealt.groupBy(*group, "_block")
+        dealt.groupBy(*group, "_block", "_sub")
         .agg(F.count(F.lit(1)).alias("_n"))
         .withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
         .drop("_n")
     )
-    within = Window.partitionBy(*group, "_block").orderBy(*order)
+    within = Window.partitionBy(*group, "_block", "_sub").orderBy(*order)
     return (
         dealt.withColumn("_at", F.row_number().over(within) - 1)
-        .join(counts, [*group, "_block"])
+        .join(counts, [*group, "_block", "_sub"])
         .withColumn("rank", (F.col("_before") + F.col("_at")).cast("long"))
-        .drop("_block", "_at", "_before")
+        .drop("_block", "_sub", "_at", "_before")
     )

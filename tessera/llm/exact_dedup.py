@@ -11,8 +11,8 @@ side, so adaptive execution can split the hot partition.
 
 Defined results.  A null text counts as empty.  A null id is the smallest id.
 Rows that repeat both id and text are the same document: all carry the same
-decision and each counts in ``group_size``.  An empty table gives an empty
-result.  Other columns are ignored.
+decision and each counts in ``group_size``; other ties do not arise.  Very long texts are compared whole.  An
+empty table gives an empty result.  Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

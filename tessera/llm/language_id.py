@@ -6,14 +6,17 @@ bit.  Decoding adds up, per language, the logistic loss of all bits against its
 codeword and takes the least; the soft-min of the losses is the score.  A text is
 ``ambiguous`` when the runner-up is within ``MARGIN`` of loss per bit, or when no codeword is near.
 
-Training reads whole texts of a sample of labelled documents, chosen by a hash of the id:
-at most about ``SAMPLE`` documents in all, shared evenly by the languages.  Prediction sees
+Training reads whole texts of a sample of labelled documents: those with the smallest hashes of id and text, at
+most about ``SAMPLE`` in all (and, where there are many languages, at least ``LEAST`` of each), shared evenly by
+the languages.  The bit models are trained until no slope of the loss is above ``SLOPE``.  Prediction sees
 nothing but the text.
 
 Defined results.  A null text, or one without a letter, is ``und`` with score 0 and not
 ambiguous.  Rows with a null language aren't learned from.  Without any
 learnable row, every text is ``und``.  A null id counts as held in (its row is never held out).
-Rows that repeat an id are predicted on their own.
+Rows that repeat an id are predicted on their own.  Ties of losses go to the language that is first by code point.  A
+very long text is read whole, in pieces of bounded size.  An empty table gives an empty result.  Other columns are
+ignored, whatever their names; the stage hands them on.
 """
 
 from __future__ import annotations
@@ -26,10 +29,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import give_back, lift, small_batches, spread
+from .common import give_back, lift, slices, spread
 
 BITS = 13
 SAMPLE = 3_000
+LEAST = 20
+SLOPE, ROUNDS = 5e-4, 2_000
 MARGIN = 0.02
 _PIECE = 1 << 18
 _A, _B, _C = 0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D
@@ -77,14 +82,23 @@ def codewords(n: int) -> np.ndarray:
     return best if best is not None else code
 
 
-def train_bits(x: np.ndarray, code: np.ndarray, weight: np.ndarray, rounds: int = 100, rate: float = 8.0, decay: float = 1e-5) -> tuple[np.ndarray, np.ndarray]:
-    """Logistic models (features x bits, biases) by accelerated gradient descent; ``code`` has each row's bits."""
+def train_bits(x: np.ndarray, code: np.ndarray, weight: np.ndarray, rate: float = 8.0, decay: float = 1e-5) -> tuple[np.ndarray, np.ndarray]:
+    """Logistic models (features x bits, biases) by accelerated gradient descent; ``code`` has each row's bits.
+
+    It ends when no slope is above ``SLOPE``, or after ``ROUNDS`` rounds.
+    """
     w, b = np.zeros((x.shape[1], code.shape[1]), np.float32), np.zeros(code.shape[1], np.float32)
     vw, vb = w.copy(), b.copy()
     weight = (weight / weight.sum())[:, None]
-    for k in range(rounds):
-        slope = -code * weight / (1 + np.exp(np.clip(code * (x @ vw + vb), -30, 30)))
-        nw, nb = vw - rate * (x.T @ slope + decay * vw), vb - rate * slope.sum(0)
+    used = np.flatnonzero(x.any(0))  # the others have no slope
+    x = np.ascontiguousarray(x[:, used])
+    for k in range(ROUNDS):
+        slope = -code * weight / (1 + np.exp(np.clip(code * (x @ vw[used] + vb), -30, 30)))
+        down, down_b = x.T @ slope + decay * vw[used], slope.sum(0)
+        if max(np.abs(down).max(initial=0), np.abs(down_b).max(initial=0)) < SLOPE:
+            break
+        nw, nb = vw.copy(), vb - rate * down_b
+        nw[used] -= rate * down
         pull = k / (k + 3)
         vw, vb = nw + pull * (nw - w), nb + pull * (nb - b)
         w, b = nw, nb
@@ -114,36 +128,42 @@ def held_out(ident: F.Column, folds: int = 5) -> F.Column:
 
 def train(docs: DataFrame, sample: int = SAMPLE, folds: int = 5) -> Model | None:
     """A model from labelled rows that aren't held out; null without any."""
-    small_batches(docs.sparkSession)
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     d = d.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"), folds))
     counts = dict(d.groupBy("lang").agg(F.count(F.lit(1))).orderBy("lang").collect())
     if not counts:
         return None
-    share = max(1, sample // len(counts))
-    rate = F.element_at(F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, share / n))]), F.col("lang"))
-    chosen = F.pmod(F.xxhash64(F.lit("sample"), lift("doc_id"), F.xxhash64("text")), F.lit(1_000_003)) < rate * 1_000_003
+    share = max(LEAST, sample // len(counts))
+    # half as many again, and a few, so that a language's smallest hashes are surely among them
+    rate = F.element_at(F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, (1.5 * share + LEAST) / n))]), F.col("lang"))
+    d = d.withColumn("h", F.xxhash64(F.lit("sample"), lift("doc_id"), F.xxhash64("text")))
+    chosen = d.filter(F.col("h") / F.lit(2.0**64) + 0.5 <= rate)
 
     def sparse(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("lang", pa.string()), ("at", pa.list_(pa.int16())), ("x", pa.list_(pa.float32()))])
-        for batch in batches:
+        schema = pa.schema([("lang", pa.string()), ("h", pa.int64()), ("at", pa.list_(pa.int16())), ("x", pa.list_(pa.float32()))])
+        for batch in slices(batches):
             rows = []
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for lang, h, text in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 if has_letter(text):
                     x = features(text)
                     at = np.flatnonzero(x)
-                    rows.append({"lang": lang, "at": at.astype(np.int16), "x": x[at]})
+                    rows.append({"lang": lang, "h": h, "at": at.astype(np.int16), "x": x[at]})
             yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    got = d.filter(chosen).select("lang", "text").mapInArrow(sparse, "lang string, at array<short>, x array<float>").toArrow()
-    if not got.num_rows:
+    got = chosen.select("lang", "h", "text").mapInArrow(sparse, "lang string, h long, at array<short>, x array<float>").toArrow()
+    names, hashes = got.column("lang").to_pylist(), got.column("h").to_pylist()
+    taken: dict[str, int] = {}
+    order = []
+    for k in sorted(range(got.num_rows), key=lambda k: (names[k], hashes[k])):  # rows arrive in any order
+        taken[names[k]] = taken.get(names[k], 0) + 1
+        if taken[names[k]] <= share:
+            order.append(k)
+    if not order:
         return None
-    order = np.lexsort(([len(a) for a in got.column("at").to_pylist()], got.column("lang").to_pylist()))
-    names = got.column("lang").to_pylist()
-    langs = sorted(set(names))
-    x = np.zeros((got.num_rows, 1 << BITS), np.float32)
+    langs = sorted(taken)
+    x = np.zeros((len(order), 1 << BITS), np.float32)
     for row, k in enumerate(order):
-        x[row, got.column("at")[int(k)].values.to_numpy()] = got.column("x")[int(k)].values.to_numpy()
+        x[row, got.column("at")[k].values.to_numpy()] = got.column("x")[k].values.to_numpy()
     y = np.array([langs.index(names[k]) for k in order])
     code = codewords(len(langs))
     w, b = train_bits(x, code[y], 1.0 / np.bincount(y)[y].astype(np.float32))
@@ -154,7 +174,7 @@ def predictor(model: Model | None) -> Callable[[Iterable[pa.RecordBatch]], Itera
     """For mapInArrow over (id, text): adds ``lang_pred, score, ambiguous``."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.column(1).to_pylist()
             langs, scores, close = ["und"] * len(texts), [0.0] * len(texts), [False] * len(texts)
             known = [k for k, t in enumerate(texts) if model and has_letter(t)]

@@ -6,8 +6,8 @@ code points that is found in at least ``min_docs`` documents loses all its lines
 but those in one document: that with the largest id (or the smallest).
 
 The index of long lines (128-bit key hash, document, position) is written once.
-Keys that hold more than a ``1 / HOT_SHARES`` of it (there are fewer than
-``HOT_SHARES`` of them) are counted with map-side partial aggregation and joined by
+Keys that hold more than a fraction of it (a quarter of what a partition holds, or 1 / ``HOT_SHARES`` if that is
+less, so their number is bounded and follows the number of partitions) are counted with map-side partial aggregation and joined by
 broadcast: no task meets all their lines.  All other lines are range-partitioned by
 hash and sorted by hash, document and position; one pass over each sorted
 partition finds the first document of each key and how many documents have it.
@@ -28,7 +28,8 @@ from pyspark.sql import functions as F
 from .common import give_back, hash128, lift, lower_ascii, materialize, strip_blanks, whole
 
 HOT_SHARES = 1024
-_TRACKED = 16_384
+#: What Spark's sketch of frequent items takes at most.
+_MOST_TRACKED = 1_000_000
 
 
 def line_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40) -> DataFrame:
@@ -43,16 +44,22 @@ def line_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return bare.select("id", "version", "pos", h1.alias("h1"), h2.alias("h2"))
 
 
+def hot_shares(parts: int) -> int:
+    """A key is hot if it holds more than one in so many of all lines."""
+    return min(max(HOT_SHARES, 4 * parts), _MOST_TRACKED // 16)
+
+
 def dropped_lines(index: DataFrame, min_docs: int = 5, keep: str = "largest") -> DataFrame:
     """``id, version, pos`` of the lines to drop, from a written line index."""
     spark = index.sparkSession
     last = F.max if keep == "largest" else F.min
-    total, top = index.agg(F.count(F.lit(1)), F.expr(f"approx_top_k(h1, {HOT_SHARES}, {_TRACKED})")).first()
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    shares = hot_shares(parts)
+    total, top = index.agg(F.count(F.lit(1)), F.expr(f"approx_top_k(h1, {shares}, {16 * shares})")).first()
     # the counts steer only how lines travel, never which are dropped
-    hot_keys = [(t["item"],) for t in top or [] if t["count"] * HOT_SHARES > max(total, HOT_SHARES * 1000)]
+    hot_keys = [(t["item"],) for t in top or [] if t["count"] * shares > max(total, shares * 1000)]
     hot = F.broadcast(spark.createDataFrame(hot_keys, "h1 long"))
     cold = index.join(hot, "h1", "left_anti") if hot_keys else index
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     order = F.col("id").desc() if keep == "largest" else F.col("id").asc()
     key = Window.partitionBy("h1", "h2")
     streamed = (

@@ -5,7 +5,7 @@ Sources in code point order (null last) weigh ``weights`` in turn and share
 is above is shared again by weight until none is above (water filling, in closed
 form over the table of sources).
 
-Documents of a source are ordered by a hash-random key.  Key ranges (blocks) of
+Documents of a source are ordered by a hash-random key of id and text.  The sizes are written once.  Key ranges (blocks) of
 about ``block_rows`` documents are sorted on their own; the words before a block
 come from a prefix sum over block sums, the words before a document from
 a running sum within its block.  The order is cut at the source's exact budget: every
@@ -14,9 +14,11 @@ document at the cut in part.  A hot source has more blocks, not larger ones.
 
 Defined results.  A null text has no words; a null source is a source of its own; a
 null id is the smallest id.  Documents without words, and sources without words, are
-taken 0 times.  Rows that repeat an id are mixed on their own.  An empty
-table gives an empty result.  The order depends on ids and ``seed`` alone, so
-reruns agree.
+taken 0 times.  Rows that repeat an id are mixed on their own, in an order of their texts; rows that repeat
+id and text stand together, so only they can fill a block.  Ties of a source's fill go by its name.  A very long
+text is one document, which the cut may take in part.  An empty table gives an empty result.  The order
+depends on ids, texts and ``seed`` alone, so reruns agree.  Other columns are ignored, whatever their
+names; the stage hands them on.
 """
 
 from __future__ import annotations
@@ -55,10 +57,12 @@ def source_targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", carry: bool = False, seed: str = "mix", block_rows: int = 2_000, **targets) -> DataFrame:
     """``id, size, source_size, target, taken`` of each row; ``carry`` adds ``doc``, the row itself."""
     row = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")] if carry else []
+    text = whole(text_col)
     sized = docs.select(
-        lift(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), word_count(whole(text_col)).alias("size"),
-        F.md5(F.concat(F.lit(seed), F.lit("|"), lift(id_col).cast("string"))).alias("key"), *row,
+        lift(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), word_count(text).alias("size"),
+        F.md5(F.concat_ws("|", F.lit(seed), lift(id_col).cast("string"), F.md5(text))).alias("key"), *row,
     )
+    sized = materialize(sized)
     sources = materialize(source_targets(sized.select("source", "size"), **targets))
     same = sized["source"].eqNullSafe(sources["source"])
     part = F.conv(F.substring("key", 1, 8), 16, 10).cast("double") / float(2**32)

@@ -3,12 +3,16 @@
 ``LABELLERS`` overlapping heuristics vote good, bad or nothing on every whole text.
 Expectation-maximisation over the counts of all vote patterns (at most ``3 ** len(LABELLERS)``, however
 many documents) estimates each labeller's accuracy and the posterior of each
-pattern.  The posteriors label a bounded sample of about ``SAMPLE`` documents, on which a
+pattern.  Labellers that look at the same fault agree beyond chance, so bad texts may be of several kinds, each with
+its own rates of votes: models of one to ``KINDS`` classes are fitted, and the Bayesian information criterion
+chooses.  A class is bad if some labeller calls most of it bad.  No rate is set by hand.
+The posteriors label a bounded sample of about ``SAMPLE`` documents, on which a
 linear scorer over hashed words and word shapes is trained; it scores every document.
 
 Defined results.  A null or empty text has no words: every labeller abstains, and the scorer sees only
-its bias.  A null id is the smallest id.  Rows that repeat an id are scored on their own.
-An empty table gives an empty result.
+its bias.  A null id is the smallest id.  Rows that repeat an id are scored on their own; equal texts get equal scores.
+A very long text is read whole.  A score of exactly one half is kept.  An empty table gives an empty result.  Other
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,13 +27,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import give_back, lift, small_batches, spread, whole
+from .common import drop, give_back, lift, materialize, slices, spread, whole
 
 BITS = 14
 SAMPLE = 4_000
 MEASURE = 0.4
-#: The labellers are made to call hardly any good text bad; the model is held to that.
-BAD_ON_GOOD = 0.01
+#: The most classes of texts that the label model tells apart.
+KINDS = 7
 _WORDS = 200_000
 _SIGNS = bytes(b for b in range(33, 127) if not chr(b).isalnum() and chr(b) not in ".,;:'\"-()?")
 _CAPITALS, _SMALL, _DIGITS = (bytes(range(ord(a), ord(b) + 1)) for a, b in ("AZ", "az", "09"))
@@ -96,34 +100,64 @@ def votes_of(patterns: np.ndarray) -> np.ndarray:
 
 
 class LabelModel:
-    """Posterior of good for vote patterns, and the labellers' accuracies."""
+    """Posterior of good for vote patterns, and the labellers' accuracies.
 
-    def __init__(self, counts: dict[int, int], rounds: int = 200):
+    Given its class, a text's votes are independent; an abstention says nothing.  ``rates`` has, for each class
+    and labeller, the share of bad among the votes cast.
+    """
+
+    def __init__(self, counts: dict[int, int], rounds: int = 1000):
         self.patterns = np.array(sorted(counts), np.int64)
         n = np.array([counts[int(p)] for p in self.patterns], float)
         votes = votes_of(self.patterns)
-        tally = (votes == 1).sum(1) - 3.0 * (votes == 2).sum(1)
-        q = 1 / (1 + np.exp(-np.clip(tally, -20, 20)))
-        # an abstention says nothing: only votes that are cast count
-        one_hot = np.stack([votes == v for v in (1, 2)], 2).astype(float)
-        for _ in range(rounds):
-            good = np.einsum("p,plv->lv", n * q, one_hot) + 1
-            bad = np.einsum("p,plv->lv", n * (1 - q), one_hot) + 1
-            good, bad = good / good.sum(1, keepdims=True), bad / bad.sum(1, keepdims=True)
-            good[:, 1] = np.minimum(good[:, 1], BAD_ON_GOOD)
-            good[:, 0] = 1 - good[:, 1]
-            prior = ((n * q).sum() + 1) / (n.sum() + 2)
-            odds = np.log(prior / (1 - prior)) + np.einsum("plv,lv->p", one_hot, np.log(good) - np.log(bad))
-            new = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
-            done, q = np.abs(new - q).max(initial=0) < 1e-9, new
-            if done:
-                break
-        self.posterior, self.prior = dict(zip(self.patterns.tolist(), q.tolist(), strict=True)), float(prior)
+        best = np.inf
+        for kinds in range(1, KINDS + 1):
+            belief, share, rates, likelihood = _fit(votes, n, _start(votes, n, kinds), rounds)
+            criterion = (kinds * (votes.shape[1] + 1) - 1) * np.log(max(1.0, n.sum())) - 2 * likelihood
+            if criterion < best:
+                best, self.belief, self.share, self.rates = criterion, belief, share, rates
+        self.bad = (self.rates > 0.5).any(1)
+        self.posterior = dict(zip(self.patterns.tolist(), self.belief[:, ~self.bad].sum(1).tolist(), strict=True))
+        self.prior = float(self.share[~self.bad].sum())
         # of the votes cast, the share that agrees with the truth, by the model's own belief
-        hit = prior * good[:, 0] + (1 - prior) * bad[:, 1]
+        hit = self.share @ np.where(self.bad[:, None], self.rates, 1 - self.rates)
         self.accuracy = {name: float(a) for (name, _), a in zip(LABELLERS, hit, strict=True)}
 
 
+def _start(votes: np.ndarray, n: np.ndarray, kinds: int) -> np.ndarray:
+    """First beliefs (patterns, classes): a class without bad votes, and classes around frequent, far-apart sets of them."""
+    bad = (votes == 2).astype(float)
+    sets, where = np.unique(bad, axis=0, return_inverse=True)
+    often = np.bincount(where.ravel(), n, len(sets))
+    seeds = [np.zeros(votes.shape[1])]
+    while len(seeds) < kinds and len(sets):
+        apart = np.abs(sets[:, None] - np.array(seeds)[None]).sum(2).min(1)
+        seeds.append(sets[(often * apart).argmax()])
+    far = np.abs(bad[:, None] - np.array(seeds)[None]).sum(2)
+    near = np.exp(-2 * (far - far.min(1, keepdims=True)))
+    return near / near.sum(1, keepdims=True)
+
+
+def _fit(votes: np.ndarray, n: np.ndarray, belief: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Expectation-maximisation: beliefs, shares of classes, rates of bad votes, and the log likelihood."""
+    cast, bad = (votes > 0).astype(float), (votes == 2).astype(float)
+    before = -np.inf
+    for _ in range(rounds):
+        weight = n[:, None] * belief
+        share = (weight.sum(0) + 1) / (weight.sum() + belief.shape[1])
+        rates = (weight.T @ bad + 1) / (weight.T @ cast + 2)
+        joint = np.log(share) + bad @ np.log(rates).T + (cast - bad) @ np.log1p(-rates).T
+        top = joint.max(1, keepdims=True, initial=-np.inf)
+        each = np.exp(joint - top)
+        whole_ = each.sum(1, keepdims=True)
+        likelihood = float((n * (top + np.log(whole_))[:, 0]).sum())
+        belief = each / whole_
+        if likelihood - before < 1e-7 * abs(likelihood):
+            break
+        before = likelihood
+    return belief, share, rates, likelihood
+
+
 class Hasher:
     """Hashed words, word shapes and rounded measures of a text: places and weights.
 
@@ -173,34 +207,36 @@ def train_scorer(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray,
 
 
 def quality_report(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """``doc_id, posterior, score, kept`` of each document; ``kept`` where the scorer finds good likelier than bad."""
-    small_batches(docs.sparkSession)
-    d = spread(docs.select(lift("doc_id").alias("id"), whole("text").cast("binary").alias("text")))
+    """``doc_id, posterior, score, kept`` of each document; ``kept`` where the scorer finds good at least as likely as bad."""
+    total = docs.count()
+    d = docs.select(lift("doc_id").alias("id"), whole("text").alias("text")).withColumn("h", F.xxhash64(F.lit("sample"), "id", "text"))
+    d = spread(d.select("id", F.col("text").cast("binary").alias("text"), "h"))
+    # the rows with the smallest hashes; half as many again are read, so that there are enough
+    limit = int(min(1.0, 1.5 * sample / max(1, total)) * 2.0**64 - 2**63) - 1
 
     def vote(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([pattern(Facts(t)) for t in batch.column(0).to_pylist()], pa.int64())], ["pattern"])
-
-    counts = dict(d.select("text").mapInArrow(vote, "pattern long").groupBy("pattern").agg(F.count(F.lit(1))).collect())
-    model = LabelModel(counts)
-    total = sum(counts.values())
-
-    def features(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, schema = Hasher(), pa.schema([("pattern", pa.int64()), ("at", pa.list_(pa.int64())), ("x", pa.list_(pa.float64()))])
-        for batch in batches:
-            rows = [(pattern(f), *hasher(f)) for f in map(Facts, batch.column(0).to_pylist())]
-            yield pa.RecordBatch.from_pylist([{"pattern": p, "at": a, "x": x} for p, a, x in rows], schema=schema)
-
-    part = F.pmod(F.xxhash64(F.lit("sample"), "id", "text"), F.lit(1_000_003)) < min(1.0, sample / max(1, total)) * 1_000_003
-    got = d.filter(part).select("text").mapInArrow(features, "pattern long, at array<long>, x array<double>").toArrow()
-    rows = [(got.column("at")[k].values.to_numpy(), got.column("x")[k].values.to_numpy()) for k in range(got.num_rows)]
-    labels = np.array([model.posterior[p] for p in got.column("pattern").to_pylist()])
-    order = np.lexsort((labels, [len(a) for a, _ in rows]))  # as rows arrive in any order
-    weights, posterior = train_scorer([rows[k] for k in order], labels[order]), model.posterior
+        hasher, schema = Hasher(), pa.schema([("pattern", pa.int64()), ("h", pa.int64()), ("at", pa.list_(pa.int64())), ("x", pa.list_(pa.float64()))])
+        for batch in slices(batches):
+            rows = []
+            for text, h in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                facts = Facts(text)
+                at, x = hasher(facts) if h <= limit else (None, None)
+                rows.append({"pattern": pattern(facts), "h": h, "at": at, "x": x})
+            yield pa.RecordBatch.from_pylist(rows, schema=schema)
+
+    voted = materialize(d.select("text", "h").mapInArrow(vote, "pattern long, h long, at array<long>, x array<double>"))
+    model = LabelModel(dict(voted.groupBy("pattern").agg(F.count(F.lit(1))).collect()))
+    got = voted.filter("at IS NOT NULL").toArrow()
+    patterns, hashes = got.column("pattern").to_pylist(), got.column("h").to_pylist()
+    order = sorted(range(got.num_rows), key=lambda k: (hashes[k], patterns[k]))[:sample]  # rows arrive in any order
+    rows = [(got.column("at")[k].values.to_numpy(), got.column("x")[k].values.to_numpy()) for k in order]
+    posterior = model.posterior
+    weights = train_scorer(rows, np.array([posterior[patterns[k]] for k in order]))
+    drop(voted)
 
     def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
-        for batch in batches:
+        for batch in slices(batches):
             q, raw = [], []
             for facts in map(Facts, batch.column(1).to_pylist()):
                 at, x = hasher(facts)
@@ -208,5 +244,5 @@ def quality_report(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
                 raw.append(float(x @ weights[at]) + weights[-1])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(q, pa.float64()), pa.array(1 / (1 + np.exp(-np.clip(np.array(raw), -30, 30))), pa.float64())], ["id", "posterior", "score"])
 
-    out = d.mapInArrow(score, "id long, posterior double, score double")
+    out = d.select("id", "text").mapInArrow(score, "id long, posterior double, score double")
     return out.select(give_back(F.col("id")).alias("doc_id"), "posterior", "score", (F.col("score") >= 0.5).alias("kept"))

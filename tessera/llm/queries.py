@@ -76,7 +76,7 @@ FROM f
 _MIX = r"""
 WITH sized AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-         md5(concat('mix|', CAST(doc_id AS VARCHAR))) AS key
+         md5(concat('mix|', CAST(doc_id AS VARCHAR), '|', md5(coalesce(text, '')))) AS key
   FROM documents
 ), s0 AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source

@@ -12,8 +12,9 @@ region of its own.  So one more shard leaves all other weights as they are and
 takes rows only into itself, at every ``n`` from the base layout up.
 
 Defined results.  A null text has no bytes (size 8).  A null id is the smallest
-id.  Rows with the same id share a shard and have slots of their own.  An
-empty table gives an empty result.  Other columns are ignored.
+id.  Rows with the same id share a shard and have slots of their own; slots of repeated rows are
+numbered in blocks of bounded size too.  Ties of draws go to the first child.  Of a very long text only size and
+checksum go on.  An empty table gives an empty result.  Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import give_back, lift, ranked, whole
+from .common import give_back, lift, materialize, ranked, whole
 
 REGIONS, RACKS, SHARDS = 2, 3, 4
 
@@ -80,8 +81,9 @@ def shard_rows(docs: DataFrame, n: int = 24, id_col: str = "doc_id", text_col: s
     size = F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(F.octet_length(text)) + 8
     d = docs.select(lift(id_col).alias("id"), size.cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
     d = d.withColumns({"shard": assign(F.col("id"), tree or layout(n)), "grown_shard": assign(F.col("id"), grown or layout(n + 1))})
-    spread = F.xxhash64(F.lit("slot"), "id", "text_crc32")
-    out = ranked(d, ["shard"], spread, [F.col("id"), F.col("text_crc32"), F.col("size")], docs.count(), n)
+    d = materialize(d)
+    spread = F.xxhash64(F.lit("slot"), "id", "text_crc32", "size")
+    out = ranked(d, ["shard"], spread, [F.col("id"), F.col("text_crc32"), F.col("size")], d.count(), n)
     return out.withColumnRenamed("rank", "slot")
 
 

@@ -7,18 +7,20 @@ link is found in one of ten tables keyed by two blocks.  Only distinct fingerpri
 meet there, however many documents share one.
 
 Within a bucket fingerprints are stored as 64 vertical bit planes, 64 fingerprints a word.
-Distances of a query to all of them grow in carry-save counters of two bits and an
+Distances of a query to all of them grow in carry-save counters (of two bits for a radius of 3) and an
 overflow bit per fingerprint; once all of a block's fingerprints have overflowed,
 the block is abandoned.  A bucket emits a spanning forest of its links, not its
 pairs.  Buckets above ``CHUNK`` fingerprints are dealt as pairs of chunks, so that a task
 holds at most two chunks and still each pair is compared.
 
 Components: alternating large-star and small-star rounds over the links, each
-written to the shared folder, until nothing changes.
+written to the shared folder, until nothing changes (``operators.links``).
 
 Defined results.  A null or empty text has no words: fingerprint zero.  Fewer words than
 the width make one shingle.  A null id is the smallest id.  Rows that repeat an id are
-fingerprinted on their own.  An empty table gives an empty result.
+fingerprinted on their own; the stage keeps equal rows or drops them together.  A bit that is set in exactly half of the
+shingles is 0.  A very long text is hashed whole, in parts of bounded size.  An empty table gives an empty result.
+Other columns are ignored, whatever their names; the stage hands them on.
 """
 
 from __future__ import annotations
@@ -32,7 +34,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import give_back, lift, materialize, small_batches, spread, whole
+from ..operators.links import components
+from .common import drop, give_back, lift, materialize, slices, spread, whole
 
 RADIUS = 3
 SEED = 42
@@ -63,25 +66,30 @@ def fingerprint(text: bytes, width: int = 3) -> int:
 
 
 def _fingerprints(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         fps = np.array([fingerprint(t) for t in batch.column(2).to_pylist()], np.uint64)
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps.view(np.int64))], ["id", "version", "fp"])
 
 
-def distances_over(planes: np.ndarray, queries: np.ndarray) -> np.ndarray:
+def distances_over(planes: np.ndarray, queries: np.ndarray, radius: int = RADIUS) -> np.ndarray:
     """Bit-sliced comparison: words whose bits tell which fingerprints are within the radius.
 
-    ``planes`` is (64, ..., words); ``queries`` broadcasts against ``planes[0]``.
+    ``planes`` is (64, ..., words); ``queries`` broadcasts against ``planes[0]``.  Counters start where
+    the first difference beyond the radius overflows them.
     """
     one = np.uint64(1)
     shape = np.broadcast_shapes(planes.shape[1:], queries.shape)
-    low, high, over = (np.zeros(shape, np.uint64) for _ in range(3))
+    width = radius.bit_length()
+    first = (1 << width) - 1 - radius
+    counters = [np.full(shape, _ALL if first >> k & 1 else 0, np.uint64) for k in range(width)]
+    over = np.zeros(shape, np.uint64)
     for b in range(64):
-        differs = planes[b] ^ (np.uint64(0) - ((queries >> np.uint64(b)) & one))
-        carry = low & differs
-        low ^= differs
-        over |= high & carry
-        high ^= carry
+        carry = planes[b] ^ (np.uint64(0) - ((queries >> np.uint64(b)) & one))
+        for counter in counters:
+            up = counter & carry
+            counter ^= carry
+            carry = up
+        over |= carry
         if b % 16 == 15 and (over == _ALL).all():
             break
     return ~over
@@ -185,44 +193,21 @@ def links(fps: DataFrame, chunk: int = CHUNK) -> DataFrame:
     return buckets.mapInArrow(_links, "u long, v long").distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """``node, root`` with the smallest node reachable, for every node with a link."""
-
-    def star(pairs: DataFrame, large: bool) -> DataFrame:
-        """Link neighbours of u (larger ones, or smaller ones and u) to the smallest of them and u."""
-        mins = materialize(pairs.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
-        hung = pairs.filter("v > u") if large else pairs
-        out = hung.join(mins, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        if not large:
-            out = out.union(mins.select("u", F.col("m").alias("v")))
-        return materialize(out.filter("u != v").distinct())
-
-    same = lambda p: p.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-    pairs = materialize(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u != v").distinct())
-    mark = same(pairs)
-    while mark[0]:
-        pairs = star(pairs.union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v"))), True)
-        pairs = star(pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), False)
-        before, mark = mark, same(pairs)
-        if before == mark:
-            break
-    return pairs.select(F.col("u").alias("node"), F.col("v").alias("root"))
-
-
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id, version, fp, component``: the smallest id that links reach from each row.
 
     ``version`` is a hash of the whole text, which tells rows with the same id apart.
     """
-    small_batches(docs.sparkSession)
     text = whole(text_col)
     texts = docs.select(lift(id_col).alias("id"), F.xxhash64(text).alias("version"), text.cast("binary").alias("text"))
     own = materialize(spread(texts).mapInArrow(_fingerprints, "id long, version long, fp long"))
     distinct = materialize(own.groupBy("fp").agg(F.min("id").alias("first")))
-    roots = components(links(distinct.select("fp")))
-    rooted = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    near = materialize(links(distinct.select("fp")))
+    roots = components(near)
+    rooted = materialize(distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root")))
     smallest = materialize(rooted.groupBy("root").agg(F.min("first").alias("component")))
     by_fp = materialize(rooted.join(smallest, "root").select("fp", "component"))
+    drop(distinct, near, rooted, smallest)
     return own.join(by_fp, "fp").select("id", "version", "fp", "component")
 
 

@@ -13,7 +13,8 @@ smallest id; the others are ``revisit`` records that name it.
 
 Defined results.  A null html is an empty payload; a null url is the empty url; a null id
 is the smallest id.  Records that repeat the id of the response with its payload are
-responses as well.  An empty table gives no bundles.
+responses as well; other ties do not arise.  A very long payload is a record, and a frame, of its own.  An empty
+table gives no bundles.  Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import give_back, lift, materialize, small_batches, whole
+from .common import give_back, lift, materialize, slices, whole
 
 # Fixed values of the formats.
 SKIPPABLE_MAGIC = 0x184D2A5E
@@ -148,7 +149,7 @@ class Bundler:
 def _bundles(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema, bundler = _BUNDLE_ARROW, Bundler()
     give = lambda b: pa.RecordBatch.from_pylist([b], schema=schema)
-    for batch in batches:
+    for batch in slices(batches):
         for ident, url, payload, digest, refers in zip(*[c.to_pylist() for c in batch.columns], strict=True):
             if done := bundler.add(ident, write_record(ident, url, payload, digest, refers)):
                 yield give(done)
@@ -158,7 +159,7 @@ def _bundles(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _records(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = _READ_ARROW
-    for batch in batches:
+    for batch in slices(batches, 1):  # a bundle is some MB
         for bundle_id, data, entries in zip(*[c.to_pylist() for c in batch.columns], strict=True):
             frames, at, frame, rows = read_seek_table(data), -1, b"", []
             for e in entries:
@@ -185,14 +186,11 @@ def records(pages: DataFrame, min_revisit: int = 100) -> DataFrame:
 
 def write_bundles(pages: DataFrame) -> DataFrame:
     """The written bundles: ``bundle_id, data, entries``."""
-    small_batches(pages.sparkSession)
     return materialize(records(pages).mapInArrow(_bundles, _BUNDLE))
 
 
 def read_bundles(bundles: DataFrame) -> DataFrame:
     """Every record, read back by its address in its bundle."""
-    # one bundle of some MB a row: an Arrow batch must hold few of them
-    small_batches(bundles.sparkSession, 8)
     return bundles.mapInArrow(_records, _READ)
 
 
