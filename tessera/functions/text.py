@@ -2,15 +2,11 @@
 
 from __future__ import annotations
 
-import hashlib
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 # Patterns of the data's own dialect, which results depend on.
-LINE_REJECT = [r'"author":"\[deleted\]"', r'"promoted":true', r'"domain":"self\.promos"', r"\x00"]
+LINE_REJECT = [r'"author":"\[deleted\]"', r'"promoted":true', r'"domain":"self.promos"', r"\x00"]
 URL_DENY = [
     r"//reddit\.com/[^g]", r"\.html?", r"\.php", r"\?articleid=", r"\.aspx?", r"\.xml", r"/rss/", r"//vimeo\.com",
     r"//www\.reddit\.com/[^g]", r"//v\.redd\.it", r"\.gifv$", r"youtube\.com/user/",
@@ -43,6 +39,7 @@ RATINGS = {"1": 0.9, "1+": 0.7, "1p": 0.7, "eq": 0.5, "2+": 0.3, "2p": 0.3, "2":
 POST_HINTS = ["na", "image"]
 CRAWL_SUFFIXES = [".mp4", ".mkv", ".webm"]
 CRAWL_MAX_BYTES = 8_000_000
+CRAWL_TYPES = ["image/png", "image/jpeg", "image/webp", "image/avif"]
 
 
 def any_of(patterns: list[str], ignore_case: bool = False) -> str:
@@ -86,10 +83,21 @@ def epoch_seconds(c: Column) -> Column:
 
 
 def crawl_accepted(over_18: Column, indexable: Column, preview: Column, url: Column) -> Column:
+    """Whether an item of a listing is fetched at all."""
     bad_end = F.lit(False)
     for suffix in CRAWL_SUFFIXES:
         bad_end = bad_end | url.endswith(suffix)
-    return ~over_18 & indexable & preview & url.startswith("https") & ~bad_end
+    return ~over_18 & indexable & preview & url.startswith("https://") & ~bad_end
+
+
+def crawl_kept(kind: Column, size: Column) -> Column:
+    """Whether what was fetched is kept: its type, and its stated size; a missing size is too large."""
+    return kind.isin(CRAWL_TYPES) & F.coalesce(size <= CRAWL_MAX_BYTES, F.lit(False))
+
+
+def crawl_going_on(created: Column, threshold: Column) -> Column:
+    """Whether a listing, newest first, has not reached what was crawled before."""
+    return threshold.isNull() | (threshold <= created)
 
 
 def validation_row(*names: Column) -> Column:
@@ -142,9 +150,13 @@ def tiles(width: Column, height: Column, size: int = 1024) -> Column:
     )
 
 
-@F.pandas_udf(StringType())
-def name_hash(names: pd.Series) -> pd.Series:
-    """A short URL-safe opaque id of a file name (64-bit BLAKE2b)."""
-    import base64
+def segments(texts: Column, regions: Column) -> Column:
+    """Texts with their regions, as far as both go."""
+    n = F.least(F.size(texts), F.size(regions))
+    return F.arrays_zip(F.slice(texts, 1, n).alias("text"), F.slice(regions, 1, n).alias("coords"))
+
 
-    return names.map(lambda n: None if n is None else base64.urlsafe_b64encode(hashlib.blake2b(n.encode(), digest_size=8).digest()).decode().rstrip("="))
+def name_hash(name: Column | str) -> Column:
+    """A short URL-safe opaque id of a file name: 64 bits of its MD5."""
+    short = F.base64(F.unhex(F.substring(F.md5(name), 1, 16)))
+    return F.translate(F.rtrim(short, F.lit("=")), "+/", "-_")

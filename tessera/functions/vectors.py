@@ -54,10 +54,17 @@ def mean_vectors(df: DataFrame, *keys: str, vector: str = "embedding", to: str =
 
 
 def to_matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
-    """An Arrow list column as a matrix of doubles, without a Python object per value."""
+    """An Arrow list column as a matrix of doubles, without a Python object per value.
+
+    A null vector, a null value or vectors of several lengths are an error, never a shift of values.
+    """
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     n = len(column)
+    if column.null_count or column.flatten().null_count:
+        raise ValueError("a vector is null or has a null value")
+    if n and len(set(np.unique(column.value_lengths().to_numpy(zero_copy_only=False)))) > 1:
+        raise ValueError("vectors have several lengths")
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, -1 if n else 0)
 
 

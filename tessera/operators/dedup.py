@@ -14,15 +14,17 @@ from .search import MAX_QUERIES
 
 
 def keep_first(df: DataFrame, key: Column, *order: Column) -> DataFrame:
-    """The first row of each key in the given order; a null key is a key of its own."""
-    w = Window.partitionBy(key).orderBy(*order)
-    return df.withColumn("_place", F.row_number().over(w)).filter("_place = 1").drop("_place")
+    """The first row of each key in the given order; rows with a null key all stay."""
+    w = Window.partitionBy("_key").orderBy(*order)
+    known = df.withColumn("_key", key)
+    first = known.filter("_key IS NOT NULL").withColumn("_place", F.row_number().over(w)).filter("_place = 1").drop("_place")
+    return first.unionByName(known.filter("_key IS NULL")).drop("_key")
 
 
 def ingest_dedup(df: DataFrame, url: str = "url", vector: str = "embedding", order: str = "vec_id") -> DataFrame:
-    """First by the sign code of the vector, then by URL among what is left."""
-    by_code = keep_first(df.withColumn("_code", sign_code(vector)), F.col("_code"), F.col(order))
-    return keep_first(by_code, F.xxhash64(url), F.col(order)).drop("_code")
+    """First by the sign code of the vector, then by URL among what is left.  A row without one is no copy by it."""
+    by_code = keep_first(df, sign_code(vector), F.col(order))
+    return keep_first(by_code, F.col(url), F.col(order))
 
 
 def near_pairs(vectors: DataFrame, threshold: float, key: str = "vec_id", vector: str = "embedding", groups: list[str] | None = None) -> DataFrame:
@@ -54,8 +56,9 @@ def _block_links(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def near_classes(vectors: DataFrame, threshold: float, key: str = "vec_id", vector: str = "embedding", block: int = MAX_QUERIES) -> DataFrame:
     """``vec_id, class, links`` of each vector: the smallest key that links reach, and how many others are above the threshold.
 
-    All vectors are compared with all, in blocks; a block hands on a spanning forest and counts, not its pairs.
+    All vectors that aren't null are compared with all, in blocks; a block hands on a spanning forest and counts, not its pairs.
     """
+    vectors = vectors.filter(F.col(vector).isNotNull())
     n = vectors.count()
     blocks = 1 if n <= block else -(-2 * n // block)
     found = None

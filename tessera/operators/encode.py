@@ -15,8 +15,8 @@ from pyspark.sql import DataFrame
 Encoder = Callable[[list], np.ndarray]
 
 
-def encoded(df: DataFrame, encoder: Encoder, key: str, value: str, max_batch: int = 128) -> DataFrame:
-    """``key, embedding``: batches of at most ``max_batch``; null inputs give null vectors."""
+def encoded(df: DataFrame, encoder: Encoder, key: str, value: str, max_batch: int = 128, unit: bool = True) -> DataFrame:
+    """``key, embedding``: batches of at most ``max_batch``, to unit length if ``unit``; null inputs give null vectors."""
 
     def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -26,7 +26,8 @@ def encoded(df: DataFrame, encoder: Encoder, key: str, value: str, max_batch: in
                 vectors: list = [None] * len(part)
                 if there.any():
                     x = np.asarray(encoder(part[value][there].tolist()), np.float64)
-                    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+                    if unit:
+                        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
                     for k, row in zip(np.flatnonzero(there), x, strict=True):
                         vectors[k] = row.tolist()
                 yield pd.DataFrame({key: part[key].to_numpy(), "embedding": pd.Series(vectors, dtype=object)})

@@ -13,12 +13,14 @@ from pyspark.sql import functions as F
 
 from ..functions.vectors import dot
 from .quantize import ProductQuantizer
+from .search import batch_top_k
 
 
-def greedy_search(x: np.ndarray, neighbours: list[np.ndarray], start: int, query: np.ndarray, width: int, allowed: np.ndarray | None = None, approx: np.ndarray | None = None) -> tuple[list[int], dict[int, float]]:
+def greedy_search(x: np.ndarray, neighbours: list[np.ndarray], start: int, query: np.ndarray, width: int, allowed: np.ndarray | None = None, approx: np.ndarray | None = None, beam: int = 1) -> tuple[list[int], dict[int, float]]:
     """Best-first search with a buffer of ``width``: the buffer, best first, and all visited with exact scores.
 
-    With ``approx``, approximate scores of all nodes, the buffer is ordered by those and only visited
+    A step visits the ``beam`` best nodes of the buffer that are not visited yet.  Nodes that are not ``allowed`` are
+    passed over.  With ``approx``, approximate scores of all nodes, the buffer is ordered by those and only visited
     nodes are scored exactly, as where full vectors are costly to read.
     """
     near = (lambda nodes: approx[nodes]) if approx is not None else (lambda nodes: x[nodes] @ query)
@@ -26,41 +28,47 @@ def greedy_search(x: np.ndarray, neighbours: list[np.ndarray], start: int, query
     seen[start] = True
     buffer = np.array([start])
     scores = np.asarray(near(buffer), np.float64)
-    visited: dict[int, float] = {}
-    while (waiting := ~done[buffer]).any():
-        at = int(buffer[waiting.argmax()])
-        done[at] = True
-        visited[at] = float(x[at] @ query)
-        new = neighbours[at]
+    visited: list[np.ndarray] = []
+    while len(waiting := buffer[~done[buffer]][:beam]):
+        done[waiting] = True
+        visited.append(waiting)
+        new = np.concatenate([neighbours[v] for v in waiting]) if len(waiting) > 1 else neighbours[waiting[0]]
         new = new[~seen[new]]
         if allowed is not None:
             new = new[allowed[new]]
         if len(new):
+            new = np.unique(new) if len(waiting) > 1 else new
             seen[new] = True
             buffer, scores = np.concatenate([buffer, new]), np.concatenate([scores, near(new)])
             order = np.lexsort((buffer, -scores))[:width]
             buffer, scores = buffer[order], scores[order]
-    return buffer.tolist(), visited
+    at = np.concatenate(visited)
+    return buffer.tolist(), dict(zip(at.tolist(), (x[at].astype(np.float64) @ query).tolist(), strict=True))
 
 
-def robust_prune(x: np.ndarray, point: int, candidates: np.ndarray, degree: int, alpha: float) -> np.ndarray:
+def robust_prune(x: np.ndarray, point: int, candidates: np.ndarray, degree: int, alpha: float, is_query: np.ndarray | None = None, query_alpha: float = 1.0, saturate: bool = False) -> np.ndarray:
     """Up to ``degree`` neighbours: the nearest, then those not much nearer to one chosen before.
 
-    A candidate goes when its inner product with a chosen one, times ``alpha``, reaches that with the point.
+    A candidate goes when its inner product with a chosen one, times ``alpha`` (``query_alpha`` for query nodes), reaches that
+    with the point.  With ``saturate``, and always for a query node, what went fills the free places, nearest first.
     """
     candidates = np.unique(candidates[candidates != point])
     rows = x[candidates]
     own = rows @ x[point]
     order = np.lexsort((candidates, -own))
     candidates, own, rows = candidates[order], own[order], rows[order]
+    factor = alpha if is_query is None else np.where(is_query[candidates], query_alpha, alpha)
     alive = np.ones(len(candidates), bool)
     chosen: list[int] = []
     while len(chosen) < degree and alive.any():
         k = int(alive.argmax())
-        chosen.append(int(candidates[k]))
-        alive &= alpha * (rows @ rows[k]) < own
+        chosen.append(k)
+        alive &= factor * (rows @ rows[k]) < own
         alive[: k + 1] = False
-    return np.array(chosen, np.int64)
+    if saturate or (is_query is not None and is_query[point]):
+        taken = set(chosen)
+        chosen += [k for k in range(len(candidates)) if k not in taken][: degree - len(chosen)]
+    return candidates[chosen].astype(np.int64)
 
 
 def random_neighbours(n: int, degree: int, seed: int = 0) -> list[np.ndarray]:
@@ -68,44 +76,64 @@ def random_neighbours(n: int, degree: int, seed: int = 0) -> list[np.ndarray]:
     return [np.array([v for v in rng.choice(n, min(degree + 1, n), replace=False) if v != k][:degree], np.int64) for k in range(n)]
 
 
-def build(x: np.ndarray, degree: int = 64, width: int = 192, most: int = 750, alpha: float = 1.2, passes: int = 2, seed: int = 0) -> tuple[list[np.ndarray], int]:
+def build(x: np.ndarray, degree: int = 64, width: int = 192, most: int = 750, alpha: float = 1.2, passes: int = 2, seed: int = 0, beam: int = 4, is_query: np.ndarray | None = None, query_alpha: float = 1.0, saturate: bool = False) -> tuple[list[np.ndarray], int]:
     """Neighbour lists of all vectors and the start node, the medoid.
 
     For vectors of unit length a larger inner product is a smaller distance; ``alpha`` of at least 1
-    keeps longer edges, as it shrinks what prunes.
+    keeps longer edges, as it shrinks what prunes.  Where some vectors are queries, a search for a query passes
+    base vectors only, and pruning takes ``query_alpha`` for them.
     """
     n = len(x)
-    start = int((x @ x.mean(0)).argmax())
+    closeness = x @ x.mean(0)
+    if is_query is not None and not is_query.all():
+        closeness = np.where(is_query, -np.inf, closeness)
+    start = int(closeness.argmax())
+    base = None if is_query is None else ~is_query
     neighbours = random_neighbours(n, min(degree, max(0, n - 1)), seed)
     for turn in range(passes):
-        keep = 1.0 if turn == 0 and passes > 1 else 1 / alpha
+        plain = turn == 0 and passes > 1
+        how = {"alpha": 1.0 if plain else 1 / alpha, "is_query": is_query, "query_alpha": 1.0 if plain else 1 / query_alpha, "saturate": saturate}
         for p in np.random.default_rng(seed + 1 + turn).permutation(n):
-            _, visited = greedy_search(x, neighbours, start, x[p], width)
+            _, visited = greedy_search(x, neighbours, start, x[p], width, base if is_query is not None and is_query[p] else None, beam=beam)
             pool = np.array(sorted(visited, key=lambda v: -visited[v])[:most], np.int64)
-            neighbours[p] = robust_prune(x, int(p), np.concatenate([pool, neighbours[p]]), degree, keep)
+            neighbours[p] = robust_prune(x, int(p), np.concatenate([pool, neighbours[p]]), degree, **how)
             for v in neighbours[p]:
                 back = neighbours[v]
                 if p not in back:
                     back = np.append(back, p)
-                    neighbours[v] = robust_prune(x, int(v), back, degree, keep) if len(back) > degree else back
+                    neighbours[v] = robust_prune(x, int(v), back, degree, **how) if len(back) > degree else back
     return neighbours, start
 
 
-def build_graphs(assigned: DataFrame, vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", **options) -> DataFrame:
-    """``shard_id, id, neighbours, is_start`` for ``assigned`` (``vec_id, shard_id``)."""
+#: What one task may hold of a shard's vectors, in single precision.
+MAX_SHARD_BYTES = 4 << 30
+
+
+def build_graphs(assigned: DataFrame, vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", is_query: str | None = None, most_bytes: int = MAX_SHARD_BYTES, **options) -> DataFrame:
+    """``shard_id, id, neighbours, is_start`` for ``assigned`` (``vec_id, shard_id``).
+
+    A shard is built in one task, so its size is checked first: the number of shards must follow the number of vectors.
+    ``is_query`` names a column of ``vectors`` that marks queries.
+    """
+    largest = assigned.groupBy("shard_id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    dims = len((vectors.select(vector).filter(F.col(vector).isNotNull()).first() or [[]])[0])
+    if largest * dims * 4 > most_bytes:
+        raise ValueError(f"a shard of {largest} vectors of {dims} dimensions is above {most_bytes} bytes: deal the vectors over more shards")
 
     def one(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(key, kind="stable")
         ids = rows[key].to_numpy()
-        lists, start = build(np.stack(rows[vector].to_numpy()).astype(np.float64), **options)
+        marks = rows[is_query].to_numpy(bool) if is_query else None
+        lists, start = build(np.stack(rows[vector].to_numpy()).astype(np.float32), is_query=marks, **options)
         return pd.DataFrame({"shard_id": rows["shard_id"].to_numpy(), "id": ids, "neighbours": [ids[v].tolist() for v in lists], "is_start": np.arange(len(ids)) == start})
 
-    joined = assigned.select(key, F.col("shard_id").cast("long")).join(vectors.select(key, vector), key)
+    found = vectors.filter(F.col(vector).isNotNull()).select(key, vector, *([is_query] if is_query else []))
+    joined = assigned.select(key, F.col("shard_id").cast("long")).join(found, key)
     return joined.groupBy("shard_id").applyInPandas(one, "shard_id long, id long, neighbours array<long>, is_start boolean")
 
 
-def beam_search(graph: DataFrame, vectors: DataFrame, queries: np.ndarray, k: int, width: int = 100, key: str = "vec_id", vector: str = "embedding", dead: str | None = None, scales: np.ndarray | None = None, descriptors: str | None = None, quantizer: ProductQuantizer | None = None, query_ids: np.ndarray | None = None) -> DataFrame:
-    """``query_id, vec_id, score, rank`` by search in every shard's graph.
+def beam_search(graph: DataFrame, vectors: DataFrame, queries: np.ndarray, k: int, width: int = 100, key: str = "vec_id", vector: str = "embedding", dead: str | None = None, scales: np.ndarray | None = None, descriptors: str | None = None, quantizer: ProductQuantizer | None = None, query_ids: np.ndarray | None = None, beam: int = 3) -> DataFrame:
+    """``query_id, vec_id, score, rank`` by search in every shard's graph, ``beam`` nodes a step.
 
     A query's id is its place, or that of ``query_ids``.
 
@@ -117,13 +145,13 @@ def beam_search(graph: DataFrame, vectors: DataFrame, queries: np.ndarray, k: in
 
     def one(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("id", kind="stable").reset_index(drop=True)
-        x, ids = np.stack(rows[vector].to_numpy()).astype(np.float64), rows["id"].to_numpy()
+        x, ids = np.stack(rows[vector].to_numpy()).astype(np.float32), rows["id"].to_numpy()
         asked, codes = queries, quantizer.encode(x) if quantizer else None
         bias = np.zeros(len(x))
         if scales is not None:
             bias = np.stack(rows[descriptors].to_numpy()).astype(np.float64) @ scales
         if scales is not None:  # an extra dimension per descriptor makes the bias part of the product
-            x = np.hstack([x, np.stack(rows[descriptors].to_numpy()).astype(np.float64)])
+            x = np.hstack([x, np.stack(rows[descriptors].to_numpy()).astype(np.float32)])
             asked = np.hstack([queries, np.tile(scales, (len(queries), 1))])
         at = {int(v): k for k, v in enumerate(ids)}
         lists = [np.array([at[int(v)] for v in own if int(v) in at], np.int64) for own in rows["neighbours"]]
@@ -132,7 +160,7 @@ def beam_search(graph: DataFrame, vectors: DataFrame, queries: np.ndarray, k: in
         out = []
         for q, query in enumerate(asked):
             approx = quantizer.scores(quantizer.table(queries[q]), codes) + bias if quantizer else None
-            _, visited = greedy_search(x, lists, start, query, width, approx=approx)
+            _, visited = greedy_search(x, lists, start, query, width, approx=approx, beam=beam)
             out += [(int(named[q]), int(ids[v]), s) for v, s in visited.items() if not gone[v]]
         return pd.DataFrame(out, columns=["query_id", key, "score"])
 
@@ -143,35 +171,58 @@ def beam_search(graph: DataFrame, vectors: DataFrame, queries: np.ndarray, k: in
     return best.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def knn_graph(vectors: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", group: str | None = None) -> DataFrame:
-    """``src, dst, score``: each vector's ``k`` nearest others (in its group), exactly; for bounded shards."""
-    a = vectors.select(F.col(key).alias("src"), F.col(vector).alias("_x"), *([F.col(group).alias("_g")] if group else []))
-    b = vectors.select(F.col(key).alias("dst"), F.col(vector).alias("_y"), *([F.col(group).alias("_h")] if group else []))
-    on = F.col("src") != F.col("dst")
-    pairs = a.join(b, on & (F.col("_g") == F.col("_h")) if group else on).select("src", "dst", dot("_x", "_y").alias("score"))
-    w = Window.partitionBy("src").orderBy(F.col("score").desc(), "dst")
-    return pairs.withColumn("place", F.row_number().over(w).cast("long")).filter(F.col("place") <= k)
-
-
-def degree_stats(edges: DataFrame) -> DataFrame:
-    """Mean, upper median, least and greatest number of in-neighbours."""
-    degrees = edges.groupBy("dst").agg(F.count(F.lit(1)).alias("degree"))
-    w = Window.orderBy("degree")
-    placed = degrees.withColumns({"_i": F.row_number().over(w), "_n": F.count(F.lit(1)).over(Window.partitionBy())})
-    return placed.agg(
-        F.avg("degree").alias("mean"), F.max(F.when(F.col("_i") == F.floor(F.col("_n") / 2) + 1, F.col("degree"))).alias("median"),
+def knn_graph(vectors: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """``src, dst, score, place``: each vector's ``k`` nearest others, exactly; blocks of vectors are multiplied with all."""
+    found = batch_top_k(vectors, vectors.withColumnRenamed(key, "query_id"), k + 1, key, vector=vector).filter(F.col("query_id") != F.col(key))
+    # without itself, a vector's rank moves up by one behind where it stood
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy("rank")).cast("long")
+    return found.withColumn("place", place).filter(F.col("place") <= k).select(F.col("query_id").alias("src"), F.col(key).alias("dst"), "score", "place")
+
+
+def degree_stats(nodes: DataFrame, edges: DataFrame, key: str = "vec_id") -> DataFrame:
+    """Mean, upper median, least and greatest number of out-neighbours of all nodes, those without any included."""
+    out = edges.groupBy(F.col("src").alias(key)).agg(F.count(F.lit(1)).alias("degree"))
+    degrees = nodes.select(key).join(out, key, "left").select(F.coalesce("degree", F.lit(0)).cast("long").alias("degree"))
+    # a row per degree, of which there are no more than a node has neighbours
+    each = degrees.groupBy("degree").agg(F.count(F.lit(1)).alias("n"))
+    upto = F.sum("n").over(Window.orderBy("degree").rowsBetween(Window.unboundedPreceding, 0))
+    each = each.withColumns({"upto": upto, "total": F.sum("n").over(Window.partitionBy())})
+    return each.agg(
+        (F.sum(F.col("degree") * F.col("n")) / F.sum("n")).alias("mean"), F.min(F.when(F.col("upto") > F.floor(F.col("total") / 2), F.col("degree"))).alias("median"),
         F.min("degree").alias("least"), F.max("degree").alias("greatest"),
     )
 
 
-def stitch(edges: DataFrame, is_query: str, most: int = 16) -> DataFrame:
-    """Edges that pass a query's out-neighbours on to the vectors that point at the query.
+def stitch(edges: DataFrame, vectors: DataFrame, queries: DataFrame, most: int = 16, degree: int = 64, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """``src, dst, added``: the base vectors' edges after queries have passed on their own.
 
-    ``edges`` has ``src, dst`` and, in ``is_query``, whether ``dst`` is a query node.  At most ``most`` per
-    (vector, query) pair; query nodes drop out of the graph.
+    ``edges`` has ``src, dst`` with base and query nodes; ``queries`` has the ids of query nodes.  Edges to queries are
+    dropped.  Then, for one query after another by id, each base vector that pointed at it takes the query's
+    out-neighbours, by inner product with the base vector, from the best on: up to ``most`` that it lacks, and only while
+    it has fewer than ``degree`` edges.  A base vector is offered at most ``degree`` squared, which bounds its array.
     """
-    into = edges.filter(is_query).select(F.col("src").alias("base"), F.col("dst").alias("query"))
-    out = edges.filter(~F.col(is_query)).select(F.col("src").alias("query"), F.col("dst").alias("to"))
-    w = Window.partitionBy("base", "query").orderBy("to")
-    new = into.join(out, "query").filter("base != to").withColumn("_place", F.row_number().over(w))
-    return new.filter(F.col("_place") <= most).select(F.col("base").alias("src"), F.col("to").alias("dst")).distinct()
+    q = queries.select(F.col(key).alias("query")).distinct()
+    plain = edges.select("src", "dst").distinct()
+    base = plain.join(q, F.col("src") == F.col("query"), "left_anti")
+    kept = base.join(q, F.col("dst") == F.col("query"), "left_anti").groupBy("src").agg(F.array_sort(F.collect_list("dst")).alias("own"))
+    into = base.join(q, F.col("dst") == F.col("query")).select(F.col("src").alias("base"), "query")
+    offered = into.join(plain.select(F.col("src").alias("query"), F.col("dst").alias("to")), "query").filter("base != to")
+    of = lambda name, to: vectors.select(F.col(key).alias(name), F.col(vector).alias(to))
+    offered = offered.join(of("base", "_x"), "base").join(of("to", "_y"), "to")
+    offers = offered.groupBy(F.col("base").alias("src")).agg(F.array_sort(F.collect_list(F.struct("query", (-dot("_x", "_y")).alias("far"), "to"))).alias("offers"))
+    both = kept.join(offers, "src", "full").withColumn("own", F.coalesce("own", F.array().cast("array<long>")))
+    begin = F.struct(F.array().cast("array<long>").alias("new"), F.lit(None).cast("long").alias("query"), F.lit(0).alias("n"))
+
+    def take(state, offer):
+        n = F.when(state["query"].eqNullSafe(offer["query"]), state["n"]).otherwise(0)
+        lacks = ~F.array_contains(F.col("own"), offer["to"]) & ~F.array_contains(state["new"], offer["to"])
+        room = (n < most) & (F.size("own") + F.size(state["new"]) < degree)
+        more = lacks & room
+        return F.struct(
+            F.when(more, F.concat(state["new"], F.array(offer["to"]))).otherwise(state["new"]).alias("new"),
+            offer["query"].cast("long").alias("query"), (n + F.when(more, 1).otherwise(0)).cast("int").alias("n"),
+        )
+
+    done = both.select("src", "own", F.when(F.col("offers").isNull(), F.array().cast("array<long>")).otherwise(F.aggregate("offers", begin, take)["new"]).alias("new"))
+    tagged = lambda c, added: F.transform(c, lambda v: F.struct(v.alias("dst"), F.lit(added).alias("added")))
+    return done.select("src", F.inline(F.concat(tagged("own", False), tagged("new", True))))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .order import positions
+
 
 def work_plan(disk: DataFrame, stored: DataFrame, key: str = "filename", modified: str = "mtime", ocr: bool = True, thumbnails: bool = True) -> DataFrame:
     """What each file on disk needs; files that need nothing are left out.
@@ -23,10 +25,21 @@ def work_plan(disk: DataFrame, stored: DataFrame, key: str = "filename", modifie
     return out.filter("needs_embed OR needs_ocr OR needs_thumbnail OR needs_metadata")
 
 
-def changed(disk: DataFrame, stored: DataFrame, key: str = "filename", modified: str = "mtime") -> DataFrame:
-    """Files that are new or whose time differs from the stored one."""
-    old = stored.select(F.col(key).alias("_key"), F.col(modified).alias("_old"))
-    return disk.join(old, disk[key] == F.col("_key"), "left").filter(~F.col("_old").eqNullSafe(F.col(modified))).drop("_key", "_old")
+def changed(disk: DataFrame, stored: DataFrame, key: str = "filename", modified: str = "mtime", formats: str | None = None, wanted: list[str] | None = None) -> DataFrame:
+    """Files that are new or whose time differs from the stored one.
+
+    With ``formats``, a column of ``stored``, also those whose stored formats are not the ``wanted`` ones, with
+    ``missing``: the wanted formats that the file lacks.
+    """
+    old = stored.select(F.col(key).alias("_key"), F.col(modified).alias("_old"), *([F.col(formats).alias("_formats")] if formats else []))
+    j = disk.join(old, disk[key] == F.col("_key"), "left")
+    moved = ~F.col("_old").eqNullSafe(F.col(modified))
+    if not formats:
+        return j.filter(moved).drop("_key", "_old")
+    want = F.array(*[F.lit(w) for w in wanted or []]).cast("array<string>")
+    have = F.coalesce("_formats", F.array().cast("array<string>"))
+    other = F.array_sort(F.array_distinct(have)) != F.array_sort(F.array_distinct(want))
+    return j.filter(moved | other).withColumn("missing", F.array_except(want, have)).drop("_key", "_old", "_formats")
 
 
 def stale_scans(files: DataFrame, scans: DataFrame, key: str = "filename") -> DataFrame:
@@ -58,7 +71,8 @@ def merge(stored: DataFrame, changes: DataFrame, key: str) -> DataFrame:
 
 
 def last_by(df: DataFrame, keys: list[str], order: str) -> DataFrame:
-    w = Window.partitionBy(*keys).orderBy(F.col(order).desc())
+    """The last row of each key; among equals the one that is last as JSON, so that every run takes the same."""
+    w = Window.partitionBy(*keys).orderBy(F.col(order).desc(), F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])).desc())
     return df.withColumn("_place", F.row_number().over(w)).filter("_place = 1").drop("_place")
 
 
@@ -68,6 +82,14 @@ def resume_point(written: DataFrame, timestamp: str = "timestamp") -> DataFrame:
 
 
 def unique_names(df: DataFrame, name: str, order: str) -> DataFrame:
-    """``name``, ``name-2``, ``name-3`` … in order."""
-    n = F.row_number().over(Window.partitionBy(name).orderBy(order))
-    return df.withColumn("unique_name", F.when(n == 1, F.col(name)).otherwise(F.concat_ws("-", F.col(name), n)))
+    """Add ``unique_name``: the first row of a name keeps it, the others get ``name-2``, ``name-3`` … in order.
+
+    A suffix whose name some row already has is passed over, so that no two rows share a name.
+    """
+    ending = F.regexp_extract(name, "-([2-9]|[1-9][0-9]{1,8})$", 1)
+    names = df.select(F.col(name)).distinct().withColumn("_n", ending).filter("_n != ''")
+    base = F.expr(f"substring({name}, 1, length({name}) - length(_n) - 1)")
+    taken = names.select(base.alias("_base"), F.col("_n").cast("long").alias("_n")).groupBy("_base").agg(F.array_sort(F.collect_list("_n")).alias("_taken"))
+    p = positions(df, [F.col(order)], [name]).drop("total").join(taken, F.col(name) == F.col("_base"), "left")
+    free = F.aggregate(F.coalesce("_taken", F.array().cast("array<long>")), F.col("place") + 1, lambda n, t: n + F.when(t <= n, 1).otherwise(0))
+    return p.withColumn("unique_name", F.when(F.col("place") == 0, F.col(name)).otherwise(F.concat_ws("-", F.col(name), free))).drop("place", "_base", "_taken")

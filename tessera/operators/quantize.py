@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import dot, to_matrix
+from .search import batch_top_k
 
 
 class ProductQuantizer:
@@ -111,6 +112,25 @@ def adc_top_k(coded: DataFrame, quantizer: ProductQuantizer, query: np.ndarray,
     return again.withColumn("score", dot(vector, q)).orderBy(F.col("score").desc(), key).limit(k).select(key, "score")
 
 
+def adc_batch_top_k(vectors: DataFrame, queries: DataFrame, quantizer: ProductQuantizer, k: int, widen: int = 20, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """``query_id, vec_id, score, rank``: for every query the best ``widen * k`` by codes, in exact order.
+
+    Vectors are judged by what their codes decode to; exact products decide among the ``widen * k`` that are left.
+    """
+    dims = quantizer.subspaces * quantizer.width
+
+    @F.pandas_udf("array<double>")
+    def rebuilt(x: pd.Series) -> pd.Series:
+        return pd.Series(list(quantizer.decode(quantizer.encode(np.stack(x.to_numpy()).astype(np.float64))).reshape(len(x), dims))) if len(x) else pd.Series([], dtype=object)
+
+    coded = vectors.filter(F.col(vector).isNotNull()).select(key, rebuilt(vector).alias(vector))
+    near = batch_top_k(coded, queries, widen * k, key, vector=vector).select("query_id", key)
+    pairs = near.join(vectors.select(key, F.col(vector).alias("_x")), key).join(queries.select("query_id", F.col(vector).alias("_q")), "query_id")
+    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), key)
+    exact = pairs.withColumn("score", dot("_x", "_q")).withColumn("rank", F.row_number().over(order).cast("long"))
+    return exact.filter(F.col("rank") <= k).select("query_id", key, "score", "rank")
+
+
 def codeword_table(quantizer_rows: DataFrame, subspaces: int, vector: str = "embedding") -> DataFrame:
     """``subspace, code, codeword`` from rows ``code, embedding``: each vector's parts are codewords."""
     parts = F.transform(F.sequence(F.lit(0), F.lit(subspaces - 1)), lambda s: F.struct(s.alias("subspace"), F.slice(vector, s * (F.size(vector) / subspaces).cast("int") + 1, (F.size(vector) / subspaces).cast("int")).alias("codeword")))

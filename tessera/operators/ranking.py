@@ -103,7 +103,7 @@ def covariance(vectors: DataFrame, vector: str = "embedding") -> DataFrame:
             i, j = np.triu_indices(len(s))
             yield pa.RecordBatch.from_pydict({"i": i, "j": j, "n": np.full(len(i), n), "si": s[i], "sj": s[j], "sij": xx[i, j]})
 
-    parts = vectors.select(vector).mapInArrow(sums, "i long, j long, n long, si double, sj double, sij double")
+    parts = vectors.filter(F.col(vector).isNotNull()).select(vector).mapInArrow(sums, "i long, j long, n long, si double, sj double, sij double")
     t = parts.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "si", "sj", "sij")])
     return t.select("i", "j", (F.col("sij") / F.col("n") - F.col("si") / F.col("n") * F.col("sj") / F.col("n")).alias("cov"))
 

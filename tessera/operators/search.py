@@ -16,7 +16,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import name_hash
 from ..functions.vectors import by_dimension, dot, gathered, to_matrix
+from .encode import encoded
 
 #: Query vectors that are sent to every task at once.
 MAX_QUERIES = 4_096
@@ -42,21 +44,53 @@ def random_query(dims: int, seed: int = 0) -> list[float]:
     return (np.random.default_rng(seed).standard_normal(dims) / np.sqrt(dims)).tolist()
 
 
+def _one(query: DataFrame) -> Column:
+    """The vector of a query of one row, as a literal."""
+    rows = query.select("query").limit(2).collect()
+    if len(rows) != 1:
+        raise ValueError(f"one query row is asked for, not {len(rows) or 'none'}{' or more' if rows else ''}")
+    return F.array(*[F.lit(float(x)) for x in rows[0]["query"]])
+
+
 def top_k(vectors: DataFrame, query: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", bias: Column | None = None) -> DataFrame:
     """The ``k`` best rows for one query vector, with ``score``; ties go to the smaller key.
 
-    ``query`` has one row.  ``bias`` is added to the score.
+    ``query`` must have one row.  ``bias`` is added to the score.  Null vectors are left out.
     """
-    score = dot(vector, "query")
-    scored = vectors.crossJoin(F.broadcast(query.limit(1))).withColumn("score", score if bias is None else score + bias).drop("query")
+    score = dot(vector, _one(query))
+    scored = vectors.filter(F.col(vector).isNotNull()).withColumn("score", score if bias is None else score + bias)
     return scored.orderBy(F.col("score").desc(), key).limit(k)
 
 
+def request_query(terms: DataFrame, predefined: DataFrame, dims: int, defaults: DataFrame | None = None, encode: Callable[[str], Callable[[list], np.ndarray]] | None = None, seed: int = 0) -> DataFrame:
+    """:func:`total_query` of a request; one without terms gets a random vector and the default terms."""
+    if not terms.isEmpty():
+        return total_query(terms, predefined, encode)
+    spark = terms.sparkSession
+    chance = spark.createDataFrame([(random_query(dims, seed), None, None, None, 1.0)], terms.schema)
+    return total_query(chance if defaults is None else chance.unionByName(defaults), predefined, encode)
+
+
+def result_rows(found: DataFrame, debug: bool = False, url: str = "url") -> DataFrame:
+    """Results as they are served: score, URL, name hash, format mask, dimensions, and debug fields only if asked for.
+
+    Columns that ``found`` lacks are null; the mask is 0.
+    """
+    have = lambda c, kind: F.col(c).cast(kind) if c in found.columns else F.lit(None).cast(kind)
+    size = F.when(have("width", "int").isNotNull(), F.struct(have("width", "int").alias("width"), have("height", "int").alias("height")))
+    extra = F.struct(have("scores", "array<double>").alias("scores"), have("shards", "array<int>").alias("shards"), have("timestamp", "long").alias("timestamp"))
+    return found.select(
+        F.col("score").cast("float").alias("score"), url, name_hash(url).alias("hash"), F.coalesce(have("mask", "long"), F.lit(0)).cast("long").alias("formats"),
+        size.alias("dimensions"), (extra if debug else F.lit(None).cast("struct<scores:array<double>,shards:array<int>,timestamp:long>")).alias("debug"),
+    )
+
+
 def batch_top_k(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", query_key: str = "query_id", vector: str = "embedding", above: float | None = None) -> DataFrame:
     """``query_id, vec_id, score, rank`` of the best ``k`` vectors for every query.
 
-    Queries are sent to all tasks in blocks of at most ``MAX_QUERIES``, which a hash of the query's key deals.
+    Null vectors neither ask nor answer.  Queries are sent to all tasks in blocks of at most ``MAX_QUERIES``, which a hash of the query's key deals.
     """
+    vectors, queries = (d.filter(F.col(vector).isNotNull()) for d in (vectors, queries))
     asked = queries.count()
     # twice as many blocks as would just do, since a hash deals them unevenly
     blocks = 1 if asked <= MAX_QUERIES else -(-2 * asked // MAX_QUERIES)
@@ -91,6 +125,11 @@ def _block_top_k(vectors: DataFrame, queries: DataFrame, k: int, key: str, query
     return ranked.select(F.col("q").alias(query_key), F.col("v").alias(key), "score", "rank")
 
 
+def without_video(scored: DataFrame, frame: str = "frame") -> DataFrame:
+    """Results without frames of videos."""
+    return scored.filter(F.col(frame).isNull())
+
+
 def best_per_container(scored: DataFrame, container: str = "container", key: str = "vec_id") -> DataFrame:
     """The best-scored frame of each container."""
     order = Window.partitionBy(container).orderBy(F.col("score").desc(), key)
@@ -99,7 +138,7 @@ def best_per_container(scored: DataFrame, container: str = "container", key: str
 
 def route(query: DataFrame, centroids: DataFrame, shard: str = "shard_id", centroid: str = "centroid") -> DataFrame:
     """The shard whose centroid has the largest inner product; ties go to the larger shard."""
-    scored = centroids.crossJoin(F.broadcast(query.limit(1))).select(F.struct(dot(centroid, "query").alias("score"), shard).alias("s"))
+    scored = centroids.select(F.struct(dot(centroid, _one(query)).alias("score"), shard).alias("s"))
     return scored.agg(F.max("s").alias("s")).select(f"s.{shard}", "s.score")
 
 
@@ -125,22 +164,24 @@ def refinements(query: DataFrame, direction: list[float], steps: int = 2) -> Dat
     return out.withColumn("query", F.zip_with("query", d, lambda x, y: x + F.col("step") / steps * y))
 
 
-def total_query(terms: DataFrame, predefined: DataFrame, encode: Callable[[str, str], list[float]] | None = None) -> DataFrame:
+def total_query(terms: DataFrame, predefined: DataFrame, encode: Callable[[str], Callable[[list], np.ndarray]] | None = None) -> DataFrame:
     """The vector of a request whose terms hold raw vectors, predefined names, texts and images.
 
     One term may hold several kinds; each counts with the term's weight.  Texts and images need
-    an encoder ``encode(kind, value)``; without one they are an error, never a guess.
+    an encoder; without one they are an error, never a guess.  ``encode(kind)`` gives the encoder of ``text`` or ``image``, which
+    takes lists in batches.
     """
     w = F.coalesce("weight", F.lit(1.0)).alias("weight")
     raw = terms.filter(F.col("embedding").isNotNull()).select(w, F.col("embedding").cast("array<double>").alias("embedding"))
     named = terms.filter(F.col("predefined_embedding").isNotNull()).select(w, F.col("predefined_embedding").alias("name"))
     named = named.join(predefined.select("name", F.col("embedding").cast("array<double>").alias("embedding")), "name").drop("name")
     parts = raw.unionByName(named)
-    asked = terms.select(w, F.explode(F.map_from_arrays(F.array(F.lit("text"), F.lit("image")), F.array("text", "image"))).alias("kind", "value")).filter("value IS NOT NULL")
-    if encode is not None:
-        encoder = F.udf(encode, "array<double>")
-        parts = parts.unionByName(asked.select("weight", encoder("kind", "value").alias("embedding")))
-    elif not asked.isEmpty():
-        raise ValueError("text and image terms need an encoder")
+    for kind in ("text", "image"):
+        asked = terms.filter(F.col(kind).isNotNull()).select(w, F.col(kind).alias("value"))
+        if encode is not None:
+            vectors = encoded(asked, encode(kind), "weight", "value", unit=False)
+            parts = parts.unionByName(vectors.select("weight", F.col("embedding").cast("array<double>").alias("embedding")))
+        elif not asked.isEmpty():
+            raise ValueError("text and image terms need an encoder")
     dims = by_dimension(parts, "weight").groupBy("pos").agg(F.sum(F.col("weight") * F.col("x")).alias("x"))
     return gathered(dims, to="query")

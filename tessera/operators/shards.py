@@ -10,15 +10,29 @@ from pyspark.sql import functions as F
 from ..functions.vectors import dot, mean_vectors, to_matrix
 
 
+#: Centroids that are sent to every task.
+MAX_SHARDS = 16_384
+
+
 def nearest_shards(vectors: DataFrame, centroids: DataFrame, n: int = 2, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """``vec_id, shard_id, choice, score``: the ``n`` shards with the largest inner product.
+    """``vec_id, shard_id, choice, score``: the ``n`` shards with the largest inner product; ties go to the smaller shard.
 
-    The number of centroids is the number of shards, which is a parameter of the index.
+    The number of centroids is the number of shards, a parameter of the index, which is checked.  All are one row beside
+    each vector, so that nothing is shuffled.
     """
-    scored = vectors.select(key, vector).crossJoin(F.broadcast(centroids.select("shard_id", "centroid")))
-    scored = scored.select(key, "shard_id", dot(vector, "centroid").alias("score"))
-    w = Window.partitionBy(key).orderBy(F.col("score").desc(), "shard_id")
-    return scored.withColumn("choice", F.row_number().over(w).cast("long")).filter(F.col("choice") <= n)
+    if centroids.limit(MAX_SHARDS + 1).count() > MAX_SHARDS:
+        raise ValueError(f"more than {MAX_SHARDS} shards")
+    all_shards = centroids.agg(F.collect_list(F.struct("shard_id", "centroid")).alias("_all"))
+    # by falling score, then rising shard: the sort is by the negative score
+    scored = F.transform("_all", lambda s: F.struct((-dot(vector, s["centroid"])).alias("far"), s["shard_id"].alias("shard_id")))
+    best = F.transform(F.slice(F.array_sort(scored), 1, n), lambda s: F.struct(s["shard_id"].alias("shard_id"), (-s["far"]).alias("score")))
+    out = vectors.filter(F.col(vector).isNotNull()).select(key, vector).crossJoin(F.broadcast(all_shards)).select(key, F.posexplode(best).alias("choice", "s"))
+    return out.select(key, "s.shard_id", (F.col("choice") + 1).cast("long").alias("choice"), "s.score")
+
+
+def first_shards(assigned: DataFrame, n: int) -> DataFrame:
+    """Only what belongs to the first ``n`` shards by number."""
+    return assigned.filter(F.col("shard_id") < n)
 
 
 def balanced_shards(vectors: DataFrame, centroids: DataFrame, fudge: float = 0.2, batch: int = 2048, key: str = "vec_id", vector: str = "embedding", n: int = 2) -> DataFrame:
@@ -106,6 +120,8 @@ def shard_offsets(headers: DataFrame) -> DataFrame:
     return headers.withColumn("offset", F.coalesce(F.sum("size").over(w), F.lit(0)))
 
 
-def write_shards(assigned: DataFrame, path: str) -> None:
-    """A folder per shard; rows of a shard are gathered before they are written."""
-    assigned.repartition("shard_id").write.partitionBy("shard_id").mode("overwrite").parquet(path)
+def write_shards(assigned: DataFrame, path: str, rows: int = 1_000_000) -> None:
+    """A folder per shard; a shard of more than ``rows`` rows fills several files, each written by a task of its own."""
+    n = assigned.groupBy("shard_id").agg(F.ceil(F.count(F.lit(1)) / rows).alias("_parts"))
+    dealt = assigned.join(n, "shard_id").withColumn("_part", F.pmod(F.xxhash64(*[c for c in assigned.columns if c != "shard_id"]), "_parts"))
+    dealt.repartition("shard_id", "_part").drop("_part", "_parts").write.partitionBy("shard_id").mode("overwrite").parquet(path)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import permalink
+from ..functions.vectors import fp16_encode
 from .stats import descriptor_code
 
 
@@ -13,15 +15,33 @@ def append_dump(df: DataFrame, folder: str, sequence: int) -> None:
     df.write.mode("overwrite").option("compression", "zstd").parquet(f"{folder}/sequence={sequence:06d}")
 
 
-def printed(kind: str, title: Column, url: Column, vector: Column, link: Column) -> Column:
-    """A record as a line: ``record``, ``url``, ``title``, ``embedding`` or ``json``."""
-    return {
-        "record": F.concat_ws(" ", url, title, link),
-        "url": url,
-        "title": title,
-        "embedding": F.concat_ws(",", F.transform(vector, lambda x: x.cast("string"))),
-        "json": F.to_json(F.struct(url.alias("url"), title.alias("title"), link.alias("link"))),
-    }[kind]
+def write_vectors(df: DataFrame, path: str, order: str = "vec_id", vector: str = "embedding") -> None:
+    """Vectors alone, as little-endian half-precision bytes, in files whose names and rows follow the order."""
+    sorted_ = df.filter(F.col(vector).isNotNull()).repartitionByRange(F.col(order)).sortWithinPartitions(order)
+    sorted_.select(fp16_encode(vector).alias("embedding")).write.mode("overwrite").parquet(path)
+
+
+def printed(kind: str, entry: dict[str, Column]) -> Column:
+    """A processed entry as a line: ``record``, ``url``, ``title``, ``embedding`` or ``json``.
+
+    ``entry`` has ``url, id, title, subreddit, author, timestamp, embedding`` and ``metadata``, a struct with
+    ``final_url``.  A null field prints as nothing in a record, and is left out of JSON.
+    """
+    none = lambda c: F.coalesce(c.cast("string"), F.lit(""))
+    if kind == "record":
+        when = F.date_format(F.timestamp_seconds(entry["timestamp"]), "yyyy-MM-dd HH:mm:ss 'UTC'")
+        return F.concat(none(when), F.lit(" "), none(entry["title"]), F.lit(" "), none(permalink(entry["subreddit"], entry["id"])), F.lit(" "), none(entry["metadata"]["final_url"]))
+    if kind == "embedding":
+        return F.concat(F.lit("?e="), F.translate(F.base64(fp16_encode(entry["embedding"])), "+/", "-_"))
+    if kind == "json":
+        fields = ("url", "id", "title", "subreddit", "author", "timestamp", "embedding", "metadata")
+        return F.to_json(F.struct(*[entry[f].alias(f) for f in fields]))
+    return {"url": entry["url"], "title": entry["title"]}[kind]
+
+
+def queued(pairs: DataFrame, path: str, iteration: str) -> None:
+    """Append pairs ``a, b`` to a queue of comparisons; writing an iteration again replaces it."""
+    pairs.select(F.col("a").alias("meme1"), F.col("b").alias("meme2")).write.mode("overwrite").parquet(f"{path}/iteration={iteration}")
 
 
 def packed(nodes: DataFrame, cdfs: dict[int, list[float]], limits: dict[int, float] | None = None, most_bytes: int = 4094) -> DataFrame:
@@ -48,12 +68,14 @@ def shuffled(df: DataFrame, key: str, seed: int = 0) -> DataFrame:
 
 
 def format_mask(files: DataFrame, key: str, formats: str) -> tuple[DataFrame, DataFrame]:
-    """``key, mask`` and the dictionary ``format, bit``; bit 0 is for video, the rest in order of name."""
-    from pyspark.sql import Window
+    """``key, mask`` and the dictionary ``format, bit``; bit 0 is for video, the rest in order of name.
 
+    A mask has 64 bits, of which the last is the sign: more than 62 formats besides video are an error.
+    """
     each = files.select(key, F.explode(formats).alias("format"))
-    names = each.filter("format != 'VIDEO'").select("format").distinct()
-    bits = names.withColumn("bit", F.row_number().over(Window.orderBy("format"))).union(names.sparkSession.createDataFrame([("VIDEO", 0)], "format string, bit int"))
-    # a mask has 64 bits, which bounds the dictionary
+    names = sorted(r["format"] for r in each.filter("format != 'VIDEO'").select("format").distinct().limit(63).collect())
+    if len(names) > 62:
+        raise ValueError("a mask holds video and at most 62 other formats")
+    bits = files.sparkSession.createDataFrame([(n, k) for k, n in enumerate(["VIDEO", *names])], "format string, bit int")
     masked = each.join(F.broadcast(bits), "format").groupBy(key).agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("mask"))
     return masked, bits

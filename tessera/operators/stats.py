@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import by_dimension
+from .order import positions, quantiles, running
 
 
 def fixed_bin(x: Column, low: float = -1.0, high: float = 1.0, bins: int = 512) -> Column:
@@ -35,10 +36,11 @@ def quantile_levels(n: int = 255) -> list[float]:
 
 
 def cdf(df: DataFrame, x: str, *keys: str, levels: list[float] | None = None, exact: bool = True) -> DataFrame:
-    """``cdf``: the quantiles of a channel; ``exact=False`` uses a mergeable sketch for very large inputs."""
+    """``cdf``: the quantiles of a channel, by range-partitioned ranks; ``exact=False`` uses a mergeable sketch."""
     levels = levels or quantile_levels()
-    q = F.percentile(x, F.array(*[F.lit(v) for v in levels])) if exact else F.percentile_approx(x, levels, 100_000)
-    return df.groupBy(*keys).agg(q.alias("cdf"))
+    if exact:
+        return quantiles(df, x, levels, list(keys), "cdf")
+    return df.groupBy(*keys).agg(F.percentile_approx(x, levels, 100_000).alias("cdf"))
 
 
 def descriptor_code(x: Column, quantiles: Column) -> Column:
@@ -47,7 +49,10 @@ def descriptor_code(x: Column, quantiles: Column) -> Column:
 
 
 def dimension_bounds(vectors: DataFrame, low: float = 0.0005, high: float = 0.9995, vector: str = "embedding") -> DataFrame:
-    """Quantile bounds of each dimension: ``pos, low, high``."""
+    """Quantile bounds of each dimension: ``pos, low, high``.
+
+    A dimension's state counts distinct values, of which vectors in half precision have at most 65,536.
+    """
     q = F.percentile("x", F.array(F.lit(low), F.lit(high)))
     return by_dimension(vectors, vector=vector).groupBy("pos").agg(q.alias("q")).select("pos", F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))
 
@@ -60,44 +65,50 @@ def standardised_histogram(vectors: DataFrame, vector: str = "embedding", bins:
     return histogram(z, F.col("z"), "pos", low=-reach, high=reach, bins=bins).withColumn("log_n", F.log1p("n"))
 
 
-def rolling_mean(df: DataFrame, x: str, order: str, rows: int = 50, *keys: str) -> DataFrame:
-    """Mean over the last ``rows`` rows, where there are that many."""
-    w = Window.partitionBy(*keys).orderBy(order)
-    out = df.withColumns({"_n": F.row_number().over(w), "rolling": F.avg(x).over(w.rowsBetween(1 - rows, 0))})
-    return out.filter(F.col("_n") >= rows).drop("_n")
+def rolling_mean(df: DataFrame, x: str, order: str, rows: int = 50, *keys: str, block: int = 20_000) -> DataFrame:
+    """Mean over the last ``rows`` rows, where there are that many.
+
+    A key's rows are cut into blocks by place; a block gets the last rows of the one before as guests.
+    """
+    p = positions(df, [F.col(order)], list(keys))
+    own = F.floor(F.col("place") / block)
+    homes = F.when(F.col("place") % block >= block - rows + 1, F.array(own, own + 1)).otherwise(F.array(own))
+    p = p.withColumns({"_own": own, "_block": F.explode(homes)})
+    w = Window.partitionBy(*keys, "_block").orderBy("place").rowsBetween(1 - rows, 0)
+    out = p.withColumn("rolling", F.avg(x).over(w)).filter((F.col("_own") == F.col("_block")) & (F.col("place") >= rows - 1))
+    return out.drop("_own", "_block", "place", "total")
 
 
 def inter_arrival(df: DataFrame, at: str, order: str, *keys: str) -> DataFrame:
-    """Mean seconds between one row and the next."""
-    w = Window.partitionBy(*keys).orderBy(order)
-    gaps = df.withColumn("gap", F.col(at) - F.lag(at).over(w))
-    return gaps.groupBy(*keys).agg(F.avg("gap").alias("mean_gap"), F.count("gap").alias("gaps"))
+    """Mean seconds between one row and the next: the span over the number of gaps, as gaps add up to it.
+
+    Rows without a time are left out; null for a single row.
+    """
+    known = df.filter(F.col(at).isNotNull())
+    span = F.max_by(at, order) - F.min_by(at, order)
+    gaps = F.count(F.lit(1)) - 1
+    return known.groupBy(*keys).agg((span / F.nullif(gaps, F.lit(0))).alias("mean_gap"), gaps.alias("gaps"))
 
 
 def roc(df: DataFrame, score: str, label: str) -> DataFrame:
-    """``score, tp, fp`` at every distinct threshold, from the highest down.
-
-    Rows are aggregated per score first, so the window runs over distinct scores.
-    """
+    """``score, p, n, tp, fp`` at every distinct threshold, from the highest down; ``p`` and ``n`` have that score."""
     steps = df.groupBy(score).agg(F.sum(F.when(F.col(label), 1).otherwise(0)).alias("p"), F.sum(F.when(F.col(label), 0).otherwise(1)).alias("n"))
-    w = Window.orderBy(F.col(score).desc()).rowsBetween(Window.unboundedPreceding, 0)
-    return steps.select(score, F.sum("p").over(w).alias("tp"), F.sum("n").over(w).alias("fp"))
+    return running(steps, {"tp": F.col("p"), "fp": F.col("n")}, [F.col(score).desc()])
 
 
 def auroc(df: DataFrame, score: str, label: str) -> DataFrame:
     """Area under the curve by trapezoids; null without both labels."""
-    w = Window.orderBy(F.col(score).desc())
-    c = roc(df, score, label).withColumns({"tp0": F.coalesce(F.lag("tp").over(w), F.lit(0)), "fp0": F.coalesce(F.lag("fp").over(w), F.lit(0))})
-    area = F.sum((F.col("fp") - F.col("fp0")) * (F.col("tp") + F.col("tp0")) / 2)
-    return c.agg((area / F.nullif(F.max("tp") * F.max("fp"), F.lit(0))).alias("auroc"))
+    c = roc(df, score, label)
+    # a step is as wide as its n; its sides are tp before and after
+    area = F.sum(F.col("n") * (2 * F.col("tp") - F.col("p")) / 2)
+    return c.agg((area / F.nullif(F.sum("p") * F.sum("n"), F.lit(0))).alias("auroc"))
 
 
 def rank_summary(df: DataFrame, rank: str) -> DataFrame:
     """Of ranks from 0: mean, upper median, harmonic mean (all plus 1), least and greatest."""
-    w = Window.orderBy(rank)
-    placed = df.select(F.col(rank).alias("r"), F.row_number().over(w).alias("_i"), F.count(F.lit(1)).over(Window.partitionBy()).alias("_n"))
+    placed = positions(df.select(F.col(rank).alias("r")), [F.col("r")])
     return placed.agg(
-        (F.avg("r") + 1).alias("mean"), (F.max(F.when(F.col("_i") == F.floor(F.col("_n") / 2) + 1, F.col("r"))) + 1).alias("median"),
+        (F.avg("r") + 1).alias("mean"), (F.max(F.when(F.col("place") == F.floor(F.col("total") / 2), F.col("r"))) + 1).alias("median"),
         F.min("r").alias("least"), F.max("r").alias("greatest"), (F.count(F.lit(1)) / F.sum(1 / (F.col("r") + 1))).alias("harmonic"),
     )
 
@@ -110,11 +121,14 @@ def recall(truth: DataFrame, found: DataFrame, k: int, query: str = "query_id",
 
 def percentile_slice(df: DataFrame, order: list[Column], levels: list[float], n: int = 25) -> DataFrame:
     """``n`` ranked rows from each level on, with ``level``."""
-    w = Window.orderBy(*order)
-    placed = df.withColumns({"_i": F.row_number().over(w) - 1, "_n": F.count(F.lit(1)).over(Window.partitionBy())})
-    placed = placed.withColumn("level", F.explode(F.array(*[F.lit(x) for x in levels])))
-    base = F.round(F.col("level") * F.col("_n"))
-    return placed.filter((F.col("_i") >= base) & (F.col("_i") < base + n)).withColumnRenamed("_i", "place").drop("_n")
+    placed = positions(df, order).withColumn("level", F.explode(F.array(*[F.lit(x) for x in levels])))
+    base = F.round(F.col("level") * F.col("total"))
+    return placed.filter((F.col("place") >= base) & (F.col("place") < base + n)).drop("total")
+
+
+def top_fraction(df: DataFrame, order: list[Column], parts: int) -> DataFrame:
+    """The first ``1 / parts`` of the rows in the given order."""
+    return positions(df, order).filter(F.col("place") < F.floor(F.col("total") / parts)).drop("place", "total")
 
 
 def ensemble(df: DataFrame, *keys: str, score: str = "score") -> DataFrame:

@@ -66,3 +66,36 @@ def stream_windows(spark, sf_dir):
     daily = flows.telemetry_daily(_events(spark, sf_dir))
     flows.append(daily, f"{at}/out", f"{at}/checkpoint").awaitTermination()
     return spark.read.parquet(f"{at}/out").withColumn("day", F.col("day").cast("timestamp_ntz"))
+
+
+@query("SELECT event_type, user_id, count(*) AS n FROM (SELECT DISTINCT event_type, user_id, value FROM events) GROUP BY 1, 2")
+def stream_dedup_watermark(spark, sf_dir):
+    """Deduplication whose state ends with the watermark, which is later than all copies here."""
+    at = fresh_path(spark, "flow")
+    unique = flows.deduplicated(_events(spark, sf_dir), ["event_type", "user_id", "value"], "ts", "60 days").select("event_type", "user_id", "value")
+    flows.append(unique, f"{at}/out", f"{at}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{at}/out").groupBy("event_type", "user_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""
+    WITH e AS (SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS day, event_type, event_id % 4 <> 3 AS first FROM events),
+    w AS (SELECT max(ts) FILTER (WHERE event_id % 2 = 0) - INTERVAL 1 HOUR AS early, max(ts) - INTERVAL 1 HOUR AS late FROM events)
+    SELECT day, event_type, count(*) AS n FROM e, w WHERE day + INTERVAL 1 DAY <= late AND (first OR day + INTERVAL 1 DAY > early) GROUP BY day, event_type""")
+def stream_late_rows(spark, sf_dir):
+    """A quarter of the events comes two batches after the first: those of days that the first one's watermark closed are dropped."""
+    at = fresh_path(spark, "flow")
+    events = table(spark, sf_dir, "events")
+    for some in ("event_id % 2 = 0", "event_id % 4 = 1", "event_id % 4 = 3"):
+        events.filter(some).coalesce(1).write.mode("append").parquet(f"{at}/in")
+    daily = flows.telemetry_daily(flows.source(spark, f"{at}/in", events.schema, files_per_batch=1))
+    flows.append(daily, f"{at}/out", f"{at}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{at}/out").withColumn("day", F.col("day").cast("timestamp_ntz"))
+
+
+@query("""
+    WITH s AS (SELECT event_type, time_bucket(INTERVAL 12 HOURS, ts) AS b FROM events)
+    SELECT start, event_type, count(*) AS n FROM (SELECT b AS start, event_type FROM s UNION ALL SELECT b - INTERVAL 12 HOURS, event_type FROM s) GROUP BY start, event_type""")
+def sliding_counts(spark, sf_dir):
+    """Overlapping windows of a day, one every twelve hours."""
+    s = flows.sliding(table(spark, sf_dir, "events"))
+    return s.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n")

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import dot, mean_vectors, to_matrix
 from ..operators import graph, quantize, search, shards, stats
+from ..operators.order import positions
 from ..sources.files import table
 from ..storage import materialize
 from .base import query
@@ -19,39 +20,33 @@ knn AS (
   SELECT * FROM (
     SELECT a.vec_id AS src, b.vec_id AS dst, list_dot_product(a.e, b.e) AS score,
            row_number() OVER (PARTITION BY a.vec_id ORDER BY list_dot_product(a.e, b.e) DESC, b.vec_id) AS place
-    FROM ({VEC}) a JOIN ({VEC}) b ON a.label = b.label AND a.vec_id <> b.vec_id
+    FROM ({VEC}) a JOIN ({VEC}) b ON a.vec_id <> b.vec_id
   ) WHERE place <= 8
 )"""
 
 
 def _knn(spark, sf_dir):
-    return graph.knn_graph(table(spark, sf_dir, "embeddings"), 8, group="label")
+    return graph.knn_graph(table(spark, sf_dir, "embeddings"), 8)
 
 
 @query(f"WITH {KNN} SELECT src, dst, place, round(score, 9) AS score FROM knn")
 def knn_graph(spark, sf_dir):
-    """Exact neighbours within a shard (here the label)."""
+    """Exact neighbours among all vectors."""
     return _knn(spark, sf_dir).withColumn("score", F.round("score", 9))
 
 
-@query(f"""
-    WITH s AS (SELECT a.vec_id AS src, b.vec_id AS dst, list_dot_product(a.e, b.e) AS score FROM ({VEC}) a JOIN ({VEC}) b ON a.vec_id <> b.vec_id),
-    r AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY score DESC, dst) AS place FROM s)
-    SELECT src, dst, place, round(score, 9) AS score FROM r WHERE place <= 8""")
-def knn_graph_whole(spark, sf_dir):
-    """Exact neighbours among all vectors."""
-    v = table(spark, sf_dir, "embeddings")
-    found = search.batch_top_k(v, v.withColumnRenamed("vec_id", "query_id"), 9).filter("query_id != vec_id")
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy("rank")).cast("long")
-    found = found.withColumn("place", place).filter("place <= 8")
-    return found.select(F.col("query_id").alias("src"), F.col("vec_id").alias("dst"), "place", F.round("score", 9).alias("score"))
+# Edges that are close enough; some vectors have none.
+CLOSE = "close AS (SELECT src, dst FROM knn WHERE score > 0.3)"
 
 
 @query(f"""
-    WITH {KNN}, d AS (SELECT dst, count(*) AS degree FROM knn GROUP BY dst), o AS (SELECT degree, row_number() OVER (ORDER BY degree) AS i, count(*) OVER () AS n FROM d)
+    WITH {KNN}, {CLOSE}, d AS (SELECT vec_id, count(dst) AS degree FROM embeddings LEFT JOIN close ON vec_id = src GROUP BY vec_id),
+    o AS (SELECT degree, row_number() OVER (ORDER BY degree) AS i, count(*) OVER () AS n FROM d)
     SELECT round(avg(degree), 9) AS mean, max(degree) FILTER (WHERE i = n // 2 + 1) AS median, min(degree) AS least, max(degree) AS greatest FROM o""")
 def degree_stats(spark, sf_dir):
-    return graph.degree_stats(_knn(spark, sf_dir)).withColumn("mean", F.round("mean", 9))
+    """Out-degrees of all vectors, those without a near neighbour included."""
+    edges = _knn(spark, sf_dir).filter("score > 0.3")
+    return graph.degree_stats(table(spark, sf_dir, "embeddings"), edges).withColumn("mean", F.round("mean", 9))
 
 
 @query(f"""
@@ -71,12 +66,25 @@ def merge_neighbours(spark, sf_dir):
 
 
 @query(f"""
-    WITH {KNN}, b AS (SELECT src AS base, dst AS query FROM knn WHERE dst % 10 = 0), o AS (SELECT src AS query, dst AS t FROM knn WHERE dst % 10 <> 0),
-    n AS (SELECT base, t, row_number() OVER (PARTITION BY base, b.query ORDER BY t) AS i FROM b JOIN o ON b.query = o.query WHERE base <> t)
-    SELECT DISTINCT base AS src, t AS dst FROM n WHERE i <= 4""")
+    WITH RECURSIVE {KNN}, v AS ({VEC}),
+    own AS (SELECT vec_id AS src, coalesce(list(dst ORDER BY dst) FILTER (WHERE dst % 10 <> 0), []) AS own FROM v LEFT JOIN knn ON vec_id = src WHERE vec_id % 10 <> 0 GROUP BY vec_id),
+    offers AS (
+      SELECT i.src, i.dst AS query, o.dst AS t, row_number() OVER (PARTITION BY i.src ORDER BY i.dst, list_dot_product(x.e, y.e) DESC, o.dst) AS n
+      FROM knn i JOIN knn o ON i.dst = o.src JOIN v x ON x.vec_id = i.src JOIN v y ON y.vec_id = o.dst WHERE i.dst % 10 = 0 AND i.src % 10 <> 0 AND i.src <> o.dst
+    ), steps(src, n, query, added, own, new) AS (
+      SELECT src, CAST(0 AS BIGINT), CAST(-1 AS BIGINT), 0, own, CAST([] AS BIGINT[]) FROM own
+      UNION ALL
+      SELECT s.src, o.n, o.query,
+             CASE WHEN o.query = s.query THEN s.added ELSE 0 END + CASE WHEN {{takes}} THEN 1 ELSE 0 END, s.own, CASE WHEN {{takes}} THEN list_append(s.new, o.t) ELSE s.new END
+      FROM steps s JOIN offers o ON o.src = s.src AND o.n = s.n + 1
+    ), last AS (SELECT src, own, arg_max(new, n) AS new FROM steps GROUP BY src, own)
+    SELECT src, unnest(own) AS dst, false AS added FROM last UNION ALL SELECT src, unnest(new), true FROM last""".replace(
+        "{takes}", "CASE WHEN o.query = s.query THEN s.added ELSE 0 END < 4 AND len(s.own) + len(s.new) < 10 AND NOT list_contains(s.own, o.t) AND NOT list_contains(s.new, o.t)"
+    ))
 def stitch(spark, sf_dir):
-    """Every tenth vector plays a query node."""
-    return graph.stitch(_knn(spark, sf_dir).withColumn("is_query", F.col("dst") % 10 == 0), "is_query", 4)
+    """Every tenth vector plays a query node; four edges a query at most, and ten in all."""
+    v = table(spark, sf_dir, "embeddings")
+    return graph.stitch(_knn(spark, sf_dir), v, v.filter("vec_id % 10 = 0"), 4, 10)
 
 
 @query(f"WITH {KNN}, s AS (SELECT label AS shard_id, count(*) AS size FROM ({VEC}) GROUP BY label) SELECT shard_id, size, CAST(coalesce(sum(size) OVER (ORDER BY shard_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM s")
@@ -85,11 +93,18 @@ def shard_offsets(spark, sf_dir):
     return shards.shard_offsets(sizes).withColumnRenamed("offset", "start")
 
 
+_built: dict[tuple[str, str], DataFrame] = {}
+
+
 def _graph(spark, sf_dir):
+    """The vectors and their graph, which is built and written once in a session."""
     v = table(spark, sf_dir, "embeddings")
     centroids = mean_vectors(v.withColumn("part", F.col("label") % 3), "part").select(F.col("part").alias("shard_id"), "centroid")
     assigned = shards.nearest_shards(v, centroids, 2)
-    return v, graph.build_graphs(assigned, v, degree=24, width=48, most=200, passes=1)
+    at = spark.sparkContext.applicationId, sf_dir
+    if at not in _built:
+        _built[at] = materialize(graph.build_graphs(assigned, v, degree=24, width=48, most=200, passes=1))
+    return v, _built[at]
 
 
 @query()
@@ -108,7 +123,6 @@ def _beam(g, v, k, **how):
     queries = asked(v)
     n = queries.count()
     blocks = 1 if n <= search.MAX_QUERIES else -(-2 * n // search.MAX_QUERIES)
-    g = g if blocks == 1 else materialize(g)
     parts = []
     for b in range(blocks):
         rows = queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).select("query_id", "embedding").orderBy("query_id").toArrow()
@@ -128,19 +142,7 @@ def recall_at_k(spark, sf_dir):
     """Recall of beam search in all shards against exact search, over every fiftieth vector."""
     v, g = _graph(spark, sf_dir)
     found = _beam(g, v, 20, width=120)
-    return stats.recall(_truth(v, asked(v), 20), found, 20).select("queries", (F.col("recall") >= 0.9).alias("at_least_90"))
-
-
-@query(f"""
-    WITH t AS (SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n FROM (SELECT a.vec_id AS query_id, b.vec_id, list_dot_product(a.e, b.e) AS score FROM ({VEC}) a, ({VEC}) b WHERE a.vec_id < 10)),
-    f AS (SELECT query_id, vec_id FROM t WHERE n <= 20 AND vec_id % 7 <> 0)
-    SELECT count(f.vec_id) AS hits, count(DISTINCT t.query_id) AS queries, round(count(f.vec_id) / (count(DISTINCT t.query_id) * 20.0), 9) AS recall
-    FROM t LEFT JOIN f ON t.query_id = f.query_id AND t.vec_id = f.vec_id WHERE t.n <= 20""")
-def recall_exact(spark, sf_dir):
-    """Recall of an index that lost every seventh vector."""
-    v = table(spark, sf_dir, "embeddings")
-    truth = _truth(v, v.filter("vec_id < 10").withColumnRenamed("vec_id", "query_id"), 20)
-    return stats.recall(truth, truth.filter("vec_id % 7 != 0"), 20).withColumn("recall", F.round("recall", 9))
+    return stats.recall(_truth(v, asked(v), 20), found, 20).select("queries", F.round("recall", 6).alias("recall"), (F.col("recall") >= 0.9).alias("at_least_90"))
 
 
 @query(f"""
@@ -148,41 +150,24 @@ def recall_exact(spark, sf_dir):
     f AS (SELECT query_id, vec_id FROM t WHERE n <= 20 AND vec_id % 7 <> 0)
     SELECT count(f.vec_id) AS hits, count(DISTINCT t.query_id) AS queries, round(count(f.vec_id) / (count(DISTINCT t.query_id) * 20.0), 9) AS recall
     FROM t LEFT JOIN f ON t.query_id = f.query_id AND t.vec_id = f.vec_id WHERE t.n <= 20""")
-def recall_exact_fiftieth(spark, sf_dir):
-    """As ``recall_exact``, for every fiftieth vector."""
+def recall_exact(spark, sf_dir):
+    """Recall, over every fiftieth vector, of an index that lost every seventh."""
     v = table(spark, sf_dir, "embeddings")
     truth = _truth(v, asked(v), 20)
     return stats.recall(truth, truth.filter("vec_id % 7 != 0"), 20).withColumn("recall", F.round("recall", 9))
 
 
-@query(f"""
-    WITH q AS (SELECT e AS qv FROM ({VEC}) WHERE vec_id = 0),
-    r AS (SELECT vec_id, row_number() OVER (ORDER BY list_dot_product(e, qv) DESC, vec_id) - 1 AS r FROM ({VEC}), q),
-    s AS (SELECT r, row_number() OVER (ORDER BY r) AS i, count(*) OVER () AS n FROM r WHERE vec_id % 9 = 0)
-    SELECT round(avg(r) + 1, 9) AS mean, max(r) FILTER (WHERE i = n // 2 + 1) + 1 AS median, min(r) AS least, max(r) AS greatest, round(count(*) / sum(1 / (r + 1.0::DOUBLE)), 9) AS harmonic FROM s""")
-def rank_summary(spark, sf_dir):
-    """Where every ninth vector stands in the exact order of a query."""
-    from pyspark.sql import Window
-
-    v = table(spark, sf_dir, "embeddings")
-    q = v.filter("vec_id = 0").select(F.col("embedding").alias("query"))
-    w = Window.orderBy(dot("embedding", "query").desc(), "vec_id")
-    ranks = v.crossJoin(F.broadcast(q)).select("vec_id", (F.row_number().over(w) - 1).cast("long").alias("rank")).filter("vec_id % 9 = 0")
-    s = stats.rank_summary(ranks, "rank")
-    return s.withColumns({c: F.round(c, 9) for c in ("mean", "harmonic")})
-
-
 @query(f"""
     WITH q AS (SELECT e AS qv FROM ({VEC}) WHERE vec_id = 0),
     r AS (SELECT vec_id, row_number() OVER (ORDER BY list_dot_product(e, qv) DESC, vec_id) - 1 AS r FROM ({VEC}), q),
     s AS (SELECT r, row_number() OVER (ORDER BY r) AS i, count(*) OVER () AS n FROM r)
     SELECT round(avg(r) + 1, 9) AS mean, max(r) FILTER (WHERE i = n // 2 + 1) + 1 AS median, min(r) AS least, max(r) AS greatest, round(count(*) / sum(1 / (r + 1.0::DOUBLE)), 9) AS harmonic FROM s""")
-def rank_summary_whole(spark, sf_dir):
+def rank_summary(spark, sf_dir):
     """Where all vectors stand in the exact order of a query."""
     v = table(spark, sf_dir, "embeddings")
     q = v.filter("vec_id = 0").select(F.col("embedding").alias("query"))
-    w = Window.orderBy(dot("embedding", "query").desc(), "vec_id")
-    ranks = v.crossJoin(F.broadcast(q)).select((F.row_number().over(w) - 1).cast("long").alias("rank"))
+    scored = v.crossJoin(F.broadcast(q)).select("vec_id", dot("embedding", "query").alias("score"))
+    ranks = positions(scored, [F.col("score").desc(), F.col("vec_id")]).select(F.col("place").alias("rank"))
     s = stats.rank_summary(ranks, "rank")
     return s.withColumns({c: F.round(c, 9) for c in ("mean", "harmonic")})
 
@@ -193,4 +178,4 @@ def coded_beam_search(spark, sf_dir):
     v, g = _graph(spark, sf_dir)
     model = quantize.train_pq(quantize.sample_matrix(v), 16, 64, rounds=6)
     found = _beam(g, v, 10, width=150, quantizer=model)
-    return stats.recall(_truth(v, asked(v), 10), found, 10).select("queries", (F.col("recall") >= 0.9).alias("at_least_90"))
+    return stats.recall(_truth(v, asked(v), 10), found, 10).select("queries", F.round("recall", 6).alias("recall"), (F.col("recall") >= 0.9).alias("at_least_90"))

@@ -10,6 +10,7 @@ from ..functions.vectors import base64url_bytes
 from ..operators import dedup, incremental, sinks
 from ..sources import dump
 from ..sources.files import scraped, table
+from ..storage import fresh_path
 from .base import query
 
 # Lines of a raw dump, one of each kind that the rules tell apart.
@@ -58,16 +59,10 @@ def props_filter(spark, sf_dir):
     return e.select("event_id", k.alias("k")).filter("k IS NOT NULL")
 
 
-def _sql_rewrite() -> str:
-    out = "url"
-    for pattern, to in T.URL_REWRITE:
-        to = to.replace("$1", "\\1")
-        out = f"regexp_replace({out}, '{pattern}', '{to}', 'g')"
-    return out
-
-
-@query(f"SELECT page_id, {_sql_rewrite()} AS url FROM pages")
+@query("""
+    SELECT page_id, replace(CASE WHEN starts_with(url, 'http://') THEN 'https://' || substring(url, 8) ELSE url END, '&amp;', '&') AS url FROM pages""")
 def url_normalise(spark, sf_dir):
+    """No page is of a host with rules of its own; those are in ``url_rewrite_cases``."""
     return table(spark, sf_dir, "pages").select("page_id", T.url_rewritten(F.col("url")).alias("url"))
 
 
@@ -84,10 +79,15 @@ def url_rewrite_cases(spark, sf_dir):
     return spark.createDataFrame([(a,) for a, _ in URLS], "url string").withColumn("rewritten", T.url_rewritten(F.col("url")))
 
 
-@query(f"""
-    SELECT page_id FROM pages WHERE NOT regexp_matches(url, '{T.any_of(T.URL_DENY)}') AND regexp_matches(url, '{T.any_of(T.URL_ALLOW, True)}')""")
+@query("""
+    WITH u AS (SELECT page_id, url || CASE page_id % 5 WHEN 0 THEN '/a.JPG' WHEN 1 THEN '/b.gifv' WHEN 2 THEN '/i/c' WHEN 3 THEN '/rss/d.png' ELSE '' END AS u FROM pages)
+    SELECT page_id FROM u
+    WHERE len(list_filter(['.htm', '.php', '?articleid=', '.asp', '.xml', '/rss/', '//vimeo.com', '//v.redd.it', 'youtube.com/user/'], lambda x: contains(u, x))) = 0
+      AND NOT ends_with(u, '.gifv') AND NOT contains(u, '//reddit.com/') AND NOT contains(u, '//www.reddit.com/')
+      AND len(list_filter(['jpg', 'jpeg', 'png', 'webp', '.gif', '=gif', 'bmp', 'tiff', 'avif', 'imgur', 'image', '//i.', 'img', 'cdn.', 'media.', '/i/', '/media', 'youtu.be', 'youtube.com'], lambda x: contains(lower(u), x))) > 0""")
 def url_filter(spark, sf_dir):
-    return table(spark, sf_dir, "pages").filter(T.url_accepted(F.col("url"))).select("page_id")
+    end = F.get(F.array(*[F.lit(e) for e in ("/a.JPG", "/b.gifv", "/i/c", "/rss/d.png", "")]), (F.col("page_id") % 5).cast("int"))
+    return table(spark, sf_dir, "pages").filter(T.url_accepted(F.concat("url", end))).select("page_id")
 
 
 @query(r"""
@@ -130,10 +130,15 @@ def hash_discard(spark, sf_dir):
 
 
 @query("""
-    SELECT page_id FROM pages WHERE page_id % 4 <> 0 AND page_id % 5 <> 0 AND url LIKE 'https%' AND NOT (url LIKE '%.mp4' OR url LIKE '%.mkv' OR url LIKE '%.webm')""")
+    SELECT page_id FROM pages WHERE page_id % 4 <> 0 AND page_id % 5 <> 0 AND url LIKE 'https://%' AND NOT (url LIKE '%.mp4' OR url LIKE '%.mkv' OR url LIKE '%.webm')
+      AND page_id % 3 <> 2 AND page_id % 7 <> 0 AND octet_length(encode(html)) * 2000 <= 8000000 AND page_id >= 5""")
 def crawl_filter(spark, sf_dir):
-    p = table(spark, sf_dir, "pages")
-    return p.filter(T.crawl_accepted(F.col("page_id") % 4 == 0, F.col("page_id") % 5 != 0, F.lit(True), F.col("url"))).select("page_id")
+    """What is fetched, what of it is kept, and where the crawl stops."""
+    p, n = table(spark, sf_dir, "pages"), F.col("page_id")
+    kind = F.when(n % 3 == 0, "image/png").when(n % 3 == 1, "image/avif").otherwise("image/gif")
+    size = F.when(n % 7 != 0, F.octet_length("html") * 2000)
+    p = p.filter(T.crawl_accepted(n % 4 == 0, n % 5 != 0, F.lit(True), F.col("url")))
+    return p.filter(T.crawl_kept(kind, size) & T.crawl_going_on(n, F.lit(5))).select("page_id")
 
 
 @query("SELECT doc_id, CAST(doc_id AS VARCHAR) AS name FROM documents WHERE ('0x' || substring(sha256(CAST(doc_id AS VARCHAR)), 1, 2))::INTEGER / 255.0 < 0.1")
@@ -154,17 +159,81 @@ def record_names(spark, sf_dir):
 
 
 @query("""
-    SELECT doc_id, CASE WHEN n = 1 THEN source ELSE source || '-' || n END AS unique_name
-    FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents)""")
+    WITH d AS (SELECT doc_id, source || CASE doc_id % 7 WHEN 0 THEN '-2' WHEN 1 THEN '-5' ELSE '' END AS name FROM documents),
+    r AS (SELECT doc_id, name, row_number() OVER (PARTITION BY name ORDER BY doc_id) AS n FROM d),
+    names AS (SELECT DISTINCT name FROM d),
+    free AS (SELECT b.name, s, row_number() OVER (PARTITION BY b.name ORDER BY s) + 1 AS n FROM names b, range(2, 20000) t(s) LEFT JOIN names o ON o.name = b.name || '-' || s WHERE o.name IS NULL)
+    SELECT doc_id, CASE WHEN r.n = 1 THEN r.name ELSE r.name || '-' || s END AS unique_name FROM r LEFT JOIN free ON r.name = free.name AND r.n = free.n""")
 def unique_names(spark, sf_dir):
-    return incremental.unique_names(table(spark, sf_dir, "documents").select("doc_id", "source"), "source", "doc_id").select("doc_id", "unique_name")
+    """Some rows already have names that suffixes would make."""
+    end = F.when(F.col("doc_id") % 7 == 0, "-2").when(F.col("doc_id") % 7 == 1, "-5").otherwise("")
+    d = table(spark, sf_dir, "documents").select("doc_id", F.concat("source", end).alias("name"))
+    return incremental.unique_names(d, "name", "doc_id").select("doc_id", "unique_name")
+
+
+def _entries(spark, sf_dir):
+    """Documents as processed entries."""
+    n = F.col("doc_id")
+    size = F.struct(F.lit(640).alias("width"), F.lit(480).alias("height"))
+    meta = F.struct(F.lit("image/png").alias("mime_type"), F.col("n_chars").alias("original_file_size"), size.alias("dimension"), F.concat(F.lit("https://i/"), n).alias("final_url"))
+    return table(spark, sf_dir, "documents").select("doc_id"), {
+        "url": F.concat(F.lit("https://x/"), n), "id": n.cast("string"), "title": F.col("source"), "subreddit": F.col("lang"), "author": F.concat(F.lit("u"), n % 9),
+        "timestamp": F.col("n_chars") * 1000, "embedding": F.array(F.lit(1.0), F.lit(-0.5)).cast("array<float>"), "metadata": meta,
+    }
 
 
 @query("""
-    SELECT page_id, '{"url":"' || url || '","title":"p' || page_id || '","link":"l"}' AS line FROM pages""")
+    SELECT doc_id, '{"url":"https://x/' || doc_id || '","id":"' || doc_id || '","title":"' || source || '","subreddit":"' || lang || '","author":"u' || (doc_id % 9)
+      || '","timestamp":' || (n_chars * 1000) || ',"embedding":[1.0,-0.5],"metadata":{"mime_type":"image/png","original_file_size":' || n_chars
+      || ',"dimension":{"width":640,"height":480},"final_url":"https://i/' || doc_id || '"}}' AS line FROM documents""")
 def printed_json(spark, sf_dir):
-    p = table(spark, sf_dir, "pages").withColumn("title", F.concat(F.lit("p"), "page_id"))
-    return p.select("page_id", sinks.printed("json", F.col("title"), F.col("url"), F.array(F.lit(1.0)), F.lit("l")).alias("line"))
+    entry = _entries(spark, sf_dir)[1]
+    return table(spark, sf_dir, "documents").select("doc_id", sinks.printed("json", entry).alias("line"))
+
+
+@query("""
+    SELECT doc_id, strftime(make_timestamp(n_chars * 1000 * 1000000), '%Y-%m-%d %H:%M:%S UTC ') || source || ' https://reddit.com/r/' || lang || '/comments/' || doc_id || ' https://i/' || doc_id AS record,
+           'https://x/' || doc_id AS url, source AS title, '?e=ADwAuA==' AS embedding FROM documents""")
+def printed_lines(spark, sf_dir):
+    """The other kinds of line; 1 and -0.5 in half precision are 00 3C and 00 B8."""
+    entry = _entries(spark, sf_dir)[1]
+    kinds = ("record", "url", "title", "embedding")
+    return table(spark, sf_dir, "documents").select("doc_id", *[sinks.printed(k, entry).alias(k) for k in kinds])
+
+
+@query("SELECT doc_id, CAST(doc_id % 3 AS INTEGER) AS sequence FROM documents")
+def sequenced_dump(spark, sf_dir):
+    """Numbered parts of a dump, one of them written twice, read back."""
+    at = fresh_path(spark, "dump")
+    d = table(spark, sf_dir, "documents").select("doc_id")
+    for k in (0, 1, 2, 1):
+        sinks.append_dump(d.filter(F.col("doc_id") % 3 == k), at, k)
+    return spark.read.parquet(at).select("doc_id", F.col("sequence").cast("int").alias("sequence"))
+
+
+@query("""
+    WITH s AS (SELECT conv_id, list(text ORDER BY turn) AS t, list(turn ORDER BY turn) FILTER (WHERE turn % 3 <> 2) AS r FROM conversations GROUP BY conv_id),
+    k AS (SELECT conv_id, t, r, unnest(range(1, least(len(t), len(r)) + 1)) AS i FROM s)
+    SELECT conv_id, i - 1 AS pos, t[i] AS text, r[i] AS region FROM k""")
+def text_regions(spark, sf_dir):
+    """Texts zipped with their regions, of which some are missing."""
+    by_turn = lambda c: F.transform(F.array_sort(F.collect_list(F.when(c, F.struct("turn", "text")))), lambda x: x)
+    g = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(by_turn(F.lit(True)).alias("a"), by_turn(F.col("turn") % 3 != 2).alias("b"))
+    z = T.segments(F.transform("a", lambda x: x["text"]), F.transform("b", lambda x: x["turn"]))
+    out = g.select("conv_id", F.posexplode(z).alias("pos", "s"))
+    return out.select("conv_id", F.col("pos").cast("long").alias("pos"), "s.text", F.col("s.coords").alias("region"))
+
+
+@query("""
+    SELECT d.doc_id, CASE WHEN l.doc_id IS NULL THEN 'avif,webp' WHEN l.toxic = 1 THEN 'avif' ELSE '' END AS missing
+    FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id WHERE l.doc_id IS NULL OR l.toxic = 1 OR d.doc_id % 4 = 0""")
+def changed_formats(spark, sf_dir):
+    """Files that are new, whose time differs, or that lack a wanted format."""
+    disk = table(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") * 10).alias("mtime"))
+    have = F.when(F.col("toxic") == 1, F.array(F.lit("webp"))).otherwise(F.array(F.lit("webp"), F.lit("avif")))
+    stored = table(spark, sf_dir, "labels").select("doc_id", (F.col("doc_id") * 10 - F.when(F.col("doc_id") % 4 == 0, 1).otherwise(0)).alias("mtime"), have.alias("formats"))
+    out = incremental.changed(disk, stored, "doc_id", formats="formats", wanted=["avif", "webp"])
+    return out.select("doc_id", F.array_join("missing", ",").alias("missing"))
 
 
 @query("""
@@ -288,22 +357,23 @@ def keep_first(spark, sf_dir):
     return dedup.keep_first(v, F.col("label"), F.col("vec_id")).select("vec_id", "url")
 
 
-@query()
+@query("SELECT doc_id FROM documents WHERE CAST('0x' || substring(md5('0|' || doc_id), 1, 8) AS BIGINT) % 1000000 < 100000")
 def hashed_sample(spark, sf_dir):
     """A tenth of the documents, the same in every run."""
     return dump.sampled(table(spark, sf_dir, "documents"), 0.1, "doc_id").select("doc_id")
 
 
-@query()
+@query("""
+    SELECT page_id, replace(replace(rtrim(to_base64(unhex(substring(md5(url), 1, 16))), '='), '+', '-'), '/', '_') AS hash FROM pages""")
 def name_hashes(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", T.name_hash("url").alias("hash"))
 
 
-@query("SELECT page_id, n FROM (SELECT page_id, octet_length(encode(url)) AS n FROM pages)")
+@query("SELECT page_id, url AS text FROM pages")
 def base64_round_trip(spark, sf_dir):
     """URL-safe base64 decoded in the JVM."""
     p = table(spark, sf_dir, "pages").select("page_id", F.translate(F.base64(F.col("url").cast("binary")), "+/", "-_").alias("b"))
-    return p.select("page_id", F.octet_length(base64url_bytes("b")).cast("long").alias("n"))
+    return p.select("page_id", base64url_bytes("b").cast("string").alias("text"))
 
 
 @query("SELECT max(ts) AS latest, count(*) AS n_rows FROM events WHERE event_id <= (SELECT max(event_id) // 2 FROM events)")

@@ -54,11 +54,8 @@ def steep_pairs(spark, sf_dir):
     SELECT id, round(mean, 9) AS mean FROM r WHERE n <= c // 20""")
 def top_fraction(spark, sf_dir):
     """The best twentieth by an ensemble's mean."""
-    from pyspark.sql import Window
-
     m = _scores(spark, sf_dir).groupBy("id").agg(F.avg("score").alias("mean"))
-    r = m.withColumns({"n": F.row_number().over(Window.orderBy(F.col("mean").desc(), "id")), "c": F.count(F.lit(1)).over(Window.partitionBy())})
-    return r.filter("n <= c div 20").select("id", F.round("mean", 9).alias("mean"))
+    return stats.top_fraction(m, [F.col("mean").desc(), F.col("id")], 20).select("id", F.round("mean", 9).alias("mean"))
 
 
 RATED = "SELECT 'd' || doc_id AS meme1, 'd' || (doc_id + 1) AS meme2, CASE doc_id % 4 WHEN 0 THEN '1,1+,eq' WHEN 1 THEN '2,2+,eq' WHEN 2 THEN '1p,2p,1' ELSE 'eq,eq,2' END AS rating FROM labels"
@@ -98,45 +95,69 @@ def unrated_pairs(spark, sf_dir):
     return ranking.unrated(c, _rated(spark, sf_dir))
 
 
-def _model(dims: int, hidden: int = 128, outputs: int = 3) -> ranking.ScoreModel:
-    rng = np.random.default_rng(5)
-    return ranking.ScoreModel(rng.standard_normal((hidden, dims)), rng.standard_normal(hidden), rng.standard_normal((outputs, hidden)) / hidden)
+HIDDEN, OUTPUTS, FEATURES = 128, 3, 256
+
+
+def _waves(rows: int, columns: int, start: float = 0.0) -> np.ndarray:
+    """Fixed weights that SQL can make as well."""
+    return np.sin(start + np.arange(rows * columns)).reshape(rows, columns)
+
+
+def _model(dims: int) -> ranking.ScoreModel:
+    return ranking.ScoreModel(_waves(HIDDEN, dims), np.cos(np.arange(HIDDEN)), _waves(OUTPUTS, HIDDEN, 0.5) / HIDDEN)
 
 
 def _dims(spark, sf_dir) -> int:
     return len(table(spark, sf_dir, "embeddings").first()["embedding"])
 
 
-@query()
+MODEL = f"""
+hidden AS (
+  SELECT vec_id, h, d, a / (1 + exp(-a)) AS s FROM (
+    SELECT vec_id, h, len(e) AS d, list_dot_product(e, list_transform(range(len(e)), lambda k: sin(h * len(e) + k))) + cos(h) AS a FROM ({VEC}), range({HIDDEN}) t(h))
+), outputs AS (
+  SELECT vec_id, o AS output, sum(s * sin(0.5::DOUBLE + o * {HIDDEN} + h) / {HIDDEN}) * any_value(d) / {HIDDEN} AS score FROM hidden, range({OUTPUTS}) u(o) GROUP BY vec_id, o
+)"""
+
+
+@query(f"WITH {MODEL} SELECT vec_id, output, round(score, 9) AS score FROM outputs")
 def score_model(spark, sf_dir):
     """Three outputs of a wide model with fixed weights."""
     s = ranking.scored(table(spark, sf_dir, "embeddings"), _model(_dims(spark, sf_dir)))
-    return s.select("vec_id", F.transform("scores", lambda x: F.round(x, 9)).alias("scores"))
+    out = s.select("vec_id", F.posexplode("scores").alias("output", "score"))
+    return out.select("vec_id", F.col("output").cast("long").alias("output"), F.round("score", 9).alias("score"))
 
 
-@query()
+@query(f"""
+    WITH {MODEL}, s AS (SELECT vec_id, max(score) FILTER (WHERE output = 0) AS s0, max(score) FILTER (WHERE output = 1) AS s1 FROM outputs GROUP BY vec_id),
+    z AS (SELECT quantile_cont(s0, list_transform(range(255), lambda k: k / 254.0::DOUBLE)) AS c0, quantile_cont(s1, list_transform(range(255), lambda k: k / 254.0::DOUBLE)) AS c1 FROM s)
+    SELECT vec_id AS id, len(list_filter(c0, lambda q: round(q, 9) < round(s0, 9))) AS d0, len(list_filter(c1, lambda q: round(q, 9) < round(s1, 9))) AS d1,
+           vec_id % 50 = 0 OR round(s0, 9) < round(c0[26], 9) AS dead, CASE WHEN vec_id % 50 = 0 OR round(s0, 9) < round(c0[26], 9) THEN '' ELSE 'https://x/' || vec_id END AS url
+    FROM s, z""")
 def packed_index(spark, sf_dir):
-    """Descriptor codes and dead rows of an index: how many, and how codes spread."""
+    """Descriptor codes of an index and its dead rows: those dead before and those with a low score."""
     s = ranking.scored(table(spark, sf_dir, "embeddings"), _model(_dims(spark, sf_dir)))
-    s = s.withColumns({"s0": F.col("scores")[0], "s1": F.col("scores")[1]})
-    cdfs = {k: stats.cdf(s, f"s{k}").first()["cdf"] for k in (0, 1)}
+    exact = s.withColumns({"s0": F.col("scores")[0], "s1": F.col("scores")[1]})
+    # both sides are rounded: a quantile that falls on a value is not below it
+    cdfs = {k: [round(q, 9) for q in stats.cdf(exact, f"s{k}").first()["cdf"]] for k in (0, 1)}
     nodes = s.select(
-        F.col("vec_id").alias("id"), "embedding", F.array().cast("array<long>").alias("neighbours"), F.lit(0).cast("long").alias("timestamp"), "scores",
+        F.col("vec_id").alias("id"), "embedding", F.array().cast("array<long>").alias("neighbours"), F.lit(0).cast("long").alias("timestamp"),
+        F.transform("scores", lambda x: F.round(x, 9)).alias("scores"),
         F.concat(F.lit("https://x/"), "vec_id").alias("url"), F.array(F.col("label")).alias("shards"), (F.col("vec_id") % 50 == 0).alias("dead"),
     )
     index = sinks.packed(nodes, cdfs, {0: float(cdfs[0][25])})
-    spread = index.agg(F.min(F.col("descriptors")[0]).alias("least"), F.max(F.col("descriptors")[0]).alias("greatest"))
-    # two results of one row each
-    return sinks.index_header(index).crossJoin(F.broadcast(spread))
+    return index.select("id", F.col("descriptors")[0].cast("long").alias("d0"), F.col("descriptors")[1].cast("long").alias("d1"), "dead", "url")
 
 
-@query()
+@query(f"""
+    WITH a AS (SELECT vec_id, f, greatest(0, list_dot_product(e, list_transform(range(len(e)), lambda k: sin(f * len(e) + k)))) AS x FROM ({VEC}), range({FEATURES}) t(f)),
+    r AS (SELECT *, nth_value(x, 9) OVER (PARTITION BY vec_id ORDER BY x DESC ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS cut FROM a)
+    SELECT f AS feature, count(*) AS n FROM r WHERE x > cut GROUP BY f""")
 def sparse_features(spark, sf_dir):
     """How often each feature of a fixed sparse autoencoder is active."""
-    d, h = _dims(spark, sf_dir), 256
-    rng = np.random.default_rng(6)
-    up = rng.standard_normal((h, d))
-    model = ranking.SparseAutoencoder(up, np.zeros(h), up.T / h, np.zeros(d), 8)
+    d = _dims(spark, sf_dir)
+    up = _waves(FEATURES, d)
+    model = ranking.SparseAutoencoder(up, np.zeros(FEATURES), up.T / FEATURES, np.zeros(d), 8)
     return ranking.feature_frequency(ranking.feature_table(table(spark, sf_dir, "embeddings"), model))
 
 

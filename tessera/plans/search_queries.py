@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions.vectors import dot, fp16_decode, fp16_encode, mean_vectors, query_vector, sign_code
 from ..operators import dedup, quantize, search, shards, stats
+from ..operators.order import positions
 from ..sources.files import table
+from ..storage import fresh_path
 from .base import query
 
 VEC = "SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings"
@@ -87,24 +89,12 @@ def predefined_terms(spark, sf_dir):
     return best.select("vec_id", F.round("score", 9).alias("score"))
 
 
-@query(f"""
-    WITH s AS (
-      SELECT a.vec_id AS query_id, b.vec_id, list_dot_product(a.e, b.e) AS score FROM ({VEC}) a, ({VEC}) b WHERE a.vec_id < 10
-    ), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
-    SELECT query_id, vec_id, rank, round(score, 9) AS score FROM r WHERE rank <= 10""")
-def exact_knn_batch(spark, sf_dir):
-    v = _vectors(spark, sf_dir)
-    queries = v.filter("vec_id < 10").withColumnRenamed("vec_id", "query_id")
-    return search.batch_top_k(v, queries, 10).withColumn("score", F.round("score", 9))
-
-
 @query(f"""
     WITH s AS (
       SELECT a.vec_id AS query_id, b.vec_id, list_dot_product(a.e, b.e) AS score FROM ({VEC}) a, ({VEC}) b WHERE a.vec_id % 50 = 0
     ), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
     SELECT query_id, vec_id, rank, round(score, 9) AS score FROM r WHERE rank <= 10""")
-def exact_knn_fiftieth(spark, sf_dir):
-    """As ``exact_knn_batch``, for every fiftieth vector."""
+def exact_knn_batch(spark, sf_dir):
     v = _vectors(spark, sf_dir)
     return search.batch_top_k(v, asked(v), 10).withColumn("score", F.round("score", 9))
 
@@ -133,11 +123,8 @@ def filter_after_topk(spark, sf_dir):
     QUALIFY row_number() OVER (ORDER BY list_dot_product(e, qv) DESC, vec_id) BETWEEN 41 AND 80""")
 def result_page(spark, sf_dir):
     """The second page of 40 results."""
-    from pyspark.sql import Window
-
     best = search.top_k(_vectors(spark, sf_dir), _query(spark, sf_dir), 80)
-    place = F.row_number().over(Window.orderBy(F.col("score").desc(), "vec_id"))
-    return best.select("vec_id", (place - 41).cast("long").alias("place")).filter("place >= 0")
+    return positions(best, [F.col("score").desc(), F.col("vec_id")]).select("vec_id", (F.col("place") - 40).alias("place")).filter("place >= 0")
 
 
 @query(f"""
@@ -200,9 +187,32 @@ def route_shard(spark, sf_dir):
     return search.route(_query(spark, sf_dir), _centroids(spark, sf_dir)).withColumn("score", F.round("score", 9))
 
 
+@query(f"""
+    WITH {CENTROIDS}, s AS (SELECT vec_id, c.label AS shard_id, list_dot_product(e, c) AS score FROM ({VEC}) v, centroids c),
+    r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, shard_id) AS choice FROM s)
+    SELECT vec_id, shard_id, choice, round(score, 9) AS score FROM r WHERE choice <= 2""")
+def balanced_shards_even(spark, sf_dir):
+    """Without a penalty on full shards the balanced way gives the two nearest."""
+    b = shards.balanced_shards(_vectors(spark, sf_dir), _centroids(spark, sf_dir), fudge=0.0)
+    return b.select("vec_id", F.col("shard_id").cast("int").alias("shard_id"), "choice", F.round("score", 9).alias("score"))
+
+
 @query()
 def balanced_shards(spark, sf_dir):
-    return shards.balanced_shards(_vectors(spark, sf_dir).coalesce(1).sortWithinPartitions("vec_id"), _centroids(spark, sf_dir))
+    """Each task balances its own rows, which a range of ids chooses; so the table may have any number of tasks."""
+    v = _vectors(spark, sf_dir).repartitionByRange(4, "vec_id").sortWithinPartitions("vec_id")
+    return shards.balanced_shards(v, _centroids(spark, sf_dir))
+
+
+@query(f"""
+    WITH {CENTROIDS}, s AS (SELECT vec_id, c.label AS shard_id, list_dot_product(e, c) AS score FROM ({VEC}) v, centroids c),
+    r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, shard_id) AS choice FROM s)
+    SELECT vec_id, shard_id, choice FROM r WHERE choice <= 2 AND shard_id < 3""")
+def first_shards(spark, sf_dir):
+    """What belongs to the first three shards, written in a folder for each and read back."""
+    at = fresh_path(spark, "shards")
+    shards.write_shards(shards.first_shards(shards.nearest_shards(_vectors(spark, sf_dir), _centroids(spark, sf_dir)), 3), at, rows=100)
+    return spark.read.parquet(at).select("vec_id", "shard_id", "choice")
 
 
 @query()
@@ -225,24 +235,25 @@ def ref_histogram(spark, sf_dir):
     WITH refs AS (SELECT vec_id AS ref, e AS r FROM ({VEC}) WHERE vec_id < 3)
     SELECT vec_id FROM ({VEC}) WHERE NOT EXISTS (SELECT 1 FROM refs WHERE list_dot_product(e, r) >= 0.25)""")
 def embedding_prefilter(spark, sf_dir):
-    """Vectors near any reference go; the few references are a parameter."""
+    """Vectors near any reference go; the few references are a parameter, in one row beside each vector."""
     v = _vectors(spark, sf_dir)
-    refs = v.filter("vec_id < 3").select(F.col("embedding").alias("r"))
-    near = v.crossJoin(F.broadcast(refs)).filter(dot("embedding", "r") >= 0.25).select("vec_id").distinct()
-    return v.join(near, "vec_id", "left_anti").select("vec_id")
+    return v.crossJoin(F.broadcast(_references(v))).filter(~F.exists("refs", lambda r: dot("embedding", r) >= 0.25)).select("vec_id")
+
+
+def _references(v):
+    """One row ``refs`` with the three reference vectors."""
+    return v.filter("vec_id < 3").agg(F.collect_list("embedding").alias("refs"))
 
 
 @query(f"""
     WITH refs AS (SELECT e AS r FROM ({VEC}) WHERE vec_id < 3),
     m AS (SELECT vec_id, max(list_dot_product(e, r)) AS near FROM ({VEC}), refs GROUP BY vec_id)
-    SELECT count(*) AS n, count(*) FILTER (WHERE near >= 0.2) AS dead, count(*) - count(*) FILTER (WHERE near >= 0.2) AS live FROM m""")
+    SELECT vec_id, near >= 0.2 AS dead, CASE WHEN near >= 0.2 THEN '' ELSE 'v/' || vec_id END AS url FROM m""")
 def postfilter_dead(spark, sf_dir):
     """Vectors near a reference stay in the graph with a blank URL."""
     v = _vectors(spark, sf_dir)
-    refs = v.filter("vec_id < 3").select(F.col("embedding").alias("r"))
-    near = v.crossJoin(F.broadcast(refs)).groupBy("vec_id").agg(F.max(dot("embedding", "r")).alias("near"))
-    marked = near.withColumn("url", F.when(F.col("near") >= 0.2, "").otherwise(F.concat(F.lit("v/"), "vec_id")))
-    return marked.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("url") == "").alias("dead"), F.count_if(F.col("url") != "").alias("live"))
+    marked = v.crossJoin(F.broadcast(_references(v))).select("vec_id", F.exists("refs", lambda r: dot("embedding", r) >= 0.2).alias("dead"))
+    return marked.withColumn("url", F.when(F.col("dead"), "").otherwise(F.concat(F.lit("v/"), "vec_id")))
 
 
 COPIES = f"SELECT vec_id, e, 'u' || (vec_id % 450) AS url FROM ({VEC}) UNION ALL SELECT vec_id + 100000, list_transform(e, lambda x: x * 2), 'c' || vec_id FROM ({VEC}) WHERE vec_id % 10 = 0"
@@ -261,11 +272,24 @@ def sign_code_dedup(spark, sf_dir):
     return dedup.ingest_dedup(all_rows).select("vec_id", "url", F.md5(sign_code("embedding")).alias("code_md5"))
 
 
+ASKED = f"""
+found AS (
+  SELECT * FROM (
+    SELECT a.vec_id AS query_id, b.vec_id, b.e, list_dot_product(a.e, b.e) AS score,
+           row_number() OVER (PARTITION BY a.vec_id ORDER BY list_dot_product(a.e, b.e) DESC, b.vec_id) AS rank FROM ({VEC}) a, ({VEC}) b WHERE a.vec_id % 50 = 0
+  ) WHERE rank <= 100
+)"""
+
+
 @query(f"""
-    SELECT a.label, a.vec_id AS a, b.vec_id AS b, round(list_dot_product(a.e, b.e), 9) AS score
-    FROM ({VEC}) a JOIN ({VEC}) b ON a.label = b.label AND a.vec_id < b.vec_id WHERE list_dot_product(a.e, b.e) > 0.3""")
+    WITH {ASKED}
+    SELECT a.query_id, a.vec_id AS a, b.vec_id AS b, round(list_dot_product(a.e, b.e), 9) AS score
+    FROM found a JOIN found b ON a.query_id = b.query_id AND a.vec_id < b.vec_id WHERE list_dot_product(a.e, b.e) > 0.3""")
 def near_dup_pairs(spark, sf_dir):
-    return dedup.near_pairs(_vectors(spark, sf_dir), 0.3, groups=["label"]).withColumn("score", F.round("score", 9))
+    """Near copies within each query's results, of which there are a hundred at most."""
+    v = _vectors(spark, sf_dir)
+    found = search.batch_top_k(v, asked(v), 100).select("query_id", "vec_id").join(v, "vec_id")
+    return dedup.near_pairs(found, 0.3, groups=["query_id"]).withColumn("score", F.round("score", 9))
 
 
 @query()
@@ -274,7 +298,14 @@ def near_dup_classes(spark, sf_dir):
     return dedup.near_classes(_vectors(spark, sf_dir), 0.3)
 
 
-@query()
+@query(f"""
+    WITH RECURSIVE {ASKED}, kept(query_id, rank, vec_id, score, taken, es) AS (
+      SELECT query_id, rank, vec_id, score, true, [e] FROM found WHERE rank = 1
+      UNION ALL
+      SELECT f.query_id, f.rank, f.vec_id, f.score, len(list_filter(k.es, lambda o: list_dot_product(o, f.e) > 0.3)) = 0,
+             CASE WHEN len(list_filter(k.es, lambda o: list_dot_product(o, f.e) > 0.3)) = 0 THEN list_append(k.es, f.e) ELSE k.es END
+      FROM kept k JOIN found f ON f.query_id = k.query_id AND f.rank = k.rank + 1
+    ) SELECT query_id, vec_id, round(score, 9) AS score FROM kept WHERE taken""")
 def greedy_near_dup(spark, sf_dir):
     """Results of every fiftieth vector's query without rows near a better one."""
     v = _vectors(spark, sf_dir)
@@ -349,11 +380,10 @@ def pq_error(spark, sf_dir):
 
 @query()
 def opq_search(spark, sf_dir):
-    """A learned rotation and codebooks; the best by codes are ordered anew by exact scores."""
+    """Every fiftieth vector's neighbours by a learned rotation and codebooks; the best by codes are ordered anew by exact scores."""
     v = _vectors(spark, sf_dir)
-    model = quantize.train_pq(quantize.sample_matrix(v), SUB, 64, rounds=8)
-    q = np.array(_query(spark, sf_dir).first()["query"])
-    return quantize.adc_top_k(quantize.pq_encode(v, model), model, q, 10, v).withColumn("score", F.round("score", 9))
+    model = quantize.train_pq(quantize.sample_matrix(v), 16, 64, rounds=8)
+    return quantize.adc_batch_top_k(v, asked(v), model, 10).withColumn("score", F.round("score", 9))
 
 
 @query(f"""
@@ -419,15 +449,21 @@ def descriptor_search(spark, sf_dir):
     return best.select("vec_id", F.round("score", 9).alias("score"))
 
 
-@query()
+# Half precision keeps 11 bits from the leading one on, and no bit below 2 ** -24; ties go to even.
+_STEP = "pow(2.0::DOUBLE, greatest(floor(log2(greatest(abs(x), 1e-30::DOUBLE))), -14) - 10)"
+HALVES = f"halves AS (SELECT vec_id, pos, round_even(x / {_STEP}, 0) * {_STEP} AS x FROM (SELECT vec_id, unnest(e) AS x, unnest(range(len(e))) AS pos FROM ({VEC})))"
+
+
+@query(f"WITH {HALVES} SELECT vec_id, pos, x FROM halves")
 def fp16_round_trip(spark, sf_dir):
-    """Half precision and back: how far values move."""
-    v = _vectors(spark, sf_dir).select("embedding", fp16_decode(fp16_encode("embedding")).alias("back"))
-    far = F.array_max(F.zip_with("embedding", "back", lambda a, b: F.abs(a - b)))
-    return v.agg(F.count(F.lit(1)).alias("n"), (F.max(far) < 0.001).alias("close"))
+    """Half precision and back."""
+    v = _vectors(spark, sf_dir).select("vec_id", F.posexplode(fp16_decode(fp16_encode("embedding"))).alias("pos", "x"))
+    return v.select("vec_id", F.col("pos").cast("long").alias("pos"), F.col("x").cast("double").alias("x"))
 
 
-@query()
+@query(f"""
+    WITH {HALVES}, q AS (SELECT list(x ORDER BY pos) AS qv FROM halves WHERE vec_id = 7)
+    SELECT vec_id, round(list_dot_product(e, qv), 9) AS score FROM ({VEC}), q ORDER BY list_dot_product(e, qv) DESC, vec_id LIMIT 5""")
 def base64_query(spark, sf_dir):
     """A query given as URL-safe base64 of half-precision values."""
     import base64
@@ -435,15 +471,47 @@ def base64_query(spark, sf_dir):
     blob = _vectors(spark, sf_dir).filter("vec_id = 7").select(fp16_encode("embedding").alias("b")).first()["b"]
     q = query_vector(base64.urlsafe_b64encode(bytes(blob)).decode().rstrip("="))
     one = spark.createDataFrame([([float(x) for x in q],)], "query array<double>")
-    return search.top_k(_vectors(spark, sf_dir), one, 5).select("vec_id", F.round("score", 6).alias("score"))
+    return search.top_k(_vectors(spark, sf_dir), one, 5).select("vec_id", F.round("score", 9).alias("score"))
 
 
-@query("SELECT 0.75::DOUBLE / 512 AS quality, -2.0::DOUBLE / 512 AS age")
+@query("""
+    SELECT round(sum(CASE WHEN label % 4 = 0 THEN vec_id / 100.0::DOUBLE ELSE 0 END) / 512, 9) AS quality,
+           round(sum(CASE WHEN label % 4 = 1 THEN CASE WHEN vec_id % 10 = 0 THEN 1 ELSE vec_id / 100.0::DOUBLE END ELSE 0 END) / 512, 9) AS age FROM embeddings""")
 def descriptor_terms(spark, sf_dir):
-    """Terms that name a descriptor become its scale; others do not count."""
-    terms = spark.createDataFrame([("quality", 0.5), ("quality", 0.25), ("age", -2.0), ("other", 9.0)], "predefined_embedding string, weight double")
+    """Terms that name a descriptor add to its scale, without a weight by 1; others do not count."""
+    name = F.get(F.array(*[F.lit(n) for n in ("quality", "age", "other", "another")]), F.col("label") % 4)
+    weight = F.when((F.col("label") % 4 == 1) & (F.col("vec_id") % 10 == 0), None).otherwise(F.col("vec_id") / 100.0)
+    terms = _vectors(spark, sf_dir).select(name.alias("predefined_embedding"), weight.alias("weight"))
     scales = search.descriptor_scales(terms, ["quality", "age"])
-    return scales.select(F.col("scales")[0].alias("quality"), F.col("scales")[1].alias("age"))
+    return scales.select(F.round(F.col("scales")[0], 9).alias("quality"), F.round(F.col("scales")[1], 9).alias("age"))
+
+
+@query(f"""
+    WITH {_sql_query()}, b AS (SELECT vec_id, label, list_dot_product(e, qv) AS score FROM ({VEC}), q ORDER BY score DESC, vec_id LIMIT 30)
+    SELECT round(CAST(CAST(score AS FLOAT) AS DOUBLE), 6) AS score, 'v/' || vec_id AS url,
+           replace(replace(rtrim(to_base64(unhex(substring(md5('v/' || vec_id), 1, 16))), '='), '+', '-'), '/', '_') AS hash,
+           CAST(label AS BIGINT) AS formats, CASE WHEN vec_id % 2 = 0 THEN 640 END AS width, CASE WHEN vec_id % 2 = 0 THEN 480 END AS height, vec_id AS timestamp
+    FROM b""")
+def served_results(spark, sf_dir):
+    """Result rows with their debug fields; without them the debug column is null."""
+    best = search.top_k(_vectors(spark, sf_dir), _query(spark, sf_dir), 30)
+    known = F.col("vec_id") % 2 == 0
+    found = best.select(
+        "score", F.concat(F.lit("v/"), "vec_id").alias("url"), F.col("label").alias("mask"), F.when(known, 640).alias("width"), F.when(known, 480).alias("height"),
+        F.array(F.lit(0.5)).alias("scores"), F.array("label").alias("shards"), F.col("vec_id").alias("timestamp"),
+    )
+    plain, told = search.result_rows(found), search.result_rows(found, debug=True)
+    both = told.join(plain.filter("debug IS NULL").select("hash"), "hash")
+    return both.select(F.round(F.col("score").cast("double"), 6).alias("score"), "url", "hash", "formats", "dimensions.width", "dimensions.height", "debug.timestamp")
+
+
+@query(f"""
+    WITH {_sql_query()}, s AS (SELECT vec_id, label, list_dot_product(e, qv) AS score FROM ({VEC}), q)
+    SELECT vec_id, round(score, 9) AS score FROM s WHERE label < 3 ORDER BY s.score DESC, vec_id LIMIT 10""")
+def no_video(spark, sf_dir):
+    """Results without video frames; vectors with a label from 3 on play frames."""
+    v = _vectors(spark, sf_dir).withColumn("frame", F.when(F.col("label") >= 3, F.col("label")))
+    return search.top_k(search.without_video(v), _query(spark, sf_dir), 10).select("vec_id", F.round("score", 9).alias("score"))
 
 
 @query()

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import ranking, stats
+from ..operators.order import running
 from ..sources.files import table
 from .base import query
 from .search_queries import VEC
@@ -73,7 +73,7 @@ def _labelled(spark, sf_dir):
 
 @query(f"WITH {ROC} SELECT score, CAST(tp AS BIGINT) AS tp, CAST(fp AS BIGINT) AS fp FROM c")
 def roc_curve(spark, sf_dir):
-    return stats.roc(_labelled(spark, sf_dir), "score", "y")
+    return stats.roc(_labelled(spark, sf_dir), "score", "y").select("score", "tp", "fp")
 
 
 @query(f"""
@@ -94,16 +94,9 @@ def standardised_histogram(spark, sf_dir):
 
 @query(f"""
     WITH d AS ({DIMS}), m AS (SELECT pos, avg(x) AS mean FROM d GROUP BY pos),
-    c AS (SELECT a.pos AS i, b.pos AS j, avg(a.x * b.x) AS xy FROM d a JOIN d b ON a.vec_id = b.vec_id AND a.pos <= b.pos WHERE a.pos < 8 AND b.pos < 8 GROUP BY a.pos, b.pos)
+    c AS (SELECT a.pos AS i, b.pos AS j, avg(a.x * b.x) AS xy FROM d a JOIN d b ON a.vec_id = b.vec_id AND a.pos <= b.pos GROUP BY a.pos, b.pos)
     SELECT i, j, round(xy - mi.mean * mj.mean, 9) AS cov FROM c JOIN m mi ON i = mi.pos JOIN m mj ON j = mj.pos""")
 def covariance(spark, sf_dir):
-    """Of the first eight dimensions."""
-    v = table(spark, sf_dir, "embeddings").select(F.slice("embedding", 1, 8).alias("embedding"))
-    return ranking.covariance(v).withColumn("cov", F.round("cov", 9))
-
-
-@query()
-def covariance_whole(spark, sf_dir):
     """Of all dimensions."""
     return ranking.covariance(table(spark, sf_dir, "embeddings")).withColumn("cov", F.round("cov", 9))
 
@@ -147,29 +140,16 @@ def exemplars(spark, sf_dir):
 
 @query("SELECT doc_id, sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id)::BIGINT AS running FROM documents")
 def prefix_sums(spark, sf_dir):
-    w = Window.partitionBy("source").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    return table(spark, sf_dir, "documents").select("doc_id", F.sum("n_chars").over(w).alias("running"))
-
-
-@query("""
-    WITH a AS (SELECT doc_id, n_chars / 1000.0::DOUBLE AS x FROM documents), b AS (SELECT doc_id AS other, n_chars / 1000.0::DOUBLE + 1e-12 AS y FROM documents WHERE doc_id % 20 = 0)
-    SELECT doc_id, other FROM a JOIN b ON abs(x - y) < 1e-10""")
-def tolerance_join(spark, sf_dir):
-    """Numbers that agree within a tolerance, joined on buckets of its width."""
-    d = table(spark, sf_dir, "documents")
-    eps = 1e-10
-    a = d.select("doc_id", (F.col("n_chars") / 1000.0).alias("x")).withColumn("bucket", F.floor(F.col("x") / eps))
-    b = d.filter("doc_id % 20 = 0").select(F.col("doc_id").alias("other"), (F.col("n_chars") / 1000.0 + 1e-12).alias("y"))
-    b = b.withColumn("bucket", F.explode(F.transform(F.array(*[F.lit(k) for k in (-1, 0, 1)]), lambda k: F.floor(F.col("y") / eps) + k)))
-    return a.join(b, "bucket").filter(F.abs(F.col("x") - F.col("y")) < eps).select("doc_id", "other")
+    d = table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars")
+    return running(d, {"running": F.col("n_chars")}, [F.col("doc_id")], ["source"]).select("doc_id", "running")
 
 
 @query("""
     WITH x AS (SELECT n_chars, count(*) AS n, min(doc_id) AS class FROM documents GROUP BY n_chars),
     l AS (SELECT a.n_chars, sum(b.n) AS links FROM x a JOIN x b ON abs(a.n_chars / 1000.0::DOUBLE - (b.n_chars / 1000.0::DOUBLE + 1e-12)) < 1e-10 GROUP BY a.n_chars)
     SELECT doc_id, class, CAST(links AS BIGINT) AS links FROM documents d JOIN x ON d.n_chars = x.n_chars JOIN l ON d.n_chars = l.n_chars""")
-def tolerance_classes(spark, sf_dir):
-    """As ``tolerance_join``, with every document as partner: class and number of links of each.
+def tolerance_join(spark, sf_dir):
+    """Numbers that agree within a tolerance, joined on buckets of its width: class and number of links of each document.
 
     Equal values are grouped before they are joined.  Values are whole numbers of thousandths, so that
     those within the tolerance are equal ones and a class is a value's documents.

@@ -2,7 +2,8 @@
 
 Pages are JSON objects ``{"items": [...], "after": cursor or null}``; ``read_page`` gets a cursor (null
 for the first page) and returns one.  The default reads ``<folder>/<cursor or 'first'>.json``.  A batch
-read follows cursors from the start; a stream's offset is the cursor reached.
+read follows cursors from the start.  A stream's offset is the last page read and how many of its items: that page
+is read again, as it may have grown or got a successor since.  A batch of a stream reads at most ``pages`` pages (an option, 100).
 """
 
 from __future__ import annotations
@@ -45,26 +46,31 @@ class _Reader(DataSourceReader):
 
 
 class _Stream(SimpleDataSourceStreamReader):
-    def __init__(self, folder: str):
-        self.folder = folder
+    def __init__(self, folder: str, pages: int):
+        self.folder, self.pages = folder, pages
 
     def initialOffset(self) -> dict:
-        return {"after": ""}
+        return {"cursor": "", "seen": 0}
 
     def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
         rows, at = [], start
-        if start["after"] != "end":
-            for cursor, page in follow(self.folder, start["after"] or None):
-                rows += [(cursor, json.dumps(item)) for item in page["items"]]
-                at = {"after": page.get("after") or "end"}
+        for count, (cursor, page) in enumerate(follow(self.folder, start["cursor"] or None)):
+            if count >= self.pages:
+                break
+            seen = start["seen"] if count == 0 else 0
+            rows += [(cursor, json.dumps(item)) for item in page["items"][seen:]]
+            at = {"cursor": "" if cursor == "first" else cursor, "seen": max(seen, len(page["items"]))}
         return iter(rows), at
 
     def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
-        for cursor, page in follow(self.folder, start["after"] or None):
-            if cursor == end["after"]:
-                return
-            for item in page["items"]:
+        seen = start["seen"]
+        for cursor, page in follow(self.folder, start["cursor"] or None):
+            last = cursor == (end["cursor"] or "first")
+            for item in page["items"][seen : end["seen"] if last else None]:
                 yield cursor, json.dumps(item)
+            if last:
+                return
+            seen = 0
 
 
 class ListingSource(DataSource):
@@ -81,7 +87,7 @@ class ListingSource(DataSource):
         return _Reader(self.options["path"])
 
     def simpleStreamReader(self, schema) -> SimpleDataSourceStreamReader:
-        return _Stream(self.options["path"])
+        return _Stream(self.options["path"], int(self.options.get("pages", "100")))
 
 
 def register(spark: SparkSession) -> None:

@@ -28,6 +28,14 @@ def telemetry_daily(events: DataFrame, at: str = "ts", kind: str = "event_type",
     return t.groupBy(F.window(at, "1 day").alias("w"), kind).agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("day"), kind, "n")
 
 
+def sliding(events: DataFrame, at: str = "ts", kind: str = "event_type", width: str = "1 day", step: str = "12 hours", late: str = "1 hour") -> DataFrame:
+    """Events per overlapping window and kind."""
+    t = event_time(events, at)
+    if t.isStreaming:
+        t = t.withWatermark(at, late)
+    return t.groupBy(F.window(at, width, step).alias("w"), kind).agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), kind, "n")
+
+
 def sessions(events: DataFrame, at: str = "ts", user: str = "user_id", gap: str = "30 minutes", late: str = "1 hour") -> DataFrame:
     """Events per session of a user."""
     t = event_time(events, at)

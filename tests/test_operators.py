@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tessera.functions import text as T
 from tessera.functions.vectors import dot, query_vector, sign_code, to_matrix
 from tessera.operators import dedup, graph, incremental, quantize, ranking, search, shards, sinks, stats
-from tessera.sources import files, listing
+from tessera.sources import dump, files, listing
 from tessera.streaming import flows
 
 
@@ -47,7 +47,7 @@ def test_encoder_is_needed_for_text(spark):
     terms = spark.createDataFrame([([0.5, 0.5], None, "hello", "a", -2.0)], schema)
     with pytest.raises(ValueError):
         search.total_query(terms, named)
-    got = search.total_query(terms, named, lambda kind, value: [float(len(value)), 0.0]).first()["query"]
+    got = search.total_query(terms, named, lambda kind: lambda values: np.array([[len(v), 0.0] for v in values])).first()["query"]
     assert got == [-2.0 * (0.5 + 1.0 + 5.0), -2.0 * (0.5 + 2.0)]
 
 
@@ -263,3 +263,199 @@ def test_coded_search_recall(spark):
     found = graph.beam_search(g, v, x[:10], 5, 100, quantizer=model)
     truth = search.batch_top_k(v, v.filter("vec_id < 10").withColumnRenamed("vec_id", "query_id"), 5)
     assert stats.recall(truth, found, 5).first()["recall"] >= 0.9
+
+
+def test_listing_stream_goes_on(spark, tmp_path):
+    """A last page that grows, and then gets a successor, is read on; nothing comes twice."""
+    folder, at = tmp_path / "pages", f"file://{tmp_path}"
+    folder.mkdir()
+    put = lambda name, after, items: (folder / f"{name}.json").write_text(json.dumps({"items": items, "after": after}))
+    listing.register(spark)
+
+    def seen():
+        stream = spark.readStream.format("listing").option("pages", 2).load(str(folder))
+        flows.append(stream, f"{at}/out", f"{at}/checkpoint").awaitTermination()
+        return sorted(r.item for r in spark.read.parquet(f"{at}/out").collect())
+
+    put("first", "c1", [1, 2])
+    put("c1", None, [3])
+    assert seen() == ["1", "2", "3"]
+    put("c1", None, [3, 4])
+    assert seen() == ["1", "2", "3", "4"]
+    put("c1", "c2", [3, 4])
+    put("c2", "c3", [5])
+    put("c3", None, [6, 7])
+    assert seen() == ["1", "2", "3", "4", "5"]  # a batch is two pages
+    assert seen() == seen() == ["1", "2", "3", "4", "5", "6", "7"]
+
+
+def test_listing_offsets_replay(tmp_path):
+    (tmp_path / "first.json").write_text(json.dumps({"items": [1, 2], "after": "c1"}))
+    (tmp_path / "c1.json").write_text(json.dumps({"items": [3, 4], "after": None}))
+    stream = listing._Stream(str(tmp_path), 100)
+    rows, end = stream.read(stream.initialOffset())
+    assert list(rows) == list(stream.readBetweenOffsets(stream.initialOffset(), end)) and end == {"cursor": "c1", "seen": 2}
+    assert list(stream.readBetweenOffsets({"cursor": "c1", "seen": 1}, end)) == [("c1", "4")]
+    assert list(stream.read(end)[0]) == []
+
+
+def test_rows_without_a_url_are_no_copies(spark):
+    d = spark.createDataFrame([(1, None, [1.0, -1.0]), (2, None, [-1.0, 1.0]), (3, "u", [1.0, 1.0]), (4, "u", [-1.0, -1.0]), (5, "v", None), (6, "w", None)], "vec_id long, url string, embedding array<double>")
+    assert sorted(r.vec_id for r in dedup.ingest_dedup(d).collect()) == [1, 2, 3, 5, 6]
+
+
+def test_masks_of_too_many_formats_are_refused(spark):
+    many = lambda n: spark.createDataFrame([(1, [f"f{k:02d}" for k in range(n)])], "k long, formats array<string>")
+    assert sinks.format_mask(many(62), "k", "formats")[0].first().mask == sum(1 << k for k in range(1, 63))
+    with pytest.raises(ValueError):
+        sinks.format_mask(many(63), "k", "formats")
+
+
+def test_unique_names_pass_over_names_that_exist(spark):
+    d = spark.createDataFrame([(1, "a"), (2, "a"), (3, "a-2"), (4, "a"), (5, "a-4"), (6, "a-2"), (7, "a")], "k long, name string")
+    got = {r.k: r.unique_name for r in incremental.unique_names(d, "name", "k").collect()}
+    assert got == {1: "a", 2: "a-3", 3: "a-2", 4: "a-5", 5: "a-4", 6: "a-2-2", 7: "a-6"}
+
+
+def test_null_and_uneven_vectors_are_not_shifted(spark):
+    v = spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (3, [0.0, 1.0])], "vec_id long, embedding array<double>")
+    with pytest.raises(ValueError):
+        to_matrix(v.select("embedding").toArrow().column(0))
+    with pytest.raises(ValueError):
+        to_matrix(spark.createDataFrame([([1.0, 2.0, 3.0],), ([1.0],)], "e array<double>").toArrow().column(0))
+    q = spark.createDataFrame([(9, [1.0, 0.0]), (8, None)], "query_id long, embedding array<double>")
+    assert [(r.query_id, r.vec_id) for r in search.batch_top_k(v, q, 1).collect()] == [(9, 1)]
+    assert ranking.covariance(v).count() == 3
+
+
+def test_the_last_of_equals_is_always_the_same(spark):
+    rows = [("u", 1, t) for t in "bdca"]
+    take = lambda n: incremental.last_by(spark.createDataFrame(rows, "url string, n long, title string").repartition(n), ["url"], "n").first().title
+    assert take(1) == take(3) == take(4) == "d"
+
+
+def test_several_query_rows_are_refused(spark):
+    x, v = vectors(spark, 10, 4)
+    two = v.limit(2).select(F.col("embedding").alias("query"))
+    for ask in (lambda: search.top_k(v, two, 3), lambda: search.route(two, v.select(F.col("vec_id").alias("shard_id"), F.col("embedding").alias("centroid")))):
+        with pytest.raises(ValueError):
+            ask()
+
+
+def test_an_empty_request_is_a_random_one(spark):
+    schema = "embedding array<float>, image string, text string, predefined_embedding string, weight double"
+    named = spark.createDataFrame([("house style", [1.0, 1.0, 0.0, 0.0])], "name string, embedding array<float>")
+    none = spark.createDataFrame([], schema)
+    default = spark.createDataFrame([(None, None, None, "house style", 0.5)], schema)
+    got = search.request_query(none, named, 4, default, seed=3).first()["query"]
+    assert got == pytest.approx([a + b for a, b in zip(search.random_query(4, 3), [0.5, 0.5, 0, 0], strict=True)], abs=1e-6)
+    assert search.request_query(default, named, 4).first()["query"] == [0.5, 0.5, 0.0, 0.0]
+
+
+def test_pruning_of_queries_and_saturation():
+    x = np.array([[1.0, 0.0], [0.9, 0.4359], [0.89, 0.456], [0.0, -1.0]])
+    everyone = np.arange(1, 4)
+    assert graph.robust_prune(x, 0, everyone, 3, 1.0).tolist() == [1, 3]
+    assert graph.robust_prune(x, 0, everyone, 3, 1.0, saturate=True).tolist() == [1, 3, 2]
+    marks = np.array([False, False, True, False])
+    assert graph.robust_prune(x, 0, everyone, 3, 1.0, marks, query_alpha=0.5).tolist() == [1, 2, 3]
+    assert graph.robust_prune(x, 2, np.array([0, 1, 3]), 3, 1.0, marks).tolist() == [1, 0, 3]  # a query's places are filled
+
+
+def test_searches_for_queries_pass_base_vectors_only():
+    x = np.random.default_rng(2).standard_normal((120, 8))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    marks = np.arange(120) >= 100
+    lists, start = graph.build(x, degree=10, width=30, most=60, passes=1, is_query=marks)
+    assert not marks[start]
+    _, visited = graph.greedy_search(x, lists, start, x[110], 30, ~marks)
+    assert not any(marks[v] for v in visited)
+    one, wide = (graph.greedy_search(x, lists, start, x[5], 30, beam=b)[0] for b in (1, 4))
+    assert one[:5] == wide[:5]
+
+
+def test_stitching_by_hand(spark):
+    """Base 1 points at query 10, which points at 2, 3 and 4: the nearest to 1 come first, as far as there is room."""
+    v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.1, 1.0]), (3, [0.9, 0.1]), (4, [0.5, 0.5]), (5, [0.0, 1.0]), (10, [1.0, 1.0])], "vec_id long, embedding array<double>")
+    e = spark.createDataFrame([(1, 10), (1, 5), (10, 2), (10, 3), (10, 4), (2, 3)], "src long, dst long")
+    run = lambda **how: sorted((r.src, r.dst, r.added) for r in graph.stitch(e, v, v.filter("vec_id = 10"), **how).collect())
+    kept = [(1, 5, False), (2, 3, False)]
+    assert run() == sorted([*kept, (1, 2, True), (1, 3, True), (1, 4, True)])
+    assert run(most=2) == sorted([*kept, (1, 3, True), (1, 4, True)])
+    assert run(degree=2) == sorted([*kept, (1, 3, True)])
+    has = e.union(spark.createDataFrame([(1, 3)], e.schema))
+    again = sorted((r.src, r.dst, r.added) for r in graph.stitch(has, v, v.filter("vec_id = 10"), most=1).collect())
+    assert again == sorted([*kept, (1, 3, False), (1, 4, True)])  # an edge that is there does not use up the quota
+
+
+def test_degrees_count_nodes_without_edges(spark):
+    nodes = spark.range(5).withColumnRenamed("id", "vec_id")
+    e = spark.createDataFrame([(0, 1), (0, 2), (0, 3), (1, 0), (2, 0), (2, 1)], "src long, dst long")
+    assert tuple(graph.degree_stats(nodes, e).first()) == (1.2, 1, 0, 3)
+
+
+def test_large_shards_are_refused(spark):
+    x, v = vectors(spark, 30, 8)
+    with pytest.raises(ValueError):
+        graph.build_graphs(v.select("vec_id", F.lit(0).alias("shard_id")), v, most_bytes=900)
+
+
+def test_compressed_lines_are_read(spark, tmp_path):
+    import zstandard
+
+    line = '{"url":"https://x.com/f.png","over_18":false,"title":"t","author":"u","selftext":"","subreddit":"s","created_utc":5,"id":"a"}'
+    (tmp_path / "RS.zst").write_bytes(zstandard.ZstdCompressor().compress(f"{line}\nbroken\n".encode()))
+    assert [r.id for r in dump.parse(dump.read_lines(spark, f"file://{tmp_path}/RS.zst")).collect()] == ["a"]
+
+
+def test_scan_skips_the_output_folder(spark, tmp_path):
+    for name in ("in/a.png", "in/b.PNG", "in/c.txt", "in/out/d.png"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(b"x")
+    assert sorted(r.filename for r in files.scan(spark, f"file://{tmp_path}/in", ["png"], "out/").collect()) == ["a.png", "b.PNG"]
+
+
+def test_vectors_alone_and_a_queue_are_written(spark, tmp_path):
+    x, v = vectors(spark, 20, 4)
+    sinks.write_vectors(v, f"{tmp_path}/v")
+    back = [np.frombuffer(r.embedding, "<f2") for r in spark.read.parquet(f"{tmp_path}/v").collect()]
+    assert np.allclose(sorted(map(tuple, back)), sorted(map(tuple, x)), atol=1e-3)
+    pairs = spark.createDataFrame([("p", "q")], "a string, b string")
+    for _ in range(2):
+        sinks.queued(pairs, f"{tmp_path}/queue", "7")
+    assert [(r.meme1, r.meme2, r.iteration) for r in spark.read.parquet(f"{tmp_path}/queue").collect()] == [("p", "q", 7)]
+
+
+def test_order_without_one_task(spark):
+    from tessera.operators import order
+
+    d = spark.range(3000).select("id", (F.col("id") % 7 == 0).alias("hot"), F.when(F.col("id") % 3 != 0, F.col("id") % 50).alias("x"))
+    got = order.positions(d, [F.col("x"), F.col("id")], ["hot"]).collect()
+    for hot in (True, False):
+        own = sorted((r.place, r.x, r.id, r.total) for r in got if r.hot == hot)
+        assert [o[0] for o in own] == list(range(len(own))) and {o[3] for o in own} == {len(own)}
+        assert [o[1:3] for o in own] == sorted((o[1:3] for o in own), key=lambda t: (t[0] is not None, t[0] or 0, t[1]))
+    sums = {r.id: r.s for r in order.running(d, {"s": F.col("id")}, [F.col("id")]).collect()}
+    assert all(sums[k] == k * (k + 1) // 2 for k in range(3000))
+    q = order.quantiles(d, "x", [0.0, 0.123, 0.5, 1.0], ["hot"]).collect()
+    for r in q:
+        assert r.quantiles == pytest.approx(np.quantile([k % 50 for k in range(3000) if k % 3 and (k % 7 == 0) == r.hot], [0.0, 0.123, 0.5, 1.0]))
+
+
+def test_rolling_means_cross_blocks(spark):
+    d = spark.range(100).select("id", (F.col("id") % 13).alias("x"))
+    rows = lambda block: sorted((r.id, round(r.rolling, 9)) for r in stats.rolling_mean(d, "x", "id", 5, block=block).collect())
+    assert rows(10) == rows(1000) and len(rows(10)) == 96
+
+
+def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from tessera import storage
+
+    conf = SimpleNamespace(get=lambda key, default=None: default)
+    at = lambda master: SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master=master, applicationId="x"))
+    assert storage.shared_dir(at("local[4]")).startswith("file:///")
+    for master in ("yarn", "spark://h:7077", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError):
+            storage.shared_dir(at(master))
