@@ -76,7 +76,7 @@ def random_neighbours(n: int, degree: int, seed: int = 0) -> list[np.ndarray]:
     return [np.array([v for v in rng.choice(n, min(degree + 1, n), replace=False) if v != k][:degree], np.int64) for k in range(n)]
 
 
-def build(x: np.ndarray, degree: int = 64, width: int = 192, most: int = 750, alpha: float = 1.2, passes: int = 2, seed: int = 0, beam: int = 4, is_query: np.ndarray | None = None, query_alpha: float = 1.0, saturate: bool = False) -> tuple[list[np.ndarray], int]:
+def build(x: np.ndarray, degree: int = 64, width: int = 192, most: int = 750, alpha: float = 1.2, passes: int = 2, seed: int = 0, beam: int = 8, is_query: np.ndarray | None = None, query_alpha: float = 1.0, saturate: bool = False) -> tuple[list[np.ndarray], int]:
     """Neighbour lists of all vectors and the start node, the medoid.
 
     For vectors of unit length a larger inner product is a smaller distance; ``alpha`` of at least 1
@@ -115,7 +115,7 @@ def build_graphs(assigned: DataFrame, vectors: DataFrame, key: str = "vec_id", v
     A shard is built in one task, so its size is checked first: the number of shards must follow the number of vectors.
     ``is_query`` names a column of ``vectors`` that marks queries.
     """
-    largest = assigned.groupBy("shard_id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    largest, n_shards = assigned.groupBy("shard_id").agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.max("n"), F.lit(0)), F.count("n")).first()
     dims = len((vectors.select(vector).filter(F.col(vector).isNotNull()).first() or [[]])[0])
     if largest * dims * 4 > most_bytes:
         raise ValueError(f"a shard of {largest} vectors of {dims} dimensions is above {most_bytes} bytes: deal the vectors over more shards")
@@ -129,7 +129,9 @@ def build_graphs(assigned: DataFrame, vectors: DataFrame, key: str = "vec_id", v
 
     found = vectors.filter(F.col(vector).isNotNull()).select(key, vector, *([is_query] if is_query else []))
     joined = assigned.select(key, F.col("shard_id").cast("long")).join(found, key)
-    return joined.groupBy("shard_id").applyInPandas(one, "shard_id long, id long, neighbours array<long>, is_start boolean")
+    # a stated number of partitions, so that small shards are not gathered in one task
+    dealt = joined.repartition(max(1, 4 * n_shards), "shard_id")
+    return dealt.groupBy("shard_id").applyInPandas(one, "shard_id long, id long, neighbours array<long>, is_start boolean")
 
 
 def beam_search(graph: DataFrame, vectors: DataFrame, queries: np.ndarray, k: int, width: int = 100, key: str = "vec_id", vector: str = "embedding", dead: str | None = None, scales: np.ndarray | None = None, descriptors: str | None = None, quantizer: ProductQuantizer | None = None, query_ids: np.ndarray | None = None, beam: int = 3) -> DataFrame:
