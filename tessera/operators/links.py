@@ -11,8 +11,9 @@ from ..storage import drop, materialize
 def components(edges: DataFrame) -> DataFrame:
     """``node, root`` with the smallest node reachable, for every node with a link.
 
-    Links ``u, v`` go through alternating large-star and small-star rounds until nothing changes.  A round's
-    tables are written to the shared folder and dropped when the next round's are there.
+    Links ``u, v`` go through alternating large-star and small-star rounds until every node but the roots has
+    one link, to a root.  A round's tables are written to the shared folder and dropped when the next round's are there; the
+    caller may :func:`drop` the result.
     """
 
     def star(pairs: DataFrame, large: bool) -> DataFrame:
@@ -26,15 +27,19 @@ def components(edges: DataFrame) -> DataFrame:
         drop(mins)
         return out
 
-    same = lambda p: p.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+    def unsettled(pairs: DataFrame) -> bool:
+        """Whether some node links to two others, or is both linked to another and its end."""
+        end = lambda c, out: F.struct(F.col(c).alias("node"), F.lit(out).alias("out"))
+        ends = pairs.select(F.explode(F.array(end("u", 1), end("v", 0))).alias("e")).select("e.*")
+        nodes = ends.groupBy("node").agg(F.sum("out").alias("out"), F.min("out").alias("least"))
+        return not nodes.filter((F.col("out") > 1) | ((F.col("out") == 1) & (F.col("least") == 0))).isEmpty()
+
     pairs = materialize(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u != v").distinct())
-    mark = same(pairs)
-    while mark[0]:
+    while unsettled(pairs):
         large = star(pairs.union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v"))), True)
         small = star(large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), False)
         drop(pairs, large)
         pairs = small
-        before, mark = mark, same(pairs)
-        if before == mark:
-            break
-    return pairs.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    roots = pairs.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    roots._written_at = pairs._written_at
+    return roots
