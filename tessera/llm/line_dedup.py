@@ -107,7 +107,8 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All columns of ``docs`` inside ``doc``, with ``n_lines, n_dropped, kept_text``."""
     d = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), lift(id_col).alias("id"), whole(text_col).alias("text"))
-    d = d.withColumn("version", F.xxhash64("text")).join(bitmaps, ["id", "version"], "left")
+    # bitmaps are in proportion to the documents, so they are never sent to all tasks
+    d = d.withColumn("version", F.xxhash64("text")).join(bitmaps.hint("merge"), ["id", "version"], "left")
     flags = F.flatten(F.transform(F.coalesce("runs", F.array().cast("array<int>")), lambda n, i: F.array_repeat(i % 2 == 0, n)))
     d = d.select("doc", "id", "text", F.split("text", "\n", -1).alias("lines"), "runs", flags.alias("flags"))
     kept = F.transform(

@@ -226,4 +226,5 @@ def simhash_stage(docs: DataFrame, groups: Callable[[DataFrame], DataFrame] = ne
     drop = groups(docs).filter("id != component").select("id", "version").distinct()
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")
     rows = docs.select(row, lift("doc_id").alias("id"), F.xxhash64(whole("text")).alias("version"))
-    return rows.join(drop, ["id", "version"], "left_anti").select("doc.*")
+    # ids are in proportion to the documents, so they are never sent to all tasks
+    return rows.join(drop.hint("merge"), ["id", "version"], "left_anti").select("doc.*")
