@@ -15,7 +15,7 @@ document at the cut in part.  A hot source has more blocks, not larger ones.
 Defined results.  A null text has no words; a null source is a source of its own; a
 null id is the smallest id.  Documents without words, and sources without words, are
 taken 0 times.  Rows that repeat an id are mixed on their own, in an order of their texts; rows that repeat
-id and text stand together, so only they can fill a block.  Ties of a source's fill go by its name.  A very long
+id and text stand together, and a block that they fill is cut at them.  Ties of a source's fill go by its name.  A very long
 text is one document, which the cut may take in part.  An empty table gives an empty result.  The order
 depends on ids, texts and ``seed`` alone, so reruns agree.  Other columns are ignored, whatever their
 names; the stage hands them on.
@@ -54,6 +54,32 @@ def source_targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
     return s.select("source", "source_size", "rows", target.alias("target"))
 
 
+def _cuts(slim: DataFrame, large: DataFrame, block_rows: int) -> DataFrame:
+    """``c_source, c_block, keys``: the keys that more than ``block_rows`` rows of a large block share, in order.
+
+    Keys are hashes, so a block has few of these, however many rows repeat.
+    """
+    at = large.select(F.col("source").alias("c_source"), F.col("block").alias("c_block"))
+    rows = slim.join(at, slim["source"].eqNullSafe(at["c_source"]) & (slim["block"] == at["c_block"]))
+    often = rows.groupBy("c_source", "c_block", "key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > block_rows)
+    pair = F.struct("key", F.ceil(F.col("n") / block_rows).cast("int").alias("parts"))
+    return materialize(often.groupBy("c_source", "c_block").agg(F.sort_array(F.collect_list(pair)).alias("keys")))
+
+
+def _segments(dealt: DataFrame, cut: DataFrame, block_rows: int) -> DataFrame:
+    """Add ``segment`` and ``sub``, which keep the order by key: a key that repeats too often is a segment of its own.
+
+    Its rows have one id and one text, hence one size, so it doesn't matter which of them is in which part.
+    """
+    rows = dealt.join(cut, dealt["source"].eqNullSafe(cut["c_source"]) & (dealt["block"] == cut["c_block"]), "left")
+    below = F.coalesce(F.size(F.filter("keys", lambda k: k["key"] < F.col("key"))), F.lit(0))
+    own = F.get(F.filter("keys", lambda k: k["key"] == F.col("key")), F.lit(0))["parts"]
+    return rows.withColumns({
+        "segment": F.when(F.col("keys").isNull(), 0).otherwise(2 * below + F.when(own.isNotNull(), 1).otherwise(0)),
+        "sub": F.coalesce(F.pmod(F.xxhash64(F.monotonically_increasing_id()), own), F.lit(0)).cast("int"),
+    }).drop("c_source", "c_block", "keys")
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", carry: bool = False, seed: str = "mix", block_rows: int = 2_000, **targets) -> DataFrame:
     """``id, size, source_size, target, taken`` of each row; ``carry`` adds ``doc``, the row itself."""
     row = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")] if carry else []
@@ -66,18 +92,29 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     sources = materialize(source_targets(sized.select("source", "size"), **targets))
     same = sized["source"].eqNullSafe(sources["source"])
     part = F.conv(F.substring("key", 1, 8), 16, 10).cast("double") / float(2**32)
-    dealt = sized.join(sources, same).drop(sources["source"])
-    dealt = dealt.withColumn("block", F.floor(part * F.ceil(F.col("rows") / block_rows)).cast("long"))
-    slim = sized.select("source", "size", "key").join(sources, same).drop(sources["source"])
-    sums = (
-        slim.withColumn("block", F.floor(part * F.ceil(F.col("rows") / block_rows)).cast("long"))
-        .groupBy("source", "block").agg(F.sum("size").alias("words"))
-        .withColumn("before", F.coalesce(F.sum("words").over(Window.partitionBy("source").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-        .select(F.col("source").alias("s_source"), F.col("block").alias("s_block"), "before")
+    deal = F.floor(part * F.ceil(F.col("rows") / block_rows)).cast("long")
+    dealt = sized.join(sources, same).drop(sources["source"]).withColumn("block", deal)
+    slim = sized.select("source", "size", "key").join(sources, same).drop(sources["source"]).withColumn("block", deal)
+    uncut = {"segment": F.lit(0), "sub": F.lit(0)}
+    sums = materialize(slim.groupBy("source", "block").agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("n")).withColumns(uncut))
+    large = sums.filter(F.col("n") > 4 * block_rows)
+    if large.isEmpty():
+        dealt = dealt.withColumns(uncut)
+    else:
+        cut = _cuts(slim, large, block_rows)
+        dealt = materialize(_segments(dealt, cut, block_rows))
+        sums = dealt.groupBy("source", "block", "segment", "sub").agg(F.sum("size").alias("words"))
+    earlier_blocks = Window.partitionBy("source").orderBy("block", "segment", "sub").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(
+        F.col("source").alias("s_source"), F.col("block").alias("s_block"), F.col("segment").alias("s_segment"), F.col("sub").alias("s_sub"),
+        F.coalesce(F.sum("words").over(earlier_blocks), F.lit(0)).alias("before"),
     )
-    in_block = Window.partitionBy("source", "block").orderBy("key", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    in_block = Window.partitionBy("source", "block", "segment", "sub").orderBy("key", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
     placed = dealt.withColumn("earlier", F.coalesce(F.sum("size").over(in_block), F.lit(0)))
-    placed = placed.join(sums, placed["source"].eqNullSafe(sums["s_source"]) & (placed["block"] == sums["s_block"]))
+    alike = placed["source"].eqNullSafe(sums["s_source"])
+    for c in ("block", "segment", "sub"):
+        alike = alike & (placed[c] == sums[f"s_{c}"])
+    placed = placed.join(sums, alike)
     budget = F.floor("target").cast("long")
     epochs = F.when(F.col("source_size") > 0, F.expr("CAST(floor(target) AS BIGINT) div source_size")).otherwise(F.lit(0))
     rest = budget - F.col("epochs") * F.col("source_size") - F.col("before") - F.col("earlier")

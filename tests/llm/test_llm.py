@@ -515,6 +515,25 @@ def test_repeated_ids_have_keys_of_their_own(spark):
     assert again(2) == again(9)
 
 
+@pytest.mark.parametrize("source", ["a", None])
+def test_rows_that_repeat_id_and_text_fill_no_block(spark, monkeypatch, source):
+    data = [(k, "w " * (1 + k % 7) + str(k), source) for k in range(200)] + [(7, "said over and over", source)] * 150 + [(None, None, source)] * 90
+    d, most = spark.createDataFrame(data * 2 + [(k, "other", "b") for k in range(300)], "doc_id long, text string, source string"), []
+    segments = mixing._segments
+
+    def spy(*a):
+        out = common.materialize(segments(*a))
+        most.append(out.groupBy("source", "block", "segment", "sub").count().agg(F.max("count")).first()[0])
+        return out
+
+    monkeypatch.setattr(mixing, "_segments", spy)
+    got = lambda n, **k: Counter(tuple(r.values()) for r in rows(mixing.mix(d.repartition(n), **k)))
+    uncut = got(2, block_rows=100_000)
+    assert not most and sum(uncut.values()) == 1180
+    assert uncut == got(3, block_rows=10) == got(8, block_rows=10)
+    assert len(most) == 2 and max(most) <= 50
+
+
 def test_mix_odd_inputs(odd, empty):
     assert mixing.mix_report(odd).count() == len(ODD)
     assert mixing.mix_report(empty).count() == 0 and mixing.mix_stage(empty).count() == 0
