@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import preference
+from .search import batch_top_k
 from .stats import ensemble
 
 
@@ -85,6 +86,19 @@ def exemplars(features: DataFrame, n: int, key: str = "vec_id") -> DataFrame:
     return features.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= n)
 
 
+def signed_exemplars(vectors: DataFrame, directions: np.ndarray, n: int = 10, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """``direction, side, vec_id, score, rank``: the ``n`` vectors furthest along each direction (``max``) and against it (``min``).
+
+    Directions are rows: components, or a decoder's features.  The score is the product with the signed direction;
+    ties go to the smaller key, and null vectors are no exemplars.
+    """
+    both = [(2 * i + side, [float(v) for v in (row, -row)[side]]) for i, row in enumerate(directions) for side in (0, 1)]
+    queries = vectors.sparkSession.createDataFrame(both, "query_id long, v array<double>").withColumnRenamed("v", vector)
+    found = batch_top_k(vectors, queries, n, key, vector=vector)
+    side = F.when(F.col("query_id") % 2 == 0, "max").otherwise("min")
+    return found.select(F.expr("query_id div 2").alias("direction"), side.alias("side"), key, "score", "rank")
+
+
 def covariance(vectors: DataFrame, vector: str = "embedding") -> DataFrame:
     """``i, j, cov`` for ``i <= j``; partial sums are combined before the shuffle."""
     from ..functions.vectors import to_matrix

@@ -196,3 +196,15 @@ def one_bit_quantizer(spark, sf_dir):
     x = quantize.sample_matrix(v, 2000)
     scores = quantize.one_bit_scores(v, quantize.OneBitQuantizer(x.mean(0)), x[0])
     return scores.agg(F.count(F.lit(1)).alias("n"), (F.corr("estimate", "exact") > 0.7).alias("follows"))
+
+
+@query(f"""
+    WITH d AS (SELECT vec_id // 100 AS direction, e FROM ({VEC}) WHERE vec_id IN (0, 100, 200)),
+    s AS (SELECT direction, side, v.vec_id, sign * list_dot_product(d.e, v.e) AS score FROM d, (VALUES ('max', 1), ('min', -1)) t(side, sign), ({VEC}) v),
+    r AS (SELECT *, row_number() OVER (PARTITION BY direction, side ORDER BY score DESC, vec_id) AS rank FROM s)
+    SELECT direction, side, vec_id, rank, round(score, 9) AS score FROM r WHERE rank <= 10""")
+def signed_exemplars(spark, sf_dir):
+    """Vectors furthest along and against three directions."""
+    v = table(spark, sf_dir, "embeddings")
+    directions = np.array([r.embedding for r in v.filter("vec_id IN (0, 100, 200)").orderBy("vec_id").select("embedding").collect()], np.float64)
+    return ranking.signed_exemplars(v, directions, 10).withColumn("score", F.round("score", 9))

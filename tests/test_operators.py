@@ -459,3 +459,16 @@ def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
     for master in ("yarn", "spark://h:7077", "local-cluster[2,1,1024]"):
         with pytest.raises(ValueError):
             storage.shared_dir(at(master))
+
+
+def test_exemplars_of_components_on_both_sides(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(80, 6)) * [5, 3, 1, 1, 1, 1]
+    df = spark.createDataFrame([(k, [float(v) for v in row]) for k, row in enumerate(x)] + [(99, None)], "vec_id long, embedding array<double>")
+    parts, _ = ranking.principal_components(df, 2)
+    got = {(r.direction, r.side, r["rank"]): r.vec_id for r in ranking.signed_exemplars(df, parts, 4).collect()}
+    for i, part in enumerate(parts):
+        order = np.argsort(-(x @ part))
+        assert [got[i, "max", k] for k in range(1, 5)] == order[:4].tolist()
+        assert [got[i, "min", k] for k in range(1, 5)] == order[::-1][:4].tolist()
+    assert len(got) == 16
