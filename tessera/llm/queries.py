@@ -7,7 +7,7 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from . import branch_merge, exact_dedup, filter_audit, fingerprints, language_id, line_dedup, mixing, packing, quality, sharding, simhash, warc
+from . import branch_merge, exact_dedup, filter_audit, fingerprints, language_id, line_dedup, minhash, mixing, packing, quality, sharding, simhash, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -29,6 +29,7 @@ def queries() -> dict[str, Query]:
         "op9_mixing": _over("documents", mixing.mix_report),
         "op10_sharding": _over("documents", sharding.shard_report),
         "op11_filter_audit": lambda spark, sf_dir: filter_audit.audit_report(*(spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))),
+        "op12_minhash": _over("documents", minhash.minhash_report),
         "op13_branch_merge": _over("documents", branch_merge.merge_report),
         "pipeline": corpus_pipeline.run,
     }
