@@ -12,7 +12,8 @@ differ in no other places, so every pair within the distance shares a bucket, an
 
 Links.  Each bucket has a centre: the member that shares its buckets with most others.  A text is first compared with the most central of its
 centres, then with its other centres that are not yet in its component.  Members of a bucket that are still in several components
-meet in pairs of chunks, bounded by rows and bytes, whose tasks compare signatures, confirm by the sets, and hand on a spanning forest.  All links
+meet by their signatures, in pairs of large chunks; those that have a candidate in another component meet again in pairs of chunks that are bounded by
+rows and bytes, whose tasks confirm by the sets and hand on a spanning forest.  A pair that shares many buckets is a candidate only in the first.  All links
 are confirmed by the full sets; only texts with different sets take part, each once, however many documents have it.
 
 Defined results.  Fewer words than the width make one shingle.  A text without words (null, empty, blank) has no
@@ -30,12 +31,12 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.links import components
 from .common import drop, give_back, lift, materialize, slices, spread, whole
-from .jaccard import apart, confirmed, shingles, similarity
+from .jaccard import apart, confirmed, shingles
 from .simhash import SEED
 
 WIDTH = 4
@@ -96,21 +97,70 @@ def _signed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["id", "version", "n", "key", "sig", "keys", "bytes"])
 
 
-def _meet(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Over (bucket, a, b, own, key, root, sig, text), sorted: links between components within a pair of chunks."""
+def first_slots(matches: np.ndarray) -> np.ndarray:
+    """Of rows (..., symbols) of matching symbols: the place among :func:`chunk_keys` of the first key that both signatures have; -1 without one."""
+    differ = ~matches.reshape(*matches.shape[:-1], CHUNKS, ROWS)
+    slots = []
+    for kept in combinations(range(ROWS), ROWS - ERRORS):
+        slots.append(~differ[..., list(kept)].any(-1))
+    shared = np.concatenate(slots, -1)
+    return np.where(shared.any(-1), shared.argmax(-1), -1)
+
+
+def _candidates(slot: int, n: np.ndarray, roots: np.ndarray, symbols: np.ndarray, i: int) -> np.ndarray:
+    """Members after the ``i``-th that may be similar to it, are in another component, and share no earlier bucket with it: a pair is confirmed in one bucket."""
+    rest = slice(i + 1, None)
+    likely = (np.minimum(n[rest], n[i]) >= THRESHOLD * np.maximum(n[rest], n[i])) & (roots[rest] != roots[i])
+    at = np.flatnonzero(likely)
+    matches = symbols[at + i + 1] == symbols[i]
+    near = matches.shape[1] - matches.sum(1) <= DISTANCE
+    at = at[near]
+    return at[first_slots(matches[near]) == slot] + i + 1
+
+
+def _grouped(batches: Iterable[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, list[tuple]]]:
+    """Rows sorted by their first ``keys`` columns, a group at a time."""
     at, rows = None, []
     for batch in slices(batches):
         for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-            if row[:3] != at:
-                yield from _forest(rows)
-                at, rows = row[:3], []
-            rows.append(row[3:])
-    yield from _forest(rows)
+            if row[:keys] != at:
+                if rows:
+                    yield at, rows
+                at, rows = row[:keys], []
+            rows.append(row[keys:])
+    if rows:
+        yield at, rows
+
+
+def _signatures(found: Iterable[bytes], rows: int) -> np.ndarray:
+    return np.frombuffer(b"".join(found), np.uint16).reshape(rows, -1)
+
+
+def _likely(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Over (bucket, slot, a, b, own, key, root, n, sig), sorted: the members that have a candidate within a pair of chunks."""
+    for (bucket, slot, *_), rows in _grouped(batches, 4):
+        own, keys, roots, n, signatures = zip(*rows, strict=True)
+        own, n, roots = np.array(own), np.array(n), np.array(roots, np.int64)
+        symbols, one_chunk, some = _signatures(signatures, len(rows)), len(set(own)) == 1, set()
+        for i in range(len(rows)):
+            near = _candidates(slot, n, roots, symbols, i)
+            if not one_chunk:
+                near = near[own[near] != own[i]]
+            if len(near):
+                some.update((i, *near.tolist()))
+        if some:
+            yield pa.RecordBatch.from_pydict({"bucket": pa.array([bucket] * len(some), pa.int64()), "key": pa.array([keys[k] for k in sorted(some)], pa.int64())})
+
+
+def _meet(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Over (bucket, slot, a, b, own, key, root, n, sig, text), sorted: links between components within a pair of chunks."""
+    for (_, slot, *_), rows in _grouped(batches, 4):
+        yield from _forest(slot, rows)
 
 
-def _forest(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-    """Confirmed links between members ``(own, key, root, sig, text)`` of different components; those linked are compared no more."""
-    own, keys, roots, signatures, texts = zip(*rows, strict=True) if rows else [()] * 5
+def _forest(slot: int, rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+    """Confirmed links between members ``(own, key, root, n, sig, text)`` of different components; those linked are compared no more."""
+    own, keys, roots, n, signatures, texts = zip(*rows, strict=True)
     parent = {r: r for r in roots}
     if len(parent) < 2:
         return
@@ -120,44 +170,63 @@ def _forest(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
             parent[r] = r = parent[parent[r]]
         return r
 
-    symbols = np.frombuffer(b"".join(signatures), np.uint16).reshape(len(rows), -1)
+    symbols, n, first = _signatures(signatures, len(rows)), np.array(n), np.array(roots, np.int64)
     sets, found, one_chunk = {}, [], len(set(own)) == 1
     for i in range(len(rows)):
-        for j in np.flatnonzero((symbols[i + 1 :] != symbols[i]).sum(1) <= DISTANCE) + i + 1:
-            j = int(j)
+        for j in _candidates(slot, n, first, symbols, i).tolist():
             if (own[i] == own[j] and not one_chunk) or (x := find(roots[i])) == (y := find(roots[j])):
                 continue
             for k in (i, j):
                 if k not in sets:
                     sets[k] = shingles(texts[k], WIDTH)
-            fewer, more = sorted((len(sets[i]), len(sets[j])))
-            if fewer >= THRESHOLD * more and similarity(sets[i], sets[j]) >= THRESHOLD:
+            if similar(sets[i], sets[j]):
                 parent[max(x, y)] = min(x, y)
                 found.append((max(keys[i], keys[j]), min(keys[i], keys[j])))
     if found:
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], ["u", "v"])
 
 
+def similar(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two sorted sets that aren't empty are similar enough."""
+    if len(a) > len(b):
+        a, b = b, a
+    both = int(np.count_nonzero(b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a))
+    return both >= THRESHOLD * (len(a) + len(b) - both)
+
+
 def _near(a: str, b: str) -> str:
     """A condition that two signatures are within the distance: differing symbols are counted in the JVM."""
     symbols = CHUNKS * ROWS
     return f"size(filter(sequence(0, {symbols - 1}), i -> substring({a}, 2 * i + 1, 2) <> substring({b}, 2 * i + 1, 2))) <= {DISTANCE}"
 
 
-def rest_links(members: DataFrame, roots: DataFrame, known: DataFrame, chunk: int, chunk_bytes: int) -> DataFrame:
-    """Links between members of a bucket that are in different components so far."""
-    others = members.join(roots.withColumnRenamed("node", "key"), "key", "left").select("bucket", "key", "sig", "bytes", F.coalesce("root", "key").alias("root"))
-    others = materialize(others)
-    split = others.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("total"), F.min("root").alias("a"), F.max("root").alias("b"))
-    chunks = F.greatest(F.ceil(F.col("n") / chunk), F.ceil(F.col("total") / chunk_bytes)).cast("int")
-    split = materialize(split.filter("a != b").select("bucket", chunks.alias("chunks")))
-    dealt = others.join(split, "bucket").withColumn("own", F.pmod(F.xxhash64("key"), "chunks").cast("int"))
+def _dealt(members: DataFrame, chunks: Column) -> DataFrame:
+    """Members with ``own`` chunk and the pairs ``a, b`` of chunks in which it meets the others of its bucket; ``chunks`` is a column."""
+    dealt = members.withColumn("chunks", chunks.cast("int")).withColumn("own", F.pmod(F.xxhash64("key"), "chunks").cast("int"))
     # each chunk meets each other chunk and itself; with one chunk that is the bucket
-    dealt = dealt.select("bucket", "key", "root", "sig", "own", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
-    dealt = dealt.withColumns({"a": F.least("own", "other"), "b": F.greatest("own", "other")}).join(known.hint("merge"), "key")
-    dealt = dealt.repartition("bucket", "a", "b").sortWithinPartitions("bucket", "a", "b", "key").select("bucket", "a", "b", "own", "key", "root", "sig", "text")
+    dealt = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
+    return dealt.withColumns({"a": F.least("own", "other"), "b": F.greatest("own", "other")}).drop("other", "chunks")
+
+
+def rest_links(members: DataFrame, roots: DataFrame, known: DataFrame, chunk: int, chunk_bytes: int) -> DataFrame:
+    """Links between members of a bucket that are in different components so far.
+
+    Signatures meet first, in large chunks; the texts of those that have a candidate meet in small ones.
+    """
+    others = members.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    others = materialize(others.select("bucket", "slot", "key", "root", "n", "sig", "bytes"))
+    split = materialize(others.groupBy("bucket").agg(F.count(F.lit(1)).alias("rows"), F.min("root").alias("a"), F.max("root").alias("b")).filter("a != b").select("bucket", "rows"))
+    group, row = ["bucket", "slot", "a", "b"], ["own", "key", "root", "n", "sig"]
+    slim = _dealt(others.join(split, "bucket"), F.ceil(F.col("rows") / (8 * chunk)))
+    slim = slim.repartition(*group).sortWithinPartitions(*group, "key").select(*group, *row)
+    likely = materialize(slim.mapInArrow(_likely, "bucket long, key long").distinct())
+    drop(split)
+    left = materialize(others.join(likely, ["bucket", "key"]))
+    size = materialize(left.groupBy("bucket").agg(F.greatest(F.ceil(F.count(F.lit(1)) / chunk), F.ceil(F.sum("bytes") / chunk_bytes)).alias("parts")))
+    dealt = _dealt(left.join(size, "bucket"), F.col("parts")).join(known.hint("merge"), "key")
+    dealt = dealt.repartition(*group).sortWithinPartitions(*group, "key").select(*group, *row, "text")
     out = materialize(dealt.mapInArrow(_meet, "u long, v long"))
-    drop(others, split)
+    drop(others, likely, left, size)
     return out
 
 
@@ -171,13 +240,13 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     signed = materialize(spread(texts).mapInArrow(_signed, "id long, version long, n long, key long, sig binary, keys array<long>, bytes long"))
     own = materialize(signed.select("id", "version", "n", "key"))
     firsts = materialize(own.filter("key IS NOT NULL").groupBy("key").agg(F.min(F.struct("id", "version")).alias("f")).select("key", "f.id", "f.version"))
-    distinct = materialize(signed.join(firsts, ["key", "id", "version"]).dropDuplicates(["key"]).select("key", "keys", "sig", "bytes"))
+    distinct = materialize(signed.join(firsts, ["key", "id", "version"]).dropDuplicates(["key"]).select("key", "keys", "n", "sig", "bytes"))
     drop(signed)
-    bucketed = distinct.select("key", F.explode("keys").alias("bucket"))
+    bucketed = distinct.select("key", F.posexplode("keys").alias("slot", "bucket"))
     shared = materialize(bucketed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
     pairs_of = materialize(bucketed.join(shared, "bucket"))
     weights = materialize(pairs_of.groupBy("key").agg(F.sum("n").alias("weight")))
-    members = materialize(pairs_of.select("bucket", "key").join(distinct.join(weights, "key").select("key", "sig", "bytes", "weight").hint("merge"), "key"))
+    members = materialize(pairs_of.select("bucket", "slot", "key").join(distinct.join(weights, "key").select("key", "n", "sig", "bytes", "weight").hint("merge"), "key"))
     drop(distinct, shared, pairs_of)
     best = F.max(F.struct("weight", "key", "sig")).alias("c")
     centres = materialize(members.groupBy("bucket").agg(best).select("bucket", F.col("c.key").alias("v"), F.col("c.sig").alias("v_sig"), F.col("c.weight").alias("v_weight")))

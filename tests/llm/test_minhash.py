@@ -109,7 +109,9 @@ def test_every_pair_within_the_distance_shares_a_key():
         other = base.copy()
         at = rng.choice(len(base), minhash.DISTANCE, replace=False)
         other[at] += np.uint16(1)
-        assert set(minhash.chunk_keys(base)) & set(minhash.chunk_keys(other))
+        a, b = minhash.chunk_keys(base), minhash.chunk_keys(other)
+        assert minhash.first_slots(base == other) == np.flatnonzero(a == b)[0]
+    assert minhash.first_slots(base == base + np.uint16(1)) == -1
     assert minhash.beyond(0.8) < 1e-4 and minhash.beyond(0.85) < 1e-6
 
 
