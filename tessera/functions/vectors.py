@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -68,6 +69,21 @@ def to_matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, -1 if n else 0)
 
 
+def over_rows(f: Callable[[np.ndarray], np.ndarray], kind: str) -> Callable[..., Column]:
+    """A column function that applies ``f`` to the matrix of a batch's vectors; a null vector gives null."""
+
+    @F.pandas_udf(kind)
+    def apply(x: pd.Series) -> pd.Series:
+        known = x.notna().to_numpy()
+        out = pd.Series([None] * len(x), dtype=object)
+        if known.any():
+            values = f(np.stack(x[known].to_numpy()).astype(np.float64))
+            out[known] = pd.Series(list(values), index=out.index[known], dtype=object)
+        return out
+
+    return apply
+
+
 @F.pandas_udf(BinaryType())
 def fp16_encode(vectors: pd.Series) -> pd.Series:
     """Little-endian half-precision bytes."""

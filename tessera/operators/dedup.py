@@ -9,8 +9,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import dot, sign_code, to_matrix
+from ..storage import materialize
+from . import blocks
 from .links import components
-from .search import MAX_QUERIES
 
 
 def keep_first(df: DataFrame, key: Column, *order: Column) -> DataFrame:
@@ -53,38 +54,26 @@ def _block_links(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         columns = least
 
 
-def near_classes(vectors: DataFrame, threshold: float, key: str = "vec_id", vector: str = "embedding", block: int = MAX_QUERIES) -> DataFrame:
+def near_classes(vectors: DataFrame, threshold: float, key: str = "vec_id", vector: str = "embedding", block: int | None = None) -> DataFrame:
     """``vec_id, class, links`` of each vector: the smallest key that links reach, and how many others are above the threshold.
 
-    All vectors that aren't null are compared with all, in blocks; a block hands on a spanning forest and counts, not its pairs.
+    All vectors that aren't null are compared with all, in pairs of blocks; a pair hands on a spanning forest and counts, not its links.
     """
     vectors = vectors.filter(F.col(vector).isNotNull())
-    n = vectors.count()
-    blocks = 1 if n <= block else -(-2 * n // block)
-    found = None
-    for b in range(blocks):
-        rows = vectors.filter(F.pmod(F.xxhash64(key), F.lit(blocks)) == b).select(F.col(key).cast("long"), vector).toArrow()
-        if not rows.num_rows:
-            continue
-        ids, matrix = rows.column(0).to_numpy(), to_matrix(rows.column(1))
-
-        def links(batches, ids=ids, matrix=matrix):
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                own = batch.column(0).to_numpy()
-                near = (matrix @ to_matrix(batch.column(1)).T > threshold) & (ids[:, None] != own[None, :])
-                first, columns = _block_links(near)
-                q, v = np.flatnonzero(first < len(own)), np.flatnonzero(near.any(0))
-                u = np.concatenate([ids[q], own[v]])
-                to = own[np.concatenate([first[q], columns[v]])]
-                count = np.concatenate([near[q].sum(1), np.zeros(len(v), np.int64)])
-                yield pa.RecordBatch.from_pydict({"u": u, "v": to, "n": count})
-
-        part = vectors.select(F.col(key).cast("long"), vector).mapInArrow(links, "u long, v long, n long")
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        return vectors.select(F.col(key), F.col(key).alias("class"), F.lit(0).cast("long").alias("links"))
+
+    def links(left: pa.Table, right: pa.Table) -> pa.Table:
+        ids, own = left["key"].to_numpy(), right["key"].to_numpy()
+        if not len(ids) or not len(own):
+            return pa.table({c: pa.array([], pa.int64()) for c in ("u", "v", "n")})
+        a, b = to_matrix(left["vector"]), to_matrix(right["vector"])
+        itself = left["l"][0].as_py() == left["r"][0].as_py()
+        near = blocks.above(a @ b.T, a, b, threshold) & (ids[:, None] != own[None, :])
+        first, columns = _block_links(near)
+        q, v = np.flatnonzero(first < len(own)), np.flatnonzero(near.any(0))
+        back = np.zeros(len(v), np.int64) if itself else near[:, v].sum(0)
+        return pa.table({"u": np.concatenate([ids[q], own[v]]), "v": np.concatenate([own[first[q]], own[columns[v]]]), "n": np.concatenate([near[q].sum(1), back])})
+
+    found = materialize(blocks.over_own_pairs(vectors, links, "u long, v long, n long", key, vector, block))
     counts = found.groupBy("u").agg(F.sum("n").alias("n"))
     roots = components(found.select("u", "v"))
     out = vectors.select(key).join(counts.withColumnRenamed("u", key), key, "left").join(roots.withColumnRenamed("node", key), key, "left")

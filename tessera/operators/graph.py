@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.vectors import dot
 from .quantize import ProductQuantizer
-from .search import batch_top_k
+from .blocks import block_top_k
 
 
 def greedy_search(x: np.ndarray, neighbours: list[np.ndarray], start: int, query: np.ndarray, width: int, allowed: np.ndarray | None = None, approx: np.ndarray | None = None, beam: int = 1) -> tuple[list[int], dict[int, float]]:
@@ -175,7 +175,7 @@ def beam_search(graph: DataFrame, vectors: DataFrame, queries: np.ndarray, k: in
 
 def knn_graph(vectors: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """``src, dst, score, place``: each vector's ``k`` nearest others, exactly; blocks of vectors are multiplied with all."""
-    found = batch_top_k(vectors, vectors.withColumnRenamed(key, "query_id"), k + 1, key, vector=vector).filter(F.col("query_id") != F.col(key))
+    found = block_top_k(vectors, vectors.withColumnRenamed(key, "query_id"), k + 1, key, vector=vector).filter(F.col("query_id") != F.col(key))
     # without itself, a vector's rank moves up by one behind where it stood
     place = F.row_number().over(Window.partitionBy("query_id").orderBy("rank")).cast("long")
     return found.withColumn("place", place).filter(F.col("place") <= k).select(F.col("query_id").alias("src"), F.col(key).alias("dst"), "score", "place")

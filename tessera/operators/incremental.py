@@ -58,21 +58,30 @@ def stale_frames(files: DataFrame) -> DataFrame:
 
 
 def upsert(stored: DataFrame, changes: DataFrame, key: str, order: str | None = None) -> DataFrame:
-    """Replace whole rows by key: the last change by ``order``, else a stored row."""
-    changes = changes if order is None else last_by(changes, [key], order)
-    return stored.join(changes.select(key), key, "left_anti").select(*stored.columns).unionByName(changes.select(*stored.columns))
+    """Replace whole rows by key: the last change by ``order``, else a stored row.
+
+    A null key is a key like others.  Without an order, the change of a key that is last as JSON counts.
+    """
+    changes = last_by(changes, [key], order)
+    known = changes.select(F.col(key).alias("_known"))
+    return stored.join(known, stored[key].eqNullSafe(F.col("_known")), "left_anti").select(*stored.columns).unionByName(changes.select(*stored.columns))
 
 
 def merge(stored: DataFrame, changes: DataFrame, key: str) -> DataFrame:
-    """Insert missing keys and overwrite only the columns that a change has a value for."""
-    c = changes.select(*[F.col(x).alias(f"_{x}") for x in changes.columns])
-    j = stored.join(c, stored[key] == F.col(f"_{key}"), "full")
+    """Insert missing keys and overwrite only the columns that a change has a value for.
+
+    A null key is a key like others.  Of several changes of a key, each column takes the greatest value.
+    """
+    others = [x for x in changes.columns if x != key]
+    c = changes.groupBy(F.col(key).alias(f"_{key}")).agg(F.lit(True).alias("_there"), *[F.max(x).alias(f"_{x}") for x in others])
+    j = stored.join(c, stored[key].eqNullSafe(F.col(f"_{key}")), "full")
     return j.select(*[F.coalesce(f"_{x}", x).alias(x) if x in changes.columns else F.col(x) for x in stored.columns])
 
 
-def last_by(df: DataFrame, keys: list[str], order: str) -> DataFrame:
+def last_by(df: DataFrame, keys: list[str], order: str | None) -> DataFrame:
     """The last row of each key; among equals the one that is last as JSON, so that every run takes the same."""
-    w = Window.partitionBy(*keys).orderBy(F.col(order).desc(), F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])).desc())
+    by = [] if order is None else [F.col(order).desc()]
+    w = Window.partitionBy(*keys).orderBy(*by, F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])).desc())
     return df.withColumn("_place", F.row_number().over(w)).filter("_place = 1").drop("_place")
 
 

@@ -51,16 +51,31 @@ def running(df: DataFrame, sums: dict[str, Column], order: list[Column], keys: l
     return out.drop("_at", "_part", "_n", "_first", "total", *[f"_before_{n}" for n in sums])
 
 
+#: A value that fills many places is found by cells of places, of which a key has so many.
+CELLS = 4_096
+
+
 def quantiles(df: DataFrame, x: str, levels: list[float], keys: list[str] | None = None, to: str = "quantiles") -> DataFrame:
-    """Exact quantiles of each key's values that aren't null, linear between neighbours, as an array by level."""
+    """Exact quantiles of each key's values that aren't null, linear between neighbours, as an array by level.
+
+    Equal values are counted before anything is ordered, so a value that fills half of the rows is one row.
+    """
     keys = keys or []
-    p = positions(df.select(*keys, F.col(x).cast("double").alias("_x")).filter("_x IS NOT NULL"), [F.col("_x")], keys)
-    at = F.transform(F.array(*[F.lit(float(v)) for v in levels]), lambda v, i: F.struct(i.alias("i"), (v * (F.col("total") - 1)).alias("h")))
-    asked = p.filter("place = 0").select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.explode(at).alias("l"))
-    sides = F.array(F.floor("l.h"), F.ceil("l.h"))
-    asked = asked.select(*[f"_k{i}" for i in range(len(keys))], F.col("l.i").alias("_i"), F.col("l.h").alias("_h"), F.explode(F.array_distinct(sides)).alias("_want"))
-    on = reduce(Column.__and__, [F.col("place") == F.col("_want"), *[F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]])
-    found = p.join(asked, on).groupBy(*keys, "_i", "_h").agg(F.min(F.struct("place", "_x")).alias("a"), F.max(F.struct("place", "_x")).alias("b"))
-    value = F.col("a._x") + (F.col("_h") - F.col("a.place")) * (F.col("b._x") - F.col("a._x"))
+    same = lambda other: reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"{other}{i}")) for i, k in enumerate(keys)], F.lit(True))
+    counts = df.select(*keys, F.col(x).cast("double").alias("_x")).filter("_x IS NOT NULL").groupBy(*keys, "_x").agg(F.count(F.lit(1)).alias("_own"))
+    placed = running(counts, {"_upto": F.col("_own")}, [F.col("_x")], keys)
+    totals = placed.groupBy(*[F.col(k).alias(f"_t{i}") for i, k in enumerate(keys)]).agg(F.sum("_own").alias("_total"))
+    width = F.greatest(F.ceil(F.col("_total") / CELLS), F.lit(1))
+    cell = lambda place: F.floor(place / F.col("_width")).cast("long")
+    wide = totals.withColumn("_width", width)
+    rows = placed.join(F.broadcast(wide) if not keys else wide, same("_t") if keys else F.lit(True))
+    rows = rows.select(*keys, "_x", "_upto", (F.col("_upto") - F.col("_own")).alias("_from"), F.explode(F.sequence(cell(F.col("_upto") - F.col("_own")), cell(F.col("_upto") - 1))).alias("_cell"))
+    at = F.transform(F.array(*[F.lit(float(v)) for v in levels]), lambda v, i: F.struct(i.alias("i"), (v * (F.col("_total") - 1)).alias("h")))
+    asked = wide.select(*[F.col(f"_t{i}").alias(f"_k{i}") for i in range(len(keys))], "_width", F.explode(at).alias("l"))
+    asked = asked.select(*[f"_k{i}" for i in range(len(keys))], "_width", F.col("l.i").alias("_i"), F.col("l.h").alias("_h"), F.explode(F.array_distinct(F.array(F.floor("l.h"), F.ceil("l.h")))).alias("_want"))
+    asked = asked.withColumn("_asked", cell(F.col("_want")))
+    on = (F.col("_cell") == F.col("_asked")) & (F.col("_from") <= F.col("_want")) & (F.col("_want") < F.col("_upto")) & same("_k")
+    found = rows.join(asked, on).groupBy(*keys, "_i", "_h").agg(F.min(F.struct("_want", "_x")).alias("a"), F.max(F.struct("_want", "_x")).alias("b"))
+    value = F.col("a._x") + (F.col("_h") - F.col("a._want")) * (F.col("b._x") - F.col("a._x"))
     ordered = F.array_sort(F.collect_list(F.struct("_i", value.alias("v"))))
     return found.groupBy(*keys).agg(F.transform(ordered, lambda q: q["v"]).alias(to))

@@ -2,15 +2,28 @@
 
 from __future__ import annotations
 
+from typing import Protocol
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.vectors import dot, to_matrix
+from ..functions.vectors import dot, over_rows, to_matrix
+from . import blocks
+from .additive import LocalSearchQuantizer, ResidualQuantizer, product_of
 from .search import batch_top_k
 
 
+class Codec(Protocol):
+    """What codes batches of vectors, and makes vectors of codes."""
+
+    def encode(self, x: np.ndarray) -> np.ndarray: ...
+
+    def decode(self, codes: np.ndarray) -> np.ndarray: ...
+
+
 class ProductQuantizer:
     """Codewords per subspace, after an orthonormal rotation.
 
@@ -84,12 +97,8 @@ def train_pq(sample: np.ndarray, subspaces: int, codes: int, rounds: int = 15, s
 
 
 def pq_encode(vectors: DataFrame, quantizer: ProductQuantizer, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """``vec_id, codes``; the model is sent once per task."""
-
-    @F.pandas_udf("array<int>")
-    def encode(x: pd.Series) -> pd.Series:
-        return pd.Series(list(quantizer.encode(np.stack(x.to_numpy())).astype(np.int32))) if len(x) else pd.Series([], dtype=object)
-
+    """``vec_id, codes``, null for a null vector; the model is sent once per task."""
+    encode = over_rows(lambda x: quantizer.encode(x).astype(np.int32), "array<int>")
     return vectors.select(key, encode(vector).alias("codes"))
 
 
@@ -152,10 +161,28 @@ def integer_dot(a: Column | str, b: Column | str) -> Column:
 class OneBitQuantizer:
     """Signs of a random rotation of centred unit vectors, and the correction for inner products."""
 
-    def __init__(self, mean: np.ndarray, seed: int = 0):
+    def __init__(self, mean: np.ndarray, seed: int = 0, turn: np.ndarray | None = None):
         self.mean = np.asarray(mean, np.float64)
         d = len(self.mean)
-        self.turn = np.linalg.qr(np.random.default_rng(seed).standard_normal((d, d)))[0]
+        self.turn = np.linalg.qr(np.random.default_rng(seed).standard_normal((d, d)))[0] if turn is None else turn
+
+    def packed(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Like :meth:`encode` with 64 signs a word, the first in the lowest bit."""
+        bits, norms, align = self.encode(x)
+        padded = np.zeros((len(x), -(-bits.shape[1] // 64) * 64), bool)
+        padded[:, : bits.shape[1]] = bits
+        return np.packbits(padded, axis=1, bitorder="little").view("<u8"), norms, align
+
+    def planes(self, query: np.ndarray) -> tuple[np.ndarray, float, float, float, float]:
+        """A query for packed codes: bit planes (``QUERY_BITS``, words) of its rotated values in steps from the least, the least, the step, their sum, and its product with the mean."""
+        q = self.turn @ query
+        low = float(q.min())
+        step = float(q.max() - low) / ((1 << QUERY_BITS) - 1) or 1.0
+        steps = np.round((q - low) / step).astype(np.int64)
+        padded = np.zeros(-(-len(q) // 64) * 64, np.int64)
+        padded[: len(q)] = steps
+        bits = (padded[None] >> np.arange(QUERY_BITS)[:, None] & 1).astype(np.uint8)
+        return np.packbits(bits, axis=1, bitorder="little").view("<u8"), low, step, low * len(q) + step * float(steps.sum()), float(query @ self.mean)
 
     def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Bits, norms of what is left of the mean, and how well the bits align with it."""
@@ -173,6 +200,73 @@ class OneBitQuantizer:
         return norms * (signs @ q) / np.maximum(align, 1e-12) + query @ self.mean
 
 
+#: Bits of a query's values where codes are one bit.
+QUERY_BITS = 4
+
+
+def hadamard(dims: int) -> np.ndarray:
+    """An orthonormal rotation for a power of two: signs by the parity of the common bits of row and column, and of every third column's place."""
+    i = np.arange(dims)
+    return (1 - 2.0 * (np.bitwise_count(i[:, None] & i[None]) % 2)) * (1 - 2.0 * (i[None] % 3 == 0)) / np.sqrt(dims)
+
+
+def one_bit_codes(vectors: DataFrame, quantizer: OneBitQuantizer, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """``vec_id, code, norm, align``: 64 signs a long; null vectors are left out."""
+
+    def coded(batches):
+        for batch in batches:
+            if batch.num_rows:
+                code, norm, align = quantizer.packed(to_matrix(batch.column(1)))
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(code.view(np.int64)), pa.list_(pa.int64())), pa.array(norm), pa.array(align)], [key, "code", "norm", "align"])
+
+    rows = vectors.filter(F.col(vector).isNotNull()).select(F.col(key).cast("long"), vector)
+    return rows.mapInArrow(coded, f"{key} long, code array<long>, norm double, align double")
+
+
+def one_bit_estimate(quantizer: OneBitQuantizer, query: np.ndarray) -> Column:
+    """The estimated inner product of a code with one query, in the JVM: common bits with the query's planes are counted."""
+    planes, low, step, total, shift = quantizer.planes(np.asarray(query, np.float64))
+    ones = lambda words: F.aggregate(words, F.lit(0), lambda s, w: s + F.bit_count(w))
+    common = [ones(F.zip_with("code", F.array(*[F.lit(int(w)) for w in plane.view(np.int64)]), lambda a, b: a.bitwiseAND(b))) for plane in planes]
+    inner = low * ones(F.col("code")) + step * sum((c * (1 << j) for j, c in enumerate(common)), F.lit(0))
+    return F.col("norm") * (2 * inner - total) / float(np.sqrt(len(query))) / F.greatest("align", F.lit(1e-12)) + shift
+
+
+def one_bit_top_k(coded: DataFrame, vectors: DataFrame, query: np.ndarray, quantizer: OneBitQuantizer, k: int, widen: int = 20, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """The best ``k`` vectors for one query: the ``widen * k`` best by codes, scored exactly."""
+    near = coded.withColumn("_estimate", one_bit_estimate(quantizer, query)).orderBy(F.col("_estimate").desc(), key).limit(widen * k).select(key)
+    exact = dot(vector, F.array(*[F.lit(float(x)) for x in query]))
+    return vectors.join(near, key).select(key, exact.alias("score")).orderBy(F.col("score").desc(), key).limit(k)
+
+
+def one_bit_batch_top_k(coded: DataFrame, vectors: DataFrame, queries: DataFrame, quantizer: OneBitQuantizer, k: int, widen: int = 20, key: str = "vec_id", query_key: str = "query_id", vector: str = "embedding") -> DataFrame:
+    """``query_id, vec_id, score, rank`` for a table of queries: blocks of codes and queries meet, the ``widen * k`` best of each query are scored exactly."""
+    most = widen * k
+
+    def near(asked: pa.Table, held: pa.Table) -> pa.Table:
+        if not asked.num_rows or not held.num_rows:
+            return pa.table({"q": pa.array([], pa.int64()), "v": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+        own = held["vector"].combine_chunks()
+        codes = np.stack(own.field("code").to_numpy(zero_copy_only=False)).view(np.uint64)
+        norm, align = (own.field(c).to_numpy() for c in ("norm", "align"))
+        ones, keys, found = np.bitwise_count(codes).sum(1, dtype=np.int64), held["key"].to_numpy(), []
+        for q, x in zip(asked["key"].to_pylist(), to_matrix(asked["vector"]), strict=True):
+            planes, low, step, total, shift = quantizer.planes(x)
+            common = sum(np.bitwise_count(codes & plane).sum(1, dtype=np.int64) << j for j, plane in enumerate(planes))
+            scores = norm * (2 * (low * ones + step * common) - total) / np.sqrt(len(x)) / np.maximum(align, 1e-12) + shift
+            best = np.lexsort((keys, -scores))[:most]
+            found.append((np.full(len(best), q), keys[best], scores[best]))
+        q, v, score = (np.concatenate(c) for c in zip(*found, strict=True))
+        return pa.table({"q": q, "v": v, "score": score})
+
+    asked = queries.filter(F.col(vector).isNotNull()).select(F.col(query_key).cast("long").alias(query_key), vector)
+    packed = coded.select(key, F.struct("code", "norm", "align").alias(vector))
+    pairs = blocks.over_pairs(asked, packed, near, "q long, v long, score double", (query_key, key), vector)
+    chosen = blocks.ranked(pairs, most, query_key, key).select(query_key, key)
+    scored = chosen.join(vectors.select(key, F.col(vector).alias("_x")), key).join(asked.withColumnRenamed(vector, "_y"), query_key)
+    return blocks.ranked(scored.select(F.col(query_key).alias("q"), F.col(key).alias("v"), dot("_x", "_y").alias("score")), k, query_key, key)
+
+
 class ChainQuantizer:
     """Additive codewords chosen by dynamic programming along a chain of codebooks.
 
@@ -243,36 +337,28 @@ def sample_matrix(vectors: DataFrame, most: int = 50_000, seed: int = 0, vector:
     return x[np.lexsort(x.T[::-1])]
 
 
-def decoded_error(vectors: DataFrame, models: dict[str, ProductQuantizer | ChainQuantizer], vector: str = "embedding") -> DataFrame:
-    """One row: ``n`` and, by model, the mean squared distance of all vectors to what their codes decode to."""
-
-    def error(model):
-        @F.pandas_udf("double")
-        def far(x: pd.Series) -> pd.Series:
-            if not len(x):
-                return pd.Series([], dtype="float64")
-            m = np.stack(x.to_numpy()).astype(np.float64)
-            return pd.Series(((m - model.decode(model.encode(m))) ** 2).sum(1))
-
-        return far(vector)
-
-    return vectors.select(*[error(m).alias(k) for k, m in models.items()]).agg(F.count(F.lit(1)).alias("n"), *[F.avg(k).alias(k) for k in models])
+def decoded_error(vectors: DataFrame, models: dict[str, Codec], vector: str = "embedding") -> DataFrame:
+    """One row: ``n`` and, by model, the mean squared distance of all vectors that aren't null to what their codes decode to."""
+    error = lambda model: over_rows(lambda m: ((m - model.decode(model.encode(m))) ** 2).sum(1), "double")(vector)
+    far = vectors.filter(F.col(vector).isNotNull()).select(*[error(m).alias(k) for k, m in models.items()])
+    return far.agg(F.count(F.lit(1)).alias("n"), *[F.avg(k).alias(k) for k in models])
 
 
 def one_bit_scores(vectors: DataFrame, model: OneBitQuantizer, query: np.ndarray, vector: str = "embedding") -> DataFrame:
-    """``estimate, exact`` inner products of every vector with a query, the first from its bits."""
-
-    @F.pandas_udf("double")
-    def estimate(x: pd.Series) -> pd.Series:
-        return pd.Series(model.scores(query, *model.encode(np.stack(x.to_numpy()).astype(np.float64)))) if len(x) else pd.Series([], dtype="float64")
-
+    """``estimate, exact`` inner products of every vector with a query, the first from its bits; null for a null vector."""
+    estimate = over_rows(lambda x: model.scores(query, *model.encode(x)), "double")
     return vectors.select(estimate(vector).alias("estimate"), dot(vector, F.array(*[F.lit(float(v)) for v in query])).alias("exact"))
 
 
-def codecs(sample: np.ndarray, subspaces: int, codes: int, seed: int = 0) -> dict[str, ProductQuantizer | ChainQuantizer]:
-    """Our codecs at the same budget of codes, fitted on a bounded sample."""
+def codecs(sample: np.ndarray, subspaces: int, codes: int, seed: int = 0) -> dict[str, Codec]:
+    """Our codecs at the same budget of codes, fitted on a bounded sample; the product ones code two groups of dimensions apart."""
     plain, turned = (train_pq(sample, subspaces, codes, seed=seed, rotate=r) for r in (False, True))
-    return {"pq": plain, "opq": turned, "chain": ChainQuantizer.train(sample, subspaces, codes, 2, seed)}
+    groups = 2 if subspaces % 2 == 0 else 1
+    additive_ones = {
+        "rq": ResidualQuantizer.train(sample, subspaces, codes, seed=seed), "prq": product_of(ResidualQuantizer, sample, groups, subspaces // groups, codes, seed),
+        "lsq": LocalSearchQuantizer.train(sample, subspaces, codes, seed=seed), "plsq": product_of(LocalSearchQuantizer, sample, groups, subspaces // groups, codes, seed),
+    }
+    return {"pq": plain, "opq": turned, "chain": ChainQuantizer.train(sample, subspaces, codes, 2, seed), **additive_ones}
 
 
 def compared(sample: np.ndarray, subspaces: int, codes: int, seed: int = 0) -> dict[str, float]:

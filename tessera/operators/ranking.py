@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import preference
+from ..functions.vectors import over_rows, to_matrix
 from .search import batch_top_k
 from .stats import ensemble
 
@@ -37,13 +38,8 @@ class ScoreModel:
 
 
 def scored(vectors: DataFrame, model: ScoreModel, vector: str = "embedding", to: str = "scores") -> DataFrame:
-    """Add the model's outputs as an array."""
-
-    @F.pandas_udf("array<double>")
-    def score(x: pd.Series) -> pd.Series:
-        return pd.Series(list(model(np.stack(x.to_numpy()).astype(np.float64)))) if len(x) else pd.Series([], dtype=object)
-
-    return vectors.withColumn(to, score(vector))
+    """Add the model's outputs as an array, null for a null vector."""
+    return vectors.withColumn(to, over_rows(model, "array<double>")(vector))
 
 
 class SparseAutoencoder:
@@ -64,7 +60,7 @@ class SparseAutoencoder:
 
 
 def feature_table(vectors: DataFrame, model: SparseAutoencoder, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """``vec_id, feature, value`` of active features only."""
+    """``vec_id, feature, value`` of active features only; a null vector has none."""
 
     def run(frames):
         for frame in frames:
@@ -73,7 +69,7 @@ def feature_table(vectors: DataFrame, model: SparseAutoencoder, key: str = "vec_
                 row, feature = np.nonzero(h)
                 yield pd.DataFrame({key: frame[key].to_numpy()[row], "feature": feature, "value": h[row, feature]})
 
-    return vectors.select(key, vector).mapInPandas(run, f"{key} long, feature long, value double")
+    return vectors.filter(F.col(vector).isNotNull()).select(key, vector).mapInPandas(run, f"{key} long, feature long, value double")
 
 
 def feature_frequency(features: DataFrame) -> DataFrame:
@@ -101,8 +97,6 @@ def signed_exemplars(vectors: DataFrame, directions: np.ndarray, n: int = 10, ke
 
 def covariance(vectors: DataFrame, vector: str = "embedding") -> DataFrame:
     """``i, j, cov`` for ``i <= j``; partial sums are combined before the shuffle."""
-    from ..functions.vectors import to_matrix
-
     def sums(batches):
         import pyarrow as pa
 
@@ -162,29 +156,6 @@ def uncertain_pairs(pairs: DataFrame, scores: DataFrame, n: int = 50) -> DataFra
     return spread.orderBy(F.col("variance").desc(), "a", "b").limit(n)
 
 
-def steep_pairs(pairs: DataFrame, scores: DataFrame, n: int = 50) -> DataFrame:
-    """Pairs that would move the model most: the slope of the loss, summed over members."""
-    side = lambda c, s: scores.select(F.col("id").alias(c), "member", "channel", F.col("score").alias(s))
-    both = pairs.join(side("a", "sa"), "a").join(side("b", "sb"), ["b", "member", "channel"])
-    p = preference(F.col("sa"), F.col("sb"))
-    return both.groupBy("a", "b").agg(F.sum(p * (1 - p)).alias("slope")).orderBy(F.col("slope").desc(), "a", "b").limit(n)
-
-
-def train_preference(pairs: pd.DataFrame, members: int = 16, rounds: int = 300, rate: float = 0.5, decay: float = 1e-3, seed: int = 0) -> np.ndarray:
-    """(members, dimensions) of linear preference models on ``x1, x2, p``: each on its own resample."""
-    d = np.stack(pairs["x1"].to_numpy()).astype(np.float64) - np.stack(pairs["x2"].to_numpy()).astype(np.float64)
-    p = pairs["p"].to_numpy(np.float64)
-    rng = np.random.default_rng(seed)
-    out = []
-    for _ in range(members):
-        own = rng.integers(len(d), size=len(d))
-        w = np.zeros(d.shape[1])
-        for _ in range(rounds):
-            w -= rate * (d[own].T @ (1 / (1 + np.exp(-(d[own] @ w))) - p[own]) / len(own) + decay * w)
-        out.append(w)
-    return np.stack(out)
-
-
 def score_filter(scores: Column, limits: dict[int, float]) -> Column:
     """Whether any listed score is below its limit."""
     out = F.lit(False)

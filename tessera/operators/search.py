@@ -1,15 +1,14 @@
 """Exact search by inner product.
 
-Two plans give the same results.  ``top_k`` is declarative, for a few query vectors: a
-broadcast of the queries, whose number is checked, and TakeOrderedAndProject or a
-group-limited window.  ``batch_top_k`` multiplies matrices per Arrow batch and keeps the best
-``k`` of each batch, so that what is shuffled does not depend on the number of vectors in a batch.
+Two plans give the same results.  ``top_k`` is declarative, for one query vector: TakeOrderedAndProject.  ``batch_top_k``
+multiplies matrices per Arrow batch and keeps the best ``k`` of each batch, so that what is shuffled does not depend on the
+number of vectors in a batch; beyond a checked number of queries it joins blocks instead (``operators.blocks``).
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
-from functools import reduce
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +17,8 @@ from pyspark.sql import functions as F
 
 from ..functions.text import name_hash
 from ..functions.vectors import by_dimension, dot, gathered, to_matrix
+from ..storage import materialize
+from . import blocks, shards
 from .encode import encoded
 
 #: Query vectors that are sent to every task at once.
@@ -88,41 +89,22 @@ def result_rows(found: DataFrame, debug: bool = False, url: str = "url") -> Data
 def batch_top_k(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", query_key: str = "query_id", vector: str = "embedding", above: float | None = None) -> DataFrame:
     """``query_id, vec_id, score, rank`` of the best ``k`` vectors for every query.
 
-    Null vectors neither ask nor answer.  Queries are sent to all tasks in blocks of at most ``MAX_QUERIES``, which a hash of the query's key deals.
+    Null vectors neither ask nor answer.  Up to ``MAX_QUERIES`` queries are sent to all tasks; more than that meet the vectors in blocks.
     """
     vectors, queries = (d.filter(F.col(vector).isNotNull()) for d in (vectors, queries))
-    asked = queries.count()
-    # twice as many blocks as would just do, since a hash deals them unevenly
-    blocks = 1 if asked <= MAX_QUERIES else -(-2 * asked // MAX_QUERIES)
-    parts = [
-        _block_top_k(vectors, queries.filter(F.pmod(F.xxhash64(query_key), F.lit(blocks)) == b), k, key, query_key, vector, above) for b in range(blocks)
-    ]
-    return reduce(DataFrame.unionByName, parts)
-
-
-def _block_top_k(vectors: DataFrame, queries: DataFrame, k: int, key: str, query_key: str, vector: str, above: float | None) -> DataFrame:
-    rows = queries.select(F.col(query_key).cast("long"), vector).limit(MAX_QUERIES + 1).toArrow()
-    if rows.num_rows > MAX_QUERIES:
-        raise ValueError(f"more than {MAX_QUERIES} queries share a block: are their keys all the same?")
+    if queries.limit(MAX_QUERIES + 1).count() > MAX_QUERIES:
+        return blocks.block_top_k(vectors, queries, k, key, query_key, vector, above)
+    rows = queries.select(F.col(query_key).cast("long"), vector).limit(MAX_QUERIES).toArrow()
     ids, matrix = rows.column(0).to_numpy(), to_matrix(rows.column(1))
 
     def best(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows or not len(ids):
-                continue
-            own = batch.column(0).to_numpy()
-            scores = matrix @ to_matrix(batch.column(1)).T
-            n = min(k, len(own))
-            part = np.argpartition(-scores, n - 1, 1)[:, :n]
-            # all that tie with the last stay, as keys decide between them
-            last = np.take_along_axis(scores, part, 1).min(1, keepdims=True)
-            q, v = np.nonzero(scores >= last if above is None else (scores >= last) & (scores > above))
-            yield pa.RecordBatch.from_pydict({"q": ids[q], "v": own[v], "score": scores[q, v]})
+            if batch.num_rows and len(ids):
+                q, v, score = blocks.best_k(matrix, ids, to_matrix(batch.column(1)), batch.column(0).to_numpy(), k, above)
+                yield pa.RecordBatch.from_pydict({"q": q, "v": v, "score": score})
 
     found = vectors.select(F.col(key).cast("long"), vector).mapInArrow(best, "q long, v long, score double")
-    order = Window.partitionBy("q").orderBy(F.col("score").desc(), "v")
-    ranked = found.withColumn("rank", F.row_number().over(order).cast("long")).filter(F.col("rank") <= k)
-    return ranked.select(F.col("q").alias(query_key), F.col("v").alias(key), "score", "rank")
+    return blocks.ranked(found, k, query_key, key)
 
 
 def without_video(scored: DataFrame, frame: str = "frame") -> DataFrame:
@@ -142,9 +124,42 @@ def route(query: DataFrame, centroids: DataFrame, shard: str = "shard_id", centr
     return scored.agg(F.max("s").alias("s")).select(f"s.{shard}", "s.score")
 
 
+def routed_candidates(assigned: DataFrame, queries: DataFrame, centroids: DataFrame, k: int, probes: int, chunk: int = blocks.BLOCK_ROWS, key: str = "vec_id", query_key: str = "query_id", vector: str = "embedding", shard: str = "shard_id") -> DataFrame:
+    """``query_id, vec_id, score, choice``: the best ``k`` of each of the ``probes`` shards whose centroids are best for a query.
+
+    ``assigned`` has ``vec_id, shard_id, embedding``, a row for each shard that holds a vector.  Queries meet only the shards they are routed to;
+    a shard of more than ``chunk`` vectors is dealt into parts, which meet its queries in tasks of their own.  ``choice`` is 1 for the best shard.
+    """
+    held = assigned.filter(F.col(vector).isNotNull())
+    asked = queries.filter(F.col(vector).isNotNull())
+    routes = materialize(shards.nearest_shards(asked, centroids, probes, query_key, vector).select(query_key, F.col("shard_id").alias("l"), "choice"))
+    parts = held.groupBy(F.col(shard).cast("long").alias("l")).agg(F.ceil(F.count(F.lit(1)) / chunk).cast("int").alias("_parts"))
+    b = held.select(F.col(shard).cast("long").alias("l"), F.col(key).cast("long").alias("key"), F.col(vector).alias("vector")).join(parts, "l")
+    b = b.select("l", F.pmod(F.xxhash64("key"), F.col("_parts")).cast("int").alias("r"), "key", "vector")
+    a = asked.select(F.col(query_key).cast("long").alias(query_key), F.col(vector).alias("vector")).join(routes, query_key).join(parts, "l")
+    a = a.select("l", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("r"), F.col(query_key).alias("key"), "vector")
+
+    def best(mine: pa.Table, theirs: pa.Table) -> pa.Table:
+        if not mine.num_rows or not theirs.num_rows:
+            return pa.table({"l": pa.array([], pa.int64()), "q": pa.array([], pa.int64()), "v": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+        q, v, score = blocks.best_k(to_matrix(mine["vector"]), mine["key"].to_numpy(), to_matrix(theirs["vector"]), theirs["key"].to_numpy(), k)
+        return pa.table({"l": np.full(len(q), mine["l"][0].as_py()), "q": q, "v": v, "score": score})
+
+    found = a.groupBy("l", "r").cogroup(b.groupBy("l", "r")).applyInArrow(best, "l long, q long, v long, score double")
+    found = found.withColumnRenamed("q", query_key).join(routes, [query_key, "l"])
+    return found.groupBy(query_key, F.col("v").alias(key)).agg(F.max("score").alias("score"), F.min("choice").alias("choice"))
+
+
+def routed_top_k(assigned: DataFrame, queries: DataFrame, centroids: DataFrame, k: int, probes: int = 4, key: str = "vec_id", query_key: str = "query_id", **how: Any) -> DataFrame:
+    """``query_id, vec_id, score, rank``: the best ``k`` vectors of the shards that each query is routed to."""
+    found = routed_candidates(assigned, queries, centroids, k, probes, key=key, query_key=query_key, **how)
+    return blocks.ranked(found.select(F.col(query_key).alias("q"), F.col(key).alias("v"), "score"), k, query_key, key)
+
+
 def novel(candidates: DataFrame, indexed: DataFrame, most: float = 0.99, least_score: float | None = None, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """Candidates whose nearest indexed vector is at most ``most`` and whose score is high enough."""
-    nearest = batch_top_k(indexed, candidates.withColumnRenamed(key, "query_id"), 1, key, vector=vector)
+    """Candidates whose nearest indexed vector is at most ``most`` and whose score is high enough; one without a vector is not novel."""
+    candidates = candidates.filter(F.col(vector).isNotNull())
+    nearest = blocks.block_top_k(indexed, candidates.withColumnRenamed(key, "query_id"), 1, key, vector=vector)
     near = nearest.select(F.col("query_id").alias(key), F.col("score").alias("nearest"))
     out = candidates.join(near, key, "left").filter(F.coalesce("nearest", F.lit(-1.0)) <= most)
     return out if least_score is None else out.filter(F.col("score") > least_score)

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,32 +38,72 @@ def first_shards(assigned: DataFrame, n: int) -> DataFrame:
     return assigned.filter(F.col("shard_id") < n)
 
 
-def balanced_shards(vectors: DataFrame, centroids: DataFrame, fudge: float = 0.2, batch: int = 2048, key: str = "vec_id", vector: str = "embedding", n: int = 2) -> DataFrame:
-    """Like :func:`nearest_shards` with a penalty on full shards.
+def checked_centroids(centroids: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers and centroids of all shards, by number."""
+    rows = centroids.select(F.col("shard_id").cast("long"), "centroid").orderBy("shard_id").limit(MAX_SHARDS + 1).toArrow()
+    if rows.num_rows > MAX_SHARDS:
+        raise ValueError(f"more than {MAX_SHARDS} shards")
+    return rows.column(0).to_numpy(), to_matrix(rows.column(1))
+
+
+class Balance:
+    """How full the shards of one lane are, and the law by which the next record is dealt.
 
-    Vectors are dealt by a hash into tasks; within a task batches see the fill of the task's shards so
-    far: a penalty of ``fudge * count / balanced count``.  Tasks are alike, so their balances add up.
+    A record goes to the ``n`` shards with the largest inner product less ``fudge * count / records so far``, itself counted; ties go to the
+    smaller shard.  The counts change with every record.
     """
-    rows = centroids.select("shard_id", "centroid").orderBy("shard_id").toArrow()
-    ids, m = rows.column(0).to_numpy(), to_matrix(rows.column(1))
 
-    def deal(frames):
-        counts, seen = np.zeros(len(ids)), 0
+    def __init__(self, shards: int, counts: list[int] | None = None, seen: int = 0):
+        self.counts = np.zeros(shards, np.int64) if counts is None else np.asarray(counts, np.int64)
+        self.seen = seen
+
+    def deal(self, scores: np.ndarray, fudge: float, n: int = 2) -> tuple[np.ndarray, np.ndarray]:
+        """Places and reduced scores of the shards of each record, in turn."""
+        n = min(n, len(self.counts))
+        places, reduced = np.zeros((len(scores), n), np.int64), np.zeros((len(scores), n))
+        for k, row in enumerate(scores):
+            s = row - fudge * (self.counts / (self.seen + 1))
+            places[k] = np.argsort(-s, kind="stable")[:n]
+            reduced[k] = s[places[k]]
+            self.counts[places[k]] += 1
+            self.seen += 1
+        return places, reduced
+
+
+def dealt_frame(balance: Balance, frame: pd.DataFrame, ids: np.ndarray, centroids: np.ndarray, fudge: float, n: int, key: str, vector: str) -> pd.DataFrame:
+    """``key, shard_id, choice, score`` of a frame's records in their order."""
+    x = np.stack(frame[vector].to_numpy()).astype(np.float64) if len(frame) else np.zeros((0, centroids.shape[1]))
+    scores = np.zeros((len(x), len(ids)))
+    for d in range(centroids.shape[1]):  # in the order of the dimensions, so that batches don't matter
+        scores += x[:, d, None] * centroids[None, :, d]
+    places, reduced = balance.deal(scores, fudge, n)
+    return pd.DataFrame({
+        key: np.repeat(frame[key].to_numpy(), places.shape[1]), "shard_id": ids[places.ravel()],
+        "choice": np.tile(np.arange(1, places.shape[1] + 1), len(x)), "score": reduced.ravel(),
+    })
+
+
+def balanced_shards(vectors: DataFrame, centroids: DataFrame, fudge: float = 0.2, lane_rows: int = 100_000, key: str = "vec_id", vector: str = "embedding", n: int = 2) -> DataFrame:
+    """``vec_id, shard_id, choice, score``: like :func:`nearest_shards` with a penalty on full shards, by the law of :class:`Balance`.
+
+    The law is a fold over records in the order of their keys.  So that no task folds all of them, records are dealt over lanes by key modulo the
+    number of lanes, which follows from the number of records; each lane balances its own records, and what
+    is balanced in every lane is balanced in all.  Lanes stream through their tasks.  Null vectors are left out.
+    """
+    ids, m = checked_centroids(centroids)
+    vectors = vectors.filter(F.col(vector).isNotNull()).select(key, vector)
+    lanes = max(1, -(-vectors.count() // lane_rows))
+
+    def deal(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        lane, balance = None, Balance(len(ids))
         for frame in frames:
-            x = np.stack(frame[vector].to_numpy()).astype(np.float64) if len(frame) else np.zeros((0, m.shape[1]))
-            for at in range(0, len(x), batch):
-                part = x[at : at + batch]
-                expected = max(1.0, seen * n / len(ids))
-                score = part @ m.T - fudge * counts / expected
-                best = np.argsort(-score, 1, kind="stable")[:, :n]
-                np.add.at(counts, best.ravel(), 1)
-                seen += len(part)
-                yield pd.DataFrame({
-                    key: np.repeat(frame[key].to_numpy()[at : at + batch], best.shape[1]), "shard_id": ids[best.ravel()],
-                    "choice": np.tile(np.arange(1, best.shape[1] + 1), len(part)), "score": np.take_along_axis(score, best, 1).ravel(),
-                })
-
-    return vectors.select(key, vector).mapInPandas(deal, f"{key} long, shard_id long, choice long, score double")
+            for own, part in frame.groupby("_lane", sort=True):
+                if own != lane:
+                    lane, balance = own, Balance(len(ids))
+                yield dealt_frame(balance, part, ids, m, fudge, n, key, vector)
+
+    laned = vectors.withColumn("_lane", F.pmod(F.col(key).cast("long"), F.lit(lanes)).cast("int"))
+    return laned.repartition(lanes, "_lane").sortWithinPartitions("_lane", key).mapInPandas(deal, f"{key} long, shard_id long, choice long, score double")
 
 
 def shard_sizes(assigned: DataFrame) -> DataFrame:
@@ -104,6 +147,75 @@ def spherical_kmeans(vectors: DataFrame, k: int, rounds: int = 20, balance: floa
     return vectors.sparkSession.createDataFrame([(j, row.tolist()) for j, row in enumerate(c)], "shard_id long, centroid array<double>")
 
 
+def spill_counts(vectors: DataFrame, proposals: np.ndarray, n: int = 2, vector: str = "embedding") -> np.ndarray:
+    """(proposals, n, shards): how many vectors have each shard as first, second, ... choice, from one pass over all vectors.
+
+    ``proposals`` is (proposals, shards, dimensions).  What reaches the driver are the counts.
+    """
+    many, k, dims = proposals.shape
+
+    def counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((many, n, k), np.int64)
+        for batch in batches:
+            if batch.num_rows:
+                scores = (to_matrix(batch.column(0)) @ proposals.reshape(-1, dims).T).reshape(-1, many, k)
+                for choice in range(n):
+                    best = scores.argmax(2)
+                    for p in range(many):
+                        total[p, choice] += np.bincount(best[:, p], minlength=k)
+                    np.put_along_axis(scores, best[:, :, None], -np.inf, 2)
+        yield pa.RecordBatch.from_pydict({"at": np.arange(total.size), "n": total.ravel()})
+
+    rows = vectors.filter(F.col(vector).isNotNull()).select(vector).mapInArrow(counted, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect()
+    out = np.zeros(many * n * k, np.int64)
+    for r in rows:
+        out[r["at"]] = r["n"]
+    return out.reshape(many, n, k)
+
+
+def annealed_centroids(vectors: DataFrame, start: DataFrame, rounds: int = 20, proposals: int = 16, heat: float = 0.3, close: float = 0.1, patience: int = 4, n: int = 2, seed: int = 0, vector: str = "embedding") -> tuple[DataFrame, float]:
+    """``shard_id, centroid`` whose shards are of even size, and the largest deviation from it over first and second choices.
+
+    Simulated annealing from given centroids.  A round draws ``proposals`` disturbed copies of the present centroids, from hot to cold, and
+    judges all by one pass over all vectors.  The best is taken if it is better than the present ones; then the heat falls slowly, otherwise faster.  After
+    ``patience`` rounds without success the centroid of the worst shard is drawn anew and the heat rises.  It ends when the largest deviation
+    is within ``close`` of the even size.  The best of all that were judged is returned.
+    """
+    ids, present = checked_centroids(start)
+    unit = lambda c: c / np.maximum(np.linalg.norm(c, axis=-1, keepdims=True), 1e-12)
+    rng, k = np.random.default_rng(seed), len(ids)
+
+    def judged(some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        counts = spill_counts(vectors, unit(some), n, vector)
+        gaps = np.abs(counts - counts.sum(2, keepdims=True) / k)
+        return gaps.max((1, 2)), gaps.max(1).argmax(1)
+
+    present = unit(present)
+    (now,), (worst,) = judged(present[None])
+    best, least, failed = present, now, 0
+    even = vectors.filter(F.col(vector).isNotNull()).count() / k
+    for _ in range(rounds):
+        if least <= close * even:
+            break
+        heats = heat * np.geomspace(1, 0.05, proposals)[:, None, None]
+        some = present[None] + heats * rng.standard_normal((proposals, *present.shape)) / np.sqrt(present.shape[1])
+        gaps, worse = judged(some)
+        at = int(gaps.argmin())
+        if gaps[at] < least:
+            best, least = unit(some[at]), gaps[at]
+        if gaps[at] < now:
+            present, now, worst, failed, heat = unit(some[at]), gaps[at], worse[at], 0, heat * 0.98
+        else:
+            failed, heat = failed + 1, heat * 0.9
+        if failed > patience:
+            present = present.copy()
+            present[worst] = unit(rng.standard_normal(present.shape[1]))
+            (now,), (worst,) = judged(present[None])
+            failed, heat = 0, min(1.0, heat * 2)
+    rows = [(int(i), c.tolist()) for i, c in zip(ids, best, strict=True)]
+    return vectors.sparkSession.createDataFrame(rows, "shard_id long, centroid array<double>"), float(least)
+
+
 def merged_neighbours(edges: DataFrame, mapping: DataFrame) -> DataFrame:
     """``id, neighbours, shards``: the union of a vector's neighbours over its shards, by global id.
 

@@ -49,12 +49,9 @@ def descriptor_code(x: Column, quantiles: Column) -> Column:
 
 
 def dimension_bounds(vectors: DataFrame, low: float = 0.0005, high: float = 0.9995, vector: str = "embedding") -> DataFrame:
-    """Quantile bounds of each dimension: ``pos, low, high``.
-
-    A dimension's state counts distinct values, of which vectors in half precision have at most 65,536.
-    """
-    q = F.percentile("x", F.array(F.lit(low), F.lit(high)))
-    return by_dimension(vectors, vector=vector).groupBy("pos").agg(q.alias("q")).select("pos", F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))
+    """Exact quantile bounds of each dimension: ``pos, low, high``; no task holds a dimension's values."""
+    q = quantiles(by_dimension(vectors, vector=vector), "x", [low, high], ["pos"], "q")
+    return q.select("pos", F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))
 
 
 def standardised_histogram(vectors: DataFrame, vector: str = "embedding", bins: int = 64, reach: float = 4.0) -> DataFrame:

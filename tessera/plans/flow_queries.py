@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.vectors import mean_vectors
 from ..sources.files import table
 from ..storage import fresh_path
 from ..streaming import flows
 from .base import query
+from .search_queries import balanced_fold
 
 
 def _events(spark, sf_dir):
@@ -99,3 +101,16 @@ def sliding_counts(spark, sf_dir):
     """Overlapping windows of a day, one every twelve hours."""
     s = flows.sliding(table(spark, sf_dir, "events"))
     return s.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n")
+
+
+@query(balanced_fold("vec_id % 3", "vec_id % 4, vec_id"))
+def stream_balanced(spark, sf_dir):
+    """Vectors come in four files; each lane goes on from the counts that the batches before left, though the stream is started anew for each."""
+    at = fresh_path(spark, "flow")
+    v = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    centroids = mean_vectors(v, "label").withColumnRenamed("label", "shard_id").select("shard_id", "centroid")
+    for some in range(4):
+        v.filter(F.col("vec_id") % 4 == some).select("vec_id", "embedding").coalesce(1).write.mode("append").parquet(f"{at}/in")
+        flow = flows.balanced(flows.source(spark, f"{at}/in", "vec_id long, embedding array<float>", files_per_batch=1), centroids, lanes=3)
+        flows.append(flow, f"{at}/out", f"{at}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{at}/out").select("vec_id", F.col("shard_id").cast("int").alias("shard_id"), "choice", F.round("score", 9).alias("score"))

@@ -8,45 +8,73 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.vectors import base64url_bytes
 from ..operators import dedup, incremental, sinks
-from ..sources import dump
+from ..sources import dump, zstd_lines
 from ..sources.files import scraped, table
 from ..storage import fresh_path
 from .base import query
 
-# Lines of a raw dump, one of each kind that the rules tell apart.
-LINES = [
-    '{"url":"http://i.imgur.com/a.jpg","over_18":false,"title":"t1","author":"u1","selftext":"","subreddit":"s","created_utc":1600000000,"id":"a1"}',
-    '{"url":"https://imgur.com/AbC","over_18":false,"title":"t2","author":"u2","selftext":"","subreddit":"s","created_utc":"1600000100","post_hint":"image","id":"a2"}',
-    '{"url":"https://x.com/b.png","over_18":true,"title":"t3","author":"u3","selftext":"","subreddit":"s","created_utc":1600000200.9,"id":"a3"}',
-    '{"url":"https://x.com/c.png","over_18":false,"title":"t4","author":"[deleted]","selftext":"","subreddit":"s","created_utc":1600000300,"id":"a4"}',
-    '{"url":"https://x.com/d.png","over_18":false,"title":"t5","author":"u5","selftext":"body","subreddit":"s","created_utc":1600000400,"id":"a5"}',
-    '{"url":"https://x.com/e.png","over_18":false,"title":"t6","author":"u6","selftext":"","subreddit":"s","created_utc":1600000500,"post_hint":null,"id":"a6"}',
-    '{"url":"https://x.com/f.png","over_18":false,"title":"t7","author":"u7","selftext":"","subreddit":"s","created_utc":"1600000600.75","id":"a7"}',
-    '{"url":"https://x.com/g.html","over_18":false,"title":"t8","author":"u8","selftext":"","subreddit":"s","created_utc":1600000700,"id":"a8"}',
-    '{"url":"https://x.com/h.png","over_18":false,"title":"t9","author":null,"selftext":"","subreddit":"s","created_utc":1600000800,"id":"a9"}',
-    '{"url":"https://x.com/i.png","promoted":true,"id":"b0"}',
-    "broken {",
-    '{"url":"https://youtu.be/xyz","over_18":false,"title":"t11","author":"u11","selftext":"","subreddit":"s","created_utc":1600000900,"id":"b1"}',
-    '{"url":"https://x.com/j.png","over_18":false,"title":"t12","author":"u12","selftext":"","subreddit":"s","created_utc":"soon","id":"b2"}',
-]
+# A raw line of each document: the kinds that the rules tell apart follow from the id.
+_LINE_FIELDS = {
+    "url": """concat('"', element_at(array(concat('http://imgur.com/k', doc_id), concat('https://x.com/', doc_id, '.png'), concat('https://x.com/', doc_id, '.html'),
+              concat('https://youtu.be/k', doc_id), concat('https://i.x.com/', doc_id, '?a=1&amp;b=2')), cast(doc_id % 5 + 1 as int)), '"')""",
+    "over_18": "if(doc_id % 11 = 0, 'true', 'false')",
+    "title": "substr(to_json(named_struct('t', coalesce(text, ''))), 6, length(to_json(named_struct('t', coalesce(text, '')))) - 6)",
+    "author": """CASE WHEN doc_id % 13 = 0 THEN '"[deleted]"' WHEN doc_id % 17 = 0 THEN 'null' ELSE concat('"u', doc_id, '"') END""",
+    "selftext": """if(doc_id % 7 = 0, '"body"', '""')""",
+    "subreddit": """if(doc_id % 31 = 0 OR lang IS NULL, 'null', concat('"', lang, '"'))""",
+    "created_utc": """CASE WHEN doc_id % 19 = 0 THEN '"soon"' WHEN doc_id % 4 = 0 THEN concat('', 1600000000 + doc_id) WHEN doc_id % 4 = 1 THEN concat('"', 1600000000 + doc_id, '"')
+                      WHEN doc_id % 4 = 2 THEN concat(1600000000 + doc_id, '.9') ELSE concat('"', 1600000000 + doc_id, '.75"') END""",
+    "id": """concat('"d', doc_id, '"')""",
+}
 
 
-def _lines(spark):
-    return spark.createDataFrame([(x,) for x in LINES], "value string")
+def document_lines(documents):
+    """``value``: a raw line of each document; some are broken, promoted, without an author, or hold a zero byte."""
+    line = F.concat(F.lit("{"), *[x for k, e in _LINE_FIELDS.items() for x in (F.lit(f'"{k}":'), F.expr(e), F.lit(","))])
+    hint = F.when(F.col("doc_id") % 6 < 2, "").when(F.col("doc_id") % 6 < 4, '"post_hint":"image",').when(F.col("doc_id") % 6 == 4, '"post_hint":null,').otherwise('"post_hint":"link",')
+    line = F.concat(line, hint, F.when(F.col("doc_id") % 29 == 0, '"promoted":true,').otherwise(""), F.lit('"score":1}'), F.when(F.col("doc_id") % 37 == 0, F.char(F.lit(0))).otherwise(""))
+    return documents.select(F.when(F.col("doc_id") % 23 == 0, F.substring(line, 1, 40)).otherwise(line).alias("value"))
 
 
-@query("""
-    SELECT * FROM (VALUES ('a1', 1600000000, 'na'), ('a2', 1600000100, 'image'), ('a3', 1600000200, 'na'), ('a5', 1600000400, 'na'),
-      ('a6', 1600000500, NULL), ('a7', 1600000600, 'na'), ('a8', 1600000700, 'na'), ('a9', 1600000800, 'na'), ('b1', 1600000900, 'na')) t(id, ts, post_hint)""")
+def _written(lines, spark):
+    """The lines as Zstandard files with windows of 2^30 bytes, in several frames, of which the first file is cut off."""
+    folder = fresh_path(spark, "dump")
+    zstd_lines.write_zstd_lines(lines, folder, window_log=30, frame_rows=100, broken_end=600_000).agg(F.sum("lines")).collect()
+    return folder
+
+
+def _lines(spark, sf_dir):
+    return zstd_lines.read_zstd_lines(spark, _written(document_lines(table(spark, sf_dir, "documents")), spark), split_bytes=1 << 20)
+
+
+@query("SELECT doc_id, md5(coalesce(text, '')) AS digest, CAST(length(coalesce(text, '')) AS BIGINT) AS n FROM documents")
+def long_window_lines(spark, sf_dir):
+    """Lines written with windows of 2^30 bytes and read back; a file is read by several tasks, and the cut one up to its last line."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    folder = _written(d.select(F.to_json(F.struct("doc_id", "text")).alias("value")), spark)
+    back = zstd_lines.read_zstd_lines(spark, folder, split_bytes=64 << 10).select(F.from_json("value", "doc_id long, text string").alias("r")).select("r.*")
+    return back.select("doc_id", F.md5("text").alias("digest"), F.length("text").cast("long").alias("n"))
+
+
+_PARSED = "doc_id % 13 <> 0 AND doc_id % 29 <> 0 AND doc_id % 37 <> 0 AND doc_id % 23 <> 0 AND doc_id % 19 <> 0"
+
+
+@query(f"""
+    SELECT 'd' || doc_id AS id, 1600000000 + doc_id AS ts, CASE WHEN doc_id % 6 < 2 THEN 'na' WHEN doc_id % 6 < 4 THEN 'image' WHEN doc_id % 6 = 5 THEN 'link' END AS post_hint,
+           md5(coalesce(text, '')) AS title_md5 FROM documents WHERE {_PARSED}""")
 def line_reject_parse(spark, sf_dir):
-    return dump.parse(_lines(spark)).select("id", F.col("timestamp").cast("int").alias("ts"), "post_hint")
+    return dump.parse(_lines(spark, sf_dir)).select("id", F.col("timestamp").alias("ts"), "post_hint", F.md5("title").alias("title_md5"))
 
 
-@query("""
-    SELECT * FROM (VALUES ('a2', 'https://i.imgur.com/AbC.jpg'), ('a7', 'https://x.com/f.png'), ('b1', 'https://i.ytimg.com/vi/xyz/maxresdefault.jpg')) t(id, url)""")
+@query(f"""
+    SELECT 'd' || doc_id AS id, md5(coalesce(text, '')) AS title_md5, lang AS subreddit, 'u' || doc_id AS author, 1600000000 + doc_id AS timestamp,
+           CASE doc_id % 5 WHEN 0 THEN 'https://i.imgur.com/k' || doc_id || '.jpg' WHEN 1 THEN 'https://x.com/' || doc_id || '.png'
+             WHEN 3 THEN 'https://i.ytimg.com/vi/k' || doc_id || '/maxresdefault.jpg' ELSE 'https://i.x.com/' || doc_id || '?a=1&b=2' END AS url
+    FROM documents WHERE {_PARSED} AND doc_id > 50 AND doc_id % 5 <> 2 AND doc_id % 11 <> 0 AND doc_id % 17 <> 0 AND doc_id % 7 <> 0 AND doc_id % 31 <> 0 AND lang IS NOT NULL AND doc_id % 6 < 4""")
 def accepted_entries(spark, sf_dir):
     """The whole chain from lines to what is fetched, resumed after 1600000050."""
-    return dump.projected(dump.accept(dump.parse(_lines(spark)), 1600000050)).select("id", "url")
+    out = dump.projected(dump.accept(dump.parse(_lines(spark, sf_dir)), 1600000050))
+    return out.withColumn("title_md5", F.md5("title")).drop("title")
 
 
 @query(r"""
@@ -66,17 +94,21 @@ def url_normalise(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", T.url_rewritten(F.col("url")).alias("url"))
 
 
+# A URL and what it becomes, around a page's number.
 URLS = [
-    ("http://imgur.com/Ab1", "https://i.imgur.com/Ab1.jpg"), ("http://imgur.com/Ab1,Cd2", "https://i.imgur.com/Ab1Cd2.jpg"),
-    ("https://www.imgur.com/Zz9", "https://i.imgur.com/Zz9.jpg"), ("https://m.imgur.com/Zz9", "https://i.imgur.com/Zz9.jpg"),
-    ("https://youtu.be/k_1-x", "https://i.ytimg.com/vi/k_1-x/maxresdefault.jpg"), ("https://www.youtube.com/watch?v=abc&amp;t=1", "https://i.ytimg.com/vi/abc/maxresdefault.jpg"),
-    ("https://youtube.com/embed/abc?x=1", "https://i.ytimg.com/vi/abc/maxresdefault.jpg?x=1"), ("https://a.b/c.png?x=1&amp;y=2", "https://a.b/c.png?x=1&y=2"),
+    ("http://imgur.com/A{}", "https://i.imgur.com/A{}.jpg"), ("http://imgur.com/A{},Cd2", "https://i.imgur.com/A{}Cd2.jpg"),
+    ("https://www.imgur.com/Z{}", "https://i.imgur.com/Z{}.jpg"), ("https://m.imgur.com/Z{}", "https://i.imgur.com/Z{}.jpg"),
+    ("https://youtu.be/k_{}-x", "https://i.ytimg.com/vi/k_{}-x/maxresdefault.jpg"), ("https://www.youtube.com/watch?v=a{}&amp;t=1", "https://i.ytimg.com/vi/a{}/maxresdefault.jpg"),
+    ("https://youtube.com/embed/a{}?x=1", "https://i.ytimg.com/vi/a{}/maxresdefault.jpg?x=1"), ("https://a.b/{}.png?x=1&amp;y=2", "https://a.b/{}.png?x=1&y=2"),
+    ("https://imgur.com/a/{}", "https://imgur.com/a/{}"),
 ]
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in URLS) + ") t(url, rewritten)")
+@query("SELECT page_id, CASE page_id % " + str(len(URLS)) + " " + " ".join(f"WHEN {k} THEN replace('{b}', '{{}}', CAST(page_id AS VARCHAR))" for k, (_, b) in enumerate(URLS)) + " END AS rewritten FROM pages")
 def url_rewrite_cases(spark, sf_dir):
-    return spark.createDataFrame([(a,) for a, _ in URLS], "url string").withColumn("rewritten", T.url_rewritten(F.col("url")))
+    form = F.element_at(F.array(*[F.lit(a) for a, _ in URLS]), (F.col("page_id") % len(URLS) + 1).cast("int"))
+    url = F.replace(form, F.lit("{}"), F.col("page_id").cast("string"))
+    return table(spark, sf_dir, "pages").select("page_id", T.url_rewritten(url).alias("rewritten"))
 
 
 @query("""
@@ -105,12 +137,17 @@ def html_links(spark, sf_dir):
 
 
 @query("""
-    SELECT * FROM (VALUES ('https://imgur.com/a/x1', 'https://i.imgur.com/q.jpg'), ('https://imgur.com/gallery/x2', 'https://i.imgur.com/q.jpg'), ('https://x.com/p', NULL)) t(url, target)""")
+    SELECT page_id, CASE WHEN page_id % 5 IN (0, 1) AND page_id % 3 <> 0 THEN 'https://i.imgur.com/' || md5(html) || '.jpg'
+                         WHEN page_id % 5 = 2 THEN 'https://preview/' || page_id END AS target FROM pages""")
 def html_rule_cases(spark, sf_dir):
-    """The first rule that knows the URL reads the page."""
-    page = '<meta name="twitter:image" data-react-helmet="true" content="https://i.imgur.com/q.jpg">'
-    rows = [(u, page) for u in ("https://imgur.com/a/x1", "https://imgur.com/gallery/x2", "https://x.com/p")]
-    return spark.createDataFrame(rows, "url string, html string").select("url", T.html_target(F.col("url"), F.col("html")).alias("target"))
+    """The first rule that knows the URL reads the whole page; a page without the tag, or of another site, has no target."""
+    p = table(spark, sf_dir, "pages").withColumn("ident", F.col("page_id").cast("string"))
+    forms = ["https://imgur.com/a/x", "https://imgur.com/gallery/x", "https://www.reddit.com/gallery/x", "https://x.com/p", "https://imgur.com/x"]
+    url = F.concat(F.element_at(F.array(*[F.lit(f) for f in forms]), (F.col("page_id") % 5 + 1).cast("int")), "ident")
+    tag = F.concat(F.lit('<meta name="twitter:image" data-react-helmet="true" content="https://i.imgur.com/'), F.md5("html"), F.lit('.jpg">'))
+    figure = F.concat(F.lit('<li style="left:0px" class="_28TEYBuEdOuE3kN6UyoKMa"><figure class="_3BxRNDoASi9FbGX01ewiLg _3o5Vzct5tn9PE7e-emdDmf"><a href="https://preview/'), "ident", F.lit('" rel="noopener noreferrer" target="_blank"'))
+    html = F.concat("html", F.when(F.col("page_id") % 3 != 0, tag).otherwise(F.lit("")), figure)
+    return p.select("page_id", T.html_target(url, html).alias("target"))
 
 
 @query("""

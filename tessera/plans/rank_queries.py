@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.vectors import dot
-from ..operators import quantize, ranking, sinks, stats
+from ..operators import networks, quantize, ranking, search, sinks, stats
 from ..sources.files import table
+from ..storage import materialize
 from .base import query
 from .search_queries import VEC
 
@@ -44,9 +45,45 @@ def uncertain_pairs(spark, sf_dir):
     return ranking.uncertain_pairs(_pairs(spark, sf_dir), _scores(spark, sf_dir)).withColumn("variance", F.round("variance", 9))
 
 
-@query(f"WITH {SCORES}, v AS (SELECT a, b, sum(p * (1 - p)) AS slope FROM prefs GROUP BY a, b) SELECT a, b, round(slope, 9) AS slope FROM v ORDER BY v.slope DESC, a, b LIMIT 50")
+# A network of fixed weights: members, hidden units, channels.
+NETS, UNITS, CHANNELS = 2, 4, 3
+
+
+def _network(dims: int) -> networks.Ensemble:
+    hidden = np.sin(np.arange(NETS * UNITS * dims)).reshape(NETS, UNITS, dims)
+    out = np.sin(0.5 + np.arange(NETS * CHANNELS * UNITS)).reshape(NETS, CHANNELS, UNITS)
+    return networks.Ensemble([hidden, out], [np.cos(np.arange(NETS * UNITS)).reshape(NETS, UNITS), np.zeros((NETS, CHANNELS))])
+
+
+@query(f"""
+    WITH z AS (
+      SELECT vec_id, m, h, list_dot_product(e, list_transform(range(len(e)), lambda k: sin((m * {UNITS} + h) * len(e) + k))) + cos(m * {UNITS} + h) AS z
+      FROM ({VEC}), range({NETS}) t(m), range({UNITS}) u(h)
+    ), a AS (SELECT *, 1 / (1 + exp(-z)) AS s FROM z
+    ), out AS (SELECT m, c, h, sin(0.5::DOUBLE + (m * {CHANNELS} + c) * {UNITS} + h) AS w FROM range({NETS}) t(m), range({CHANNELS}) u(c), range({UNITS}) v(h)
+    ), scores AS (SELECT vec_id, m, c, sum(z * s * w) AS score FROM a JOIN out USING (m, h) GROUP BY ALL
+    ), pairs AS (SELECT x.vec_id AS a, y.vec_id AS b, list_dot_product(x.e, x.e) AS xx, list_dot_product(y.e, y.e) AS yy, list_dot_product(x.e, y.e) AS xy
+                 FROM ({VEC}) x JOIN ({VEC}) y ON y.vec_id = x.vec_id + 1
+    ), g AS (SELECT a, b, p.m, p.c, (1 / (1 + exp(q.score - p.score)) - 0.95) / {CHANNELS} AS g
+             FROM pairs JOIN scores p ON p.vec_id = a JOIN scores q ON q.vec_id = b AND q.m = p.m AND q.c = p.c
+    ), back AS (SELECT a, b, m, h, sum(g * w) AS v FROM g JOIN out USING (m, c) GROUP BY ALL
+    ), sides AS (
+      SELECT back.a, back.b, m, h, p.z * p.s - q.z * q.s AS gap, v * p.s * (1 + p.z * (1 - p.s)) AS u1, -v * q.s * (1 + q.z * (1 - q.s)) AS u2
+      FROM back JOIN a p USING (m, h) JOIN a q USING (m, h) WHERE p.vec_id = back.a AND q.vec_id = back.b
+    ), norms AS (
+      SELECT a, b, m, sqrt(sum(gap * gap)) AS gap, sqrt(sum((u1 + u2) * (u1 + u2))) AS bias,
+             sqrt(sum(u1 * u1) * any_value(xx) + sum(u2 * u2) * any_value(yy) + 2 * sum(u1 * u2) * any_value(xy)) AS weight
+      FROM sides JOIN pairs USING (a, b) GROUP BY a, b, m
+    ), n AS (
+      SELECT norms.a, norms.b, sum(gap * gs + bias + weight) / {NETS} AS norm
+      FROM norms JOIN (SELECT a, b, m, sqrt(sum(g * g)) AS gs FROM g GROUP BY a, b, m) USING (a, b, m) GROUP BY norms.a, norms.b
+    ) SELECT a, b, round(norm, 9) AS norm FROM n ORDER BY n.norm DESC, a, b LIMIT 50""")
 def steep_pairs(spark, sf_dir):
-    return ranking.steep_pairs(_pairs(spark, sf_dir), _scores(spark, sf_dir)).withColumn("slope", F.round("slope", 9))
+    """Pairs by the norm of the gradient that rating them would give a network of one hidden layer."""
+    v = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    x = v.select(F.col("vec_id").alias("a"), (F.col("vec_id") + 1).alias("b"), F.col("embedding").alias("x1"))
+    pairs = x.join(v.select(F.col("vec_id").alias("b"), F.col("embedding").alias("x2")), "b")
+    return networks.steep_pairs(pairs, _network(_dims(spark, sf_dir))).withColumn("norm", F.round("norm", 9))
 
 
 @query(f"""
@@ -161,23 +198,23 @@ def sparse_features(spark, sf_dir):
     return ranking.feature_frequency(ranking.feature_table(table(spark, sf_dir, "embeddings"), model))
 
 
+def preference_pairs(v, targets=(1, 2, 3)):
+    """``id, x1, x2, p``: consecutive vectors, and how three stored vectors prefer between them."""
+    pairs = v.select(F.col("vec_id").alias("id"), F.col("embedding").alias("x1")).join(v.select((F.col("vec_id") - 1).alias("id"), F.col("embedding").alias("x2")), "id")
+    wanted = v.filter(F.col("vec_id").isin(*targets)).agg(F.array_sort(F.collect_list(F.struct("vec_id", "embedding"))).alias("_t"))
+    return pairs.crossJoin(F.broadcast(wanted)).withColumn("p", F.transform("_t", lambda t: T.preference(8 * dot("x1", t["embedding"]), 8 * dot("x2", t["embedding"])))).drop("_t")
+
+
 @query()
 def preference_model(spark, sf_dir):
-    """Trained on preferences that a stored vector makes; how many held-out pairs it orders rightly."""
-    pairs = table(spark, sf_dir, "embeddings").alias("x").join(table(spark, sf_dir, "embeddings").alias("y"), F.expr("y.vec_id = x.vec_id + 1"))
-    target = table(spark, sf_dir, "embeddings").filter("vec_id = 1").select(F.col("embedding").alias("t"))
-    rows = pairs.crossJoin(F.broadcast(target)).select(
-        F.col("x.vec_id").alias("id"), F.col("x.embedding").alias("x1"), F.col("y.embedding").alias("x2"),
-        T.preference(8 * dot("x.embedding", "t"), 8 * dot("y.embedding", "t")).alias("p"),
-    )
-    # a stated bound on what is trained on, which a hash chooses; all held-out pairs are judged
-    most = 1600
-    share = min(1.0, most / max(1, rows.filter("id % 5 != 0").count()))
-    train = rows.filter("id % 5 != 0").filter(F.pmod(F.xxhash64("id"), F.lit(1_000_003)) < share * 1_000_003).orderBy("id").toPandas()
-    w = F.array(*[F.lit(float(x)) for x in ranking.train_preference(train, members=4).mean(0)])
-    right = (dot("x1", w) - dot("x2", w) > 0) == (F.col("p") > 0.5)
-    judged = rows.filter("id % 5 = 0").agg(F.count(F.lit(1)).alias("pairs"), F.avg(right.cast("double")).alias("right"))
-    return judged.select("pairs", (F.col("right") > 0.8).alias("mostly_right"))
+    """Networks trained on four fifths of all pairs: on the others, how many a channel orders rightly, and its cross entropy."""
+    rows = materialize(preference_pairs(table(spark, sf_dir, "embeddings")))
+    model = networks.Ensemble.fresh(_dims(spark, sf_dir), members=4)
+    model = networks.train(rows.filter("id % 5 != 0"), model, epochs=4, batches=4, rate=1e-2)
+    held = networks.judged(rows.filter("id % 5 = 0"), model).join(rows.select("id", F.posexplode("p").alias("channel", "p")), ["id", "channel"])
+    loss = -(F.col("p") * F.ln("chance") + (1 - F.col("p")) * F.ln(1 - F.col("chance")))
+    right = ((F.col("chance") > 0.5) == (F.col("p") > 0.5)).cast("double")
+    return held.groupBy("channel").agg(F.count(F.lit(1)).alias("pairs"), F.round(F.avg(right), 6).alias("accuracy"), F.round(F.avg(loss), 6).alias("loss"))
 
 
 @query()
@@ -189,13 +226,40 @@ def chain_quantizer(spark, sf_dir):
     return errors.select("n", (F.col("four") < F.col("one")).alias("better"))
 
 
+def _one_bit(v):
+    """A one-bit quantizer whose rotation SQL can make too, around the mean of the first hundred vectors."""
+    first = v.filter("vec_id < 100").agg(*[F.avg(F.get("embedding", k)).alias(f"x{k}") for k in range(len(v.first()["embedding"]))]).first()
+    return quantize.OneBitQuantizer(np.array(first), turn=quantize.hadamard(len(first)))
+
+
+@query(f"""
+    WITH m AS (SELECT list(x ORDER BY pos) AS m FROM (SELECT pos, avg(x) AS x FROM (SELECT unnest(e) AS x, unnest(range(len(e))) AS pos FROM ({VEC}) WHERE vec_id < 100) GROUP BY pos)),
+    c AS (SELECT vec_id, list_transform(e, lambda x, j: x - m[j]) AS c, len(e) AS d FROM ({VEC}), m),
+    u AS (SELECT vec_id, d, sqrt(list_dot_product(c, c)) AS norm, list_transform(range(d), lambda i: list_dot_product(c, list_transform(range(d), lambda j: (1 - 2 * (bit_count(i & j) % 2)) * (1 - 2 * CAST(j % 3 = 0 AS INTEGER)) / sqrt(d)))) AS y FROM c)
+    SELECT vec_id, array_to_string(list_transform(y, lambda x: CASE WHEN x > 0 THEN '1' ELSE '0' END), '') AS signs, round(norm, 9) AS norm,
+           round(list_sum(list_transform(y, lambda x: abs(x))) / norm / sqrt(d), 9) AS align FROM u""")
+def one_bit_codes(spark, sf_dir):
+    """Codes as they are packed: a word's bits from the lowest."""
+    v = table(spark, sf_dir, "embeddings")
+    coded = quantize.one_bit_codes(v, _one_bit(v))
+    signs = F.array_join(F.transform("code", lambda w: F.reverse(F.lpad(F.bin(w), 64, "0"))), "")
+    return coded.select("vec_id", F.substring(signs, 1, _dims(spark, sf_dir)).alias("signs"), F.round("norm", 9).alias("norm"), F.round("align", 9).alias("align"))
+
+
 @query()
 def one_bit_quantizer(spark, sf_dir):
-    """Estimated products of all vectors from sign bits follow the exact ones; a sample gives the mean."""
+    """Search by one-bit codes for every fiftieth vector, a tenth of the vectors scored exactly: recall of the ten nearest, and how estimates follow exact products."""
     v = table(spark, sf_dir, "embeddings")
-    x = quantize.sample_matrix(v, 2000)
-    scores = quantize.one_bit_scores(v, quantize.OneBitQuantizer(x.mean(0)), x[0])
-    return scores.agg(F.count(F.lit(1)).alias("n"), (F.corr("estimate", "exact") > 0.7).alias("follows"))
+    q = _one_bit(v)
+    coded = materialize(quantize.one_bit_codes(v, q))
+    asked = v.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    widen = max(10, v.count() // 100)
+    found = quantize.one_bit_batch_top_k(coded, v, asked, q, 10, widen)
+    recall = stats.recall(search.batch_top_k(v, asked, 10), found, 10)
+    x = np.array(v.filter("vec_id = 0").first()["embedding"], np.float64)
+    pairs = coded.join(v, "vec_id").select(quantize.one_bit_estimate(q, x).alias("estimate"), dot("embedding", F.array(*[F.lit(float(c)) for c in x])).alias("exact"))
+    follows = pairs.agg(F.count(F.lit(1)).alias("n"), F.round(F.corr("estimate", "exact"), 6).alias("correlation"))
+    return recall.select("queries", F.round("recall", 6).alias("recall")).crossJoin(F.broadcast(follows))
 
 
 @query(f"""

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import dot, fp16_decode, fp16_encode, mean_vectors, query_vector, sign_code
-from ..operators import dedup, quantize, search, shards, stats
+from ..operators import blocks, dedup, quantize, search, shards, stats
 from ..operators.order import positions
 from ..sources.files import table
-from ..storage import fresh_path
+from ..storage import fresh_path, materialize
 from .base import query
 
 VEC = "SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings"
@@ -197,11 +200,30 @@ def balanced_shards_even(spark, sf_dir):
     return b.select("vec_id", F.col("shard_id").cast("int").alias("shard_id"), "choice", F.round("score", 9).alias("score"))
 
 
-@query()
+def balanced_fold(lane: str, order: str) -> str:
+    """SQL: the law of balance as a recursive fold over the records of each lane."""
+    return f"""
+    WITH RECURSIVE {CENTROIDS}, d AS (
+      SELECT vec_id, {lane} AS lane, list(list_dot_product(e, c) ORDER BY c.label) AS dots, list(c.label ORDER BY c.label) AS labels FROM ({VEC}) v, centroids c GROUP BY vec_id
+    ), v AS (SELECT *, row_number() OVER (PARTITION BY lane ORDER BY {order}) AS i FROM d
+    ), fold(lane, i, vec_id, a, b, s, labels, counts) AS (
+      SELECT DISTINCT lane, 0::BIGINT, NULL::BIGINT, 0, 0, []::DOUBLE[], labels, list_transform(dots, lambda x: 0::BIGINT) FROM v
+      UNION ALL
+      SELECT lane, i, vec_id, a, b, s, labels, list_transform(counts, lambda x, j: x + CASE WHEN j = a OR j = b THEN 1 ELSE 0 END)
+      FROM (SELECT *, list_position(s, list_max(list_transform(s, lambda x, j: CASE WHEN j = a THEN -1e9 ELSE x END))) AS b
+            FROM (SELECT *, list_position(s, list_max(s)) AS a
+                  FROM (SELECT v.lane, v.i, v.vec_id, v.labels, f.counts, list_transform(v.dots, lambda x, j: x - 0.2::DOUBLE * (f.counts[j]::DOUBLE / v.i::DOUBLE)) AS s
+                        FROM fold f JOIN v ON v.lane = f.lane AND v.i = f.i + 1)))
+    )
+    SELECT vec_id, labels[a] AS shard_id, CAST(1 AS BIGINT) AS choice, round(s[a], 9) AS score FROM fold WHERE i > 0
+    UNION ALL SELECT vec_id, labels[b], 2, round(s[b], 9) FROM fold WHERE i > 0"""
+
+
+@query(balanced_fold("vec_id % CAST(ceil((SELECT count(*) FROM embeddings) / 250.0) AS BIGINT)", "vec_id"))
 def balanced_shards(spark, sf_dir):
-    """Each task balances its own rows, which a range of ids chooses; so the table may have any number of tasks."""
-    v = _vectors(spark, sf_dir).repartitionByRange(4, "vec_id").sortWithinPartitions("vec_id")
-    return shards.balanced_shards(v, _centroids(spark, sf_dir))
+    """The two shards of each vector as they fill up, in lanes of about 250 vectors."""
+    b = shards.balanced_shards(_vectors(spark, sf_dir), _centroids(spark, sf_dir), lane_rows=250)
+    return b.select("vec_id", F.col("shard_id").cast("int").alias("shard_id"), "choice", F.round("score", 9).alias("score"))
 
 
 @query(f"""
@@ -221,6 +243,36 @@ def spherical_kmeans(spark, sf_dir):
     return shards.nearest_shards(_vectors(spark, sf_dir), c, 1).groupBy("shard_id").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query()
+def routed_search(spark, sf_dir):
+    """Every fiftieth vector asks for its ten nearest in the shards it is routed to: recall by the number of shards probed; shards follow the rows."""
+    v = _vectors(spark, sf_dir)
+    n = max(4, v.count() // 50)
+    centroids = shards.spherical_kmeans(v, min(n, 1024), balance=0.05)
+    assigned = shards.nearest_shards(v, centroids).select("vec_id", "shard_id").join(v.select("vec_id", "embedding"), "vec_id")
+    probes = [1, 2, 4, 8, 16]
+    found = materialize(search.routed_candidates(assigned, asked(v), centroids, 10, probes[-1]))
+    truth = materialize(search.batch_top_k(v, asked(v), 10))
+    best = lambda p: blocks.ranked(found.filter(F.col("choice") <= p).select(F.col("query_id").alias("q"), F.col("vec_id").alias("v"), "score"), 10, "query_id", "vec_id")
+    rows = [stats.recall(truth, best(p), 10).select(F.lit(p).alias("probes"), F.lit(min(n, 1024)).cast("long").alias("shards"), "queries", F.round("recall", 6).alias("recall")) for p in probes]
+    return reduce(DataFrame.unionByName, rows)
+
+
+@query()
+def annealed_shards(spark, sf_dir):
+    """How far the fullest or emptiest shard is from the even size, over first and second choices: k-means, and annealed from there."""
+    v = _vectors(spark, sf_dir)
+    start = shards.spherical_kmeans(v, 8, balance=0.05)
+    _, m = shards.checked_centroids(start)
+    counts = shards.spill_counts(v, m[None])[0]
+    found, least = shards.annealed_centroids(v, start)
+    sizes = shards.nearest_shards(v, found).groupBy("choice", "shard_id").agg(F.count(F.lit(1)).alias("n"))
+    mean = counts.sum(1)[0] / len(m)
+    annealed = sizes.agg(F.max(F.abs(F.col("n") - F.lit(float(mean)))).alias("deviation")).select(F.lit("annealed").alias("method"), F.round("deviation", 6).alias("deviation"))
+    plain = float(np.abs(counts - counts.sum(1, keepdims=True) / len(m)).max())
+    return annealed.unionByName(spark.createDataFrame([("k-means", round(plain, 6))], "method string, deviation double"))
+
+
 @query(f"""
     WITH refs AS (SELECT vec_id AS ref, e AS r FROM ({VEC}) WHERE vec_id < 3),
     s AS (SELECT ref, list_dot_product(e, r) AS score FROM ({VEC}), refs)
@@ -292,7 +344,11 @@ def near_dup_pairs(spark, sf_dir):
     return dedup.near_pairs(found, 0.3, groups=["query_id"]).withColumn("score", F.round("score", 9))
 
 
-@query()
+@query(f"""
+    WITH RECURSIVE links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM ({VEC}) a, ({VEC}) b WHERE a.vec_id <> b.vec_id AND list_dot_product(a.e, b.e) > 0.3),
+    reach(a, b) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
+    n AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+    SELECT reach.a AS vec_id, min(reach.b) AS class, coalesce(any_value(n.n), 0) AS links FROM reach LEFT JOIN n ON reach.a = n.a GROUP BY reach.a""")
 def near_dup_classes(spark, sf_dir):
     """Classes of near copies among all vectors, whatever their labels."""
     return dedup.near_classes(_vectors(spark, sf_dir), 0.3)

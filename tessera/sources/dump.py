@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .zstd_lines import read_zstd_lines
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """``value``: lines of text files, compressed or not."""
-    return spark.read.text(path)
+    """``value``: lines of text files, compressed or not; Zstandard files may have windows of up to 2^31 bytes."""
+    return read_zstd_lines(spark, path).select("value") if path.endswith(".zst") else spark.read.text(path)
 
 
 def parse(lines: DataFrame) -> DataFrame:

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
-from ..operators.incremental import upsert
+from ..operators import shards
+from .keyed import KeyedTable
 
 
 def source(spark: SparkSession, path: str, schema: StructType | str, files_per_batch: int = 16, form: str = "parquet") -> DataFrame:
@@ -56,33 +61,41 @@ def past(stream: DataFrame, threshold, at: str = "ts") -> DataFrame:
     return stream.filter(F.col(at) > F.lit(threshold))
 
 
-def upsert_into(stream: DataFrame, path: str, key: str, order: str, checkpoint: str) -> StreamingQuery:
-    """Keep the newest row of each key as a table of versions; a repeated batch gives the same version.
+def balanced(stream: DataFrame, centroids: DataFrame, fudge: float = 0.2, lanes: int = 8, key: str = "vec_id", vector: str = "embedding", n: int = 2) -> DataFrame:
+    """``vec_id, shard_id, choice, score`` of a stream by the law of :class:`~tessera.operators.shards.Balance`.
+
+    Each lane's counts are state, so later batches and restarts go on from them.  Within a batch records count in the order of their keys; the
+    batch's size (``files_per_batch``) bounds what a lane holds.  ``lanes`` stays as it was when the stream began.
+    """
+    ids, m = shards.checked_centroids(centroids)
+
+    def deal(_key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        counts, seen = state.get if state.exists else (None, 0)
+        balance = shards.Balance(len(ids), counts, seen)
+        rows = pd.concat(list(frames)).sort_values(key, kind="stable")
+        yield shards.dealt_frame(balance, rows, ids, m, fudge, n, key, vector)
+        state.update((balance.counts.tolist(), balance.seen))
+
+    laned = stream.filter(F.col(vector).isNotNull()).select(key, vector, F.pmod(F.col(key).cast("long"), F.lit(lanes)).alias("lane"))
+    out = f"{key} long, shard_id long, choice long, score double"
+    return laned.groupBy("lane").applyInPandasWithState(deal, out, "counts array<long>, seen long", "append", GroupStateTimeout.NoTimeout)
+
+
+def upsert_into(stream: DataFrame, path: str, key: str, order: str, checkpoint: str, buckets: int = 64) -> StreamingQuery:
+    """Keep the newest row of each key as a :class:`~tessera.streaming.keyed.KeyedTable`; a batch writes only the buckets it touches.
 
-    A reader takes the version that ``current`` names, so it never sees half a write.
+    A repeated batch gives the same version.
     """
 
     def batch(rows: DataFrame, number: int) -> None:
-        spark = rows.sparkSession
-        old = current(spark, path, before=number)
-        table = rows.limit(0) if old is None else old
-        upsert(table, rows, key, order).write.mode("overwrite").parquet(f"{path}/version={number:09d}")
+        KeyedTable(rows.sparkSession, path, key, order, buckets).apply(rows, number)
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def current(spark: SparkSession, path: str, before: int | None = None) -> DataFrame | None:
+def current(spark: SparkSession, path: str) -> DataFrame | None:
     """The newest finished version of an upserted table; null without any."""
-    jvm = spark.sparkContext._jvm
-    root = jvm.org.apache.hadoop.fs.Path(path)
-    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(root):
-        return None
-    done = sorted(
-        s.getPath().toString() for s in fs.listStatus(root)
-        if fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS")) and (before is None or int(s.getPath().getName().split("=")[1]) < before)
-    )
-    return spark.read.parquet(done[-1]) if done else None
+    return KeyedTable(spark, path, "", "").read()
 
 
 def append(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
