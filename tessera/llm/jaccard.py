@@ -11,12 +11,12 @@ shingles, so no pair below the threshold links.
 Each bucket has a centre: the member that shares its buckets with most others, as the least edited of a family of
 copies does.  A text is first compared with the most central of its buckets' centres, then with the other centres that are
 not in its component yet.  Members of a bucket that are still in several components are compared with each other, in
-pairs of chunks: bit-sliced counters choose the pairs, the chunk's task confirms them and hands on a spanning forest.  Texts
+pairs of chunks, bounded by rows and bytes: bit-sliced counters choose the pairs, the chunk's task confirms them and hands on a spanning forest.  Texts
 travel to be confirmed, not pairs of sets: a centre's text goes once to each ``GUESTS`` of those compared with it.
 
 Defined results.  Fewer words than the width make one shingle.  Texts with the same shingles are
 copies, and so are all texts without words (null, empty, blank).  A null id is the smallest id.  Rows that repeat an id are
-compared on their own.  A very long text is hashed whole.  An empty table gives an empty result.  Other columns are
+compared on their own.  Of centres that are alike central the one with the greatest key counts.  A very long text is hashed whole.  An empty table gives an empty result.  Other columns are
 ignored, whatever their names.
 """
 
@@ -40,6 +40,8 @@ THRESHOLD = 0.8
 RADIUS = 22
 BANDS, ROWS = 24, 4
 CHUNK = GUESTS = 256
+#: Bytes of texts that a chunk of a bucket's members holds.
+CHUNK_BYTES = 4 << 20
 _PIECE = 2_048
 _rng = np.random.default_rng(SEED)
 _FLIP, _TIMES = _rng.integers(0, 2**64, (2, BANDS * ROWS), np.uint64)
@@ -94,14 +96,15 @@ def bands(least: np.ndarray) -> np.ndarray:
 
 def _signed(batches: Iterable[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches):
-        keys, banded, fps = [], [], []
+        keys, banded, fps, sizes = [], [], [], []
         for text in batch.column(2).to_pylist():
             own = shingles(text, width)
             keys.append(xxhash.xxh64_intdigest(own.tobytes(), SEED))
             banded.append(bands(minima(own)))
             fps.append(fingerprint(own))
-        columns = [batch.column(0), batch.column(1), pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(banded, pa.list_(pa.int64())), pa.array(fps, pa.int64())]
-        yield pa.RecordBatch.from_arrays(columns, ["id", "version", "key", "bands", "fp"])
+            sizes.append(len(text))
+        columns = [batch.column(0), batch.column(1), pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(banded, pa.list_(pa.int64())), pa.array(fps, pa.int64()), pa.array(sizes, pa.int64())]
+        yield pa.RecordBatch.from_arrays(columns, ["id", "version", "key", "bands", "fp", "bytes"])
 
 
 def _compared(batches: Iterable[pa.RecordBatch], width: int, threshold: float) -> Iterator[pa.RecordBatch]:
@@ -191,14 +194,14 @@ def apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     return pairs.filter(root("u") != root("v")).select("u", "v")
 
 
-def rest_links(members: DataFrame, roots: DataFrame, known: DataFrame, width: int, threshold: float, radius: int, chunk: int) -> DataFrame:
+def rest_links(members: DataFrame, roots: DataFrame, known: DataFrame, width: int, threshold: float, radius: int, chunk: int, chunk_bytes: int) -> DataFrame:
     """Links between members of a bucket that are in different components so far."""
-    others = members.join(roots.withColumnRenamed("node", "key"), "key", "left").select("band", "key", "fp", F.coalesce("root", "key").alias("root"))
+    others = members.join(roots.withColumnRenamed("node", "key"), "key", "left").select("band", "key", "fp", "bytes", F.coalesce("root", "key").alias("root"))
     others = materialize(others)
-    split = others.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("a"), F.max("root").alias("b")).filter("a != b").select("band", "n")
+    chunks = F.greatest(F.ceil(F.count(F.lit(1)) / chunk), F.ceil(F.sum("bytes") / chunk_bytes)).cast("int")
+    split = others.groupBy("band").agg(chunks.alias("chunks"), F.min("root").alias("a"), F.max("root").alias("b")).filter("a != b").select("band", "chunks")
     split = materialize(split)
-    chunks = F.ceil(F.col("n") / chunk).cast("int")
-    dealt = others.join(split, "band").withColumn("chunks", chunks).withColumn("own", F.pmod(F.xxhash64("key"), "chunks").cast("int"))
+    dealt = others.join(split, "band").withColumn("own", F.pmod(F.xxhash64("key"), "chunks").cast("int"))
     # each chunk meets each other chunk and itself; with one chunk that is the bucket
     dealt = dealt.select("band", "key", "root", "fp", "own", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
     dealt = dealt.withColumns({"a": F.least("own", "other"), "b": F.greatest("own", "other")}).join(known.hint("merge"), "key")
@@ -208,19 +211,19 @@ def rest_links(members: DataFrame, roots: DataFrame, known: DataFrame, width: in
     return out
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, threshold: float = THRESHOLD, radius: int = RADIUS, chunk: int = CHUNK) -> DataFrame:
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, threshold: float = THRESHOLD, radius: int = RADIUS, chunk: int = CHUNK, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """``id, version, component``: the smallest id that links of at least the threshold reach from each row.
 
     ``version`` is a hash of the whole text, which tells rows with the same id apart.
     """
     text = whole(text_col)
     texts = docs.select(lift(id_col).alias("id"), F.xxhash64(text).alias("version"), text.cast("binary").alias("text"))
-    signed = materialize(spread(texts).mapInArrow(_with(_signed, width), "id long, version long, key long, bands array<long>, fp long"))
+    signed = materialize(spread(texts).mapInArrow(_with(_signed, width), "id long, version long, key long, bands array<long>, fp long, bytes long"))
     own = materialize(signed.select("id", "version", "key"))
     firsts = materialize(own.groupBy("key").agg(F.min(F.struct("id", "version")).alias("f")).select("key", "f.id", "f.version"))
-    distinct = materialize(signed.join(firsts, ["key", "id", "version"]).dropDuplicates(["key"]).select("key", "bands", "fp"))
+    distinct = materialize(signed.join(firsts, ["key", "id", "version"]).dropDuplicates(["key"]).select("key", "bands", "fp", "bytes"))
     drop(signed)
-    keyed = distinct.select("key", "fp", F.explode("bands").alias("band"))
+    keyed = distinct.select("key", "fp", "bytes", F.explode("bands").alias("band"))
     shared = materialize(keyed.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
     members = materialize(keyed.join(shared, "band"))
     drop(distinct, shared)
@@ -238,7 +241,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     others = materialize(apart(near.select("u", "v"), roots).join(pairs, ["u", "v"], "left_anti"))
     more = confirmed(others, known, width, threshold)
     joined = components(roots.toDF("u", "v").union(more))
-    rest = rest_links(members, joined, known, width, threshold, radius, chunk)
+    rest = rest_links(members, joined, known, width, threshold, radius, chunk, chunk_bytes)
     ends = components(joined.toDF("u", "v").union(rest))
     rooted = materialize(firsts.join(ends.withColumnRenamed("node", "key"), "key", "left").select("key", "id", F.coalesce("root", "key").alias("root")))
     smallest = materialize(rooted.groupBy("root").agg(F.min("id").alias("component")))

@@ -61,7 +61,8 @@ def test_near_copies_are_those_of_jaccard(spark):
 def test_chunks_lose_no_pair(spark):
     texts = edited()
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
-    assert {r.id for r in jaccard.near_groups(docs, chunk=3).filter("id = component").collect()} == kept(texts)[0]
+    for how in ({"chunk": 3}, {"chunk_bytes": 3_000}):
+        assert {r.id for r in jaccard.near_groups(docs, **how).filter("id = component").collect()} == kept(texts)[0]
 
 
 def test_near_copies_of_documents(spark):
