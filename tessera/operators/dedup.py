@@ -15,11 +15,11 @@ from .links import components
 
 
 def keep_first(df: DataFrame, key: Column, *order: Column) -> DataFrame:
-    """The first row of each key in the given order; rows with a null key all stay."""
-    w = Window.partitionBy("_key").orderBy(*order)
-    known = df.withColumn("_key", key)
-    first = known.filter("_key IS NOT NULL").withColumn("_place", F.row_number().over(w)).filter("_place = 1").drop("_place")
-    return first.unionByName(known.filter("_key IS NULL")).drop("_key")
+    """The first row of each key in the given order; rows with a null key all stay, each as a key of its own."""
+    alone = F.when(F.col("_key").isNull(), F.monotonically_increasing_id())
+    w = Window.partitionBy("_key", "_alone").orderBy(*order)
+    known = df.withColumn("_key", key).withColumn("_alone", alone)
+    return known.withColumn("_place", F.row_number().over(w)).filter("_place = 1").drop("_place", "_key", "_alone")
 
 
 def ingest_dedup(df: DataFrame, url: str = "url", vector: str = "embedding", order: str = "vec_id") -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .order import positions
+from .order import positions, running
 
 
 def work_plan(disk: DataFrame, stored: DataFrame, key: str = "filename", modified: str = "mtime", ocr: bool = True, thumbnails: bool = True) -> DataFrame:
@@ -93,12 +93,16 @@ def resume_point(written: DataFrame, timestamp: str = "timestamp") -> DataFrame:
 def unique_names(df: DataFrame, name: str, order: str) -> DataFrame:
     """Add ``unique_name``: the first row of a name keeps it, the others get ``name-2``, ``name-3`` … in order.
 
-    A suffix whose name some row already has is passed over, so that no two rows share a name.
+    A suffix whose name some row already has is passed over, so that no two rows share a name.  Rows and taken suffixes of a name stand in one
+    order, by how many free suffixes precede them, so a row's number follows from a running count; no row carries a list of suffixes.
     """
     ending = F.regexp_extract(name, "-([2-9]|[1-9][0-9]{1,8})$", 1)
-    names = df.select(F.col(name)).distinct().withColumn("_n", ending).filter("_n != ''")
-    base = F.expr(f"substring({name}, 1, length({name}) - length(_n) - 1)")
-    taken = names.select(base.alias("_base"), F.col("_n").cast("long").alias("_n")).groupBy("_base").agg(F.array_sort(F.collect_list("_n")).alias("_taken"))
-    p = positions(df, [F.col(order)], [name]).drop("total").join(taken, F.col(name) == F.col("_base"), "left")
-    free = F.aggregate(F.coalesce("_taken", F.array().cast("array<long>")), F.col("place") + 1, lambda n, t: n + F.when(t <= n, 1).otherwise(0))
-    return p.withColumn("unique_name", F.when(F.col("place") == 0, F.col(name)).otherwise(F.concat_ws("-", F.col(name), free))).drop("place", "_base", "_taken")
+    names = df.select(F.col(name)).distinct().withColumn("_suffix", ending).filter("_suffix != ''")
+    base = F.expr(f"substring({name}, 1, length({name}) - length(_suffix) - 1)")
+    taken = positions(names.select(base.alias("_base"), F.col("_suffix").cast("long").alias("_suffix")), [F.col("_suffix")], ["_base"])
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+    rows = positions(df, [F.col(order)], [name]).select(F.col(name).alias("_base"), F.col("place").alias("_v"), F.lit(0).alias("_kind"), row.alias("_row"))
+    gaps = taken.select("_base", (F.col("_suffix") - 2 - F.col("place")).alias("_v"), F.lit(1).alias("_kind"), F.lit(None).cast(rows.schema["_row"].dataType).alias("_row"))
+    placed = running(rows.unionByName(gaps), {"_before": F.col("_kind")}, [F.col("_v"), F.col("_kind")], ["_base"]).filter("_kind = 0")
+    suffix = F.concat_ws("-", "_base", F.col("_v") + 1 + F.col("_before"))
+    return placed.select("_row.*", F.when(F.col("_v") == 0, F.col("_base")).otherwise(suffix).alias("unique_name"))

@@ -96,6 +96,72 @@ def train_pq(sample: np.ndarray, subspaces: int, codes: int, rounds: int = 15, s
     return ProductQuantizer(books, turn)
 
 
+def query_moment(queries: DataFrame, vector: str = "embedding") -> np.ndarray:
+    """The mean outer product of all queries with themselves; what reaches the driver is dimensions squared."""
+
+    def sums(batches):
+        total, n = None, 0
+        for batch in batches:
+            if batch.num_rows:
+                x = to_matrix(batch.column(0))
+                total, n = x.T @ x if total is None else total + x.T @ x, n + len(x)
+        if total is not None:
+            i, j = np.indices(total.shape)
+            yield pa.RecordBatch.from_pydict({"i": i.ravel(), "j": j.ravel(), "n": np.full(total.size, n), "x": total.ravel()})
+
+    parts = queries.filter(F.col(vector).isNotNull()).select(vector).mapInArrow(sums, "i long, j long, n long, x double")
+    rows = parts.groupBy("i", "j").agg((F.sum("x") / F.sum("n")).alias("x")).orderBy("i", "j").toArrow()
+    d = round(rows.num_rows**0.5)
+    return rows.column("x").to_numpy().reshape(d, d)
+
+
+def query_loss(model: Codec, x: np.ndarray, moment: np.ndarray) -> np.ndarray:
+    """Per vector, the mean over queries of the squared product of a query with what the code leaves out."""
+    rest = x - model.decode(model.encode(x))
+    return ((rest @ moment) * rest).sum(1)
+
+
+def query_error(vectors: DataFrame, models: dict[str, Codec], moment: np.ndarray, vector: str = "embedding") -> DataFrame:
+    """One row: ``n`` and, by model, the mean of :func:`query_loss` over all vectors that aren't null."""
+    loss = lambda model: over_rows(lambda x: query_loss(model, x, moment), "double")(vector)
+    rows = vectors.filter(F.col(vector).isNotNull()).select(*[loss(m).alias(k) for k, m in models.items()])
+    return rows.agg(F.count(F.lit(1)).alias("n"), *[F.avg(k).alias(k) for k in models])
+
+
+def query_aware(start: ProductQuantizer, sample: np.ndarray, moment: np.ndarray, rounds: int = 30, steps: int = 5, rate: float = 0.5) -> ProductQuantizer:
+    """Codewords and rotation of least :func:`query_loss` over a bounded sample, from a given quantizer by gradient descent.
+
+    A round assigns codes as ``encode`` does, takes ``steps`` steps on the codewords, and one on the rotation, which is then made orthonormal again.  A round
+    that does not help is undone and the steps get shorter, so the loss never rises.
+    """
+    best, least = start, float(query_loss(start, sample, moment).mean())
+    size = rate / max(float(np.linalg.eigvalsh(moment)[-1]), 1e-12)
+    for _ in range(rounds):
+        books, turn = best.centroids.copy(), best.transform.copy()
+        codes = best.encode(sample)
+        places = np.arange(best.subspaces)
+        counts = np.maximum(np.stack([np.bincount(codes[:, s], minlength=best.codes) for s in places]), 1)
+        for _ in range(steps):
+            rest = sample - books[places, codes].reshape(len(sample), -1) @ turn
+            pull = (rest @ moment @ turn.T).reshape(len(sample), best.subspaces, best.width)
+            for s in places:
+                total = np.zeros_like(books[s])
+                np.add.at(total, codes[:, s], pull[:, s])
+                books[s] += size * total / counts[s][:, None]
+        flat = books[places, codes].reshape(len(sample), -1)
+        rest = sample - flat @ turn
+        step = flat.T @ (rest @ moment) / max(float((flat * flat).sum(1).mean()), 1e-12) / len(sample)
+        u, _, v = np.linalg.svd(turn + size * step)
+        for model in (ProductQuantizer(books, u @ v), ProductQuantizer(books, turn)):
+            loss = float(query_loss(model, sample, moment).mean())
+            if loss < least:
+                best, least = model, loss
+                break
+        else:
+            size /= 2
+    return best
+
+
 def pq_encode(vectors: DataFrame, quantizer: ProductQuantizer, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """``vec_id, codes``, null for a null vector; the model is sent once per task."""
     encode = over_rows(lambda x: quantizer.encode(x).astype(np.int32), "array<int>")

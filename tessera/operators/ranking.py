@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import preference
 from ..functions.vectors import over_rows, to_matrix
+from .order import positions
 from .search import batch_top_k
 from .stats import ensemble
 
@@ -156,6 +157,15 @@ def uncertain_pairs(pairs: DataFrame, scores: DataFrame, n: int = 50) -> DataFra
     return spread.orderBy(F.col("variance").desc(), "a", "b").limit(n)
 
 
+def random_pairs(df: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
+    """``n`` random pairs ``a, b`` of rows, no row twice; keys and seed alone decide, so that every run has the same."""
+    chance = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string")))
+    placed = positions(df.select(F.col(key), chance.alias("_chance")), [F.col("_chance"), F.col(key)]).filter(F.col("place") < 2 * n)
+    pairs = placed.withColumn("_pair", F.floor(F.col("place") / 2)).groupBy("_pair")
+    both = pairs.agg(F.count(F.lit(1)).alias("_n"), F.min_by(key, "place").alias("a"), F.max_by(key, "place").alias("b"))
+    return both.filter("_n = 2").select("a", "b")
+
+
 def score_filter(scores: Column, limits: dict[int, float]) -> Column:
     """Whether any listed score is below its limit."""
     out = F.lit(False)

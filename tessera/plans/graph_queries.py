@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import dot, mean_vectors, to_matrix
-from ..operators import graph, quantize, search, shards, stats
+from ..operators import graph, quantize, search, served, shards, stats
 from ..operators.order import positions
 from ..sources.files import table
-from ..storage import materialize
+from ..storage import materialize, state_of
 from .base import query
 from .search_queries import VEC, asked
 
@@ -93,20 +93,43 @@ def shard_offsets(spark, sf_dir):
     return shards.shard_offsets(sizes).withColumnRenamed("offset", "start")
 
 
-_built: dict[tuple[str, str], DataFrame] = {}
+_built: dict[tuple, DataFrame] = {}
+
+#: Vectors of a shard of the graph, about; a shard is built in one task.
+SHARD_ROWS = 20_000
+
+
+def _centroids(v):
+    """Three shards by label, or as many as the rows need."""
+    n = v.count()
+    if n <= 3 * SHARD_ROWS:
+        return mean_vectors(v.withColumn("part", F.col("label") % 3), "part").select(F.col("part").cast("long").alias("shard_id"), "centroid")
+    return shards.spherical_kmeans(v, -(-n // SHARD_ROWS), balance=0.05)
 
 
 def _graph(spark, sf_dir):
-    """The vectors and their graph, which is built and written once in a session."""
+    """The vectors and their graph, which is built and written once in a session, as long as the table's files stay as they are."""
     v = table(spark, sf_dir, "embeddings")
-    centroids = mean_vectors(v.withColumn("part", F.col("label") % 3), "part").select(F.col("part").alias("shard_id"), "centroid")
-    assigned = shards.nearest_shards(v, centroids, 2)
-    at = spark.sparkContext.applicationId, sf_dir
+    at = spark.sparkContext.applicationId, sf_dir, state_of(v)
     if at not in _built:
+        assigned = shards.nearest_shards(v, _centroids(v), 2)
         _built[at] = materialize(graph.build_graphs(assigned, v, degree=24, width=48, most=200, passes=1))
     return v, _built[at]
 
 
+@query()
+def packed_search(spark, sf_dir):
+    """Search on the packed table for every fiftieth vector: recall of the ten nearest, and nodes read by a query."""
+    v, g = _graph(spark, sf_dir)
+    model = quantize.train_pq(quantize.sample_matrix(v), 16, 64, rounds=6)
+    nodes = served.write_packed(served.packed_nodes(g, v, model), 16)
+    starts = g.filter("is_start").select("shard_id", "id")
+    found = materialize(served.packed_search(nodes, asked(v), starts, _centroids(v), model, 10, width=100, probes=3))
+    reads = found.select("query_id", "reads").distinct().agg(F.round(F.avg("reads"), 6).alias("mean_reads"), F.max("reads").alias("most_reads"))
+    share = stats.recall(_truth(v, asked(v), 10), found, 10).select("queries", F.round("recall", 6).alias("recall"))
+    return share.crossJoin(F.broadcast(reads)).crossJoin(F.broadcast(v.agg(F.count(F.lit(1)).alias("nodes"))))
+
+
 @query()
 def proximity_graph(spark, sf_dir):
     """A pruned graph per shard: sizes, degrees and one start each."""

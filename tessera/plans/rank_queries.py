@@ -45,6 +45,16 @@ def uncertain_pairs(spark, sf_dir):
     return ranking.uncertain_pairs(_pairs(spark, sf_dir), _scores(spark, sf_dir)).withColumn("variance", F.round("variance", 9))
 
 
+@query(f"""
+    WITH {SCORES}, m AS (SELECT id, avg(score) AS mean FROM scores GROUP BY id), r AS (SELECT id, row_number() OVER (ORDER BY mean DESC, id) AS n, count(*) OVER () AS c FROM m),
+    h AS (SELECT id, row_number() OVER (ORDER BY md5('7|' || id), id) - 1 AS place FROM r WHERE n <= c // 10)
+    SELECT min(id) FILTER (WHERE place % 2 = 0) AS a, min(id) FILTER (WHERE place % 2 = 1) AS b FROM h WHERE place < 40 GROUP BY place // 2 HAVING count(*) = 2""")
+def top_pairs(spark, sf_dir):
+    """Twenty random pairs among the best tenth by an ensemble's mean."""
+    means = _scores(spark, sf_dir).groupBy("id").agg(F.avg("score").alias("mean"))
+    return ranking.random_pairs(stats.top_fraction(means, [F.col("mean").desc(), F.col("id")], 10), "id", 20, seed=7)
+
+
 # A network of fixed weights: members, hidden units, channels.
 NETS, UNITS, CHANNELS = 2, 4, 3
 
@@ -219,11 +229,11 @@ def preference_model(spark, sf_dir):
 
 @query()
 def chain_quantizer(spark, sf_dir):
-    """Additive codebooks along a chain do better over all vectors than the first codebook alone; a sample fits them."""
+    """Errors over all vectors of additive codebooks along a chain, and of the first codebook alone; a sample fits them."""
     v = table(spark, sf_dir, "embeddings")
     x = quantize.sample_matrix(v, 2000)
     errors = quantize.decoded_error(v, {k: quantize.ChainQuantizer.train(x, s, 16, 2) for k, s in (("one", 1), ("four", 4))})
-    return errors.select("n", (F.col("four") < F.col("one")).alias("better"))
+    return errors.select("n", *[F.round(k, 6).alias(k) for k in ("one", "four")])
 
 
 def _one_bit(v):

@@ -577,3 +577,14 @@ def compared_codecs(spark, sf_dir):
     models = quantize.codecs(quantize.sample_matrix(v, 1000), SUB, 16)
     errors = quantize.decoded_error(v, models).first()
     return spark.createDataFrame([(k, round(errors[k], 6)) for k in models], "codec string, error double")
+
+
+@query()
+def query_aware_codebooks(spark, sf_dir):
+    """What the queries of every fiftieth vector miss in all vectors' codes: with a plain rotation, and with codewords and rotation made for them."""
+    v = _vectors(spark, sf_dir)
+    sample = quantize.sample_matrix(v, 5_000)
+    moment = quantize.query_moment(asked(v))
+    plain = quantize.train_pq(sample, SUB, 16)
+    errors = quantize.query_error(v, {"opq": plain, "aware": quantize.query_aware(plain, sample, moment)}, moment)
+    return errors.select("n", *[F.round(k, 9).alias(k) for k in ("opq", "aware")])

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
-
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from .. import schemas
+from .matrix import fp16_matrix  # noqa: F401
 
 
 def scan(spark: SparkSession, folder: str, suffixes: list[str] | None = None, skip: str | None = None) -> DataFrame:
@@ -31,23 +29,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def fp16_matrix(spark: SparkSession, path: str, dims: int) -> DataFrame:
-    """``file, row, embedding`` of flat half-precision matrices; a broken last row is left out."""
-
-    def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                whole = len(content) // (2 * dims)
-                for at in range(0, whole, 10_000):
-                    n = min(10_000, whole - at)
-                    x = np.frombuffer(content, "<f2", n * dims, at * dims * 2).astype(np.float32)
-                    lists = pa.ListArray.from_arrays(pa.array(np.arange(0, n * dims + 1, dims), pa.int32()), pa.array(x))
-                    yield pa.RecordBatch.from_arrays([pa.array([name] * n), pa.array(np.arange(at, at + n)), lists], ["file", "row", "embedding"])
-
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInArrow(rows, "file string, row long, embedding array<float>")
-
-
 def newer_inputs(spark: SparkSession, folder: str, after: str, schema: StructType | str) -> DataFrame:
     """JSON lines of the files whose name sorts after ``after``, with ``file``."""
     lines = spark.read.schema(schema).json(folder).withColumn("file", F.element_at(F.split(F.input_file_name(), "/"), -1))

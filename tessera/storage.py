@@ -50,6 +50,16 @@ def materialize(df: DataFrame) -> DataFrame:
     return out
 
 
+def state_of(df: DataFrame) -> tuple:
+    """Name, length and time of each file that ``df`` reads: another state is another table."""
+    out = []
+    for name in sorted(df.inputFiles()):
+        at, fs = _place(df.sparkSession, name)
+        s = fs.getFileStatus(at)
+        out.append((name, s.getLen(), s.getModificationTime()))
+    return tuple(out)
+
+
 def drop(*tables: DataFrame) -> None:
     """Delete tables that :func:`materialize` wrote; nothing may read them any more."""
     for df in tables:

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -103,6 +104,49 @@ def append(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     return stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
 
 
+def fan_out(stream: DataFrame, sinks: dict[str, Callable[[DataFrame], DataFrame]], path: str, checkpoint: str) -> StreamingQuery:
+    """One stream to several sinks: each batch is read once and written, as each sink makes it, to ``<path>/<sink>/batch=<number>``.
+
+    A batch that is repeated after a failure writes the same folders again, so each sink has every row once.  Sinks of a batch that broke off in between
+    may be a batch apart until it is repeated.
+    """
+
+    def batch(rows: DataFrame, number: int) -> None:
+        rows = rows.persist()
+        try:
+            for name, made in sinks.items():
+                made(rows).write.mode("overwrite").parquet(f"{path}/{name}/batch={number}")
+        finally:
+            rows.unpersist()
+
+    return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def newly_seen(stream: DataFrame, feed: str, key: str, order: str, most: int = 200) -> DataFrame:
+    """Rows of a feed whose key is not among the last ``most`` that the feed gave, in the order of ``order`` within a batch.
+
+    The state of a feed is bounded: ``most`` keys.  A key that comes back after so many others is new again.
+    """
+    fields = stream.schema
+
+    def fresh(_key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        seen = list(state.get[0]) if state.exists else []
+        rows = pd.concat(list(frames)).sort_values([order, key], kind="stable")
+        known, new = set(seen), []
+        for k in rows[key].tolist():
+            new.append(k not in known)
+            if new[-1]:
+                seen.append(k)
+                known.add(k)
+                if len(seen) > most:
+                    known.discard(seen.pop(0))
+        state.update((seen,))
+        yield rows[np.array(new, bool)]
+
+    kind = fields[key].dataType.simpleString()
+    return stream.groupBy(feed).applyInPandasWithState(fresh, fields, f"seen array<{kind}>", "append", GroupStateTimeout.NoTimeout)
+
+
 def poll_interval(gaps: list[float], least: float = 1.0, most: float = 3600.0) -> float:
     """How long to wait for a feed: its mean gap, within bounds."""
     return min(most, max(least, sum(gaps) / len(gaps))) if gaps else most

@@ -173,3 +173,19 @@ def test_dimension_bounds_are_exact_quantiles(spark):
     x = rng.standard_normal((500, 3))
     got = {r.pos: (r.low, r.high) for r in stats.dimension_bounds(frame(spark, x), 0.01, 0.99).collect()}
     assert got == {k: pytest.approx(tuple(np.quantile(x[:, k], [0.01, 0.99]))) for k in range(3)}
+
+
+def test_query_aware_codes_miss_less_of_what_queries_see(spark):
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((400, 8))
+    asked = rng.standard_normal((60, 8)) * np.array([3.0, 2, 1, 0.3, 0.1, 0.1, 0.1, 0.1])
+    moment = quantize.query_moment(frame(spark, [*asked, None]))
+    assert np.allclose(moment, asked.T @ asked / 60)
+    plain = quantize.train_pq(x, 4, 8)
+    aware = quantize.query_aware(plain, x, moment)
+    got = quantize.query_error(frame(spark, [*x, None]), {"plain": plain, "aware": aware}, moment).first()
+    for name, model in (("plain", plain), ("aware", aware)):
+        rest = x - model.decode(model.encode(x))
+        assert got[name] == pytest.approx(((rest @ asked.T) ** 2).mean())
+    assert got.n == 400 and got.aware < 0.8 * got.plain
+    assert np.allclose(aware.transform @ aware.transform.T, np.eye(8))

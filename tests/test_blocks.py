@@ -93,3 +93,17 @@ def test_routed_search_with_all_shards_is_exact(spark):
         assert got == exact
     few = search.routed_top_k(assigned, asked, centroids, 5, probes=3).collect()
     assert len({(r.query_id, r.vec_id) for r in few} & {(q, n) for q, n, *_ in exact}) >= 0.7 * len(exact)
+
+
+def test_a_matrix_file_is_read_in_ranges(spark, tmp_path):
+    from tessera.sources.files import fp16_matrix
+
+    x = np.random.default_rng(6).standard_normal((1_003, 6)).astype("<f2")
+    (tmp_path / "a.bin").write_bytes(x.tobytes() + b"abc")
+    (tmp_path / "b.bin").write_bytes(x[:5].tobytes())
+    (tmp_path / "c.bin").write_bytes(b"")
+    df = fp16_matrix(spark, f"file://{tmp_path}", 6, split_rows=100)
+    assert df.rdd.getNumPartitions() == 12
+    rows = {(r.file.rsplit("/", 1)[1], r.row): r.embedding for r in df.collect()}
+    assert len(rows) == 1_008 and all(np.array_equal(np.array(v, "<f2"), x[k]) for (_, k), v in rows.items())
+    assert fp16_matrix(spark, str(tmp_path / "c.bin"), 6).count() == 0

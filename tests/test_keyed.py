@@ -96,3 +96,23 @@ def test_waiting_reloads_are_answered_together():
         raise ValueError("no")
 
     assert isinstance(Reloads(broken).request().exception(10), ValueError)
+
+
+def test_one_stream_to_several_sinks(spark, tmp_path):
+    at = f"file://{tmp_path}"
+    sinks = {"even": lambda d: d.filter("k % 2 = 0"), "sums": lambda d: d.groupBy("v").agg(F.sum("n").alias("n"))}
+    for part in range(3):
+        spark.createDataFrame([(k, part, f"p{k % 2}") for k in range(6)], SCHEMA).coalesce(1).write.mode("append").parquet(f"{at}/in")
+        flows.fan_out(flows.source(spark, f"{at}/in", SCHEMA, 1), sinks, f"{at}/out", f"{at}/c").awaitTermination()
+    assert spark.read.parquet(f"{at}/out/even").count() == 9
+    assert rows(spark.read.parquet(f"{at}/out/sums").groupBy("v").agg(F.sum("n"))) == [("p0", 9), ("p1", 9)]
+
+
+def test_a_bounded_set_of_seen_keys(spark, tmp_path):
+    at, schema = f"file://{tmp_path}", "feed string, k long, at long"
+    batches = [[("a", 1, 1), ("a", 2, 2), ("a", 1, 3), ("b", 1, 1)], [("a", 2, 4), ("a", 3, 5), ("a", 4, 6), ("a", 1, 7)], [("a", 4, 8), ("b", 1, 9)]]
+    for part in batches:
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(f"{at}/in")
+        flows.append(flows.newly_seen(flows.source(spark, f"{at}/in", schema, 1), "feed", "k", "at", most=3), f"{at}/out", f"{at}/c").awaitTermination()
+    # 1 is new again in the second batch: 2, 3 and 4 are the last three by then
+    assert rows(spark.read.parquet(f"{at}/out")) == [("a", 1, 1), ("a", 1, 7), ("a", 2, 2), ("a", 3, 5), ("a", 4, 6), ("b", 1, 1)]

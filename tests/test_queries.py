@@ -46,9 +46,19 @@ def test_recall_of_graph_search(spark, sf_dir):
 
 
 def test_models_do_what_they_claim(spark, sf_dir):
-    assert QUERIES["chain_quantizer"](spark, sf_dir).first()["better"]
-    assert QUERIES["one_bit_quantizer"](spark, sf_dir).first()["follows"]
-    assert QUERIES["preference_model"](spark, sf_dir).first()["mostly_right"]
+    first = lambda name: QUERIES[name](spark, sf_dir).first()
+    chain, one_bit = first("chain_quantizer"), first("one_bit_quantizer")
+    assert chain.four < 0.8 * chain.one and one_bit.recall >= 0.9 and one_bit.correlation > 0.7
+    assert all(r.accuracy > 0.7 for r in QUERIES["preference_model"](spark, sf_dir).collect())
+    routed = {r.probes: r.recall for r in QUERIES["routed_search"](spark, sf_dir).collect()}
+    assert routed[8] >= 0.9 and list(routed.values()) == sorted(routed.values())
+    gaps = {r.method: r.deviation for r in QUERIES["annealed_shards"](spark, sf_dir).collect()}
+    assert gaps["annealed"] < gaps["k-means"]
+
+
+def test_search_on_the_packed_table(spark, sf_dir):
+    r = QUERIES["packed_search"](spark, sf_dir).first()
+    assert r.queries == 10 and r.recall >= 0.9 and r.most_reads < r.nodes
 
 
 def test_entry(spark):
