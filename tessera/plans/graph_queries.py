@@ -124,7 +124,7 @@ def packed_search(spark, sf_dir):
     model = quantize.train_pq(quantize.sample_matrix(v), 16, 64, rounds=6)
     nodes = served.write_packed(served.packed_nodes(g, v, model), 16)
     starts = g.filter("is_start").select("shard_id", "id")
-    found = materialize(served.packed_search(nodes, asked(v), starts, _centroids(v), model, 10, width=100, probes=3))
+    found = materialize(served.packed_search(nodes, asked(v), starts, _centroids(v), model, 10, width=100, expand=16, probes=3))
     reads = found.select("query_id", "reads").distinct().agg(F.round(F.avg("reads"), 6).alias("mean_reads"), F.max("reads").alias("most_reads"))
     share = stats.recall(_truth(v, asked(v), 10), found, 10).select("queries", F.round("recall", 6).alias("recall"))
     return share.crossJoin(F.broadcast(reads)).crossJoin(F.broadcast(v.agg(F.count(F.lit(1)).alias("nodes"))))

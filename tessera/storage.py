@@ -4,10 +4,32 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own_dirs: dict[str, str] = {}
+_open_scopes: ContextVar[tuple[list[str], ...]] = ContextVar("open_scopes", default=())
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Everything that is written to the shared folder within is deleted at the end.
+
+    Results of operators are lazy over tables that they write; a caller who writes a result within a scope leaves nothing but what they wrote.
+    Scopes may be nested: what is written in an inner one ends with it.
+    """
+    own: list[str] = []
+    token = _open_scopes.set((*_open_scopes.get(), own))
+    try:
+        yield
+    finally:
+        _open_scopes.reset(token)
+        for path in own:
+            at, fs = _place(spark, path)
+            fs.delete(at, True)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -33,6 +55,8 @@ def fresh_path(spark: SparkSession, kind: str = "table") -> str:
     path = f"{shared_dir(spark)}/tessera-{kind}-{uuid.uuid4().hex}"
     at, fs = _place(spark, path)
     fs.deleteOnExit(at)
+    if scopes := _open_scopes.get():
+        scopes[-1].append(path)
     return path
 
 

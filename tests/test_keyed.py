@@ -116,3 +116,19 @@ def test_a_bounded_set_of_seen_keys(spark, tmp_path):
         flows.append(flows.newly_seen(flows.source(spark, f"{at}/in", schema, 1), "feed", "k", "at", most=3), f"{at}/out", f"{at}/c").awaitTermination()
     # 1 is new again in the second batch: 2, 3 and 4 are the last three by then
     assert rows(spark.read.parquet(f"{at}/out")) == [("a", 1, 1), ("a", 1, 7), ("a", 2, 2), ("a", 3, 5), ("a", 4, 6), ("b", 1, 1)]
+
+
+def test_a_scope_leaves_only_what_the_caller_wrote(spark, tmp_path, sf_dir):
+    from tessera.operators import stats
+    from tessera.storage import scope, shared_dir
+
+    folder = shared_dir(spark).removeprefix("file://")
+    before = set(os.listdir(folder))
+    with scope(spark):
+        v = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+        with scope(spark):
+            stats.rolling_mean(v.select("vec_id", F.col("vec_id").cast("double").alias("x")), "x", "vec_id", 5).write.parquet(f"file://{tmp_path}/out")
+        assert set(os.listdir(folder)) == before
+        stats.dimension_bounds(v).collect()
+        assert set(os.listdir(folder)) > before
+    assert set(os.listdir(folder)) == before and spark.read.parquet(f"file://{tmp_path}/out").count() == 496
