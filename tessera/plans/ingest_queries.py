@@ -52,7 +52,7 @@ def long_window_lines(spark, sf_dir):
     """Lines written with windows of 2^30 bytes and read back; a file is read by several tasks, and the cut one up to its last line."""
     d = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     folder = _written(d.select(F.to_json(F.struct("doc_id", "text")).alias("value")), spark)
-    back = zstd_lines.read_zstd_lines(spark, folder, split_bytes=64 << 10).select(F.from_json("value", "doc_id long, text string").alias("r")).select("r.*")
+    back = zstd_lines.read_zstd_lines(spark, folder, split_bytes=1 << 20).select(F.from_json("value", "doc_id long, text string").alias("r")).select("r.*")
     return back.select("doc_id", F.md5("text").alias("digest"), F.length("text").cast("long").alias("n"))
 
 
