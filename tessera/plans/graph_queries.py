@@ -96,7 +96,7 @@ def shard_offsets(spark, sf_dir):
 _built: dict[tuple, DataFrame] = {}
 
 #: Vectors of a shard of the graph, about; a shard is built in one task.
-SHARD_ROWS = 20_000
+SHARD_ROWS = 2_000
 
 
 def _centroids(v):
