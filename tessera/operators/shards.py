@@ -139,7 +139,8 @@ def spherical_kmeans(vectors: DataFrame, k: int, rounds: int = 20, balance: floa
     c = c / np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-12)
     load = np.zeros(len(c))
     for _ in range(rounds):
-        own = (x @ c.T - balance * load).argmax(1)
+        # a block of vectors at a time, as all products at once would fill the driver
+        own = np.concatenate([(x[at : at + 4_096] @ c.T - balance * load).argmax(1) for at in range(0, len(x), 4_096)])
         load = np.bincount(own, minlength=len(c)) / max(1.0, len(x) / len(c))
         for j in range(len(c)):
             s = x[own == j].sum(0) if (own == j).any() else x[rng.integers(len(x))]
