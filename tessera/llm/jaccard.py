@@ -2,8 +2,10 @@
 
 A text is the set of its shingles of ``WIDTH`` words (lower-cased A-Z), with the SimHash fingerprint of that set.  Two
 texts are near copies if their Jaccard similarity is at least ``THRESHOLD``.  At 0.8 the fingerprints differ in about
-10 of 64 bits (standard deviation 3), so the radius is ``RADIUS``: a pair at 0.8 is outside it with a chance of some 1e-5.  No
-blocks of so few bits are selective at that radius.  The buckets in which fingerprints are compared are
+10 of 64 bits (standard deviation 3), so the radius is ``RADIUS``: a pair at 0.8 is outside it with a chance of some 1e-5.
+
+First come the tables of ``llm.simhash``: fingerprints within three bits meet in ten tables keyed by two of five bit blocks, and their spanning
+forest is confirmed.  No blocks of so few bits are selective at the wider radius.  The further buckets in which fingerprints are compared are
 therefore keyed by the set itself: one of ``BANDS`` bands of ``ROWS`` minimum hashes, of which a pair of similarity s shares none with the
 chance (1 - s ** ROWS) ** BANDS, 3e-6 at 0.8 and less above.  Every pair within the radius is confirmed by its
 shingles, so no pair below the threshold links.
@@ -33,7 +35,7 @@ from pyspark.sql import functions as F
 
 from ..operators.links import components
 from .common import drop, lift, materialize, slices, spread, whole
-from .simhash import SEED, distances_over, slice_bits
+from .simhash import SEED, distances_over, links, slice_bits
 
 WIDTH = 5
 THRESHOLD = 0.8
@@ -194,6 +196,17 @@ def apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     return pairs.filter(root("u") != root("v")).select("u", "v")
 
 
+def block_pairs(fps: DataFrame) -> DataFrame:
+    """Pairs ``u, v`` of keys, from ``key, fp``, that connect keys whose fingerprints are equal or within the radius of ``llm.simhash``."""
+    heads = materialize(fps.groupBy("fp").agg(F.min("key").alias("v")))
+    forest = materialize(links(heads.select("fp")))
+    same = fps.select("key", "fp").join(heads, "fp").filter(F.col("key") != F.col("v")).select(F.col("key").alias("u"), "v")
+    ends = forest.join(heads.toDF("u", "a"), "u").join(heads.toDF("v", "b"), "v").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+    out = materialize(same.union(ends).distinct())
+    drop(heads, forest)
+    return out
+
+
 def rest_links(members: DataFrame, roots: DataFrame, known: DataFrame, width: int, threshold: float, radius: int, chunk: int, chunk_bytes: int) -> DataFrame:
     """Links between members of a bucket that are in different components so far."""
     others = members.join(roots.withColumnRenamed("node", "key"), "key", "left").select("band", "key", "fp", "bytes", F.coalesce("root", "key").alias("root"))
@@ -223,6 +236,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     firsts = materialize(own.groupBy("key").agg(F.min(F.struct("id", "version")).alias("f")).select("key", "f.id", "f.version"))
     distinct = materialize(signed.join(firsts, ["key", "id", "version"]).dropDuplicates(["key"]).select("key", "bands", "fp", "bytes"))
     drop(signed)
+    blocked = block_pairs(distinct)
     keyed = distinct.select("key", "fp", "bytes", F.explode("bands").alias("band"))
     shared = materialize(keyed.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
     members = materialize(keyed.join(shared, "band"))
@@ -232,12 +246,15 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     centres = materialize(members.join(weights, "key").groupBy("band").agg(best).select("band", F.col("c.key").alias("v"), F.col("c.fp").alias("v_fp"), "c.weight"))
     close = F.bit_count(F.col("fp").bitwiseXOR(F.col("v_fp"))) <= radius
     near = materialize(members.join(centres, "band").filter(close & (F.col("key") != F.col("v"))).select(F.col("key").alias("u"), "v", "weight").distinct())
-    # one text of each key in a bucket, moved once however few there are
-    asked = weights.select("key").join(firsts, "key").hint("merge")
+    # one text of each key in a bucket or a pair, moved once however few there are
+    paired = blocked.select(F.explode(F.array("u", "v")).alias("key"))
+    asked = weights.select("key").union(paired).distinct().join(firsts, "key").hint("merge")
     known = materialize(texts.join(asked, ["id", "version"]).groupBy("id", "version", "key").agg(F.first("text").alias("text")).select("key", "text"))
-    pairs = materialize(near.groupBy("u").agg(F.max(F.struct("weight", "v")).alias("c")).select("u", "c.v"))
+    linked = confirmed(blocked, known, width, threshold)
+    first = components(linked)
+    pairs = materialize(apart(near.groupBy("u").agg(F.max(F.struct("weight", "v")).alias("c")).select("u", "c.v"), first))
     direct = confirmed(pairs, known, width, threshold)
-    roots = components(direct)
+    roots = components(first.toDF("u", "v").union(direct))
     others = materialize(apart(near.select("u", "v"), roots).join(pairs, ["u", "v"], "left_anti"))
     more = confirmed(others, known, width, threshold)
     joined = components(roots.toDF("u", "v").union(more))
@@ -246,5 +263,5 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rooted = materialize(firsts.join(ends.withColumnRenamed("node", "key"), "key", "left").select("key", "id", F.coalesce("root", "key").alias("root")))
     smallest = materialize(rooted.groupBy("root").agg(F.min("id").alias("component")))
     by_key = materialize(rooted.join(smallest, "root").select("key", "component"))
-    drop(firsts, members, weights, centres, near, known, pairs, others, direct, roots, more, joined, rest, ends, rooted, smallest)
+    drop(firsts, blocked, members, weights, centres, near, known, linked, first, pairs, others, direct, roots, more, joined, rest, ends, rooted, smallest)
     return own.join(by_key, "key").select("id", "version", "component")

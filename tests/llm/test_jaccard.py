@@ -69,3 +69,22 @@ def test_near_copies_of_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
     texts = {r.doc_id: r.text for r in docs.collect()}
     assert {r.doc_id for r in corpus_pipeline.near_copies(spark, docs, "").collect()} == kept(texts)[0]
+
+
+def test_close_fingerprints_meet_without_a_shared_band(spark, monkeypatch):
+    import pyarrow as pa
+
+    words = [f"w{k}" for k in range(400)]
+    texts = [" ".join(words), " ".join([*words, "end"]), " ".join(f"x{k}" for k in range(400))]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    a, b, c = (jaccard.fingerprint(jaccard.shingles(t.encode())) for t in texts)
+    assert (a ^ b).bit_count() <= 3 < (a ^ c).bit_count()
+    signed = jaccard._signed
+
+    def alone(batches, width):
+        for batch in signed(batches, width):
+            keys = batch.column("key").to_pylist()
+            yield batch.set_column(3, "bands", pa.array([[k] for k in keys], pa.list_(pa.int64())))
+
+    monkeypatch.setattr(jaccard, "_signed", alone)
+    assert {r.id: r.component for r in jaccard.near_groups(docs).collect()} == {0: 0, 1: 0, 2: 2}
