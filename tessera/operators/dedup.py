@@ -42,18 +42,37 @@ def near_pairs(vectors: DataFrame, threshold: float, key: str = "vec_id", vector
     return left.join(right, on).withColumn("score", dot("_x", "_y")).filter(F.col("score") > threshold).select(*groups, "a", "b", "score")
 
 
+def _tiles(rows: int, columns: int) -> list[slice]:
+    step = max(1, blocks.TILE // max(1, columns))
+    return [slice(at, at + step) for at in range(0, rows, step)]
+
+
 def _block_links(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For rows and columns of a block, the first column that links reach within it; the number of columns without one."""
+    """For rows and columns of a block, the first column that links reach within it; the number of columns without one.
+
+    Rows are taken in turn: what is held beside ``near`` is about ``blocks.TILE`` numbers.
+    """
     n = near.shape[1]
-    columns = np.arange(n)
+    columns, rows = np.arange(n, dtype=np.int32), np.full(len(near), n, np.int32)
     while True:
-        rows = np.where(near, columns[None, :], n).min(1)
-        least = np.minimum(columns, np.where(near, rows[:, None], n).min(0))
+        least = columns.copy()
+        for at in _tiles(*near.shape):
+            rows[at] = np.where(near[at], columns[None, :], np.int32(n)).min(1)
+            np.minimum(least, np.where(near[at], rows[at, None], np.int32(n)).min(0), out=least)
         if (least == columns).all():
             return rows, columns
         columns = least
 
 
+def near_blocks(ids: np.ndarray, a: np.ndarray, own: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray:
+    """Which vectors of two blocks are above the threshold, a byte a pair; one key is not near itself."""
+    near = np.empty((len(a), len(b)), bool)
+    for at in _tiles(*near.shape):
+        near[at] = blocks.above(a[at] @ b.T, a[at], b, threshold)
+        near[at] &= ids[at, None] != own[None, :]
+    return near
+
+
 def near_classes(vectors: DataFrame, threshold: float, key: str = "vec_id", vector: str = "embedding", block: int | None = None) -> DataFrame:
     """``vec_id, class, links`` of each vector: the smallest key that links reach, and how many others are above the threshold.
 
@@ -67,11 +86,11 @@ def near_classes(vectors: DataFrame, threshold: float, key: str = "vec_id", vect
             return pa.table({c: pa.array([], pa.int64()) for c in ("u", "v", "n")})
         a, b = to_matrix(left["vector"]), to_matrix(right["vector"])
         itself = left["l"][0].as_py() == left["r"][0].as_py()
-        near = blocks.above(a @ b.T, a, b, threshold) & (ids[:, None] != own[None, :])
+        near = near_blocks(ids, a, own, b, threshold)
         first, columns = _block_links(near)
         q, v = np.flatnonzero(first < len(own)), np.flatnonzero(near.any(0))
-        back = np.zeros(len(v), np.int64) if itself else near[:, v].sum(0)
-        return pa.table({"u": np.concatenate([ids[q], own[v]]), "v": np.concatenate([own[first[q]], own[columns[v]]]), "n": np.concatenate([near[q].sum(1), back])})
+        back = np.zeros(len(v), np.int64) if itself else np.count_nonzero(near, 0)[v]
+        return pa.table({"u": np.concatenate([ids[q], own[v]]), "v": np.concatenate([own[first[q]], own[columns[v]]]), "n": np.concatenate([np.count_nonzero(near, 1)[q], back])})
 
     found = materialize(blocks.over_own_pairs(vectors, links, "u long, v long, n long", key, vector, block))
     counts = found.groupBy("u").agg(F.sum("n").alias("n"))
