@@ -6,6 +6,8 @@ joins over edge tables.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -46,6 +48,50 @@ def greedy_search(x: np.ndarray, neighbours: list[np.ndarray], start: int, query
     return buffer.tolist(), dict(zip(at.tolist(), (x[at].astype(np.float64) @ query).tolist(), strict=True))
 
 
+def batch_search(x: np.ndarray, neighbours: np.ndarray, start: int, queries: np.ndarray, width: int, beam: int = 1, near: np.ndarray | None = None, batch: int = 64) -> Iterator[tuple[int, np.ndarray]]:
+    """:func:`greedy_search` of many queries at once: for each query in turn its place and the nodes it visited.
+
+    ``neighbours`` is a matrix, filled up with -1.  The beams of a batch of queries move together, a step of all in a few array operations, so that a search
+    costs its products and not a round of Python for each node.  With ``near``, (queries, nodes) approximate scores, those order the beam.
+    """
+    n = len(x)
+    for at in range(0, len(queries), batch):
+        asked = queries[at : at + batch]
+        many = len(asked)
+
+        def scored(q, to):
+            return near[at + q, to] if near is not None else np.einsum("ij,ij->i", x[to], asked[q])  # noqa: B023
+
+        seen, done = np.zeros((2, many, n + 1), bool)
+        seen[:, start] = seen[:, n] = done[:, n] = True
+        live = np.arange(many)
+        nodes, scores = np.full((many, 1), start), scored(live, np.full(many, start))[:, None]
+        while True:
+            waiting = ~done[live[:, None], nodes]
+            waiting &= np.cumsum(waiting, 1) <= beam
+            going = waiting.any(1)
+            live, nodes, scores = live[going], nodes[going], scores[going]
+            if not len(live):
+                break
+            row, col = np.nonzero(waiting[going])
+            visit = nodes[row, col]
+            done[live[row], visit] = True
+            to = neighbours[visit]
+            q, to = np.repeat(row, to.shape[1]), np.where(to < 0, n, to).ravel()
+            fresh = ~seen[live[q], to]
+            q, to = np.divmod(np.unique(q[fresh] * (n + 1) + to[fresh]), n + 1)
+            seen[live[q], to] = True
+            counts = np.bincount(q, minlength=len(live))
+            place = q, nodes.shape[1] + np.arange(len(q)) - np.repeat(np.cumsum(counts) - counts, counts)
+            wider = ((0, 0), (0, int(counts.max(initial=0))))
+            nodes, scores = np.pad(nodes, wider, constant_values=n), np.pad(scores, wider, constant_values=-np.inf)
+            nodes[place], scores[place] = to, scored(live[q], to)
+            order = np.lexsort((nodes, -scores), axis=1)[:, :width]
+            nodes, scores = np.take_along_axis(nodes, order, 1), np.take_along_axis(scores, order, 1)
+        for k in range(many):
+            yield at + k, np.flatnonzero(done[k, :n])
+
+
 def robust_prune(x: np.ndarray, point: int, candidates: np.ndarray, degree: int, alpha: float, is_query: np.ndarray | None = None, query_alpha: float = 1.0, saturate: bool = False) -> np.ndarray:
     """Up to ``degree`` neighbours: the nearest, then those not much nearer to one chosen before.
 
@@ -144,6 +190,7 @@ def beam_search(graph: DataFrame, vectors: DataFrame, queries: np.ndarray, k: in
     """
     extra = [c for c in (dead, descriptors) if c]
     named = np.arange(len(queries)) if query_ids is None else query_ids
+    k_best = k  # a shard's rows beyond its own best are never among the best of all
 
     def one(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("id", kind="stable").reset_index(drop=True)
@@ -155,16 +202,25 @@ def beam_search(graph: DataFrame, vectors: DataFrame, queries: np.ndarray, k: in
         if scales is not None:  # an extra dimension per descriptor makes the bias part of the product
             x = np.hstack([x, np.stack(rows[descriptors].to_numpy()).astype(np.float32)])
             asked = np.hstack([queries, np.tile(scales, (len(queries), 1))])
-        at = {int(v): k for k, v in enumerate(ids)}
-        lists = [np.array([at[int(v)] for v in own if int(v) in at], np.int64) for own in rows["neighbours"]]
+        sizes = rows["neighbours"].map(len).to_numpy()
+        flat = np.concatenate(rows["neighbours"].to_list()).astype(np.int64)
+        place = np.minimum(np.searchsorted(ids, flat), len(ids) - 1)
+        matrix = np.full((len(x), max(1, sizes.max())), -1)
+        matrix[np.repeat(np.arange(len(x)), sizes), np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = np.where(ids[place] == flat, place, -1)
         start = int(rows["is_start"].to_numpy().argmax())
         gone = rows[dead].to_numpy(bool) if dead else np.zeros(len(ids), bool)
-        out = []
-        for q, query in enumerate(asked):
-            approx = quantizer.scores(quantizer.table(queries[q]), codes) + bias if quantizer else None
-            _, visited = greedy_search(x, lists, start, query, width, approx=approx, beam=beam)
-            out += [(int(named[q]), int(ids[v]), s) for v, s in visited.items() if not gone[v]]
-        return pd.DataFrame(out, columns=["query_id", key, "score"])
+        wide, out = x.astype(np.float64), []
+        for part in range(0, len(asked), 256):
+            some = asked[part : part + 256]
+            near = np.stack([quantizer.scores(quantizer.table(q), codes) + bias for q in queries[part : part + 256]]) if quantizer else None
+            for q, visited in batch_search(wide, matrix, start, some, width, beam, near):
+                score, known = wide[visited] @ some[q], ~gone[visited]
+                order = np.lexsort((ids[visited], -score))
+                order = order[known[order]][:k_best]
+                out.append((np.full(len(order), named[part + q]), ids[visited[order]], score[order]))
+        if not out:
+            return pd.DataFrame({"query_id": np.empty(0, np.int64), key: np.empty(0, np.int64), "score": np.empty(0)})
+        return pd.DataFrame(dict(zip(["query_id", key, "score"], map(np.concatenate, zip(*out, strict=True)), strict=True)))
 
     joined = graph.join(vectors.select(F.col(key).alias("id"), vector, *extra), "id")
     found = joined.groupBy("shard_id").applyInPandas(one, f"query_id long, {key} long, score double")

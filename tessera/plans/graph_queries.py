@@ -95,8 +95,11 @@ def shard_offsets(spark, sf_dir):
 
 _built: dict[tuple, DataFrame] = {}
 
-#: Vectors of a shard of the graph, about; a shard is built in one task.
+#: Vectors of a shard of the graph, about; a shard is built in one task.  Every shard is searched for every query, so shards grow up to
+#: ``LARGEST`` before they become more than ``MOST_SHARDS``.
 SHARD_ROWS = 2_000
+MOST_SHARDS = 48
+LARGEST = 20_000
 
 
 def _centroids(v):
@@ -104,7 +107,7 @@ def _centroids(v):
     n = v.count()
     if n <= 3 * SHARD_ROWS:
         return mean_vectors(v.withColumn("part", F.col("label") % 3), "part").select(F.col("part").cast("long").alias("shard_id"), "centroid")
-    return shards.spherical_kmeans(v, -(-n // SHARD_ROWS), balance=0.05)
+    return shards.spherical_kmeans(v, max(min(-(-n // SHARD_ROWS), MOST_SHARDS), -(-n // LARGEST)), balance=0.05)
 
 
 def _graph(spark, sf_dir):
@@ -113,7 +116,8 @@ def _graph(spark, sf_dir):
     at = spark.sparkContext.applicationId, sf_dir, state_of(v)
     if at not in _built:
         assigned = shards.nearest_shards(v, _centroids(v), 2)
-        _built[at] = materialize(graph.build_graphs(assigned, v, degree=24, width=48, most=200, passes=1))
+        # with longer edges (an alpha above 1) a family of over 24 near copies has edges to itself alone, and a search that starts there ends there
+        _built[at] = materialize(graph.build_graphs(assigned, v, degree=24, width=48, most=200, passes=1, alpha=1.0))
     return v, _built[at]
 
 
