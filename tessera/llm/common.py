@@ -59,10 +59,16 @@ def hash128(c: Column) -> tuple[Column, Column]:
 
 
 def slices(batches: Iterable[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
-    """The batches in parts of at most ``rows`` rows."""
+    """The batches in parts of at most ``rows`` rows.
+
+    Before the next batch is read, what Arrow has freed goes back to the system: a worker is kept from task to task, and
+    Arrow's pool would hold several batches in it.
+    """
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+        batch = None
+        pa.default_memory_pool().release_unused()
 
 
 def spread(df: DataFrame) -> DataFrame:

@@ -25,9 +25,8 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .common import give_back, lift, slices, spread
 
@@ -37,6 +36,7 @@ LEAST = 20
 SLOPE, ROUNDS = 5e-4, 2_000
 MARGIN = 0.02
 _PIECE = 1 << 18
+_FOUND = pa.schema([("lang_pred", pa.string()), ("score", pa.float64()), ("ambiguous", pa.bool_())])
 _A, _B, _C = 0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D
 
 
@@ -170,26 +170,39 @@ def train(docs: DataFrame, sample: int = SAMPLE, folds: int = 5) -> Model | None
     return Model(langs, code, w, b)
 
 
+def predicted(model: Model | None, texts: list[str | None]) -> list[pa.Array]:
+    """``lang_pred, score, ambiguous`` of texts."""
+    langs, scores, close = ["und"] * len(texts), [0.0] * len(texts), [False] * len(texts)
+    known = [k for k, t in enumerate(texts) if model and has_letter(t)]
+    for at in range(0, len(known), 64):
+        some = known[at : at + 64]
+        for k, best, score, odd in zip(some, *model.decode(np.stack([features(texts[k]) for k in some])), strict=True):
+            langs[k], scores[k], close[k] = model.langs[best], float(score), bool(odd)
+    return [pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(close, pa.bool_())]
+
+
 def predictor(model: Model | None) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """For mapInArrow over (id, text): adds ``lang_pred, score, ambiguous``."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            texts = batch.column(1).to_pylist()
-            langs, scores, close = ["und"] * len(texts), [0.0] * len(texts), [False] * len(texts)
-            known = [k for k, t in enumerate(texts) if model and has_letter(t)]
-            for at in range(0, len(known), 64):
-                some = known[at : at + 64]
-                for k, best, score, odd in zip(some, *model.decode(np.stack([features(texts[k]) for k in some])), strict=True):
-                    langs[k], scores[k], close[k] = model.langs[best], float(score), bool(odd)
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(k) for k in range(batch.num_columns) if k != 1), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(close, pa.bool_())],
-                names=[*(n for k, n in enumerate(batch.schema.names) if k != 1), "lang_pred", "score", "ambiguous"],
-            )
+            yield pa.RecordBatch.from_arrays([batch.column(0), *predicted(model, batch.column(1).to_pylist())], names=[batch.schema.names[0], "lang_pred", "score", "ambiguous"])
 
     return run
 
 
+def told(model: Model | None) -> Callable[[Column], Column]:
+    """For a column of texts: a struct of ``lang_pred, score, ambiguous``.  Only the texts go to Python, and only this comes back."""
+
+    def run(texts: pa.Array) -> pa.Array:
+        batch = pa.RecordBatch.from_arrays([texts], names=["text"])
+        parts = [pa.StructArray.from_arrays(predicted(model, part.column(0).to_pylist()), fields=list(_FOUND)) for part in slices([batch])]
+        return pa.concat_arrays(parts) if parts else pa.array([], pa.struct(_FOUND))
+
+    # as if it were not deterministic: else Spark asks once for the filter and again for the result
+    return F.arrow_udf(run, "lang_pred string, score double, ambiguous boolean").asNondeterministic()
+
+
 def language_report(docs: DataFrame) -> DataFrame:
     """``doc_id, held_out, lang_pred, score, ambiguous`` of each document."""
     model = train(docs)
@@ -203,8 +216,6 @@ def language_stage(docs: DataFrame) -> DataFrame:
     """The documents whose language is told without ambiguity, with that as ``lang``."""
     model = train(docs)
     names = docs.columns
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("doc"), F.col("text").cast("string").alias("text"))
-    found = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("ambiguous", T.BooleanType())]
-    out = spread(rows).mapInArrow(predictor(model), T.StructType([T.StructField("doc", rows.schema["doc"].dataType), *found]))
-    kept = out.filter((F.col("lang_pred") != "und") & ~F.col("ambiguous"))
-    return kept.select(*[F.col("lang_pred").alias("lang") if c == "lang" else F.col(f"doc.`{c}`").alias(c) for c in names])
+    out = spread(docs).select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("doc"), told(model)(F.col("text").cast("string")).alias("found"))
+    kept = out.filter((F.col("found.lang_pred") != "und") & ~F.col("found.ambiguous"))
+    return kept.select(*[F.col("found.lang_pred").alias("lang") if c == "lang" else F.col(f"doc.`{c}`").alias(c) for c in names])

@@ -40,7 +40,7 @@ from .common import give_back, lift, materialize, slices, spread
 LENGTH = 2048
 END = 0
 GROUP = 20_000
-#: How many parts of a text, and words of parts, a worker remembers.
+#: How many parts of a text, and words of parts, a task remembers.
 _CACHED, _CACHED_CHARS = 300_000, 24
 # Fixed values of the tokenizer file: its normaliser and pre-tokenizer, and its pattern for texts of these characters.
 _NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
@@ -99,6 +99,10 @@ class Tokens:
             self._parts[part] = out
         return out
 
+    def forget(self) -> None:
+        """Drop what was seen; a worker would hold it in the tasks of later stages, too."""
+        self._parts, self._words = {"": b""}, {}
+
     def __call__(self, text: str) -> np.ndarray:
         if not self.in_parts:
             return np.array(self._encode(text, add_special_tokens=False).ids, "<u4")
@@ -110,7 +114,7 @@ class Tokens:
 
 @functools.lru_cache(maxsize=1)
 def tokens(path: str) -> Tokens:
-    """One for each worker process, with what it has seen in earlier tasks."""
+    """One for each worker process."""
     return Tokens(path)
 
 
@@ -127,6 +131,7 @@ def _pieces(path: str, length: int):
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             columns = zip(*rows, strict=True) if rows else [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["id", "piece", "start", "length", "ids_crc32"])
+        ids_of.forget()
 
     return run
 

@@ -1,9 +1,14 @@
 """What a task holds is bounded, whatever its block."""
 
+import os
+import subprocess
+import sys
 import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 
+from tessera.llm import language_id, packing
 from tessera.operators import blocks, dedup
 
 
@@ -68,3 +73,58 @@ def test_one_bit_search_hands_on_only_the_best(spark, monkeypatch):
         exact = blocks.exact_scores(x[chosen].astype(np.float64), np.broadcast_to(query, (80, 16)))
         assert [found[k] for k in range(1, 6)] == chosen[np.lexsort((chosen, -exact))[:5]].tolist()
     assert len(got) == 8
+
+
+def test_a_worker_gives_back_what_arrow_freed():
+    """In a process of its own, whose anonymous memory counts no other test's."""
+    code = """if True:
+        import re
+        import pyarrow as pa
+        from tessera.llm.common import slices
+
+        def batches():
+            for k in range(8):
+                yield pa.record_batch({"text": pa.array([f"{k:08}" * (200 + 100 * k)] * 5_000)})
+
+        held = lambda: int(re.search(r"RssAnon:\\s+(\\d+)", open("/proc/self/status").read())[1]) >> 10
+        before = held()
+        for batch in slices(batches()):
+            del batch
+        print(held() - before)
+    """
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, timeout=120, cwd=root)
+    assert int(out.stdout) < 60
+
+
+def test_language_stage_sends_each_text_to_python_once(spark):
+    rows = [(k, f"{'the cat sat on' if k % 2 else 'der hund lief im'} {k} " * 500, "en" if k % 2 else "de", "web") for k in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    told = language_id.language_stage(docs)
+    assert {(r.doc_id, r.text, r.lang) for r in told.collect()} == {r[:3] for r in rows}
+    node, sent = told._jdf.queryExecution().executedPlan(), []
+    while True:
+        if node.metrics().contains("pythonDataSent"):
+            sent.append(node.metrics().apply("pythonDataSent").value())
+        if node.nodeName() == "AdaptiveSparkPlan":
+            node = node.executedPlan()
+        elif node.children().isEmpty():
+            break
+        else:
+            node = node.children().head()
+    size = sum(len(r[1]) for r in rows)
+    assert len(sent) == 1 and size < sent[0] < 1.1 * size
+
+
+def test_a_tokenizer_forgets_the_texts_of_its_task():
+    path = packing.default_tokenizer()
+    run, batch = packing._pieces(path, packing.LENGTH), pa.record_batch({"id": range(100), "text": [" ".join(f"a{k * 1_000 + j}b" for j in range(1_000)) for k in range(100)]})
+    packing.tokens(path)
+    tracemalloc.start()
+    try:
+        once, again = ([o.to_pydict() for o in run([batch])] for _ in range(2))
+        assert once == again
+        del once, again
+        assert tracemalloc.get_traced_memory()[0] < 2e6
+    finally:
+        tracemalloc.stop()
